@@ -57,10 +57,10 @@ def unstash(*frames: DataFrame) -> None:
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def small(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """``df``, broadcast if a count shows that it is within ``BROADCAST_ROWS``; else Spark shuffles it."""
+def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, broadcast if a count shows that it is within ``limit`` rows; else Spark shuffles it."""
     n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+    return F.broadcast(df) if n <= limit else df
 
 
 def map_batches(

@@ -7,17 +7,55 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, token_store
+from . import decontaminate, embedding_dedup, language, line_dedup, ngram_join, packing, pii, quality, suffix_dedup, token_store
 from .common import table
 from .tokens import vocabulary
 
 
+def op1_factorisation_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    machine = quality.train(docs, labels, ~quality.held_out(), metadata=("n_chars",))
+    got = quality.score(docs, machine, threshold=0.7)
+    return got.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
+def op2_cross_parsing_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    references = language.learn(docs, ~quality.held_out())
+    got = language.identify(docs.select("doc_id", "text"), references)
+    return got.select("doc_id", quality.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op3_parity_sketch_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+def op4_multi_index_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.95)
+
+
+def op5_template_tree_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.drop_recurring_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op6_column_wise_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = suffix_dedup.drop_repeats(table(spark, sf_dir, "documents"), length=200)
+    return got.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = decontaminate.find_contamination(docs, table(spark, sf_dir, "benchmark"), window=10)
     return got.select("doc_id", "n_words", "n_hit", "n_items", decontaminate.item_digest(F.col("items")).alias("items_sha256"), "contaminated")
 
 
+def op8_information_theoretic_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    counts = [pii.count_kind("base", k).alias(f"n_{k}") for k in pii.KINDS]
+    return got.select("doc_id", *counts, pii.digest(F.col("base")).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
 def op9_bit_plane_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_store.new_store(spark)
     token_store.write_token_ids(table(spark, sf_dir, "documents"), path, vocabulary(), end_id=2)
@@ -29,9 +67,66 @@ def op10_best_two_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op7_benchmark_decontamination, op9_bit_plane_token_ids, op10_best_two_fit_packing]
+    found = [
+        op1_factorisation_quality,
+        op2_cross_parsing_language,
+        op3_parity_sketch_join,
+        op4_multi_index_near_vectors,
+        op5_template_tree_line_dedup,
+        op6_column_wise_repeats,
+        op7_benchmark_decontamination,
+        op8_information_theoretic_pii,
+        op9_bit_plane_token_ids,
+        op10_best_two_fit_packing,
+    ]
     return {f.__name__: f for f in found}
 
 
+#: Shingles as text, pairs by shared shingles, and what links reach.
+OP3 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN ws IS NULL OR len(ws) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(ws) - 2, 1) + 1), lambda i: array_to_string(ws[i:i+2], ' '))) END AS sh FROM w),
+x AS (SELECT doc_id, unnest(sh) AS g FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (
+  SELECT a, b FROM p JOIN s sa ON sa.doc_id = a JOIN s sb ON sb.doc_id = b WHERE 100 * i >= 90 * (len(sa.sh) + len(sb.sh) - i)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS v, doc_id AS t FROM documents UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.t)
+SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, (SELECT min(t) FROM r WHERE r.v = s.doc_id) AS component_id FROM s
+"""
+
+#: All pairs by cosine in double precision.
+OP4 = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+g AS (
+  SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v
+  WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+r AS (SELECT vec_id AS v, vec_id AS t FROM v UNION SELECT r.v, l.b FROM r JOIN l ON l.a = r.t)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = vec_id) AS n_links, (SELECT min(t) FROM r WHERE r.v = vec_id) AS component_id,
+  vec_id = (SELECT min(t) FROM r WHERE r.v = vec_id) AS kept FROM v
+"""
+
+#: Words numbered, windows as joined text, hits as numbers of words.
+OP7 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents),
+b AS (
+  SELECT item_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[i:i+9], ' ') AS t FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+sizes AS (SELECT DISTINCT n FROM win),
+dw AS (SELECT doc_id, n, i, array_to_string(ws[i:i+n-1], ' ') AS t FROM (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, sizes WHERE len(ws) >= n)),
+h AS (SELECT doc_id, item_id, dw.n, i FROM dw JOIN win ON dw.t = win.t AND dw.n = win.n),
+hw AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS k FROM h) GROUP BY 1),
+hi AS (SELECT doc_id, count(*) AS n_items, string_agg(t, ',' ORDER BY t) AS ids FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS t FROM h) GROUP BY 1)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_parity_sketch_join": OP3, "op4_multi_index_near_vectors": OP4, "op7_benchmark_decontamination": OP7}
