@@ -17,9 +17,14 @@ few, by chance) join among themselves on ``d + 1`` pieces, thin or not.
 
 The join never emits the pairs of a group. Sets that are equal form a class.
 Every class is first compared with the least class of its first few pieces'
-groups; then a piece's group counts only if it holds several components, and is
-compared in full only as far as these stay apart. So groups of copies cost as
-many pairs as they have members, and no link between components is lost.
+groups; then a piece's group counts only if it holds several components. A small
+group is compared in full. A large one has a pivot, the member with the most
+company: all others are compared with it, and sketches being sums, two members
+differ by what their differences from the pivot differ by. So members that stay
+apart from the pivot need to meet only where their differences share an element
+among their first few, in an order that puts what the pivot lacks first: a
+prefix filter on differences, which loses no link. Groups of copies cost about
+as many pairs as they have members.
 """
 
 from __future__ import annotations
@@ -40,10 +45,9 @@ from .components import connected_components
 BAND = 0.62
 #: Pieces for each band that a class is first grouped by.
 FIRST = 3
-MEMO = 400_000
+#: Members up to which a piece's group is compared in full.
+SMALL = 6
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
-_hashes: dict[bytes, int] = {}
-
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * M1
@@ -51,25 +55,17 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def _word(w: bytes) -> int:
-    h = _hashes.get(w)
-    if h is None:
-        h = xxhash.xxh3_64_intdigest(w)
-        if len(_hashes) < MEMO:
-            _hashes[w] = h
-    return h
-
-
 def shingles(text: bytes | None, k: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the k-word shingles; a text of fewer words is one shingle."""
     words = (text or b"").lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    h, size = np.array([_word(w) for w in words], np.uint64), min(k, len(words))
+    h, size = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words)), min(k, len(words))
     acc = np.full(len(h) - size + 1, size, np.uint64)
     for j in range(size):
-        acc = _mix(acc + h[j : len(h) - size + 1 + j])
-    return np.unique(acc)
+        acc *= M1
+        acc += h[j : len(h) - size + 1 + j]
+    return np.unique(_mix(acc))
 
 
 def class_of(found: np.ndarray) -> int:
@@ -145,15 +141,35 @@ def _sizes_fit(a: str, b: str, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Those of the distinct pairs ``(a, b)`` of classes that link, by their whole sets."""
+def difference(pivot: np.ndarray, other: np.ndarray, percent: int) -> tuple[int, np.ndarray, int, int]:
+    """How many elements two sets differ in, the first of these, and how many of them count if the other set looks for partners and if it is looked for.
+
+    Those that the pivot lacks come first. A set that isn't linked with the pivot
+    shares more than ``x - d`` of its ``x`` differences with a partner, ``d`` being
+    the most that linked sets of its size differ in; and a partner of it, whatever
+    that is, shares more than half of its own and what sizes leave. No common
+    element may be needed: then the null element 0 stands for it, and all count.
+    """
+    added, gone = np.setdiff1d(other, pivot, assume_unique=True), np.setdiff1d(pivot, other, assume_unique=True)
+    x = len(added) + len(gone)
+    order = np.concatenate([added[np.argsort(_mix(added), kind="stable")], gone[np.argsort(_mix(gone), kind="stable")]])
+    looks = x - len(other) * (100 - percent) // percent
+    found = math.floor((x + (len(pivot) - len(other)) * (100 - percent) / (100 + percent)) / 2 - 1e-6) + 1
+    first, second = (x - need + 1 if need > 0 else x for need in (looks, found))
+    return x, order[: max(first, second)], -1 if looks <= 0 else first, -1 if found <= 0 else second
+
+
+TOLD = "a long, b long, linked boolean, x long, looks int, found int, elements array<long>"
+
+
+def _compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, whole: bool = False) -> DataFrame:
+    """The distinct pairs ``(a, b)`` of classes with whether they link, by their whole sets; all of them and their differences if ``whole``, else the linked."""
     pairs = stash(pairs, "pairs")
-    n = pairs.count()
-    if not n:
-        return pairs
+    if pairs.isEmpty():
+        return docs.sparkSession.createDataFrame([], TOLD)
     asked = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
     ids = stash(classes.join(asked, "c").select("c", F.col("root").alias("doc_id")), "asked")
-    texts = docs.join(small(ids), "doc_id").select("c", F.col("text").alias("text"))
+    texts = docs.join(small(ids), "doc_id").select("c", "text")
 
     def own(batches):  # a doc_id may stand for several texts: only the class's own is taken
         for b in batches:
@@ -173,15 +189,48 @@ def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, perce
             return kept[c]
 
         for b in batches:
-            good = [(x, y) for x, y, s, t in zip(b["a"], b["b"], b["s"], b["t"], strict=True) if linked(of(x, s), of(y, t), percent)]
-            yield {"a": [x for x, _ in good], "b": [y for _, y in good]}
+            out = {name.split()[0]: [] for name in TOLD.split(", ")}
+            for x, y, s, t in zip(b["a"], b["b"], b["s"], b["t"], strict=True):
+                one, two = of(x, s), of(y, t)
+                good = linked(one, two, percent)
+                if good or whole:
+                    size, elements, looks, found = difference(one, two, percent) if whole else (0, None, 0, 0)
+                    for name, v in zip(out, (x, y, good, size, looks, found, None if elements is None else elements.view(np.int64)), strict=True):
+                        out[name].append(v)
+            yield out
 
     both = pairs.join(texts.select(F.col("c").alias("b"), F.col("text").alias("t")), "b").join(texts.select(F.col("c").alias("a"), F.col("text").alias("s")), "a")
-    out = stash(map_batches(both.select("a", "b", "s", "t"), "a long, b long", test, rows=64).distinct(), "linked")
+    out = stash(map_batches(both.select("a", "b", "s", "t"), TOLD, test, rows=64).dropDuplicates(["a", "b"]), "compared")
     unstash(texts, ids, pairs)
     return out
 
 
+def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    return _compare(pairs, classes, docs, k, percent).select("a", "b")
+
+
+def _apart(told: DataFrame, named: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a pivot's group that may link though one of them stands apart from the pivot.
+
+    ``told``: members (b) compared with their pivots (a). Both sides are dealt out
+    by pivot and element; the null element stands for small differences.
+    """
+    of = named.select(F.col("c").alias("b"), "n", "component")
+    pivots = named.select(F.col("c").alias("a"), F.col("component").alias("home"))
+    rows = told.join(of, "b").join(pivots, "a")
+
+    def dealt(side: str, frame: DataFrame) -> DataFrame:
+        all_of = F.when(F.col(side) < 0, F.concat(F.array(F.lit(0).cast("long")), "elements")).otherwise(F.slice("elements", F.lit(1), F.greatest(F.col(side), F.lit(0))))
+        return frame.select("a", "b", "n", "component", "x", F.explode(all_of).alias("element"))
+
+    left = dealt("looks", rows.where(F.col("component") != F.col("home")))
+    right = dealt("found", rows).toDF("a", "b2", "n2", "component2", "x2", "element")
+    most = F.floor((F.col("n") + F.col("n2")) * (100 - percent) / (100 + percent))
+    near = (F.abs(F.col("x") - F.col("x2")) <= most) & ((F.col("element") != 0) | (F.col("x") + F.col("x2") <= most))
+    pairs = left.join(right, ["a", "element"]).where("b <> b2 and component <> component2").where(_sizes_fit("n", "n2", percent)).where(near)
+    return pairs.select(F.least("b", "b2").alias("a"), F.greatest("b", "b2").alias("b")).distinct()
+
+
 def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n_shingles, component_id`` for every row of ``docs(doc_id, text)``.
 
@@ -197,19 +246,12 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     def describe(batches):
         for b in batches:
             sets = [shingles(t, words) for t in b["text"]]
-            yield {"doc_id": b["doc_id"], "n": [len(s) for s in sets], "c": [class_of(s) for s in sets], "keys": [sketch_keys(s, percent, FIRST) for s in sets]}
+            yield {"doc_id": b["doc_id"], "n": [len(s) for s in sets], "c": [class_of(s) for s in sets], "first": [sketch_keys(s, percent, FIRST) for s in sets], "keys": [sketch_keys(s, percent) for s in sets]}
 
-    def all_keys(batches):
-        for b in batches:
-            sets = [shingles(t, words) for t in b["text"]]
-            keys = [sketch_keys(s, percent) for s in sets]
-            c = np.array([class_of(s) for s in sets], np.int64)
-            yield {"key": np.concatenate(keys) if keys else np.empty(0, np.int64), "c": np.repeat(c, [len(x) for x in keys])}
-
-    rows = stash(map_batches(docs, "doc_id long, n long, c long, keys array<long>", describe), "sets")
+    rows = stash(map_batches(docs, "doc_id long, n long, c long, first array<long>, keys array<long>", describe), "sets")
     classes = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("root"), F.max("n").alias("n"))
 
-    few = rows.select(F.explode("keys").alias("key"), "c", "n").distinct()
+    few = rows.select(F.explode("first").alias("key"), "c", "n").distinct()
     lead = few.groupBy("key").agg(F.min(F.struct("c", "n")).alias("lead"), F.max("c").alias("top")).where("lead.c < top")
     pairs = few.join(lead, "key").where(F.col("c") != F.col("lead.c")).where(_sizes_fit("n", "lead.n", percent))
     links = _verify(pairs.select(F.col("lead.c").alias("a"), F.col("c").alias("b")).distinct(), classes, docs, words, percent)
@@ -218,30 +260,31 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     def named(frame: DataFrame, comps: DataFrame) -> DataFrame:
         return frame.join(small(comps.select(F.col("id").alias("c"), "component")), "c", "left").withColumn("component", F.coalesce("component", "c"))
 
-    keys = named(map_batches(docs, "key long, c long", all_keys), comps)
+    keys = named(rows.select(F.explode("keys").alias("key"), "c"), comps)
     mixed = F.min("component") < F.max("component")
     cross = stash(keys.groupBy("key").agg(mixed.alias("mixed")).where("mixed").select("key"), "cross")
     n = cross.count()
     if n:
-        held = stash(keys.join(small(cross, n), "key", "left_semi").select("key", "c").distinct().join(classes.select("c", "n"), "c"), "members")
-        members = named(held, comps)
-        lead = members.groupBy("key").agg(F.min(F.struct("component", "c", "n")).alias("lead"))
-        pairs = members.join(lead, "key").where(F.col("component") != F.col("lead.component")).where(_sizes_fit("n", "lead.n", percent))
-        tested = stash(pairs.select(F.least("c", "lead.c").alias("a"), F.greatest("c", "lead.c").alias("b")).distinct(), "tested")
-        more = _verify(tested, classes, docs, words, percent)
+        held = keys.join(small(cross, n), "key", "left_semi").select("key", "c").distinct()
+        sizes = held.groupBy("key").agg(F.count("*").alias("members"))
+        held = stash(held.join(sizes, "key").join(classes.select("c", "n"), "c"), "members")
+        few, many = named(held.where(F.col("members") <= SMALL), comps), held.where(F.col("members") > SMALL)
+        other = few.select("key", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "component")])
+        pairs = few.join(other, "key").where("c < c2 and component <> component2").where(_sizes_fit("n", "n2", percent))
+        more = _verify(pairs.select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct(), classes, docs, words, percent)
         links = stash(links.unionByName(more), "links")
+        if not many.isEmpty():
+            company = many.groupBy("c").agg(F.sum("members").alias("company"))
+            lead = many.join(company, "c").groupBy("key").agg(F.max(F.struct("company", "c")).alias("lead")).select("key", F.col("lead.c").alias("pivot"))
+            against = many.select("key", "c").join(lead, "key").where("c <> pivot").select("pivot", "c").distinct()
+            told = _compare(against.select(F.col("pivot").alias("a"), F.col("c").alias("b")), classes, docs, words, percent, whole=True)
+            links = stash(links.unionByName(told.where("linked").select("a", "b")), "links")
+            comps = stash(connected_components(links), "components")
+            last = _apart(told, named(classes.select("c", "n"), comps), percent)
+            links = links.unionByName(_verify(last, classes, docs, words, percent))
         comps = stash(connected_components(links), "components")
-        members = named(held, comps)
-        left = members.groupBy("key").agg(mixed.alias("mixed")).where("mixed").select("key")
-        one = stash(members.join(left, "key", "left_semi"), "apart")
-        two = one.select("key", F.col("c").alias("c2"), F.col("n").alias("n2"), F.col("component").alias("component2"))
-        pairs = one.join(two, "key").where("c < c2 and component <> component2").where(_sizes_fit("n", "n2", percent))
-        pairs = pairs.select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct().join(tested, ["a", "b"], "left_anti")
-        more = _verify(pairs, classes, docs, words, percent)
-        if not more.isEmpty():
-            comps = stash(connected_components(links.unionByName(more)), "components")
-
-    whole = named(rows.drop("keys"), comps)
+
+    whole = named(rows.select("doc_id", "n", "c"), comps)
     names = whole.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("root"))
     out = whole.join(names, "component", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
