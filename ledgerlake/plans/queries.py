@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import coverage, decisions, finding, measures, rules, sequence, transfers
+from ..operators import bronze, coverage, decisions, finding, invariants, measures, rules, sequence, silver, transfers
+from ..sources import bank_csv
+from . import catalog
 from .views import Views, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -472,3 +474,75 @@ def strict_parse(v: Views) -> DataFrame:
     text = F.translate(F.format_number("x", 2), ",.", ".,")
     text = F.when(F.col("l_linenumber") == 3, F.concat(text, F.lit("0"))).otherwise(text)
     return rows.select("l_orderkey", "l_linenumber", "l_partkey", C.strict_date(F.col("day")).alias("parsed_day"), C.danish_decimal(text).cast("decimal(18,2)").alias("parsed_amount"))
+
+
+def _exports_of_feed(v: Views) -> tuple[DataFrame, DataFrame]:
+    """Three overlapping exports of each feed account as runs and typed records; the second lacks its first row in every seventh account."""
+    booked = v.feed.where("booking_status = 'booked'")
+    w = Window.partitionBy("account_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
+    booked = booked.withColumn("balance", F.sum("amount").over(w).cast("decimal(19,2)"))
+    spans = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(a).cast("date").alias("a"), F.lit(b).cast("date").alias("b")) for k, a, b in (("1", "2024-01-01", "2024-01-15"), ("2", "2024-01-10", "2024-01-25"), ("3", "2024-01-20", "2024-01-31"))])
+    runs = booked.select("account_id").distinct().select("account_id", F.explode(spans).alias("s"))
+    runs = runs.select(F.concat_ws("-", F.lit("run"), "account_id", "s.k").alias("import_run_id"), F.concat_ws("-", "account_id", "s.k").alias("payload_id"), "account_id", F.col("s.b").alias("exported_on"), F.col("s.b").cast("timestamp").alias("started_at"), F.col("s.a").alias("covers_from"), F.col("s.b").alias("covers_through"))
+    rows = booked.withColumn("s", F.explode(spans)).where("transaction_date between s.a and s.b")
+    rows = rows.withColumn("payload_id", F.concat_ws("-", "account_id", "s.k")).withColumn("record_ordinal", F.row_number().over(Window.partitionBy("payload_id").orderBy("event_id")))
+    rows = rows.where("not (account_id % 7 = 0 and s.k = '2' and record_ordinal = 1 and transaction_date <= date'2024-01-15')")
+    none = F.array().cast("array<struct<code:string,message:string>>")
+    typed = rows.select("payload_id", "record_ordinal", "transaction_date", F.col("amount").cast("decimal(19,2)").alias("amount"), "description", "balance", "booking_status", F.lit(True).alias("labelled"), F.lit(True).alias("readable"), none.alias("errors"))
+    return runs, typed
+
+
+@query("""WITH b AS (SELECT account_id, transaction_date, event_id, amount, CAST(sum(amount) OVER (PARTITION BY account_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS DECIMAL(19,2)) AS balance FROM feed WHERE booking_status = 'booked'),
+  bad AS (SELECT DISTINCT account_id FROM b WHERE account_id % 7 = 0 AND transaction_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-15')
+SELECT account_id, transaction_date, CAST(row_number() OVER (PARTITION BY account_id, transaction_date ORDER BY event_id) AS INTEGER) AS day_sequence, amount, balance FROM b
+  WHERE account_id NOT IN (SELECT account_id FROM bad) OR transaction_date <= DATE '2024-01-15' OR transaction_date >= DATE '2024-01-20'""")
+def silver_merge(v: Views) -> DataFrame:
+    runs, typed = _exports_of_feed(v)
+    got = silver.merge(runs, typed).where("family = 'transaction'")
+    return got.select(F.col("account_id").cast("long").alias("account_id"), "transaction_date", "day_sequence", F.col("amount").cast("decimal(18,2)").alias("amount"), "balance")
+
+
+@query("""SELECT l_suppkey % 4 AS k, count(*) AS n, count(*) FILTER (day > DATE '1998-06-30') AS ends_after_export, count(*) FILTER (day + 30 < day) AS starts_after_end, count(*) FILTER (l_linenumber > 5) AS before_range FROM raw_lines GROUP BY 1""")
+def range_refusals(v: Views) -> DataFrame:
+    """Declared ranges made from lines: each rule broken is listed, and counted here."""
+    lines = v.read("lineitem").select("l_orderkey", "l_suppkey", "l_linenumber").join(v.read("orders").select("o_orderkey", F.to_date("o_orderdate").alias("day")), F.col("l_orderkey") == F.col("o_orderkey"))
+    runs = lines.select((F.col("l_suppkey") % 4).alias("k"), F.col("day").alias("covers_from"), F.col("day").alias("covers_through"), F.lit("1998-06-30").cast("date").alias("exported_on"), F.when(F.col("l_linenumber") > 5, F.date_sub("day", 1)).alias("first_date"), F.lit(None).cast("date").alias("last_date"))
+    has = lambda code: F.count_if(F.array_contains("refusals", code))
+    return bronze.range_refusals(runs).groupBy("k").agg(F.count("*").alias("n"), has("range-ends-after-export").alias("ends_after_export"), has("range-starts-after-end").alias("starts_after_end"), has("transaction-before-range").alias("before_range"))
+
+
+@query("""SELECT l_returnflag, outcome, count(*) AS n FROM (SELECT l_returnflag, CASE WHEN l_linenumber = 7 THEN 'refused' WHEN k = 1 THEN 'stored' WHEN o_custkey <> first_value(o_custkey) OVER (PARTITION BY l_partkey, l_linenumber = 7 ORDER BY l_orderkey, l_linenumber, l_suppkey) THEN 'account-conflict' ELSE 'repeat' END AS outcome FROM (
+  SELECT *, row_number() OVER (PARTITION BY l_partkey, l_linenumber = 7 ORDER BY l_orderkey, l_linenumber, l_suppkey) AS k FROM raw_lines)) GROUP BY 1, 2""")
+def run_outcomes(v: Views) -> DataFrame:
+    lines = v.read("lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag").join(v.read("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    order = F.struct("l_orderkey", "l_linenumber", "l_suppkey")
+    refusals = F.when(F.col("l_linenumber") == 7, F.array(F.lit("range-starts-after-end"))).otherwise(F.array().cast("array<string>"))
+    runs = lines.select("l_returnflag", F.to_json(order).alias("import_run_id"), F.col("l_partkey").alias("payload_id"), F.col("o_custkey").alias("declared_account_id"), order.alias("started_at"), refusals.alias("refusals"))
+    return bronze.run_outcomes(runs).groupBy("l_returnflag", "outcome").agg(F.count("*").alias("n"))
+
+
+@query("SELECT account_id, record_ordinal, transaction_date, amount FROM (SELECT account_id, CAST(row_number() OVER (PARTITION BY account_id ORDER BY event_id) AS INTEGER) AS record_ordinal, transaction_date, amount FROM feed_rows)")
+def bank_csv_parse(v: Views) -> DataFrame:
+    """Each account's feed written as a bank's export in windows-1252, parsed and typed again."""
+    text = F.translate(F.format_number("amount", 2), ",.", ".,")
+    cells = F.array(F.date_format("transaction_date", "dd.MM.yyyy"), "description", text, F.lit(""), F.lit("Venter"), F.lit("Nej"))
+    line = F.concat(F.lit('"'), F.array_join(cells, '","'), F.lit('"'))
+    head = '"' + '","'.join(silver.HEADER) + '"'
+    files = v.feed.groupBy("account_id").agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("rows"))
+    body = F.concat_ws("\n", F.lit(head), F.transform("rows", lambda r: r["line"]))
+    payloads = files.select(F.col("account_id").cast("string").alias("payload_id"), F.lit("danske-csv-v1").alias("source_format"), F.encode(body, "ISO-8859-1").alias("content"))
+    typed = silver.typed_records(bank_csv.parse_payloads(payloads).where("reason is null").drop("reason", "source_format"))
+    return typed.select(F.col("payload_id").cast("long").alias("account_id"), "record_ordinal", "transaction_date", F.col("amount").cast("decimal(18,2)").alias("amount"))
+
+
+@query("SELECT 'sequence' AS invariant, count(*) AS n FROM sequenced s JOIN accounts USING (account_id) WHERE false GROUP BY 1 UNION ALL SELECT 'after-closing', count(*) FROM transactions JOIN accounts USING (account_id) WHERE transaction_date > closed_on UNION ALL SELECT 'transfer-pair', count(*) FROM (SELECT transfer_group_id FROM transactions WHERE transfer_group_id IS NOT NULL GROUP BY 1 HAVING count(*) <> 2 OR count(DISTINCT account_id) <> 2 OR sum(amount) <> 0)")
+def invariant_violations(v: Views) -> DataFrame:
+    rows = sequence.account_sequence(v.transactions, "transaction_date", "transaction_id")
+    return invariants.violations(rows, v.allocations, v.categories, v.accounts).groupBy("invariant").agg(F.count("*").alias("n"))
+
+
+@query("SELECT count(*) AS rows FROM transactions")
+def result_fingerprint(v: Views) -> DataFrame:
+    """A fingerprint that doesn't depend on order: two orders of the same rows agree, or there is no row."""
+    one, two = catalog.fingerprint(v.transactions), catalog.fingerprint(v.transactions.repartition(7))
+    return one.join(two, ["rows", "fingerprint"]).select("rows")
