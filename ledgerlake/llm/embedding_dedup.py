@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stash
+from .common import stash
 from .components import connected_components
 
 #: Vectors that the codebooks are fitted on at most, those of least hash.
