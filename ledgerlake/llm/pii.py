@@ -115,7 +115,8 @@ def _revealing_terms(docs: DataFrame, support: int, disclosure: float, removal:
         return None
     asked = both.select("term").distinct()
     words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
-    seen = words.join(small(asked, n), "term").groupBy("term").agg(F.count("*").alias("n_term"))
+    # Counted before they are joined: rows then grow with the words there are, not with how often these come.
+    seen = words.groupBy("term").agg(F.count("*").alias("n_term")).join(small(asked, n), "term")
     total = F.lit(float(docs.count()))
     held = both.join(seen, "term").join(each, "entity")
     information = F.log2(total / F.col("n_entity"))
