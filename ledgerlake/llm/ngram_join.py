@@ -47,6 +47,8 @@ BAND = 0.62
 FIRST = 3
 #: Members up to which a piece's group is compared in full.
 SMALL = 6
+#: Common differences from a pivot that two members show before they are compared.
+SHARED = 3
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -112,8 +114,8 @@ def _pieces(found: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return at[starts], np.bitwise_xor.reduceat(_mix(found + np.uint64(1)), starts), np.diff(np.r_[starts, len(at)])
 
 
-def sketch_keys(found: np.ndarray, percent: int, first: int | None = None) -> np.ndarray:
-    """Join keys of a set; with ``first``, so many of each band (those of least value, so alike sets choose alike)."""
+def _band_keys(found: np.ndarray, percent: int) -> list[np.ndarray]:
+    """Join keys of a set, for each band that it takes part in."""
     out, m = [], plan(percent)[1]
     for band, pieces, d, plain in bands(len(found), percent):
         thin = pieces
@@ -121,15 +123,22 @@ def sketch_keys(found: np.ndarray, percent: int, first: int | None = None) -> np
             at, code, size = _pieces(found, pieces)
             thick = size >= m
             thin = pieces - int(thick.sum())
-            keys = _mix(code[thick] ^ _mix(at[thick] + np.uint64(band << 40)))
-            out.append(np.sort(keys)[:first] if first else keys)
+            out.append(_mix(code[thick] ^ _mix(at[thick] + np.uint64(band << 40))))
         if thin > pieces - min(len(found) * (100 - percent) // percent, d) - 1:
             at, code, _ = _pieces(found, plain)
             codes = np.zeros(plain, np.uint64)
             codes[at.astype(np.int64)] = code
-            keys = _mix(codes ^ _mix(np.arange(plain, dtype=np.uint64) + np.uint64((band << 40) + (1 << 39))))
-            out.append(np.sort(keys)[:first] if first else keys)
-    return np.unique(np.concatenate(out)).view(np.int64) if out else np.empty(0, np.int64)
+            out.append(_mix(codes ^ _mix(np.arange(plain, dtype=np.uint64) + np.uint64((band << 40) + (1 << 39)))))
+    return out
+
+
+def sketch_keys(found: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """All join keys of a set, and a few of each band: those of least value, so alike sets choose alike."""
+    each = _band_keys(found, percent)
+    if not each:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    few = [np.partition(k, FIRST)[:FIRST] if len(k) > FIRST else k for k in each]
+    return np.unique(np.concatenate(each)).view(np.int64), np.unique(np.concatenate(few)).view(np.int64)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -144,18 +153,19 @@ def _sizes_fit(a: str, b: str, percent: int):
 def difference(pivot: np.ndarray, other: np.ndarray, percent: int) -> tuple[int, np.ndarray, int, int]:
     """How many elements two sets differ in, the first of these, and how many of them count if the other set looks for partners and if it is looked for.
 
-    Those that the pivot lacks come first. A set that isn't linked with the pivot
-    shares more than ``x - d`` of its ``x`` differences with a partner, ``d`` being
-    the most that linked sets of its size differ in; and a partner of it, whatever
-    that is, shares more than half of its own and what sizes leave. No common
-    element may be needed: then the null element 0 stands for it, and all count.
+    Those that the pivot lacks come first. A set shares at least ``x - d`` of its
+    ``x`` differences with a partner, ``d`` being the most that linked sets of its
+    size differ in; and a partner of a set that isn't linked with the pivot shares
+    more than half of its own and of what sizes leave. Of so many common elements
+    ``SHARED`` are among the first, or all if they are fewer. No common element may
+    be needed: then the null element 0 stands for it, and all count.
     """
     added, gone = np.setdiff1d(other, pivot, assume_unique=True), np.setdiff1d(pivot, other, assume_unique=True)
     x = len(added) + len(gone)
     order = np.concatenate([added[np.argsort(_mix(added), kind="stable")], gone[np.argsort(_mix(gone), kind="stable")]])
     looks = x - len(other) * (100 - percent) // percent
-    found = math.floor((x + (len(pivot) - len(other)) * (100 - percent) / (100 + percent)) / 2 - 1e-6) + 1
-    first, second = (x - need + 1 if need > 0 else x for need in (looks, found))
+    found = max(looks, math.floor((x + (len(pivot) - len(other)) * (100 - percent) / (100 + percent)) / 2 - 1e-6) + 1)
+    first, second = (min(x, x - need + SHARED) if need > 0 else x for need in (looks, found))
     return x, order[: max(first, second)], -1 if looks <= 0 else first, -1 if found <= 0 else second
 
 
@@ -228,6 +238,8 @@ def _apart(told: DataFrame, named: DataFrame, percent: int) -> DataFrame:
     most = F.floor((F.col("n") + F.col("n2")) * (100 - percent) / (100 + percent))
     near = (F.abs(F.col("x") - F.col("x2")) <= most) & ((F.col("element") != 0) | (F.col("x") + F.col("x2") <= most))
     pairs = left.join(right, ["a", "element"]).where("b <> b2 and component <> component2").where(_sizes_fit("n", "n2", percent)).where(near)
+    need = F.ceil((F.col("x") + F.col("x2") - most) / 2)
+    pairs = pairs.groupBy("a", "b", "b2", need.alias("need")).agg(F.count("*").alias("shared")).where(F.col("shared") >= F.least("need", F.lit(SHARED)))
     return pairs.select(F.least("b", "b2").alias("a"), F.greatest("b", "b2").alias("b")).distinct()
 
 
@@ -246,7 +258,8 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     def describe(batches):
         for b in batches:
             sets = [shingles(t, words) for t in b["text"]]
-            yield {"doc_id": b["doc_id"], "n": [len(s) for s in sets], "c": [class_of(s) for s in sets], "first": [sketch_keys(s, percent, FIRST) for s in sets], "keys": [sketch_keys(s, percent) for s in sets]}
+            keys = [sketch_keys(s, percent) for s in sets]
+            yield {"doc_id": b["doc_id"], "n": [len(s) for s in sets], "c": [class_of(s) for s in sets], "first": [few for _, few in keys], "keys": [k for k, _ in keys]}
 
     rows = stash(map_batches(docs, "doc_id long, n long, c long, first array<long>, keys array<long>", describe), "sets")
     classes = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("root"), F.max("n").alias("n"))
