@@ -1,7 +1,7 @@
 """Removal of every byte covered by a long string that also starts anywhere else.
 
 Where repeats can be is found by anchors: each window of ``length`` bytes selects
-the 16-byte gram of least hash in it (the rightmost of equals). Equal windows
+the 40-byte gram of least hash in it (the rightmost of equals). Equal windows
 select the same gram at the same offset, so windows are compared only among
 occurrences of one gram. The stretch of windows that select an occurrence is its
 segment; occurrences with equal segments repeat as a whole, and only distinct
@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, small, stash
 
-GRAM = 16
+#: A multiple of 8; long enough that a gram seldom recurs outside repeats.
+GRAM = 40
 #: Segments in one block, about, and at most for one gram.
 BLOCK, HOT = 8_000, 30_000
 #: Bytes of a text that are looked at together; blocks overlap, so no window is missed.
@@ -40,12 +41,13 @@ M1, M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 def _gram_hashes(raw: np.ndarray) -> np.ndarray:
     words = np.lib.stride_tricks.as_strided(raw, (len(raw) - 7, 8), (1, 1)).copy().view("<u8").ravel()
-    h = words[:-8] * M1
-    h ^= h >> np.uint64(29)
-    h = (h + words[8:]) * M2
-    h ^= h >> np.uint64(32)
-    h *= M1
-    return h ^ (h >> np.uint64(31))
+    n = len(raw) - GRAM + 1
+    h = np.zeros(n, np.uint64)
+    for at in range(0, GRAM, 8):
+        h = (h + words[at : at + n]) * M1
+        h ^= h >> np.uint64(29)
+    h *= M2
+    return h ^ (h >> np.uint64(32))
 
 
 def anchors(text: bytes, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
