@@ -5,7 +5,8 @@ the leaf of a tree of fixed depth that its token count and leading tokens name.
 In a leaf, a token that few documents have at its position is a variable field
 too: the line's template has a wildcard there, if enough of its tokens stay.
 Templates that recur in enough documents are dropped from all of them but the
-first (the smallest doc_id).
+first (the smallest doc_id). So are single lines, and a long line as it stands,
+fields and all, from its second document on.
 
 Leaves, positions and templates are counted by Spark with combined counts, so a
 leaf or a line that a third of all documents share costs no single task more.
@@ -25,6 +26,8 @@ from .common import map_batches, small, stash
 FIELD = re.compile(r"[\d@]|://")
 #: Lines of fewer tokens are never dropped.
 LEAST_TOKENS = 3
+#: Lines of as many tokens are long: one that recurs word for word is no chance.
+LONG_TOKENS = 10
 DEPTH = 3
 WILD = "<*>"
 
@@ -45,34 +48,53 @@ def leaf_of(tokens: list[str], depth: int = DEPTH) -> int:
     return hashed([str(len(tokens)), *tokens[:depth]])
 
 
-def lines_of(text: str | None) -> list[tuple[int, list[str]]]:
-    """Numbers and masked tokens of the lines that can be dropped."""
-    found = ((k, masked(line)) for k, line in enumerate((text or "").split("\n")))
-    return [(k, t) for k, t in found if len(t) >= LEAST_TOKENS]
+def lines_of(text: str | None) -> list[tuple[int, list[str], list[str] | None]]:
+    """Numbers and masked tokens of the lines that can be dropped, and the exact tokens of long ones."""
+    out = []
+    for k, line in enumerate((text or "").split("\n")):
+        t = masked(line)
+        if len(t) >= LEAST_TOKENS:
+            out.append((k, t, line.split() if len(t) >= LONG_TOKENS else None))
+    return out
+
+
+def keys_of(tokens: list[str], exact: list[str] | None) -> dict[int, tuple[int | None, bool]]:
+    """The keys (hashes) that a line is counted under, with leaf and whether it is an exact long line.
+
+    A long line with variable fields has two: masked, and as it stands (without a leaf).
+    """
+    whole = exact is not None and WILD not in tokens
+    keys: dict[int, tuple[int | None, bool]] = {hashed(tokens): (leaf_of(tokens), whole)}
+    if exact is not None and not whole:
+        # No token holds a newline, so no masked line has this key.
+        keys[hashed(["\n", *exact])] = (None, True)
+    return keys
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """``doc_id, leaf, line``: a document's distinct masked lines, by hash."""
+    """``doc_id, leaf, line, long``: the distinct keys of a document's lines."""
 
     def fn(batches):
         for b in batches:
-            out = {"doc_id": [], "leaf": [], "line": []}
+            out = {"doc_id": [], "leaf": [], "line": [], "long": []}
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                own = {hashed(t): leaf_of(t) for _, t in lines_of(text)}
+                own = {key: x for _, *line in lines_of(text) for key, x in keys_of(*line).items()}
                 out["doc_id"] += [doc_id] * len(own)
-                out["leaf"] += own.values()
+                out["leaf"] += [leaf for leaf, _ in own.values()]
                 out["line"] += own
+                out["long"] += [long for _, long in own.values()]
             yield out
 
-    return map_batches(docs, "doc_id long, leaf long, line long", fn)
+    return map_batches(docs, "doc_id long, leaf long, line long, long boolean", fn)
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = 5, similarity: float = 0.6) -> tuple[DataFrame, DataFrame]:
-    """``line, template, first``: masked lines (by hash) whose template recurs in ``min_docs`` documents, and the first of these; and all ``doc_id, leaf, line``."""
+def recurring_lines(docs: DataFrame, min_docs: int = 5, similarity: float = 0.6, long_docs: int = 2) -> tuple[DataFrame, DataFrame]:
+    """``line, first``: keys that recur, themselves or their template, in ``min_docs`` documents (exact long lines: ``long_docs``), and the first of these; and all ``doc_id, leaf, line, long``."""
     docs = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines = stash(_lines(docs), "lines")
-    counts = stash(lines.groupBy("leaf", "line").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")), "line-counts")
-    leaves = counts.groupBy("leaf").agg(F.sum("n").alias("all")).where(F.col("all") >= min_docs).select("leaf")
+    counts = stash(lines.groupBy("leaf", "line", "long").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")), "line-counts")
+    alone = counts.where(F.col("n") >= F.when(F.col("long"), long_docs).otherwise(min_docs)).select("line", "first")
+    leaves = counts.where("leaf is not null").groupBy("leaf").agg(F.sum("n").alias("all")).where(F.col("all") >= min_docs).select("leaf")
     hot = stash(counts.join(leaves, "leaf"), "hot-lines")
     wanted = small(hot.select("line", F.col("first").alias("doc_id"), "leaf", "n"))
 
@@ -80,7 +102,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = 5, similarity: float = 0.6)
         for b in batches:
             out = {"doc_id": [], "line": [], "tokens": []}
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                own = {hashed(t): t for _, t in lines_of(text)}
+                own = {hashed(t): t for _, t, _ in lines_of(text)}
                 out["doc_id"] += [doc_id] * len(own)
                 out["line"] += own
                 out["tokens"] += own.values()
@@ -96,24 +118,26 @@ def recurring_lines(docs: DataFrame, min_docs: int = 5, similarity: float = 0.6)
     kept = places.join(steady.withColumn("steady", F.lit(True)), ["leaf", "at", "token"], "left")
     share = F.count("steady") / F.count("*")
     shape = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.when(F.col("steady"), F.col("token")).otherwise(WILD).alias("token")))), lambda x: x["token"]), " ")
-    own = F.xxhash64(F.lit("own"), F.first("line"))
-    made = kept.groupBy("leaf", "line").agg(F.when(share >= similarity, F.xxhash64(F.first("leaf"), shape)).otherwise(own).alias("template")).select("line", "template")
-    made = stash(made, "templates")
+    made = kept.groupBy("leaf", "line").agg(F.when(share >= similarity, F.xxhash64(F.first("leaf"), shape)).alias("template"))
+    made = stash(made.where("template is not null").select("line", "template"), "templates")
     held = lines.select("doc_id", "line").join(small(made), "line").select("template", "doc_id").distinct()
     again = held.groupBy("template").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= min_docs)
-    return stash(made.join(again.select("template", "first"), "template"), "recurring"), lines
+    found = made.join(again.select("template", "first"), "template").select("line", "first").unionByName(alone)
+    # A template's first document is no later than its line's; where they differ, no document of the line is the first.
+    return stash(found.groupBy("line").agg(F.min("first").alias("first")), "recurring"), lines
 
 
-def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, similarity: float = 0.6) -> DataFrame:
-    """Every row of ``docs(doc_id, text)`` without the lines of recurring templates, and ``n_lines``, ``n_dropped``.
+def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, similarity: float = 0.6, long_docs: int = 2) -> DataFrame:
+    """Every row of ``docs(doc_id, text)`` without recurring lines and those of recurring templates, and ``n_lines``, ``n_dropped``.
 
     Lines end with a newline; those of fewer than three tokens stay, and so does
-    everything in a template's first document. Null texts stay null with 0 lines;
+    everything in a template's first document. Lines of ten tokens and more go from
+    the second document on (``long_docs``) if they recur word for word. Null texts stay null with 0 lines;
     rows with a null doc_id stay whole and count for nothing; rows that repeat a
     doc_id count as one document. Own columns named like results are replaced.
     """
     docs = docs.drop("n_lines", "n_dropped")
-    found, lines = recurring_lines(docs, min_docs, similarity)
+    found, lines = recurring_lines(docs, min_docs, similarity, long_docs)
     gone = lines.select("doc_id", "line").join(small(found), "line").where(F.col("doc_id") != F.col("first"))
     gone = gone.groupBy("doc_id").agg(F.collect_set("line").alias("__gone"))
     kinds = dict(docs.dtypes)
@@ -127,7 +151,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, similarity: float =
                 left = lines
                 if drop:
                     drop = set(drop)
-                    bad = {k for k, t in lines_of(text) if hashed(t) in drop}
+                    bad = {k for k, *line in lines_of(text) if not drop.isdisjoint(keys_of(*line))}
                     left = [x for k, x in enumerate(lines) if k not in bad]
                 out["text"].append(None if text is None else "\n".join(left) if left is not lines else text)
                 out["n_lines"].append(len(lines))
@@ -140,15 +164,17 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, similarity: float =
     return map_batches(joined.select(*docs.columns, "__gone"), schema, fn).select(*docs.columns, "n_lines", "n_dropped")
 
 
-def brute_force(docs: dict[int, str | None], min_docs: int = 5, similarity: float = 0.6) -> dict[int, str | None]:
+def brute_force(docs: dict[int, str | None], min_docs: int = 5, similarity: float = 0.6, long_docs: int = 2) -> dict[int, str | None]:
     """The same on one machine, for tests."""
     from collections import Counter, defaultdict
 
-    lines, owners = {}, defaultdict(set)
+    lines, owners, whole = {}, defaultdict(set), defaultdict(set)
     for doc_id, text in docs.items():
-        for _, t in lines_of(text):
+        for _, t, exact in lines_of(text):
             lines[" ".join(t)] = t
             owners[" ".join(t)].add(doc_id)
+            if exact is not None:
+                whole[" ".join(exact)].add(doc_id)
     leaves, total = defaultdict(Counter), Counter()
     for key, t in lines.items():
         total[leaf_of(t)] += len(owners[key])
@@ -160,8 +186,10 @@ def brute_force(docs: dict[int, str | None], min_docs: int = 5, similarity: floa
         good = total[leaf_of(t)] >= min_docs and sum(x != WILD for x in steady) / len(t) >= similarity
         template[key] = (leaf_of(t), " ".join(steady)) if good else (None, key)
         held[template[key]] |= owners[key]
+    again = lambda found, doc_id, least: len(found) >= least and min(found) != doc_id
     out = {}
     for doc_id, text in docs.items():
-        bad = {k for k, t in lines_of(text) if len(held[template[" ".join(t)]]) >= min_docs and min(held[template[" ".join(t)]]) != doc_id}
+        bad = {k for k, t, _ in lines_of(text) if again(held[template[" ".join(t)]], doc_id, min_docs)}
+        bad |= {k for k, _, exact in lines_of(text) if exact is not None and again(whole[" ".join(exact)], doc_id, long_docs)}
         out[doc_id] = None if text is None else "\n".join(x for k, x in enumerate(text.split("\n")) if k not in bad)
     return out

@@ -34,6 +34,15 @@ def test_lines_null_ids_and_nothing(spark):
     assert ld.drop_recurring_lines(df.limit(0)).count() == 0
 
 
+def test_long_line_of_two_documents(spark):
+    passage = "this passage of more than ten plain words stands in two otherwise different documents only"
+    fields = "on 3 May 1998 the ship of 40 guns left the harbour with 312 men aboard"
+    docs = {1: f"one thing first\n{passage}", 2: f"{fields}\nanother thing here", 3: f"{passage}\nlast of all\n{fields}", 4: fields.replace("312", "313"), 5: "last of all"}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in ld.drop_recurring_lines(df).collect()}
+    assert got == docs | {3: "last of all"} == ld.brute_force(docs)
+
+
 @pytest.mark.parametrize("length,hot", [(48, 30_000), (60, 2)])
 def test_repeats_like_brute_force(spark, monkeypatch, length, hot):
     monkeypatch.setattr(sd, "HOT", hot)
