@@ -6,7 +6,8 @@ In a leaf, a token that few documents have at its position is a variable field
 too: the line's template has a wildcard there, if enough of its tokens stay.
 Templates that recur in enough documents are dropped from all of them but the
 first (the smallest doc_id). So are single lines, and a long line as it stands,
-fields and all, from its second document on.
+fields and all, from its second document on. Lines too short for a template
+count as they stand; every line that isn't blank is in.
 
 Leaves, positions and templates are counted by Spark with combined counts, so a
 leaf or a line that a third of all documents share costs no single task more.
@@ -24,10 +25,12 @@ from .common import map_batches, small, stash
 
 #: A token with one of these is variable wherever it stands.
 FIELD = re.compile(r"[\d@]|://")
-#: Lines of fewer tokens are never dropped.
+#: Lines of fewer tokens have no template: they are counted unmasked, as they stand.
 LEAST_TOKENS = 3
 #: Lines of as many tokens are long: one that recurs word for word is no chance.
 LONG_TOKENS = 10
+#: Letters of scripts without spaces (Chinese, Japanese, Thai, Lao, Khmer, Burmese); two count as a token.
+UNSPACED = re.compile("[\u0e01-\u0eff\u1000-\u109f\u1780-\u17ff\u3005-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 DEPTH = 3
 WILD = "<*>"
 
@@ -48,13 +51,17 @@ def leaf_of(tokens: list[str], depth: int = DEPTH) -> int:
     return hashed([str(len(tokens)), *tokens[:depth]])
 
 
+def is_long(line: str, tokens: list[str]) -> bool:
+    return len(tokens) >= LONG_TOKENS or (not line.isascii() and len(tokens) + len(UNSPACED.findall(line)) // 2 >= LONG_TOKENS)
+
+
 def lines_of(text: str | None) -> list[tuple[int, list[str], list[str] | None]]:
-    """Numbers and masked tokens of the lines that can be dropped, and the exact tokens of long ones."""
+    """Numbers and masked tokens of the lines that aren't blank, and the exact tokens of long ones."""
     out = []
     for k, line in enumerate((text or "").split("\n")):
-        t = masked(line)
-        if len(t) >= LEAST_TOKENS:
-            out.append((k, t, line.split() if len(t) >= LONG_TOKENS else None))
+        exact = line.split()
+        if exact:
+            out.append((k, masked(line) if len(exact) >= LEAST_TOKENS else exact, exact if is_long(line, exact) else None))
     return out
 
 
@@ -63,6 +70,8 @@ def keys_of(tokens: list[str], exact: list[str] | None) -> dict[int, tuple[int |
 
     A long line with variable fields has two: masked, and as it stands (without a leaf).
     """
+    if len(tokens) < LEAST_TOKENS:
+        return {hashed(tokens): (None, exact is not None)}
     whole = exact is not None and WILD not in tokens
     keys: dict[int, tuple[int | None, bool]] = {hashed(tokens): (leaf_of(tokens), whole)}
     if exact is not None and not whole:
@@ -102,7 +111,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = 5, similarity: float = 0.6,
         for b in batches:
             out = {"doc_id": [], "line": [], "tokens": []}
             for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                own = {hashed(t): t for _, t, _ in lines_of(text)}
+                own = {hashed(t): t for _, t, _ in lines_of(text) if len(t) >= LEAST_TOKENS}
                 out["doc_id"] += [doc_id] * len(own)
                 out["line"] += own
                 out["tokens"] += own.values()
@@ -130,9 +139,10 @@ def recurring_lines(docs: DataFrame, min_docs: int = 5, similarity: float = 0.6,
 def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, similarity: float = 0.6, long_docs: int = 2) -> DataFrame:
     """Every row of ``docs(doc_id, text)`` without recurring lines and those of recurring templates, and ``n_lines``, ``n_dropped``.
 
-    Lines end with a newline; those of fewer than three tokens stay, and so does
-    everything in a template's first document. Lines of ten tokens and more go from
-    the second document on (``long_docs``) if they recur word for word. Null texts stay null with 0 lines;
+    Lines end with a newline; blank ones stay, and so does everything in a template's first document. Lines of ten tokens and more go from
+    the second document on (``long_docs``) if they recur word for word; those of one
+    or two from ``min_docs`` on, as they stand. Two letters of a script without
+    spaces are as long as a token. Null texts stay null with 0 lines;
     rows with a null doc_id stay whole and count for nothing; rows that repeat a
     doc_id count as one document. Own columns named like results are replaced.
     """
@@ -183,7 +193,7 @@ def brute_force(docs: dict[int, str | None], min_docs: int = 5, similarity: floa
     template, held = {}, defaultdict(set)
     for key, t in lines.items():
         steady = [token if token != WILD and leaves[leaf_of(t)][at, token] >= min_docs else WILD for at, token in enumerate(t)]
-        good = total[leaf_of(t)] >= min_docs and sum(x != WILD for x in steady) / len(t) >= similarity
+        good = total[leaf_of(t)] >= min_docs and len(t) >= LEAST_TOKENS and sum(x != WILD for x in steady) / len(t) >= similarity
         template[key] = (leaf_of(t), " ".join(steady)) if good else (None, key)
         held[template[key]] |= owners[key]
     again = lambda found, doc_id, least: len(found) >= least and min(found) != doc_id

@@ -43,6 +43,14 @@ def test_long_line_of_two_documents(spark):
     assert got == docs | {3: "last of all"} == ld.brute_force(docs)
 
 
+def test_short_lines_and_scripts_without_spaces(spark):
+    chinese = "这一段文字没有空格但是在两个不同的文件里都出现过一次"
+    docs: dict[int, str | None] = {k: f"Les.\n\npage {k}\nAnd more." for k in range(5)} | {5: "And more.\nRare.", 6: f"{chinese}\nRare.", 7: f"x\n{chinese}"}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["text"] for r in ld.drop_recurring_lines(df).collect()}
+    assert got == docs | {k: f"\npage {k}" for k in range(1, 5)} | {5: "Rare.", 7: "x"} == ld.brute_force(docs)
+
+
 @pytest.mark.parametrize("length,hot", [(48, 30_000), (60, 2)])
 def test_repeats_like_brute_force(spark, monkeypatch, length, hot):
     monkeypatch.setattr(sd, "HOT", hot)
