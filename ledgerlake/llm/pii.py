@@ -2,9 +2,9 @@
 
 Base entities (e-mail and IP addresses, card and phone numbers) come from fixed
 patterns. Beyond them, terms that give an entity away are found by what the
-corpus tells: with the distinct contexts in which a term and an entity stand
-near each other, their pointwise mutual information as a share of the entity's
-information content is the term's disclosure. Terms from ``disclosure`` on are
+corpus tells: with the distinct documents that hold a term and an entity (or the
+contexts in which they stand near each other), their pointwise mutual information
+as a share of the entity's information content is the term's disclosure. Terms from ``disclosure`` on are
 generalised in documents with that entity, and from ``removal`` on removed.
 """
 
@@ -30,12 +30,14 @@ HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){1
 WORD = r"[\p{L}\p{N}]+"
 #: Words on either side that are near, and the characters they are looked for in.
 NEAR_WORDS, NEAR_CHARS = 6, 160
+#: Keys counted oftener are joined by broadcast, so that no task gets all rows of one.
+HOT = 1000
 SPANS = "array<struct<start:int,end:int,value:string>>"
 RANKED = "array<struct<start:int,rank:int,end:int,kind:string,value:string>>"
 
 
-def located(text: Column, pattern: str) -> Column:
-    """``array<struct<start, end, value>>`` of the leftmost matches that don't overlap, in code points."""
+def located(text: Column, pattern: str, terms: Column | None = None) -> Column:
+    """``array<struct<start, end, value>>`` of the leftmost matches that don't overlap, in code points; with ``terms``, those that are one in lower case."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("out"))
@@ -43,7 +45,8 @@ def located(text: Column, pattern: str) -> Column:
     def add(acc: Column, x: Column) -> Column:
         a = acc["at"] + F.char_length(x["0"])
         z = a + F.char_length(x["1"])
-        return F.struct(z.alias("at"), F.concat(acc["out"], F.array(F.struct(a.alias("start"), z.alias("end"), x["1"].alias("value")))).alias("out"))
+        out = F.concat(acc["out"], F.array(F.struct(a.alias("start"), z.alias("end"), x["1"].alias("value"))))
+        return F.struct(z.alias("at"), (out if terms is None else F.when(F.array_contains(terms, F.lower(x["1"])), out).otherwise(acc["out"])).alias("out"))
 
     pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)), found)
     return F.aggregate(pairs, start, add, lambda acc: acc["out"])
@@ -129,26 +132,75 @@ def _revealing_terms(docs: DataFrame, support: int, disclosure: float, removal:
     return owners.groupBy("__key").agg(F.collect_set("term").alias("__terms"), F.collect_set(F.when(F.col("share") >= removal, F.col("term"))).alias("__gone"))
 
 
-def find_personal_data(docs: DataFrame, support: int = 3, disclosure: float = 0.8, removal: float = 0.95) -> DataFrame:
+def _terms(text: Column) -> Column:
+    """The distinct lower-cased words of three letters and more of a text."""
+    words = F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))
+    return F.filter(words, lambda w: (F.char_length(w) >= 3) & w.rlike(r"\p{L}"))
+
+
+def _with_counts(rows: DataFrame, counts: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """``rows`` with the columns of ``counts``; keys that come often are broadcast, so that none fills a task."""
+    got = rows.join(small(counts.where(F.col(n) > HOT)), keys, "left")
+    rest = got.where(F.col(n).isNull()).select(*rows.columns).join(counts.where(F.col(n) <= HOT), keys)
+    return got.where(F.col(n).isNotNull()).select(*rest.columns).unionByName(rest)
+
+
+def _revealing_terms_of_documents(docs: DataFrame, support: int, disclosure: float, removal: float) -> DataFrame | None:
+    """The same by whole documents, for each ``__key`` of a text; copies of a text count once."""
+    docs = docs.where("text is not null")
+    held = docs.where(F.size("__base") > 0).select("__key", F.array_distinct(F.transform("__base", lambda e: F.concat_ws(":", e["kind"], F.lower(e["value"])))).alias("entities"), _terms(F.col("text")).alias("terms"))
+    held = stash(held.dropDuplicates(["__key"]), "held")
+    if held.isEmpty():
+        return None
+    copies = stash(docs.groupBy("__key").agg(F.count("*").alias("copies")), "copies")
+    total = float(copies.count())
+    words = docs.select("__key", _terms(F.col("text")).alias("terms")).join(small(copies.where("copies > 1")), "__key", "left")
+    words = words.select(F.explode("terms").alias("term"), (1 / F.coalesce("copies", F.lit(1))).alias("part"))
+    seen = stash(words.groupBy("term").agg(F.round(F.sum("part")).cast("long").alias("n_term")), "terms-seen")
+    entity = held.select("__key", F.explode("entities").alias("entity"))
+    each = stash(entity.groupBy("entity").agg(F.count("*").alias("n_entity")), "entities-seen")
+    # A term in more documents than this can't reach the disclosure, even if it is in all of the entity's.
+    most = F.pow("n_entity", F.lit(disclosure)) * total ** (1 - disclosure) * 1.000001
+    known = _with_counts(entity, each, ["entity"], "n_entity").withColumn("most", most)
+    known = stash(known.groupBy("__key").agg(F.collect_list(F.struct("entity", "n_entity", "most")).alias("known"), F.max("most").alias("bound")), "known")
+    placed = held.join(known.select("__key", "bound"), "__key").select("__key", "bound", F.explode("terms").alias("term"))
+    placed = _with_counts(placed, seen, ["term"], "n_term").where("n_term <= bound").select("__key", "term", "n_term")
+    pairs = placed.join(known.select("__key", "known"), "__key").select("__key", "term", "n_term", F.explode("known").alias("k")).where("n_term <= k.most")
+    pairs = stash(pairs.select("__key", "term", "n_term", "k.entity", "k.n_entity"), "pairs")
+    both = pairs.groupBy("entity", "term", "n_term", "n_entity").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
+    information = F.log2(total / F.col("n_entity"))
+    mutual = F.log2(total * F.col("n_both") / (F.greatest("n_term", "n_both") * F.col("n_entity")))
+    told = both.withColumn("share", F.when(information > 0, mutual / information)).where(F.col("share") >= disclosure)
+    told = stash(told.select("entity", "term", "n_both", "share"), "revealing")
+    marked = _with_counts(pairs.select("__key", "entity", "term"), told, ["entity", "term"], "n_both")
+    return marked.groupBy("__key").agg(F.collect_set("term").alias("__terms"), F.collect_set(F.when(F.col("share") >= removal, F.col("term"))).alias("__gone"))
+
+
+def find_personal_data(docs: DataFrame, support: int = 3, disclosure: float = 0.8, removal: float = 0.95, whole: bool = False) -> DataFrame:
     """Every row of ``docs(doc_id, text)`` with ``base`` and ``spans``; its own columns stay.
 
     Both are arrays of ``start, end, kind, value`` in code points; ``spans`` holds
     ``base`` and the revealing terms, of kind ``term`` (to generalise) or ``gone``
     (to remove), that don't overlap it. Null and empty texts have none. Rows that
     repeat a document get the same spans. A term needs ``support`` distinct contexts
-    with an entity. Own columns named like results are replaced.
+    with an entity, or with ``whole`` as many distinct documents: with ``support``
+    1 an entity seen once is judged too, by the information content of the terms
+    of its document. Own columns named like results are replaced.
     """
     docs = docs.drop("base", "spans")
     own = docs.columns
     docs = docs.withColumn("__base", entities(F.col("text")))
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "text"))
-    terms = _revealing_terms(keyed, support, disclosure, removal)
+    keyed = docs.withColumn("__key", F.xxhash64("text") if whole else F.xxhash64("doc_id", "text"))
+    terms = (_revealing_terms_of_documents if whole else _revealing_terms)(keyed, support, disclosure, removal)
     kept = F.transform("__base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["value"].alias("value")))
     if terms is None:
         return docs.select(*own, kept.alias("base"), kept.alias("spans"))
     terms = stash(terms, "terms")
-    both = keyed.join(small(terms), "__key", "left")
-    hits = F.filter(located(F.col("text"), WORD), lambda w: F.array_contains("__terms", F.lower(w["value"])) & ~F.exists("__base", lambda e: (e["start"] < w["end"]) & (w["start"] < e["end"])))
+    # Only documents with an entity can have terms; the others' texts stay where they are.
+    some = keyed.where(F.size("__base") > 0).join(terms if whole else small(terms), "__key", "left")
+    none = F.lit(None).cast("array<string>")
+    both = keyed.where(F.size("__base") == 0).withColumns({"__terms": none, "__gone": none}).unionByName(some)
+    hits = F.filter(located(F.col("text"), WORD, F.col("__terms")), lambda w: ~F.exists("__base", lambda e: (e["start"] < w["end"]) & (w["start"] < e["end"])))
     hits = F.transform(hits, lambda w: F.struct(w["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), w["end"].alias("end"), F.when(F.array_contains("__gone", F.lower(w["value"])), "gone").otherwise("term").alias("kind"), w["value"].alias("value")))
     every = F.when(F.col("__terms").isNotNull(), F.array_sort(F.concat("__base", hits))).otherwise(F.col("__base"))
     every = F.transform(every, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["value"].alias("value")))

@@ -53,6 +53,22 @@ def test_terms_that_reveal(spark):
     assert pii.find_personal_data(df.limit(0)).count() == 0
 
 
+def test_terms_of_an_entity_seen_once(spark, monkeypatch):
+    monkeypatch.setattr(pii, "HOT", 5)
+    far = " ".join(["plain words about the great sea"] * 40)
+    rows = [(0, f"Zorblatt came first, {far} ann@x.org"), (1, f"Zorblatt came first, {far} ann@x.org"), (2, f"nobody came, {far} bob@y.org")]
+    rows += [(k, f"{far} came number {k}") for k in range(3, 200)] + [(200, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = pii.find_personal_data(df, support=1, whole=True)
+    got = {r["doc_id"]: r for r in found.collect()}
+    named = lambda k: {s["value"] for s in got[k]["spans"] if s["kind"] in ("term", "gone")}
+    assert named(0) == named(1) == {"Zorblatt", "first"} and named(2) == {"nobody"} and not named(50)
+    assert len(got) == 202 and [s["value"] for s in got[0]["base"]] == ["ann@x.org"]
+    clean = {r["doc_id"]: r["text"] for r in pii.sanitise(found).collect()}
+    assert clean[0].startswith(" came ,") and clean[60] == rows[60][1] and clean[200] is None
+    assert pii.find_personal_data(df.limit(0), support=1, whole=True).count() == 0
+
+
 def test_factorisation_machine_identity():
     rng = np.random.default_rng(1)
     m = quality.Machine(0.3, rng.normal(size=quality.FEATURES).astype(np.float32), rng.normal(size=(quality.FEATURES, quality.FACTORS)).astype(np.float32))
