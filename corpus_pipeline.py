@@ -30,8 +30,8 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest doc_id, of each group that 5-word shingles link at 0.8."""
-    return ngram_join.drop_near_duplicates(docs, words=5, percent=80)
+    """One row, that of the smallest doc_id, of each group that 5-word shingles link at 0.8."""
+    return ngram_join.one_of_each_component(docs, words=5, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

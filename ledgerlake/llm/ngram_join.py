@@ -304,7 +304,28 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the rows of every component but those of its smallest doc_id."""
+    """``docs`` without the rows of every component but those of its smallest doc_id, by doc_id alone: its repeated rows stay, and so do null ids."""
     found = near_components(docs, words, percent)
     gone = stash(found.where("component_id <> doc_id").select("doc_id").distinct(), "dropped")
     return docs.join(small(gone), "doc_id", "left_anti").select(*docs.columns)
+
+
+def one_of_each_component(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of every component, of its smallest doc_id (a null one comes last).
+
+    Rows count as one by doc_id and text, not by doc_id alone: a doc_id with another,
+    unlinked text keeps it. Texts without a word are in no component and stay.
+    """
+    key = F.xxhash64("doc_id", "text")
+    rows = docs.withColumn("__row", key)
+    found = stash(near_components(rows.select(F.col("__row").alias("doc_id"), "text"), words, percent).where("n_shingles > 0").select(F.col("doc_id").alias("__row"), "component_id"), "linked-rows")
+    each = rows.groupBy("__row").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"))
+    each = stash(each.join(found.distinct(), "__row"), "rows")
+    first = each.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")).alias("first"))
+    # Components of one row are the most: only the others are named.
+    among = each.groupBy("component_id").agg(F.sum("copies").alias("n")).where("n > 1").select("component_id")
+    shared = each.join(among, "component_id").join(first, "component_id")
+    shared = stash(shared.select("__row", (F.col("__row") != F.col("first.__row")).alias("__gone"), (F.col("copies") > 1).alias("__copies")), "dropped")
+    left = rows.join(small(shared), "__row", "left").where("not coalesce(__gone, false)")
+    once = left.where("__copies").dropDuplicates(["__row"])
+    return left.where("not coalesce(__copies, false)").unionByName(once).select(*docs.columns)

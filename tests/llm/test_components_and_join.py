@@ -72,6 +72,14 @@ def test_keys_meet_for_all_linked_sizes():
                     assert np.intersect1d(nj.sketch_keys(a, percent)[0], nj.sketch_keys(b, percent)[0]).size
 
 
+def test_near_duplicates_with_repeated_and_null_ids(spark):
+    one, two, three = ("the same words of the first text again and again", "quite another text that nobody else has here", "a third text which stands under no number at all")
+    rows = [(1, one), (1, one), (2, one), (2, two), (None, one), (None, three), (None, three), (5, None), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(str, nj.one_of_each_component(df, 3, 90).collect()))
+    assert got == sorted(map(str, spark.createDataFrame([(1, one), (2, two), (None, three), (5, None), (6, "")], df.schema).collect()))
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 300, (180, 2))] + [(1000 + i, 1001 + i) for i in range(70)] + [(5, 5), (7, 7)]
