@@ -1,41 +1,40 @@
 """Similarity join of documents on word shingles by parity sketches.
 
-A document's set of shingle hashes is folded into a sketch: each hash flips one
-bit of a very wide bit string, cut into pieces, and a piece is kept as the XOR of
-its flipped bits' 64-bit codes. Elements in both sets cancel, so the number of
-unequal pieces is at most the Hamming distance of the sketches, which is at most
-the size of the symmetric difference. Two sets that link differ in at most ``d``
-elements, by their sizes; so with more than ``d`` pieces some piece is equal, and
-an equi-join on (size band, piece number, piece) finds every link. Bands of
-sizes fix the number of pieces; a set takes part in the bands that a smaller
-partner can be in.
-
-A piece of few elements says little, so there are more pieces than ``d + 1``:
-``spare`` more. Of a set with at most ``spare`` thin pieces, one equal piece at
-least is not thin, and thin pieces are left out. Sets with more thin pieces (a
-few, by chance) join among themselves on ``d + 1`` pieces, thin or not.
-
-The join never emits the pairs of a group. Sets that are equal form a class.
-Every class is first compared with the least class of its first few pieces'
-groups; then a piece's group counts only if it holds several components. A small
-group is compared in full. A large one has a pivot, the member with the most
-company: all others are compared with it, and sketches being sums, two members
-differ by what their differences from the pivot differ by. So members that stay
-apart from the pivot need to meet only where their differences share an element
-among their first few, in an order that puts what the pivot lacks first: a
-prefix filter on differences, which loses no link. Groups of copies cost about
-as many pairs as they have members.
+A document's set of shingle hashes is folded into a parity sketch: each hash flips
+one bit of a wide bit string. Elements in both sets cancel, so the Hamming
+distance of two sketches is at most the size of the symmetric difference. The bit
+string is cut into pieces, and a piece is kept as the XOR of its flipped bits'
+64-bit codes: as many pieces differ as elements do, at most. Two sets that link
+differ in at most ``d`` elements, by their sizes; of ``P`` pieces at least
+``P - d`` are then equal, and an equi-join on (size band, piece number, piece)
+finds every link. A set takes part in the bands that a smaller partner can be in.
+
+Four bounds keep the join small, and none of them loses a link:
+
+* a piece that no other set has can't be equal, so a set with more than ``d`` such
+  pieces in each of its bands is done (most of a corpus is);
+* an element that no other remaining set has is in no intersection, which bounds
+  the overlap of a set with a partner of any given size;
+* of the pieces left, the rarest ``d - own + 1`` hold an equal one, ``own`` being
+  the pieces that no other set has; only these are joined, so pieces of boilerplate drop out;
+* whole sketches, folded to 512 bits, are compared by their Hamming distance in the
+  join's condition.
+
+What is left is compared by its whole sets. Equal sets form a class, and classes
+are compared only if they are in different components: first with the least
+peculiar member of the largest component that shares a piece with them, and then
+those still apart with all others of their piece. So a group of copies costs
+about as many comparisons as it has members.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from functools import lru_cache
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, small, stash, unstash
@@ -43,14 +42,15 @@ from .components import connected_components
 
 #: Lower end of a band of sizes over its upper end.
 BAND = 0.62
-#: Pieces for each band that a class is first grouped by.
-FIRST = 3
-#: Members up to which a piece's group is compared in full.
-SMALL = 6
-#: Common differences from a pivot that two members show before they are compared.
-SHARED = 3
+#: Pieces of a sketch for each difference that a band allows: the more, the fewer sets remain and the more keys there are.
+PIECES = 1.2
+#: Rounds in which classes are compared with one member of a piece's largest component.
+STARS = 2
+#: Words of a folded sketch.
+FOLDED = 8
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 
+
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(33))) * M1
     x = (x ^ (x >> np.uint64(33))) * M2
@@ -70,75 +70,57 @@ def shingles(text: bytes | None, k: int) -> np.ndarray:
     return np.unique(_mix(acc))
 
 
-def class_of(found: np.ndarray) -> int:
-    """A number for a set; sets with the same number are taken to be equal."""
-    return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
-
+def digest_of(found: np.ndarray) -> bytes:
+    """128 bits of a set; sets with the same ones are taken to be equal."""
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
-@lru_cache(maxsize=16)
-def plan(percent: int) -> tuple[float, int]:
-    """Elements a piece at a band's upper end, and how many elements make a piece thick; (0, 0) if thin ones can't be left out."""
-    r = (100 - percent) / percent
 
-    def thin(x: float, m: int) -> float:
-        return sum(math.exp(-x) * x**j / math.factorial(j) for j in range(m))
-
-    for m in range(6, 1, -1):
-        good = []
-        for tenth in range(10, int(10 / r) if r else 0):
-            size = tenth / 10
-            room = min(1 - min(x, size) * r - thin(x, m) for x in np.linspace(BAND * size, size * 100 / percent, 12))
-            good.append((room, size))
-        if good and max(good)[0] > 0.04:
-            return max(good)[1], m
-    return 0.0, 0
+def most_differences(n: int, m: int, percent: int) -> int:
+    """The elements in which linked sets of these sizes differ at most."""
+    return n + m - 2 * -(-percent * (n + m) // (100 + percent))
 
 
 @lru_cache(maxsize=1 << 16)
-def bands(n: int, percent: int) -> tuple[tuple[int, int, int, int], ...]:
-    """``(band, pieces, differences, plain pieces)`` for each band in which a set of ``n`` looks for partners; none if only equal sets link."""
-    out, lo, k, (each, _) = [], 1, 0, plan(percent)
+def bands(n: int, percent: int) -> tuple[tuple[int, int, int], ...]:
+    """``(band, pieces, equal)`` for each band that a set of ``n`` looks for partners in; linked sets have ``equal`` equal pieces at least.
+
+    None where only equal sets link.
+    """
+    out, lo, k = [], 1, 0
     while lo <= n:
         hi = max(lo, int(lo / BAND))
-        d = hi * (100 - percent) // percent
-        if hi * 100 >= n * percent and d:
-            out.append((k, max(d + 2, math.ceil(hi / each)) if each else 0, d, d + 1))
+        d = most_differences(hi, hi * 100 // percent, percent)
+        if hi * 100 >= n * percent and d > 0:
+            pieces = int(np.ceil(PIECES * (d + 1)))
+            # The smaller of two linked sets names the band: in its own one a set may be that, below it is the larger one.
+            own = max(most_differences(n, m, percent) for m in ((n * 100 // percent, n * 100 // percent - 1) if n <= hi else (hi, hi - 1)))
+            out.append((k, pieces, pieces - min(d, own)))
         lo, k = hi + 1, k + 1
     return tuple(out)
 
 
-def _pieces(found: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Numbers, XORs and sizes of the pieces that hold something; ``found`` is sorted, and pieces are ranges of it."""
+def _pieces(found: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers and XORs of the pieces that hold something; ``found`` is sorted, and pieces are ranges of it."""
     at = ((found >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
     starts = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return at[starts], np.bitwise_xor.reduceat(_mix(found + np.uint64(1)), starts), np.diff(np.r_[starts, len(at)])
-
-
-def _band_keys(found: np.ndarray, percent: int) -> list[np.ndarray]:
-    """Join keys of a set, for each band that it takes part in."""
-    out, m = [], plan(percent)[1]
-    for band, pieces, d, plain in bands(len(found), percent):
-        thin = pieces
-        if pieces:
-            at, code, size = _pieces(found, pieces)
-            thick = size >= m
-            thin = pieces - int(thick.sum())
-            out.append(_mix(code[thick] ^ _mix(at[thick] + np.uint64(band << 40))))
-        if thin > pieces - min(len(found) * (100 - percent) // percent, d) - 1:
-            at, code, _ = _pieces(found, plain)
-            codes = np.zeros(plain, np.uint64)
-            codes[at.astype(np.int64)] = code
-            out.append(_mix(codes ^ _mix(np.arange(plain, dtype=np.uint64) + np.uint64((band << 40) + (1 << 39)))))
+    return at[starts], np.bitwise_xor.reduceat(_mix(found + np.uint64(1)), starts)
+
+
+def sketch_keys(found: np.ndarray, percent: int) -> list[np.ndarray]:
+    """The join keys of a set, for each of its bands: one for every piece, empty ones included."""
+    out = []
+    for band, pieces, _ in bands(len(found), percent):
+        at, code = _pieces(found, pieces)
+        codes = np.zeros(pieces, np.uint64)
+        codes[at.astype(np.int64)] = code
+        out.append(_mix(codes ^ _mix(np.arange(pieces, dtype=np.uint64) + np.uint64(band << 40))).view(np.int64))
     return out
 
 
-def sketch_keys(found: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """All join keys of a set, and a few of each band: those of least value, so alike sets choose alike."""
-    each = _band_keys(found, percent)
-    if not each:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    few = [np.partition(k, FIRST)[:FIRST] if len(k) > FIRST else k for k in each]
-    return np.unique(np.concatenate(each)).view(np.int64), np.unique(np.concatenate(few)).view(np.int64)
+def folded(found: np.ndarray) -> np.ndarray:
+    """The parity sketch of a set in ``64 * FOLDED`` bits."""
+    odd = np.bincount((_mix(found) & np.uint64(64 * FOLDED - 1)).astype(np.int64), minlength=64 * FOLDED) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -146,101 +128,147 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(a) + len(b) - same) > 0
 
 
-def _sizes_fit(a: str, b: str, percent: int):
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+SKETCH = [f"s{i}" for i in range(FOLDED)]
+#: What is known of a remaining class.
+CLASS = ["c", "n", "own", *SKETCH]
 
 
-def difference(pivot: np.ndarray, other: np.ndarray, percent: int) -> tuple[int, np.ndarray, int, int]:
-    """How many elements two sets differ in, the first of these, and how many of them count if the other set looks for partners and if it is looked for.
+def _may_link(percent: int) -> Column:
+    """Whether two classes, the second with names ending in ``_2``, can link by their sizes, own elements and sketches."""
+    n, m = F.col("n"), F.col("n_2")
+    overlap = F.ceil((n + m) * percent / (100 + percent) - 1e-9)
+    bits = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"{s}_2"))) for s in SKETCH), F.lit(0))
+    sizes = F.least(n, m) * 100 >= F.greatest(n, m) * percent
+    return sizes & (n - F.col("own") >= overlap) & (m - F.col("own_2") >= overlap) & (bits <= n + m - 2 * overlap)
 
-    Those that the pivot lacks come first. A set shares at least ``x - d`` of its
-    ``x`` differences with a partner, ``d`` being the most that linked sets of its
-    size differ in; and a partner of a set that isn't linked with the pivot shares
-    more than half of its own and of what sizes leave. Of so many common elements
-    ``SHARED`` are among the first, or all if they are fewer. No common element may
-    be needed: then the null element 0 stands for it, and all count.
-    """
-    added, gone = np.setdiff1d(other, pivot, assume_unique=True), np.setdiff1d(pivot, other, assume_unique=True)
-    x = len(added) + len(gone)
-    order = np.concatenate([added[np.argsort(_mix(added), kind="stable")], gone[np.argsort(_mix(gone), kind="stable")]])
-    looks = x - len(other) * (100 - percent) // percent
-    found = max(looks, math.floor((x + (len(pivot) - len(other)) * (100 - percent) / (100 + percent)) / 2 - 1e-6) + 1)
-    first, second = (min(x, x - need + SHARED) if need > 0 else x for need in (looks, found))
-    return x, order[: max(first, second)], -1 if looks <= 0 else first, -1 if found <= 0 else second
 
+def _described(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``doc_id, t, row, n, digest, equal, keys`` for each row: its text's hash, a number of its own, its set's size, digest and keys by band."""
 
-TOLD = "a long, b long, linked boolean, x long, looks int, found int, elements array<long>"
-
-
-def _compare(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int, whole: bool = False) -> DataFrame:
-    """The distinct pairs ``(a, b)`` of classes with whether they link, by their whole sets; all of them and their differences if ``whole``, else the linked."""
-    pairs = stash(pairs, "pairs")
-    if pairs.isEmpty():
-        return docs.sparkSession.createDataFrame([], TOLD)
-    asked = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    ids = stash(classes.join(asked, "c").select("c", F.col("root").alias("doc_id")), "asked")
-    texts = docs.join(small(ids), "doc_id").select("c", "text")
+    def describe(batches):
+        from pyspark import TaskContext
 
-    def own(batches):  # a doc_id may stand for several texts: only the class's own is taken
+        row = TaskContext.get().partitionId() << 33
         for b in batches:
-            keep = [(c, t) for c, t in zip(b["c"], b["text"], strict=True) if class_of(shingles(t, k)) == c]
-            yield {"c": [c for c, _ in keep], "text": [t for _, t in keep]}
-
-    texts = stash(map_batches(texts, "c long, text binary", own), "texts")
-
-    def test(batches):
-        kept: dict[int, np.ndarray] = {}
+            sets = [shingles(t, words) for t in b["text"]]
+            yield {
+                "doc_id": b["doc_id"], "t": b["t"], "row": list(range(row, row + len(sets))), "n": [len(s) for s in sets], "digest": [digest_of(s) for s in sets],
+                "equal": [[e for _, _, e in bands(len(s), percent)] for s in sets], "keys": [sketch_keys(s, percent) for s in sets],
+            }
+            row += len(sets)
 
-        def of(c, text):
-            if c not in kept:
-                if len(kept) >= 64:
-                    kept.pop(next(iter(kept)))
-                kept[c] = shingles(text, k)
-            return kept[c]
+    schema = "doc_id long, t long, row long, n long, digest binary, equal array<int>, keys array<array<long>>"
+    return stash(map_batches(docs, schema, describe), "sets")
 
-        for b in batches:
-            out = {name.split()[0]: [] for name in TOLD.split(", ")}
-            for x, y, s, t in zip(b["a"], b["b"], b["s"], b["t"], strict=True):
-                one, two = of(x, s), of(y, t)
-                good = linked(one, two, percent)
-                if good or whole:
-                    size, elements, looks, found = difference(one, two, percent) if whole else (0, None, 0, 0)
-                    for name, v in zip(out, (x, y, good, size, looks, found, None if elements is None else elements.view(np.int64)), strict=True):
-                        out[name].append(v)
-            yield out
-
-    both = pairs.join(texts.select(F.col("c").alias("b"), F.col("text").alias("t")), "b").join(texts.select(F.col("c").alias("a"), F.col("text").alias("s")), "a")
-    out = stash(map_batches(both.select("a", "b", "s", "t"), TOLD, test, rows=64).dropDuplicates(["a", "b"]), "compared")
-    unstash(texts, ids, pairs)
-    return out
 
+def _remaining(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Classes that may link with another, with their sets, and the pieces to join them on: ``CLASS, elements`` and ``key, c``."""
+    keys = classes.select(F.col("row").alias("c"), F.posexplode("keys").alias("band", "keys")).select("c", "band", F.explode("keys").alias("key"))
+    shared = stash(keys.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1"), "shared-keys")
+    held = stash(keys.join(small(shared), "key").select("key", "sets", "c", "band"), "shared-pieces")
+    equal = classes.select(F.col("row").alias("c"), F.posexplode("equal").alias("band", "equal"))
+    some = held.groupBy("c", "band").agg(F.count("*").alias("held")).join(equal, ["c", "band"]).where("held >= equal")
+    some = stash(some.select("c", "band", (F.col("held") - F.col("equal") + 1).alias("first")), "entries")
 
-def _verify(pairs: DataFrame, classes: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    return _compare(pairs, classes, docs, k, percent).select("a", "b")
+    texts = classes.join(small(some.select(F.col("c").alias("row")).distinct()), "row").select(F.col("row").alias("c"), F.col("doc_id").alias("id"), "t")
+    texts = docs.join(small(texts), (docs["t"] == texts["t"]) & docs["doc_id"].eqNullSafe(texts["id"])).select("c", "text")
 
+    def sets(batches):
+        for b in batches:
+            found = [shingles(t, words) for t in b["text"]]
+            sketches = np.array([folded(s) for s in found], np.int64).reshape(-1, FOLDED)
+            yield {"c": b["c"], "n": [len(s) for s in found], "elements": [s.view(np.int64) for s in found]} | {s: sketches[:, i] for i, s in enumerate(SKETCH)}
+
+    schema = "c long, n long, elements array<long>, " + ", ".join(f"{s} long" for s in SKETCH)
+    found = stash(map_batches(texts.dropDuplicates(["c"]), schema, sets), "remaining")
+    lone = found.select("c", F.explode("elements").alias("e")).groupBy("e").agg(F.count("*").alias("k"), F.min("c").alias("c")).where("k = 1")
+    lone = lone.groupBy("c").agg(F.count("*").alias("own"))
+    left = found.join(lone, "c", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    left = stash(left.where(F.col("n") - F.col("own") >= F.ceil(F.col("n") * percent / 100 - 1e-9)), "left")
+
+    from pyspark.sql import Window
+
+    pieces = held.join(small(some), ["c", "band"]).join(small(left.select("c")), "c")
+    pieces = stash(pieces.select("key", "c", "band", "first"), "pieces")
+    rarity = pieces.groupBy("key").agg(F.count("*").alias("sets"))
+    order = Window.partitionBy("c", "band").orderBy("sets", "key")
+    first = pieces.join(small(rarity), "key").withColumn("k", F.row_number().over(order)).where("k <= first and sets > 1")
+    first = stash(first.select("key", "c"), "first-pieces")
+    unstash(shared, held, some, found, pieces)
+    return left, first
+
+
+def _links(left: DataFrame, pieces: DataFrame, percent: int) -> DataFrame:
+    """``component`` of each class (``id``) that links with another."""
+    members = stash(pieces.join(small(left.select(*CLASS)), "c"), "members")
+    other = [F.col(x).alias(f"{x}_2") for x in (*CLASS, "component")]
+
+    def named(comps: DataFrame | None) -> DataFrame:
+        if comps is None:
+            return members.withColumn("component", F.col("c"))
+        return members.join(small(comps.select(F.col("id").alias("c"), "component")), "c", "left").withColumn("component", F.coalesce("component", "c"))
+
+    def leads(rows: DataFrame) -> DataFrame:
+        """Of each piece's largest component, the member with the fewest elements of its own."""
+        each = rows.groupBy("key", "component").agg(F.count("*").alias("size"), F.min(F.struct("own", *[x for x in CLASS if x != "own"])).alias("best"))
+        most = each.groupBy("key").agg(F.max(F.struct("size", "component", "best")).alias("top"), F.count("*").alias("components")).where("components > 1")
+        return most.select("key", F.col("top.component").alias("component"), *[F.col(f"top.best.{x}").alias(x) for x in CLASS])
+
+    def compared(pairs: DataFrame) -> DataFrame:
+        pairs = stash(pairs.distinct(), "pairs")
+        sets = left.select("c", "elements")
+        both = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a")
+        same = F.size(F.array_intersect("x", "y"))
+        good = both.where(same * 100 >= (F.size("x") + F.size("y") - same) * percent).select("a", "b")
+        good = stash(good, "links")
+        unstash(pairs)
+        return good
+
+    links = comps = None
+    for last in [False] * STARS + [True]:
+        rows = named(comps)
+        top = stash(leads(rows), "leads")
+        if top.isEmpty():
+            break
+        if not last:
+            pairs = rows.join(small(top.select("key", *other)), "key").where((F.col("component") != F.col("component_2")) & _may_link(percent))
+        else:
+            # Those outside a piece's largest component with all others of the piece; that component's members are in one already.
+            largest = small(top.select("key", F.col("component").alias("largest")))
+            sides = rows.join(largest, "key")
+            apart = F.col("component") != F.col("component_2")
+            once = (F.col("component_2") == F.col("largest_2")) | (F.col("c") < F.col("c_2"))
+            pairs = sides.where("component <> largest").join(sides.select("key", F.col("largest").alias("largest_2"), *other), "key").where(apart & once & _may_link(percent))
+        found = compared(pairs.select(F.least("c", "c_2").alias("a"), F.greatest("c", "c_2").alias("b")))
+        links = found if links is None else links.unionByName(found)
+        comps = stash(connected_components(links), "components")
+        unstash(top)
+    unstash(members)
+    return comps
 
-def _apart(told: DataFrame, named: DataFrame, percent: int) -> DataFrame:
-    """Pairs of a pivot's group that may link though one of them stands apart from the pivot.
 
-    ``told``: members (b) compared with their pivots (a). Both sides are dealt out
-    by pivot and element; the null element stands for small differences.
-    """
-    of = named.select(F.col("c").alias("b"), "n", "component")
-    pivots = named.select(F.col("c").alias("a"), F.col("component").alias("home"))
-    rows = told.join(of, "b").join(pivots, "a")
+def _members(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """``doc_id, t, row, n, component`` for each row of ``docs(doc_id, text, t)``; a component is named by a row of it."""
+    if not 1 <= percent <= 100:
+        raise ValueError("percent is from 1 to 100")
+    rows = _described(docs, words, percent)
+    some = rows.where("n > 0")
+    copies = stash(some.groupBy("digest").agg(F.min("row").alias("c"), F.count("*").alias("copies")).where("copies > 1").select("digest", "c"), "copies")
+    of = some.join(small(copies), "digest", "left").withColumn("c", F.coalesce("c", "row"))
+    left, pieces = _remaining(docs, of.where("c = row"), words, percent)
+    comps = _links(left, pieces, percent)
+    of = of.select("doc_id", "t", "row", "n", "c")
+    if comps is not None:
+        of = of.join(small(comps.select(F.col("id").alias("c"), "component")), "c", "left").withColumn("c", F.coalesce("component", "c"))
+    out = of.select("doc_id", "t", "row", "n", F.col("c").alias("component")).unionByName(rows.where("n = 0").select("doc_id", "t", "row", "n", F.col("row").alias("component")))
+    out = stash(out, "near")
+    unstash(rows, copies, left, pieces)
+    return out
 
-    def dealt(side: str, frame: DataFrame) -> DataFrame:
-        all_of = F.when(F.col(side) < 0, F.concat(F.array(F.lit(0).cast("long")), "elements")).otherwise(F.slice("elements", F.lit(1), F.greatest(F.col(side), F.lit(0))))
-        return frame.select("a", "b", "n", "component", "x", F.explode(all_of).alias("element"))
 
-    left = dealt("looks", rows.where(F.col("component") != F.col("home")))
-    right = dealt("found", rows).toDF("a", "b2", "n2", "component2", "x2", "element")
-    most = F.floor((F.col("n") + F.col("n2")) * (100 - percent) / (100 + percent))
-    near = (F.abs(F.col("x") - F.col("x2")) <= most) & ((F.col("element") != 0) | (F.col("x") + F.col("x2") <= most))
-    pairs = left.join(right, ["a", "element"]).where("b <> b2 and component <> component2").where(_sizes_fit("n", "n2", percent)).where(near)
-    need = F.ceil((F.col("x") + F.col("x2") - most) / 2)
-    pairs = pairs.groupBy("a", "b", "b2", need.alias("need")).agg(F.count("*").alias("shared")).where(F.col("shared") >= F.least("need", F.lit(SHARED)))
-    return pairs.select(F.least("b", "b2").alias("a"), F.greatest("b", "b2").alias("b")).distinct()
+def _hashed(docs: DataFrame) -> DataFrame:
+    text = F.col("text").cast("binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("t"))
 
 
 def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -251,56 +279,10 @@ def near_components(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     no set and are alone; rows that repeat a doc_id are all kept; a null doc_id
     is never a name unless nothing else is there. Other columns are not read.
     """
-    if not 1 <= percent <= 100:
-        raise ValueError("percent is from 1 to 100")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-
-    def describe(batches):
-        for b in batches:
-            sets = [shingles(t, words) for t in b["text"]]
-            keys = [sketch_keys(s, percent) for s in sets]
-            yield {"doc_id": b["doc_id"], "n": [len(s) for s in sets], "c": [class_of(s) for s in sets], "first": [few for _, few in keys], "keys": [k for k, _ in keys]}
-
-    rows = stash(map_batches(docs, "doc_id long, n long, c long, first array<long>, keys array<long>", describe), "sets")
-    classes = rows.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("root"), F.max("n").alias("n"))
-
-    few = rows.select(F.explode("first").alias("key"), "c", "n").distinct()
-    lead = few.groupBy("key").agg(F.min(F.struct("c", "n")).alias("lead"), F.max("c").alias("top")).where("lead.c < top")
-    pairs = few.join(lead, "key").where(F.col("c") != F.col("lead.c")).where(_sizes_fit("n", "lead.n", percent))
-    links = _verify(pairs.select(F.col("lead.c").alias("a"), F.col("c").alias("b")).distinct(), classes, docs, words, percent)
-    comps = stash(connected_components(links), "components")
-
-    def named(frame: DataFrame, comps: DataFrame) -> DataFrame:
-        return frame.join(small(comps.select(F.col("id").alias("c"), "component")), "c", "left").withColumn("component", F.coalesce("component", "c"))
-
-    keys = named(rows.select(F.explode("keys").alias("key"), "c"), comps)
-    mixed = F.min("component") < F.max("component")
-    cross = stash(keys.groupBy("key").agg(mixed.alias("mixed")).where("mixed").select("key"), "cross")
-    n = cross.count()
-    if n:
-        held = keys.join(small(cross, n), "key", "left_semi").select("key", "c").distinct()
-        sizes = held.groupBy("key").agg(F.count("*").alias("members"))
-        held = stash(held.join(sizes, "key").join(classes.select("c", "n"), "c"), "members")
-        few, many = named(held.where(F.col("members") <= SMALL), comps), held.where(F.col("members") > SMALL)
-        other = few.select("key", *[F.col(x).alias(f"{x}2") for x in ("c", "n", "component")])
-        pairs = few.join(other, "key").where("c < c2 and component <> component2").where(_sizes_fit("n", "n2", percent))
-        more = _verify(pairs.select(F.col("c").alias("a"), F.col("c2").alias("b")).distinct(), classes, docs, words, percent)
-        links = stash(links.unionByName(more), "links")
-        if not many.isEmpty():
-            company = many.groupBy("c").agg(F.sum("members").alias("company"))
-            lead = many.join(company, "c").groupBy("key").agg(F.max(F.struct("company", "c")).alias("lead")).select("key", F.col("lead.c").alias("pivot"))
-            against = many.select("key", "c").join(lead, "key").where("c <> pivot").select("pivot", "c").distinct()
-            told = _compare(against.select(F.col("pivot").alias("a"), F.col("c").alias("b")), classes, docs, words, percent, whole=True)
-            links = stash(links.unionByName(told.where("linked").select("a", "b")), "links")
-            comps = stash(connected_components(links), "components")
-            last = _apart(told, named(classes.select("c", "n"), comps), percent)
-            links = links.unionByName(_verify(last, classes, docs, words, percent))
-        comps = stash(connected_components(links), "components")
-
-    whole = named(rows.select("doc_id", "n", "c"), comps)
-    names = whole.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("root"))
-    out = whole.join(names, "component", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("root", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    found = _members(_hashed(docs), words, percent)
+    names = found.where("n > 0").groupBy("component").agg(F.min("doc_id").alias("root"), F.count("*").alias("rows")).where("rows > 1")
+    out = found.join(small(stash(names.select("component", "root"), "names")), "component", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -316,16 +298,14 @@ def one_of_each_component(docs: DataFrame, words: int = 5, percent: int = 80) ->
     Rows count as one by doc_id and text, not by doc_id alone: a doc_id with another,
     unlinked text keeps it. Texts without a word are in no component and stay.
     """
-    key = F.xxhash64("doc_id", "text")
-    rows = docs.withColumn("__row", key)
-    found = stash(near_components(rows.select(F.col("__row").alias("doc_id"), "text"), words, percent).where("n_shingles > 0").select(F.col("doc_id").alias("__row"), "component_id"), "linked-rows")
-    each = rows.groupBy("__row").agg(F.count("*").alias("copies"), F.min("doc_id").alias("doc_id"))
-    each = stash(each.join(found.distinct(), "__row"), "rows")
-    first = each.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "__row")).alias("first"))
+    found = _members(_hashed(docs), words, percent).where("n > 0")
     # Components of one row are the most: only the others are named.
-    among = each.groupBy("component_id").agg(F.sum("copies").alias("n")).where("n > 1").select("component_id")
-    shared = each.join(among, "component_id").join(first, "component_id")
-    shared = stash(shared.select("__row", (F.col("__row") != F.col("first.__row")).alias("__gone"), (F.col("copies") > 1).alias("__copies")), "dropped")
-    left = rows.join(small(shared), "__row", "left").where("not coalesce(__gone, false)")
-    once = left.where("__copies").dropDuplicates(["__row"])
-    return left.where("not coalesce(__copies, false)").unionByName(once).select(*docs.columns)
+    first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "t")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    shared = found.join(small(stash(first.select("component", "first"), "first")), "component")
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t"))
+    shared = shared.groupBy("doc_id", "t").agg(F.count("*").alias("copies"), F.first(stays).alias("stays"))
+    shared = stash(shared.select(F.col("doc_id").alias("__id"), F.col("t").alias("__hash"), "copies", "stays").where("not stays or copies > 1"), "dropped")
+    text, told = F.xxhash64(F.col("text").cast("binary")), small(shared.select("__id", "__hash", F.struct("stays").alias("__told")))
+    rows = docs.join(told, (text == F.col("__hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
+    once = rows.where("__told.stays").dropDuplicates(["__id", "__hash"])
+    return rows.where("__told is null").unionByName(once).select(*docs.columns)
