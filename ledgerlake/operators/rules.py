@@ -74,6 +74,21 @@ class Rule:
 MATCH = "array<struct<priority:int,rule_id:string,outcome:string>>"
 
 
+class UnknownCategory(ValueError):
+    """Rules that assign a category which isn't in the taxonomy."""
+
+
+def known_categories(rules: Sequence[Rule], categories: DataFrame) -> None:
+    """Refuse rules with categories that don't exist, before any row is classified."""
+    wanted = {r.category for r in rules if r.category}
+    if not wanted:
+        return
+    found = {r[0] for r in categories.where(F.col("category_id").isin(sorted(wanted))).select("category_id").distinct().collect()}
+    bad = [f"{r.rule_id}: {r.category}" for r in rules if r.category and r.category not in found]
+    if bad:
+        raise UnknownCategory("; ".join(bad))
+
+
 def classify(rows: DataFrame, rules: Sequence[Rule], categories: DataFrame) -> DataFrame:
     """Each transaction's rule outcome: ``transaction_type, category_id, rule_ids, review_kind, claims_transfer, adjustment_reason``.
 
@@ -89,7 +104,7 @@ def classify(rows: DataFrame, rules: Sequence[Rule], categories: DataFrame) -> D
     outcomes = F.array_distinct(F.transform("__ties", lambda x: x["outcome"]))
     rows = rows.withColumn("__what", F.when(F.size(outcomes) == 1, F.get(outcomes, F.lit(0))).when(F.size(outcomes) > 1, "conflict:"))
     kind = F.substring_index("__what", ":", 1)
-    value = F.substring(F.col("__what"), F.instr("__what", ":") + 1, F.lit(1000))
+    value = F.substring(F.col("__what"), F.instr("__what", ":") + 1, F.length("__what"))
     rows = rows.withColumn("__kind", F.coalesce(kind, F.lit("none"))).withColumn("__category", F.when(kind == "category", value))
     rows = rows.join(F.broadcast(categories.select(F.col("category_id").alias("__category"), "direction")), "__category", "left")
     made = derived_type(F.col("direction"), F.col("amount"))

@@ -196,7 +196,7 @@ def earlier_observation(v: Views) -> DataFrame:
 
 RULES = (
     rules.Rule("r01-widgets", rules.When(contains=("WIDGET",)), 1, category="PROMO/Brand#1"),
-    rules.Rule("r02-bolts-out", rules.When(contains=("bolt", "gear"), sign="negative"), 1, category="SMALL/Brand#2"),
+    rules.Rule("r02-bolts-out", rules.When(contains=("bolt", "gear"), sign="negative"), 1, category="SMALL/Brand#3"),
     rules.Rule("r03-red", rules.When(starts_with=("a o red", "r o red")), 5, category="LARGE/Brand#3"),
     rules.Rule("r04-blue", rules.When(regex=(r"\bblue\b.*ring",)), 5, adjustment="blue rings"),
     rules.Rule("r05-claim", rules.When(contains=("ring",), amount_min=Decimal("-20000.00"), amount_max=Decimal("5000.00")), 3, transfer_claim=True),
@@ -206,7 +206,7 @@ RULES = (
 )
 _HITS = {
     "r01-widgets": (1, "category:PROMO/Brand#1", "contains(d, 'widget')"),
-    "r02-bolts-out": (1, "category:SMALL/Brand#2", "(contains(d, 'bolt') OR contains(d, 'gear')) AND amount < 0"),
+    "r02-bolts-out": (1, "category:SMALL/Brand#3", "(contains(d, 'bolt') OR contains(d, 'gear')) AND amount < 0"),
     "r03-red": (5, "category:LARGE/Brand#3", "(starts_with(d, 'a o red') OR starts_with(d, 'r o red'))"),
     "r04-blue": (5, "adjustment:blue rings", r"regexp_matches(description, '(?i)\bblue\b.*ring')"),
     "r05-claim": (3, "claim:", "contains(d, 'ring') AND amount BETWEEN -20000 AND 5000"),
