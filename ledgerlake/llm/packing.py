@@ -80,8 +80,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id:
         enc = encoder(vocabulary)
         for b in batches:
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "ids")}
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                raw = enc.encode(text or "") + end
+            for doc_id, raw in zip(b["doc_id"], enc.encode_many(b["text"]), strict=True):
+                raw += end
                 n = len(raw) // 4
                 cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                 for k, (a, z) in enumerate(zip(cuts, cuts[1:], strict=False)):

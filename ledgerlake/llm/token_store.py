@@ -65,8 +65,8 @@ def write_token_ids(docs: DataFrame, path: str, vocabulary: str, end_id: int = 2
             return {"part": [part], "chunk": [chunk], "first": [first], "n_ids": [len(ids)], "layout": [layout], "planes": [shuffle_planes(ids, layout)], "docs": [over]}
 
         for b in batches:
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
-                raw = enc.encode(text or "") + end
+            for doc_id, raw in zip(b["doc_id"], enc.encode_many(b["text"]), strict=True):
+                raw += end
                 docs_here.append({"doc_id": doc_id, "row": row, "at": at, "n": len(raw) // 4})
                 row, at = row + 1, at + len(raw) // 4
                 held.append(raw)
