@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join may be broadcast, where its rows are of fixed small width.
@@ -29,11 +31,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one of our own where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; only a local session, as in tests, may leave it unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = "/tmp/checkpoints/ledgerlake"
-        spark.conf.set("spark.checkpoint.dir", found)
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = f"{tempfile.gettempdir()}/checkpoints/ledgerlake"
     return found.rstrip("/")
 
 
@@ -63,6 +66,18 @@ def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -
     return F.broadcast(df) if n <= limit else df
 
 
+class Own:
+    """A table's columns under names that no operator uses, but for those that it reads; ``back`` names them as they were."""
+
+    def __init__(self, df: DataFrame, *read: str) -> None:
+        self.columns = df.columns
+        self.names = {c: c if c in read else f"own_{k}" for k, c in enumerate(df.columns)}
+        self.df = df.toDF(*self.names.values())
+
+    def back(self, df: DataFrame, *made: str | Column) -> DataFrame:
+        return df.select(*[F.col(self.names[c]).alias(c) for c in self.columns], *made)
+
+
 def map_batches(
     df: DataFrame, schema: str, fn: Callable[[Iterator[dict[str, list]]], Iterable[dict[str, list]]], rows: int = 512
 ) -> DataFrame:

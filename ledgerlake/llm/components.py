@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from .common import stash, unstash
 
 
-def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame, rounds: int = 200) -> DataFrame:
     """``links(a, b)`` of longs to ``(id, component)``: the smallest id reachable, for every id that has a link.
 
     Self links and nulls are ignored; repeated links count once; no links give no rows.
+    Rounds grow with the logarithm of the longest path; more than ``rounds`` is an error, never a partial result.
     """
     e = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e, before = stash(e, "links"), None
@@ -35,6 +36,8 @@ def connected_components(links: DataFrame, rounds: int = 60) -> DataFrame:
         done = e
         e = stash(kept.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         unstash(done)
+    else:
+        raise RuntimeError(f"components didn't settle in {rounds} rounds")
     out = e.select(F.col("u").alias("id"), F.col("v").alias("component"))
     roots = e.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
     return out.unionByName(roots)

@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, stash
+from .common import Own, map_batches
 
 #: Bytes: A-Z to a-z, 0-9 and a-z and all of non-ASCII stay, the rest becomes a space.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -71,8 +71,9 @@ def spans(text: bytes, hit: list[int]) -> list[dict[str, int]]:
             out[-1][1:] = [b, k]
         else:
             out.append([a, b, k])
-    chars = lambda at: len(text[:at].decode("utf-8", "replace"))
-    return [{"start": chars(a), "end": chars(b)} for a, b, _ in out]
+    # Characters before each byte: those that begin there or earlier.
+    before = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
+    return [{"start": int(before[a]), "end": int(before[b])} for a, b, _ in out]
 
 
 def blocks(benchmark: DataFrame) -> list[tuple[tuple[str, bytes], ...]]:
@@ -88,58 +89,45 @@ def blocks(benchmark: DataFrame) -> list[tuple[tuple[str, bytes], ...]]:
     return [tuple(x) for x in out]
 
 
-HITS = "row_id long, n_words long, hit array<int>, items array<string>, spans array<struct<start:int,end:int>>"
+FOUND = "n_words long, hit array<int>, items array<string>, spans array<struct<start:int,end:int>>"
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """Every row of ``docs`` with ``n_words, n_hit, n_items, items, spans, contaminated``; its own columns stay.
 
-    Null and empty texts have no words and no hits; null item texts are no items;
-    items of fewer than ``window`` words are one window; repeated rows and ids are
-    judged row by row. An item id that occurs twice is one item. ``docs`` columns
-    named like results are replaced.
+    Null and empty texts have no words and no hits; very long ones are scanned whole;
+    null item texts are no items; items of fewer than ``window`` words are one window;
+    repeated rows and ids are judged row by row. An item id that occurs twice is one
+    item. ``docs`` columns named like results are replaced. The benchmark goes to
+    every task: it is taken to be of a size that one machine reads.
     """
-    made = ["n_words", "n_hit", "n_items", "items", "spans", "contaminated"]
-    docs = docs.drop(*made)
+    own = Own(docs.drop("n_words", "n_hit", "n_items", "items", "spans", "contaminated"), "text")
+    rows = own.df.withColumn("text", F.col("text").cast("binary"))
+    given = ", ".join(f"`{c}` {kind}" for c, kind in rows.dtypes)
     parts = blocks(benchmark)
-    text = F.col("text").cast("binary")
 
-    def run(items: tuple[tuple[str, bytes], ...]):
+    def run(items: tuple[tuple[str, bytes], ...], last: bool):
         def fn(batches):
             auto = automaton(items, window)
             for b in batches:
-                out = [scan(t or b"", auto) for t in b["__text"]]
-                yield {
-                    **b,
-                    "n_words": [n for n, _, _ in out],
-                    "hit": [h for _, h, _ in out],
-                    "items": [sorted({items[k][0] for k in ks}) for _, _, ks in out],
-                    "spans": [spans(t or b"", h) if h else [] for t, (_, h, _) in zip(b["__text"], out, strict=True)],
-                }
+                none = [()] * len(b["text"])
+                out = {"n_words": [], "hit": [], "items": [], "spans": []}
+                for text, hits, names in zip(b["text"], b.get("hit", none), b.get("items", none), strict=True):
+                    n, hit, ks = scan(text or b"", auto)
+                    hit = sorted({*hits, *hit}) if hits else hit
+                    out["n_words"].append(n)
+                    out["hit"].append(hit)
+                    out["items"].append(sorted({*names, *(items[k][0] for k in ks)}))
+                    out["spans"].append(spans(text or b"", hit) if hit and last else [])
+                yield b | out
 
         return fn
 
-    if len(parts) == 1:
-        keep = [c for c in docs.columns if c != "text"]
-        types = dict(docs.dtypes)
-        schema = ", ".join(f"`{c}` {types[c]}" for c in keep) + ", __text binary, n_words long, hit array<int>, items array<string>, spans array<struct<start:int,end:int>>"
-        out = map_batches(docs.select(*keep, text.alias("__text")), schema, run(parts[0]))
-        out = out.withColumn("text", F.col("__text").cast("string")).select(*docs.columns, "n_words", "hit", "items", "spans")
-        return _counted(out)
-    docs = stash(docs.withColumn("row_id", F.monotonically_increasing_id()), "decontaminate")
-    rows = docs.select("row_id", text.alias("__text"))
-    passes = [map_batches(rows, HITS.replace("row_id long", "row_id long, __text binary"), run(p)).drop("__text") for p in parts]
-    some = passes[0]
-    for p in passes[1:]:
-        some = some.unionByName(p)
-    got = some.groupBy("row_id").agg(
-        F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("hit")))).alias("hit"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("spans")))).alias("spans")
-    )
-    return _counted(docs.join(got, "row_id").drop("row_id"))
-
-
-def _counted(out: DataFrame) -> DataFrame:
-    return out.withColumn("n_hit", F.size("hit").cast("long")).withColumn("n_items", F.size("items").cast("long")).withColumn("contaminated", F.col("n_hit") > 0).drop("hit")
+    # One automaton but for a very large benchmark: then a chain of passes, each adding to what a row has; no shuffle.
+    for k, part in enumerate(parts):
+        rows = map_batches(rows, f"{given}, {FOUND}", run(part, k == len(parts) - 1))
+    counted = [F.size("hit").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", "spans", (F.size("hit") > 0).alias("contaminated")]
+    return own.back(rows.withColumn("text", F.col("text").cast("string")), "n_words", *counted)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:

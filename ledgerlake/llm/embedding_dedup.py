@@ -21,13 +21,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import small, stash
 from .components import connected_components
 
 #: Vectors that the codebooks are fitted on at most, those of least hash.
-TRAINING_ROWS = 8_000
-#: Centroids of one half at most.
-CENTROIDS = 256
+TRAINING_ROWS = 16_384
+#: Centroids of one half at most; they grow with the square root of the vectors, so that a cell's members stay few.
+CENTROIDS = 1_024
 #: Members, and queries, of one block.
 BLOCK = 1_024
 
@@ -155,11 +155,11 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.995
 
     placed = stash(classes.repartition(spark.sparkContext.defaultParallelism * 4, "root").mapInPandas(cells, "vec_id long, copies long, v binary, cell int, visits array<int>"), "cells")
     # One row for each cell of the grid at most: bounded by CENTROIDS squared.
-    blocks = F.broadcast(placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    blocks = small(stash(placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "cell-blocks"))
     members = placed.join(blocks, "cell").select("cell", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int").alias("block"), "vec_id", "copies", "v")
     visits = placed.select("vec_id", "v", F.explode("visits").alias("cell")).join(blocks, "cell")
     asked = visits.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
-    asked = visits.join(F.broadcast(asked), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "vec_id", "v")
+    asked = visits.join(small(stash(asked, "cell-parts")), "cell").select("cell", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("vec_id"), F.col("parts")).cast("int").alias("part"), "vec_id", "v")
     parts = asked.select("cell", "block", "part").distinct()
     # New names, as both sides of the cogroup come from one table.
     members = members.join(parts, ["cell", "block"]).toDF("m_cell", "m_block", "vec_id", "copies", "v", "m_part")

@@ -5,7 +5,10 @@ be read as a substring of it. A text is cut into longest such phrases; the fewer
 phrases, weighted by the logarithm of the reference's length, the lower the
 cross-entropy, and the lowest language wins.
 
-Letters are lower-cased and numbered, all else is a space. Texts are parsed
+Letters are lower-cased and become symbols, all else is a space. Every letter that
+a reference has is told from all others: the most frequent have a symbol each, and
+further ones (of scripts with many) a few digits each. Letters that no reference
+has match nothing. Texts are parsed
 whole, in segments of ``SEGMENT`` characters that all advance together: one
 table look-up moves every segment of a batch by one character.
 """
@@ -22,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import map_batches
 
 SEGMENT = 512
-#: Most letters that have a number of their own; rarer ones count as one unknown letter.
-LETTERS = 120
+#: Letters that have a symbol of their own; rarer ones of the references are written as numbers in ``DIGITS`` further symbols.
+LETTERS, DIGITS = 100, 20
 #: Bounds of what is learnt for each language: rows, and characters of them.
 ROWS_EACH, CHARS_EACH = 80, 40_000
 SPACE, OTHER, END = 0, 1, 2
@@ -78,13 +81,18 @@ class Parser:
         table = letter_table().copy()
         points = [_points(text) for _, text in references]
         seen, counts = np.unique(np.concatenate([*points, np.empty(0, np.uint32)]), return_counts=True)
-        letters = [int(c) for c in seen[np.argsort(-counts, kind="stable")] if table[c] == OTHER][:LETTERS]
+        letters = [int(c) for c in seen[np.argsort(-counts, kind="stable")] if table[c] == OTHER]
+        table = table.astype(np.int32)
         for k, c in enumerate(letters):
             table[c] = END + 1 + k
-        self.table, self.size = table, END + 1 + len(letters)
+        own, rare = min(LETTERS, len(letters)), max(0, len(letters) - LETTERS)
+        self.first_rare, self.width = END + 1 + own, 1
+        while DIGITS**self.width < rare:
+            self.width += 1
+        self.table, self.size = table, END + 1 + own + (DIGITS if rare else 0)
         tables, self.roots, self.weight, base = [], [], [], 0
         for p in points:
-            codes = self._squeezed(table[p])
+            codes = self._symbols(p)
             auto = SuffixAutomaton(codes.tolist())
             n, root = len(auto.step), auto.step[0]
             fresh = np.array([base + root[c] + (1 << 24) if c in root else base + (2 << 24) for c in range(self.size)], np.int32)
@@ -102,14 +110,24 @@ class Parser:
             raise ValueError("the references are too long")
         self.next = np.concatenate(tables).ravel() if tables else np.empty(0, np.int32)
 
-    @staticmethod
-    def _squeezed(codes: np.ndarray) -> np.ndarray:
-        """One space for a run of them."""
-        return codes[~((codes == SPACE) & (np.r_[OTHER, codes[:-1]] == SPACE))] if len(codes) else codes
+    def _symbols(self, points: np.ndarray) -> np.ndarray:
+        """A text's symbols, one space for a run of them."""
+        if not len(points):
+            return np.empty(0, np.uint8)
+        codes = self.table[points]
+        codes = codes[~((codes == SPACE) & (np.r_[OTHER, codes[:-1]] == SPACE))]
+        rare = codes >= self.first_rare
+        if not rare.any():
+            return codes.astype(np.uint8)
+        sizes = np.where(rare, self.width, 1)
+        out, at = np.repeat(codes, sizes), np.cumsum(sizes) - sizes
+        for k in range(self.width):
+            out[at[rare] + k] = self.first_rare + (codes[rare] - self.first_rare) // DIGITS**k % DIGITS
+        return out.astype(np.uint8)
 
     def costs(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Weighted phrases by text and language, and whether a text has a letter."""
-        codes = [self._squeezed(self.table[_points(t)]) if t else np.empty(0, np.uint8) for t in texts]
+        codes = [self._symbols(_points(t)) if t else np.empty(0, np.uint8) for t in texts]
         letters = np.array([bool((c != SPACE).any()) for c in codes], bool)
         parts = [-(-len(c) // SEGMENT) for c in codes]
         lanes = sum(parts)
@@ -156,7 +174,9 @@ def learn(docs: DataFrame, usable: Column, rows_each: int = ROWS_EACH, chars_eac
     rows = docs.where(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", F.col("text").cast("string").alias("text"))
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.length("text"))
     found: dict[str, list[str]] = {}
-    for r in rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows_each).orderBy("lang", "k").toLocalIterator():
+    rows = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= rows_each)
+    # No more of a text than is used goes to the driver.
+    for r in rows.withColumn("text", F.substring("text", 1, chars_each)).orderBy("lang", "k").toLocalIterator():
         own = found.setdefault(r["lang"], [])
         if sum(map(len, own)) < chars_each:
             own.append(r["text"])

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, small, stash
+from .common import Own, map_batches, small, stash
 
 #: A token with one of these is variable wherever it stands.
 FIELD = re.compile(r"[\d@]|://")
@@ -146,7 +146,8 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, similarity: float =
     rows with a null doc_id stay whole and count for nothing; rows that repeat a
     doc_id count as one document. Own columns named like results are replaced.
     """
-    docs = docs.drop("n_lines", "n_dropped")
+    own = Own(docs.drop("n_lines", "n_dropped"), "doc_id", "text")
+    docs = own.df
     found, lines = recurring_lines(docs, min_docs, similarity, long_docs)
     gone = lines.select("doc_id", "line").join(small(found), "line").where(F.col("doc_id") != F.col("first"))
     gone = gone.groupBy("doc_id").agg(F.collect_set("line").alias("__gone"))
@@ -171,7 +172,7 @@ def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, similarity: float =
     gone = gone.withColumnRenamed("doc_id", "__doc")
     joined = docs.withColumn("text", F.col("text").cast("string")).join(gone, F.col("doc_id").cast("long") == F.col("__doc"), "left")
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", text string, n_lines long, n_dropped long"
-    return map_batches(joined.select(*docs.columns, "__gone"), schema, fn).select(*docs.columns, "n_lines", "n_dropped")
+    return own.back(map_batches(joined.select(*docs.columns, "__gone"), schema, fn), "n_lines", "n_dropped")
 
 
 def brute_force(docs: dict[int, str | None], min_docs: int = 5, similarity: float = 0.6, long_docs: int = 2) -> dict[int, str | None]:

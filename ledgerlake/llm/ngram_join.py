@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, small, stash, unstash
+from .common import Own, map_batches, small, stash, unstash
 from .components import connected_components
 
 #: Lower end of a band of sizes over its upper end.
@@ -305,7 +305,8 @@ def one_of_each_component(docs: DataFrame, words: int = 5, percent: int = 80) ->
     stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("t") == F.col("first.t"))
     shared = shared.groupBy("doc_id", "t").agg(F.count("*").alias("copies"), F.first(stays).alias("stays"))
     shared = stash(shared.select(F.col("doc_id").alias("__id"), F.col("t").alias("__hash"), "copies", "stays").where("not stays or copies > 1"), "dropped")
+    own = Own(docs, "doc_id", "text")
     text, told = F.xxhash64(F.col("text").cast("binary")), small(shared.select("__id", "__hash", F.struct("stays").alias("__told")))
-    rows = docs.join(told, (text == F.col("__hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
+    rows = own.df.join(told, (text == F.col("__hash")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left")
     once = rows.where("__told.stays").dropDuplicates(["__id", "__hash"])
-    return rows.where("__told is null").unionByName(once).select(*docs.columns)
+    return own.back(rows.where("__told is null").unionByName(once))

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches, stash
+from .common import Own, map_batches, stash
 from .tokens import encoder
 
 #: Pieces that one task ranks at a time, about.
@@ -100,7 +100,8 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     several times: give a stashed table. Columns named like results are replaced.
     """
     spark = pieces.sparkSession
-    pieces = pieces.drop("sequence_id", "offset")
+    given = Own(pieces.drop("sequence_id", "offset"), "doc_id", "piece", "start", "length", "ids_crc32")
+    pieces = given.df
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots, taken, first = [], dict.fromkeys(counts, 0), 0
     for times, bin_ in best_two_fit(counts, capacity):
@@ -121,7 +122,7 @@ def pack(pieces: DataFrame, capacity: int = 2048) -> DataFrame:
     ranked = dealt.withColumn("__k", F.row_number().over(order)).join(before, ["length", "__b"]).withColumn("__k", F.col("__k") - 1 + F.col("before"))
     # At most a few rows for each length and kind of bin: bounded by the capacity, not by the corpus.
     got = ranked.join(F.broadcast(places), "length").where("__k >= lo and __k < hi")
-    return got.select(*pieces.columns, (F.col("first") + F.floor((F.col("__k") - F.col("lo")) / F.col("m"))).cast("long").alias("sequence_id"), (F.col("at") + F.pmod(F.col("__k") - F.col("lo"), F.col("m")) * F.col("length")).alias("offset"))
+    return given.back(got, (F.col("first") + F.floor((F.col("__k") - F.col("lo")) / F.col("m"))).cast("long").alias("sequence_id"), (F.col("at") + F.pmod(F.col("__k") - F.col("lo"), F.col("m")) * F.col("length")).alias("offset"))
 
 
 def pack_documents(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, with_ids: bool = False) -> DataFrame:

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, stash
+from .common import Own, small, stash
 
 KINDS = ("email", "ip", "card", "phone")
 #: The kinds' patterns, with possessive repeats and anchors that start a match only where
@@ -187,14 +187,13 @@ def find_personal_data(docs: DataFrame, support: int = 3, disclosure: float = 0.
     1 an entity seen once is judged too, by the information content of the terms
     of its document. Own columns named like results are replaced.
     """
-    docs = docs.drop("base", "spans")
-    own = docs.columns
-    docs = docs.withColumn("__base", entities(F.col("text")))
+    given = Own(docs.drop("base", "spans"), "doc_id", "text")
+    docs = given.df.withColumn("__base", entities(F.col("text")))
     keyed = docs.withColumn("__key", F.xxhash64("text") if whole else F.xxhash64("doc_id", "text"))
     terms = (_revealing_terms_of_documents if whole else _revealing_terms)(keyed, support, disclosure, removal)
     kept = F.transform("__base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["value"].alias("value")))
     if terms is None:
-        return docs.select(*own, kept.alias("base"), kept.alias("spans"))
+        return given.back(docs, kept.alias("base"), kept.alias("spans"))
     terms = stash(terms, "terms")
     # Only documents with an entity can have terms; the others' texts stay where they are.
     some = keyed.where(F.size("__base") > 0).join(terms if whole else small(terms), "__key", "left")
@@ -204,7 +203,7 @@ def find_personal_data(docs: DataFrame, support: int = 3, disclosure: float = 0.
     hits = F.transform(hits, lambda w: F.struct(w["start"].alias("start"), F.lit(len(KINDS)).alias("rank"), w["end"].alias("end"), F.when(F.array_contains("__gone", F.lower(w["value"])), "gone").otherwise("term").alias("kind"), w["value"].alias("value")))
     every = F.when(F.col("__terms").isNotNull(), F.array_sort(F.concat("__base", hits))).otherwise(F.col("__base"))
     every = F.transform(every, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["value"].alias("value")))
-    return both.select(*own, kept.alias("base"), every.alias("spans"))
+    return given.back(both, kept.alias("base"), every.alias("spans"))
 
 
 def sanitise(found: DataFrame) -> DataFrame:

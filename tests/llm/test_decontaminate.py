@@ -31,12 +31,18 @@ def test_like_brute_force(spark):
 
 
 def test_several_automata_agree(spark, monkeypatch):
-    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
-    items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    one = dc.find_contamination(docs, items).select("doc_id", "n_words", "n_hit", "items", "n_items").collect()
+    """With columns of all working names, and items that overlap in a text."""
+    overlap = " ".join(f"v{k}" for k in range(16))
+    docs = spark.createDataFrame([(k, t, 1, 2, "x", "y", k) for k, t in enumerate([*TEXTS, overlap + " end"])], "doc_id long, text string, hit int, row_id long, __text string, own_0 string, items long")
+    items = spark.createDataFrame([*ITEMS, (7, " ".join(overlap.split()[:11])), (8, " ".join(overlap.split()[5:]))], "item_id long, text string")
+    one = dc.find_contamination(docs, items)
+    assert one.columns == ["doc_id", "text", "hit", "row_id", "__text", "own_0", "n_words", "n_hit", "n_items", "items", "spans", "contaminated"]
+    one = one.collect()
     monkeypatch.setattr(dc, "BLOCK_BYTES", 20)
-    many = dc.find_contamination(docs, items).select("doc_id", "n_words", "n_hit", "items", "n_items").collect()
-    assert sorted(map(tuple, one)) == sorted(map(tuple, many))
+    many = dc.find_contamination(docs, items).collect()
+    assert sorted(map(str, one)) == sorted(map(str, many))
+    last = next(r for r in many if r["doc_id"] == len(TEXTS))
+    assert [(s["start"], s["end"]) for s in last["spans"]] == [(0, len(overlap))] and last["items"] == ["7", "8"]
 
 
 def test_no_items_no_documents(spark):
