@@ -1,125 +1,215 @@
 """Transfer matching: claimed legs that cancel across two accounts.
 
 Legs that can pair have equal absolute amounts and dates at most three days
-apart, so no connected set crosses an (amount, island of dates): consecutive
-dates of one amount that are more than three days apart split it. Each island is
-matched whole, in one grouped pass after one shuffle.
+apart. Days of an amount on which no leg can pair are found from one row for each
+amount and day, and the days left fall into islands that no connected set
+crosses. An island is matched whole, in one pass over sorted partitions; sets in it
+are connected through a few representatives of a day, not through all pairs.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections import defaultdict
+from collections.abc import Iterator
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_GAP = 3
-RESULT = "transaction_id string, state string, basis string, counterpart_transaction_id string, date_gap_days int, legs array<string>, claim_rule_ids array<string>"
+#: What a review of a set that can't be told apart is called (fixed value).
+AMBIGUOUS = "ambiguous-transfer"
+RESULT = "transaction_id string, state string, basis string, counterpart_transaction_id string, counterpart_account_id string, date_gap_days int, set_id string, legs array<string>, claim_rule_ids array<string>"
 
 
 def candidates(legs: DataFrame) -> DataFrame:
     """Pairs ``out_id, in_id, date_gap_days``: opposite amounts, other accounts, near dates, a claim on one side at least.
 
-    ``legs``: undecided transactions with ``claim_rule_ids`` (empty: no claim).
+    ``legs``: undecided transactions with ``claim_rule_ids`` (empty: no claim). An
+    incoming leg is dealt to each day that a partner can have, so the join is by
+    amount and day.
     """
-    named = lambda p: legs.select(*[F.col(c).alias(f"{p}_{c}") for c in ("transaction_id", "account_id", "transaction_date", "amount")], (F.size("claim_rule_ids") > 0).alias(f"{p}_claimed"))
+    named = lambda p: live(legs).select(*[F.col(c).alias(f"{p}_{c}") for c in ("transaction_id", "account_id", "transaction_date", "amount")], (F.size("claim_rule_ids") > 0).alias(f"{p}_claimed"))
     out, into = named("out").where("out_amount < 0"), named("in").where("in_amount > 0")
+    into = into.withColumn("day", F.explode(F.sequence(F.date_sub("in_transaction_date", MAX_GAP), F.date_add("in_transaction_date", MAX_GAP))))
+    out = out.withColumns({"day": F.col("out_transaction_date"), "in_amount": -F.col("out_amount")})
+    both = out.join(into, ["in_amount", "day"]).where("in_account_id <> out_account_id and (out_claimed or in_claimed)")
     gap = F.abs(F.datediff("in_transaction_date", "out_transaction_date"))
-    both = out.join(into, (F.col("in_amount") == -F.col("out_amount")) & (F.col("in_account_id") != F.col("out_account_id")) & (gap <= MAX_GAP) & (F.col("out_claimed") | F.col("in_claimed")))
     return both.select(F.col("out_transaction_id").alias("out_id"), F.col("in_transaction_id").alias("in_id"), gap.alias("date_gap_days"))
 
 
-def islands(legs: DataFrame) -> DataFrame:
-    """Legs that can be in a pair at all, with the ``island`` of dates in their amount."""
-    legs = legs.where("amount <> 0").withColumn("__size", F.abs("amount"))
-    w = Window.partitionBy("__size").orderBy("transaction_date", "transaction_id")
-    new = F.coalesce(F.datediff("transaction_date", F.lag("transaction_date").over(w)) > MAX_GAP, F.lit(True)).cast("int")
-    legs = legs.withColumn("__new", new).withColumn("island", F.sum("__new").over(w)).drop("__new")
-    useful = legs.groupBy("__size", "island").agg(F.bool_or(F.size("claim_rule_ids") > 0).alias("c"), F.bool_or(F.col("amount") > 0).alias("p"), F.bool_or(F.col("amount") < 0).alias("n")).where("c and p and n")
-    return legs.join(useful.select("__size", "island"), ["__size", "island"], "left_semi")
-
-
-def _sets(pairs: list[tuple[int, int]]) -> list[set[int]]:
-    near = defaultdict(set)
-    for a, b in pairs:
-        near[a].add(b)
-        near[b].add(a)
-    out, seen = [], set()
-    for start in near:
-        if start in seen:
-            continue
-        found, queue = {start}, [start]
-        while queue:
-            for x in near[queue.pop()] - found:
-                found.add(x)
-                queue.append(x)
-        seen |= found
-        out.append(found)
-    return out
+def live_days(legs: DataFrame) -> DataFrame:
+    """``size, day, out, into, island``: days of an amount with a leg of either sign that has a partner's day near, a claim on one side at least.
+
+    One row for each amount and day goes into the window, however many legs it has.
+    """
+    claimed, amount = F.size("claim_rule_ids") > 0, F.col("amount")
+    days = legs.where("amount <> 0").groupBy(F.abs("amount").alias("size"), F.col("transaction_date").alias("day")).agg(
+        F.bool_or(amount < 0).alias("o"), F.bool_or(amount > 0).alias("i"), F.bool_or((amount < 0) & claimed).alias("oc"), F.bool_or((amount > 0) & claimed).alias("ic")
+    )
+    near = Window.partitionBy("size").orderBy(F.datediff("day", F.lit("1970-01-01").cast("date"))).rangeBetween(-MAX_GAP, MAX_GAP)
+    seen = {f"near_{c}": F.max(c).over(near) for c in ("o", "i", "oc", "ic")}
+    days = days.withColumns(seen).select(
+        "size", "day", (F.col("o") & F.col("near_i") & (F.col("oc") | F.col("near_ic"))).alias("out"), (F.col("i") & F.col("near_o") & (F.col("ic") | F.col("near_oc"))).alias("into")
+    )
+    w = Window.partitionBy("size").orderBy("day")
+    days = days.where("out or into").withColumn("new", F.coalesce(F.datediff("day", F.lag("day").over(w)) > MAX_GAP, F.lit(True)).cast("int"))
+    return days.withColumn("island", F.sum("new").over(w)).drop("new")
+
+
+def live(legs: DataFrame) -> DataFrame:
+    """Legs that can be in a pair by their amount's days, with ``size`` and ``island``."""
+    rows = legs.withColumns({"size": F.abs("amount"), "day": F.col("transaction_date")}).join(live_days(legs), ["size", "day"])
+    return rows.where((F.col("out") & (F.col("amount") < 0)) | (F.col("into") & (F.col("amount") > 0))).drop("day", "out", "into")
+
+
+class _Sets:
+    """Union-find over nodes that have been linked."""
+
+    def __init__(self) -> None:
+        self.up: dict[tuple, tuple] = {}
 
+    def root(self, x: tuple) -> tuple:
+        self.up.setdefault(x, x)
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
 
-def _match(g: pd.DataFrame) -> pd.DataFrame:
-    """One island, by ascending date gap: single pairs and repeated legs pair, other connected sets are held."""
-    g = g.sort_values(["account_id", "account_sequence"], ignore_index=True)
-    legs = g.to_dict("records")
-    day = [pd.Timestamp(x["transaction_date"]).toordinal() for x in legs]
-    claims = [list(x["claim_rule_ids"]) for x in legs]
-    done: dict[int, dict] = {}
-    same = lambda ks: len({(legs[k]["account_id"], day[k], legs[k]["amount"], legs[k]["description"]) for k in ks}) == 1
+    def link(self, x: tuple, y: tuple) -> None:
+        self.up[self.root(x)] = self.root(y)
+
+
+def _link(sets: _Sets, outs: dict, ins: dict) -> None:
+    """Link nodes ``{account: node}`` of different accounts: each with three of the other side at most.
+
+    Of three accounts two at least differ from any given one, and any two of three
+    share a partner among three of the other side; so nothing is left apart that
+    all pairs would connect.
+    """
+    few_outs, few_ins = (list(x.items())[:3] for x in (outs, ins))
+    for account, node in outs.items():
+        for other, partner in few_ins:
+            if account != other:
+                sets.link(node, partner)
+    for account, node in ins.items():
+        for other, partner in few_outs:
+            if account != other:
+                sets.link(node, partner)
+
+
+def _hash(*parts: str) -> str:
+    return hashlib.sha256(json.dumps(parts, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+
+
+def _island(legs: list[dict]) -> list[tuple]:
+    """By ascending date gap: single pairs and repeated legs pair, other connected sets are held. ``legs`` come in account order."""
+    done: set[int] = set()
+    out: list[tuple] = []
+    day = [x["transaction_date"].toordinal() for x in legs]
+    alike = lambda ks: len({(legs[k]["account_id"], day[k], legs[k]["description"]) for k in ks}) == 1
     for gap in range(MAX_GAP + 1):
-        outs = defaultdict(list)
+        # A node: the free legs of one sign, day, account and claim; they have the same partners.
+        nodes: dict[tuple, list[int]] = defaultdict(list)
         for k, x in enumerate(legs):
-            if k not in done and x["amount"] < 0:
-                outs[day[k]].append(k)
-        pairs = []
-        for k, x in enumerate(legs):
-            if k in done or x["amount"] < 0:
+            if k not in done:
+                nodes[x["amount"] < 0, day[k], bool(x["claim_rule_ids"]), x["account_id"]].append(k)
+        by_day: dict[tuple, dict] = defaultdict(dict)
+        for node in nodes:
+            by_day[node[:3]][node[3]] = node
+        sets = _Sets()
+        for is_out, d, claimed in list(by_day):
+            if not is_out:
                 continue
-            for d in {day[k] - gap, day[k] + gap}:
-                pairs += [(o, k) for o in outs[d] if legs[o]["account_id"] != x["account_id"] and (claims[o] or claims[k])]
-        for found in _sets(pairs):
-            neg, pos = (sorted(k for k in found if (legs[k]["amount"] < 0) == s) for s in (True, False))
-            if len(neg) == len(pos) == 1:
-                got, basis = [(neg[0], pos[0])], "same_day" if gap == 0 else "date_gap"
-            elif same(neg) and same(pos):
-                got, basis = list(zip(neg, pos, strict=False)), "repeated_legs"
+            for e in {d - gap, d + gap}:
+                for other in (True, False):
+                    if (claimed or other) and (False, e, other) in by_day:
+                        _link(sets, by_day[True, d, claimed], by_day[False, e, other])
+        found: dict[tuple, list[int]] = defaultdict(list)
+        for node in list(sets.up):
+            found[sets.root(node)] += nodes[node]
+        for ks in found.values():
+            ks.sort()
+            outs, ins = [k for k in ks if legs[k]["amount"] < 0], [k for k in ks if legs[k]["amount"] > 0]
+            single = len(outs) == len(ins) == 1
+            if single or (alike(outs) and alike(ins)):
+                basis = "repeated_legs" if not single else "date_gap" if gap else "same_day"
+                for a, b in zip(outs, ins, strict=False):
+                    ids = sorted([legs[a]["transaction_id"], legs[b]["transaction_id"]])
+                    rules = sorted({*legs[a]["claim_rule_ids"], *legs[b]["claim_rule_ids"]})
+                    for x, y in ((a, b), (b, a)):
+                        done.add(x)
+                        out.append((legs[x]["transaction_id"], "paired", basis, legs[y]["transaction_id"], legs[y]["account_id"], gap, _hash(*ids), ids, rules))
             else:
-                ids = [legs[k]["transaction_id"] for k in sorted(found)]
-                rules = sorted({r for k in found for r in claims[k]})
-                done |= {k: {"state": "ambiguous", "basis": None, "other": None, "gap": None, "legs": ids, "rules": rules} for k in found}
-                continue
-            for o, i in got:
-                rules = sorted({*claims[o], *claims[i]})
-                ids = sorted([legs[o]["transaction_id"], legs[i]["transaction_id"]])
-                for a, b in ((o, i), (i, o)):
-                    done[a] = {"state": "paired", "basis": basis, "other": legs[b]["transaction_id"], "gap": gap, "legs": ids, "rules": rules}
-    rows = [(legs[k]["transaction_id"], x["state"], x["basis"], x["other"], x["gap"], x["legs"], x["rules"]) for k, x in done.items()]
-    out = pd.DataFrame(rows, columns=["transaction_id", "state", "basis", "counterpart_transaction_id", "date_gap_days", "legs", "claim_rule_ids"])
-    out["date_gap_days"] = out["date_gap_days"].astype("Int32")
+                ids = [legs[k]["transaction_id"] for k in ks]
+                rules = sorted({r for k in ks for r in legs[k]["claim_rule_ids"]})
+                name = _hash(AMBIGUOUS, *ids)
+                done.update(ks)
+                # The set's members are listed once, with its first leg.
+                out += [(legs[k]["transaction_id"], "ambiguous", None, None, None, None, name, ids if k == ks[0] else None, rules) for k in ks]
     return out
 
 
 def match(legs: DataFrame) -> DataFrame:
-    """Paired and ambiguous legs of undecided transactions; ``legs`` of a pair are its sorted ids, of an ambiguous set all."""
-    rows = islands(legs).select("__size", "island", "transaction_id", "account_id", "account_sequence", "transaction_date", "amount", "description", "claim_rule_ids")
-    return rows.groupBy("__size", "island").applyInPandas(_match, RESULT)
+    """Paired and ambiguous legs of undecided transactions, by ``transaction_id``.
+
+    ``set_id`` names a pair (a hash of its sorted ids) or an ambiguous set (its
+    review's id); ``legs`` are a pair's sorted ids, or all of an ambiguous set's in
+    account order, on its first leg only.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    columns = ["transaction_id", "account_id", "account_sequence", "transaction_date", "amount", "description", "claim_rule_ids"]
+    schema = to_arrow_schema(_parse_datatype_string(RESULT))
+    account = dict(legs.dtypes)["account_id"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for b in batches for row in b.to_pylist())
+        out: list[tuple] = []
+        for _, group in groupby(rows, key=lambda r: (r["size"], r["island"])):
+            out += _island(list(group))
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+                out = []
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+
+    rows = live(legs).select("size", "island", *columns).withColumn("account_id", F.col("account_id").cast("string"))
+    order = F.col("account_id") if account == "string" else F.col("account_id").cast(account)
+    rows = rows.repartition("size", "island").sortWithinPartitions("size", "island", order, "account_sequence")
+    return rows.mapInArrow(run, RESULT).withColumn("counterpart_account_id", F.col("counterpart_account_id").cast(account))
 
 
 def unmatched_reason(legs: DataFrame, accounts: DataFrame, history: DataFrame) -> DataFrame:
     """Why a claimed leg has no pair: another account, open three days before it, may not be imported up to three days after it.
 
-    Only each account's latest date and closing date are compared: of every
-    account but the leg's own, whether any has the one too early and the other too
-    late. The two smallest latest dates of each closing date answer that.
+    Only each account's latest date and closing date matter: of every account but
+    the leg's own, whether any has the one too early and the other too late. For
+    each day of a leg the two accounts that were imported least answer that; they
+    come from two accounts for each closing date, a table with a row for a day at most.
     """
     latest = history.groupBy("account_id").agg(F.max("transaction_date").alias("latest"))
     known = accounts.select("account_id", "closed_on").join(latest, "account_id", "left")
-    known = known.withColumn("latest", F.coalesce("latest", F.lit("0001-01-01").cast("date"))).withColumn("closed_on", F.coalesce("closed_on", F.lit("9999-12-31").cast("date")))
+    known = known.withColumns({"latest": F.coalesce("latest", F.lit("0001-01-01").cast("date")), "closed_on": F.coalesce("closed_on", F.lit("9999-12-31").cast("date"))})
+    least = F.array_sort(F.slice(F.array_sort(F.collect_set(F.struct("latest", "account_id"))), 1, 2))
+    # Two rows of each closing date and latest date, then two of each closing date: no list is long.
     w = Window.partitionBy("closed_on").orderBy("latest", "account_id")
-    few = known.withColumn("k", F.row_number().over(w)).where("k <= 2").select(F.col("account_id").alias("other"), "latest", "closed_on")
-    far = (F.col("other") != F.col("account_id")) & (F.col("closed_on") >= F.date_sub("transaction_date", MAX_GAP)) & (F.col("latest") < F.date_add("transaction_date", MAX_GAP))
-    # Two rows for each closing date: few where accounts stay open.
-    late = legs.join(F.broadcast(few), far, "left_semi").select("transaction_id").withColumn("late", F.lit(True))
-    reason = F.when(F.col("late"), "counterpart-may-not-be-imported").otherwise("no-candidate")
-    return legs.join(late, "transaction_id", "left").select("transaction_id", reason.alias("reason"))
+    few = known.withColumn("k", F.row_number().over(w)).where("k <= 2").groupBy("closed_on").agg(least.alias("least"))
+    closings = sorted(((r["closed_on"], [tuple(x) for x in r["least"]]) for r in few.collect()), reverse=True)
+    days = sorted((r["day"] for r in legs.select(F.col("transaction_date").alias("day")).distinct().collect()), reverse=True)
+    rows, best, at = [], [], 0
+    for d in days:
+        while at < len(closings) and closings[at][0].toordinal() >= d.toordinal() - MAX_GAP:
+            best = sorted(best + closings[at][1])[:2]
+            at += 1
+        rows.append((d, *(x for pair in (best + [(None, None)] * 2)[:2] for x in pair)))
+    kind = dict(accounts.dtypes)["account_id"]
+    told = legs.sparkSession.createDataFrame(rows, f"transaction_date date, l1 date, a1 {kind}, l2 date, a2 {kind}")
+    first = F.when(F.col("a1") == F.col("account_id"), F.col("l2")).otherwise(F.col("l1"))
+    late = F.coalesce(first < F.date_add("transaction_date", MAX_GAP), F.lit(False))
+    reason = F.when(late, "counterpart-may-not-be-imported").otherwise("no-candidate")
+    return legs.join(told, "transaction_date").select("transaction_id", reason.alias("reason"))

@@ -271,7 +271,7 @@ def transfer_candidates(v: Views) -> DataFrame:
 def transfer_match(v: Views) -> DataFrame:
     """Staged by date gap and connected sets: no SQL; tested against a plain version."""
     got = transfers.match(_legs(v))
-    return got.select("transaction_id", "state", "basis", "counterpart_transaction_id", "date_gap_days", F.array_join("legs", ",").alias("legs"), F.array_join("claim_rule_ids", ",").alias("claim_rule_ids"))
+    return got.select("transaction_id", "state", "basis", "counterpart_transaction_id", "date_gap_days", "set_id", F.array_join("legs", ",").alias("legs"), F.array_join("claim_rule_ids", ",").alias("claim_rule_ids"))
 
 
 @query(f"""WITH a AS (SELECT account_id, max(transaction_date) AS latest, CASE WHEN account_id % 4 = 0 THEN DATE '2024-01-15' END AS closed_on FROM feed GROUP BY 1)
