@@ -2,68 +2,18 @@
 
 from __future__ import annotations
 
-import os
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
-from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows up to which a side of a join may be broadcast, where its rows are of fixed small width.
-BROADCAST_ROWS = 400_000
-
-
-def prepare(spark: SparkSession) -> SparkSession:
-    """Let workers on this machine import the package; on a cluster it is installed or shipped."""
-    root = str(Path(__file__).resolve().parents[2])
-    path = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in path.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, path) if x)
-    return spark
+from ..session import BROADCAST_ROWS, importable, shared_dir, small, stash, unstash
 
+__all__ = ["BROADCAST_ROWS", "Own", "map_batches", "shared_dir", "small", "stash", "table", "unstash"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; only a local session, as in tests, may leave it unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not re.match(r"local(\[|$)", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = f"{tempfile.gettempdir()}/checkpoints/ledgerlake"
-    return found.rstrip("/")
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/ledgerlake-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stash_path = path
-    return out
-
-
-def unstash(*frames: DataFrame) -> None:
-    """Delete stashed tables that nothing reads any more."""
-    for df in frames:
-        path = getattr(df, "_stash_path", None)
-        if path:
-            spark = df.sparkSession
-            p = spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def small(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """``df``, broadcast if a count shows that it is within ``limit`` rows; else Spark shuffles it."""
-    n = df.count() if rows is None else rows
-    return F.broadcast(df) if n <= limit else df
+    return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 class Own:
