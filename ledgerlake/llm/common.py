@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..session import BROADCAST_ROWS, importable, shared_dir, small, stash, unstash
 
-__all__ = ["BROADCAST_ROWS", "Own", "map_batches", "shared_dir", "small", "stash", "table", "unstash"]
+__all__ = ["BROADCAST_ROWS", "Own", "dropped_by_others", "map_batches", "shared_dir", "small", "stash", "table", "unstash"]
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return importable(spark).read.parquet(f"{sf_dir}/{name}.parquet")
@@ -28,6 +28,24 @@ class Own:
         return df.select(*[F.col(self.names[c]).alias(c) for c in self.columns], *made)
 
 
+#: What workers keep from batch to batch, as functions that drop it, and the module whose tasks a worker ran last.
+_DROPS: list[Callable[[], None]] = []
+_last = [""]
+
+
+def dropped_by_others(drop: Callable[[], None]) -> None:
+    """Have ``drop`` called where a worker process starts on another operator's tasks: memos of several don't add up."""
+    _DROPS.append(drop)
+
+
+def _starts(fn: Callable) -> None:
+    module = getattr(fn, "func", fn).__module__
+    if _last[0] != module:
+        for drop in _DROPS:
+            drop()
+        _last[0] = module
+
+
 def map_batches(
     df: DataFrame, schema: str, fn: Callable[[Iterator[dict[str, list]]], Iterable[dict[str, list]]], rows: int = 512
 ) -> DataFrame:
@@ -38,6 +56,8 @@ def map_batches(
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _starts(fn)
+
         def lists() -> Iterator[dict[str, list]]:
             for b in batches:
                 for at in range(0, b.num_rows, rows):

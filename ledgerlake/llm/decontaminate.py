@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Own, map_batches
+from .common import Own, dropped_by_others, map_batches
 
 #: Bytes: A-Z to a-z, 0-9 and a-z and all of non-ASCII stay, the rest becomes a space.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -47,6 +47,9 @@ def automaton(items: tuple[tuple[int, bytes], ...], window: int) -> ahocorasick.
     return auto
 
 
+dropped_by_others(automaton.cache_clear)
+
+
 def scan(text: bytes, auto: ahocorasick.Automaton) -> tuple[int, list[int], set[int]]:
     """Words of a text, the hit ones' numbers, and the items with an occurring window."""
     plain = normal(text)

@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import dropped_by_others, map_batches
 
 SEGMENT = 512
 #: Letters that have a symbol of their own; rarer ones of the references are written as numbers in ``DIGITS`` further symbols.
@@ -165,6 +165,9 @@ def parser(references: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(references)
 
 
+dropped_by_others(parser.cache_clear)
+
+
 def learn(docs: DataFrame, usable: Column, rows_each: int = ROWS_EACH, chars_each: int = CHARS_EACH) -> tuple[tuple[str, str], ...]:
     """``(language, reference)`` from rows with a text and a language for which ``usable`` holds.
 

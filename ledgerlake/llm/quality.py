@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import dropped_by_others, map_batches
 
 WORDS, STATS = 1 << 14, 1 << 10
 FEATURES = WORDS + STATS
@@ -26,6 +26,7 @@ FACTORS = 8
 TRAINING_ROWS = 6_000
 MEMO = 400_000
 _places: dict[str, int] = {}
+dropped_by_others(_places.clear)
 
 
 def _place(word: str) -> int:

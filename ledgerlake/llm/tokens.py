@@ -17,6 +17,8 @@ from functools import lru_cache
 
 import numpy as np
 
+from .common import dropped_by_others
+
 #: Parts and pieces kept for each worker process, and their longest; once full, further ones are encoded anew for each batch.
 MEMO_PARTS, MEMO_WORDS, MEMO_CHARS = 600_000, 300_000, 64
 CUT = re.compile(r" (?=\S)")
@@ -117,6 +119,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+dropped_by_others(encoder.cache_clear)
+
+
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
 
