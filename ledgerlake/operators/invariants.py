@@ -17,12 +17,12 @@ def violations(transactions: DataFrame, allocations: DataFrame, categories: Data
     w = Window.partitionBy("account_id").orderBy("account_sequence")
     ordered = transactions.withColumns({"__k": F.row_number().over(w), "__d": F.lag("transaction_date").over(w)})
     both = allocations.alias("a").join(transactions.alias("t"), "transaction_id", "left")
-    of = allocations.join(F.broadcast(categories.select("category_id", "direction")), "category_id", "left").select("transaction_id", "direction", F.col("amount").alias("part"))
+    of = allocations.join(categories.select("category_id", "direction"), "category_id", "left").select("transaction_id", "direction", F.col("amount").alias("part"))
     typed = transactions.join(of, "transaction_id", "left")
     wrong = ((kind == "income") & ((F.col("direction") != "income") | (amount <= 0))) | ((kind == "expense") & ((F.col("direction") != "expense") | (amount >= 0)))
     reverse = (kind == "refund") & (((F.col("direction") == "income") & (amount >= 0)) | ((F.col("direction") == "expense") & (amount <= 0)))
     groups = transactions.where("transfer_group_id is not null").groupBy("transfer_group_id").agg(F.count("*").alias("n"), F.count_distinct("account_id").alias("accounts"), F.sum("amount").alias("total"))
-    closed = transactions.join(F.broadcast(accounts.select("account_id", "closed_on")), "account_id").where("transaction_date > closed_on")
+    closed = transactions.join(accounts.select("account_id", "closed_on"), "account_id").where("transaction_date > closed_on")
     parts = [
         say(ordered.where((F.col("__k") != F.col("account_sequence")) | (F.col("transaction_date") < F.col("__d"))), "sequence"),
         say(both.where((F.col("t.amount").isNull()) | (F.col("a.amount") != F.col("t.amount"))), "allocation-equals-transaction"),

@@ -13,7 +13,7 @@ from ..functions.columns import TOTAL, sum_if
 
 def measured(transactions: DataFrame, allocations: DataFrame, categories: DataFrame) -> DataFrame:
     """``measure`` of each transaction: income, expense, or for a refund its category's direction."""
-    of = allocations.join(F.broadcast(categories.select("category_id", "direction")), "category_id").groupBy("transaction_id").agg(F.max("direction").alias("__direction"))
+    of = allocations.join(categories.select("category_id", "direction"), "category_id").groupBy("transaction_id").agg(F.max("direction").alias("__direction"))
     rows = transactions.join(of, "transaction_id", "left")
     kind = F.col("transaction_type")
     return rows.withColumn("measure", F.when(kind == "refund", F.col("__direction")).when(kind.isin("income", "expense"), kind)).drop("__direction")
@@ -36,13 +36,13 @@ def figures(rows: DataFrame, *by: str) -> DataFrame:
 
 def category_spending(allocations: DataFrame, categories: DataFrame, *by: str) -> DataFrame:
     """Spending of the expense-direction categories, refunds taken off; it may be negative."""
-    rows = allocations.join(F.broadcast(categories.where("direction = 'expense'").select("category_id", "group_id")), "category_id")
+    rows = allocations.join(categories.where("direction = 'expense'").select("category_id", "group_id"), "category_id")
     return rows.groupBy(*by, "group_id", "category_id").agg((-F.sum("amount")).cast(TOTAL).alias("spending"))
 
 
 def group_rollup(allocations: DataFrame, categories: DataFrame) -> DataFrame:
     """Spending by category, by group and in all, from one pass; ``level`` 0, 1, 3."""
-    rows = allocations.join(F.broadcast(categories.where("direction = 'expense'").select("category_id", "group_id")), "category_id")
+    rows = allocations.join(categories.where("direction = 'expense'").select("category_id", "group_id"), "category_id")
     return rows.rollup("group_id", "category_id").agg((-F.sum("amount")).cast(TOTAL).alias("spending"), F.grouping_id().cast("int").alias("level"))
 
 
@@ -88,7 +88,7 @@ def month_measures(rows: DataFrame, allocations: DataFrame, categories: DataFram
     got = figures(rows, "account_id", "month")
     names = ["income", "expenses", "unclassified_in", "unclassified_out"]
     flat = got.select("account_id", "month", F.explode(F.array(*[F.struct(F.lit("figure").alias("kind"), F.lit(n).alias("name"), F.col(n).cast(TOTAL).alias("value")) for n in names])).alias("m")).select("account_id", "month", "m.*")
-    owned = allocations.join(F.broadcast(categories.select("category_id", "group_id")), "category_id")
+    owned = allocations.join(categories.select("category_id", "group_id"), "category_id")
     sums = owned.groupBy("account_id", "month", "group_id", "category_id").agg(F.sum("amount").cast(TOTAL).alias("value"))
     by_category = sums.select("account_id", "month", F.lit("category").alias("kind"), F.col("category_id").alias("name"), "value")
     by_group = sums.groupBy("account_id", "month", "group_id").agg(F.sum("value").cast(TOTAL).alias("value"))

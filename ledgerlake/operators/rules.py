@@ -106,7 +106,7 @@ def classify(rows: DataFrame, rules: Sequence[Rule], categories: DataFrame) -> D
     kind = F.substring_index("__what", ":", 1)
     value = F.substring(F.col("__what"), F.instr("__what", ":") + 1, F.length("__what"))
     rows = rows.withColumn("__kind", F.coalesce(kind, F.lit("none"))).withColumn("__category", F.when(kind == "category", value))
-    rows = rows.join(F.broadcast(categories.select(F.col("category_id").alias("__category"), "direction")), "__category", "left")
+    rows = rows.join(categories.select(F.col("category_id").alias("__category"), "direction"), "__category", "left")
     made = derived_type(F.col("direction"), F.col("amount"))
     kind = F.col("__kind")
     good = (kind == "category") & (made != "unknown")

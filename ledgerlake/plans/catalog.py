@@ -42,6 +42,13 @@ class Catalog:
     def publications(self) -> DataFrame:
         return self._log("publications", PUBLICATIONS)
 
+    def readable(self) -> DataFrame:
+        """Publications that can still be opened: those that retention hasn't deleted, with whether they are current."""
+        gone = self._log("deleted", "publication_id long")
+        last = self._last()
+        now = F.lit(last["to_id"] if last else None).cast("long")
+        return self.publications.join(gone, "publication_id", "left_anti").withColumn("is_current", F.coalesce(F.col("publication_id") == now, F.lit(False)))
+
     @property
     def moves(self) -> DataFrame:
         return self._log("pointer_moves", MOVES)
@@ -61,20 +68,36 @@ class Catalog:
         made = self.spark.createDataFrame(row, "move long, from_id long, to_id long").withColumn("moved_at", F.current_timestamp())
         made.coalesce(1).write.mode("append").parquet(f"{self.root}/pointer_moves")
 
-    def publish(self, tables: dict[str, DataFrame], recipe: str, label: str | None = None) -> int | None:
-        """Write a new publication and point to it; None, and nothing written, if the current one has the same recipe."""
+    def publish(self, tables: dict[str, DataFrame], recipe: str, label: str | None = None, partitions: dict[str, list[str]] | None = None) -> int | None:
+        """Write a new publication and point to it; None, and nothing written, if the current one has the same recipe.
+
+        ``partitions``: columns by which a table's files are dealt out. A publisher
+        takes its id by making a folder that nobody else can make, so two that run at
+        once get two ids.
+        """
         last = self._last()
         if last is not None and not self.publications.where((F.col("publication_id") == last["to_id"]) & (F.col("recipe") == recipe)).isEmpty():
             return None
         top = self.publications.agg(F.max("publication_id")).first()[0]
         new = max(top or 0, self._boundary()) + 1
+        while not self._taken(new):
+            new += 1
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.root}/{name}/publication_id={new}")
+            by = (partitions or {}).get(name, [])
+            if by:
+                df = df.repartition(*by)
+            df.write.partitionBy(*by).parquet(f"{self.root}/{name}/publication_id={new}")
         made = self.spark.createDataFrame([(new, recipe, label)], "publication_id long, recipe string, label string").withColumn("built_at", F.current_timestamp())
         made.coalesce(1).write.mode("append").parquet(f"{self.root}/publications")
         self._move(new)
         return new
 
+    def _taken(self, publication_id: int) -> bool:
+        """Whether this publisher got the id: a file that exists isn't made again."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/taken/{publication_id}")
+        fs = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return fs.createNewFile(path)
+
     def _boundary(self) -> int:
         found = self._log("recovery_boundaries", "boundary long").agg(F.max("boundary")).first()[0]
         return (found or 1) - 1
@@ -109,11 +132,13 @@ class Catalog:
         """Publications that are neither current, nor previous, nor labelled."""
         last = self._last()
         kept = [x for x in ((last["to_id"], last["from_id"]) if last else ()) if x is not None]
-        return sorted(r[0] for r in self.publications.where(F.col("label").isNull() & ~F.col("publication_id").isin(kept)).select("publication_id").collect())
+        return sorted(r[0] for r in self.readable().where(F.col("label").isNull() & ~F.col("publication_id").isin(kept)).select("publication_id").collect())
 
     def retain(self, tables: list[str]) -> list[int]:
-        """Delete the stale publications' folders; their rows in the log stay."""
+        """Delete the stale publications' folders; their rows in the log stay, and ``deleted`` names them first."""
         gone = self.stale()
+        if gone:
+            self.spark.createDataFrame([(k,) for k in gone], "publication_id long").coalesce(1).write.mode("append").parquet(f"{self.root}/deleted")
         for k in gone:
             for name in tables:
                 p = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}/publication_id={k}")

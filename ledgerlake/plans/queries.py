@@ -245,7 +245,7 @@ def allocations(v: Views) -> DataFrame:
 
 @query("""SELECT transaction_type, direction, count(*) AS n, CAST(sum(amount) AS DECIMAL(38,2)) AS total FROM transactions t JOIN categories c ON t.category_id = c.category_id GROUP BY ALL""")
 def derived_type(v: Views) -> DataFrame:
-    rows = v.transactions.drop("transaction_type").join(F.broadcast(v.categories), "category_id")
+    rows = v.transactions.drop("transaction_type").join(v.categories, "category_id")
     rows = rows.withColumn("transaction_type", C.derived_type(F.col("direction"), F.col("amount")))
     return rows.groupBy("transaction_type", "direction").agg(F.count("*").alias("n"), F.sum("amount").cast(C.TOTAL).alias("total"))
 
@@ -311,15 +311,6 @@ def activity_rows(v: Views) -> DataFrame:
     return rows.select("transaction_id", F.col("__other.transaction_id").alias("other"), F.col("__other.account_id").alias("counterpart_account_id"))
 
 
-@query("""SELECT a.transaction_id, a.account_id, owner_id, a.transaction_date, CAST(-a.amount AS DECIMAL(38,2)) AS spending, t.description FROM allocations a JOIN categories c ON a.category_id = c.category_id JOIN transactions t ON t.transaction_id = a.transaction_id JOIN accounts o ON o.account_id = a.account_id
-  WHERE group_id = 'SMALL' AND a.transaction_date BETWEEN DATE '1998-01-01' AND DATE '1998-06-30'""")
-def spending_detail(v: Views) -> DataFrame:
-    day = F.col("transaction_date").between(F.lit("1998-01-01").cast("date"), F.lit("1998-06-30").cast("date"))
-    rows = v.allocations.where(day).join(F.broadcast(v.categories.where("group_id = 'SMALL'")), "category_id").select("transaction_id", "account_id", "transaction_date", "amount")
-    rows = rows.join(v.transactions.where(day).select("transaction_id", "description"), "transaction_id").join(v.accounts.select("account_id", "owner_id"), "account_id")
-    return rows.select("transaction_id", "account_id", "owner_id", "transaction_date", (-F.col("amount")).cast(C.TOTAL).alias("spending"), "description")
-
-
 def _halves(v: Views) -> tuple[DataFrame, DataFrame]:
     """Two publications: the second lacks some rows and has some others' amounts doubled."""
     size = F.length("transaction_id") % 7
@@ -346,26 +337,6 @@ def publication_diff(v: Views) -> DataFrame:
     return measures.compare(*_halves(v)).withColumn("month", C.month_text("month"))
 
 
-REVIEWS = "SELECT DISTINCT concat(transaction_type, ':', account_id, ':', {m}) AS item FROM transactions WHERE transaction_type IN ('unknown', 'adjustment')"
-
-
-@query(f"""SELECT item, 'closed' AS change FROM ({REVIEWS.format(m='account_id % 5')}) a WHERE item NOT IN (SELECT item FROM ({REVIEWS.format(m='account_id % 7')}))
-UNION ALL SELECT item, 'opened' FROM ({REVIEWS.format(m='account_id % 7')}) b WHERE item NOT IN (SELECT item FROM ({REVIEWS.format(m='account_id % 5')}))""")
-def reviews_opened_closed(v: Views) -> DataFrame:
-    rows = v.transactions.where("transaction_type in ('unknown', 'adjustment')")
-    item = lambda k: rows.select(F.concat_ws(":", "transaction_type", "account_id", F.col("account_id") % k).alias("item")).distinct()
-    a, b = item(5), item(7)
-    return a.join(b, "item", "left_anti").withColumn("change", F.lit("closed")).unionByName(b.join(a, "item", "left_anti").withColumn("change", F.lit("opened")))
-
-
-@query("""SELECT t.transaction_id, owner_id, t.transaction_date, CAST(t.amount AS DECIMAL(38,2)) AS amount FROM transactions t JOIN accounts a ON a.account_id = t.account_id WHERE t.transaction_type = 'unknown'
-  AND EXISTS (SELECT 1 FROM transactions u WHERE u.account_id = t.account_id AND u.month = t.month AND u.transaction_type = 'transfer')""")
-def review_targets(v: Views) -> DataFrame:
-    near = v.transactions.where("transaction_type = 'transfer'").select("account_id", "month").distinct()
-    rows = v.transactions.where("transaction_type = 'unknown'").join(near, ["account_id", "month"], "left_semi")
-    return rows.join(v.accounts.select("account_id", "owner_id"), "account_id").select("transaction_id", "owner_id", "transaction_date", F.col("amount").cast(C.TOTAL).alias("amount"))
-
-
 @query("SELECT concat_ws('-', account_id, 'x') AS publication FROM accounts WHERE account_id NOT IN (SELECT account_id FROM exports WHERE import_run_id LIKE '%-c') AND account_id <> (SELECT max(account_id) FROM accounts)")
 def retained_results(v: Views) -> DataFrame:
     last = v.accounts.agg(F.max("account_id").alias("account_id"))
@@ -388,7 +359,7 @@ def payload_conflicts(v: Views) -> DataFrame:
 
 @query("""SELECT h.transaction_id, h.transaction_date, coalesce(c.group_id, '-') AS group_id FROM transactions h LEFT JOIN categories c ON c.category_id = h.category_id WHERE contains(lower(description), 'blue ring') AND month = DATE '1998-03-01'""")
 def find(v: Views) -> DataFrame:
-    rows = finding.find(v.transactions, "BLUE Ring", month="1998-03-01").join(F.broadcast(v.categories), "category_id", "left")
+    rows = finding.find(v.transactions, "BLUE Ring", month="1998-03-01").join(v.categories, "category_id", "left")
     return rows.select("transaction_id", "transaction_date", F.coalesce("group_id", F.lit("-")).alias("group_id"))
 
 
@@ -419,20 +390,6 @@ def label_direction(v: Views) -> DataFrame:
     return finding.label_directions(_pairs(v))
 
 
-@query("SELECT strftime(min(month), '%Y-%m') AS first_month, '2001-09' AS last_month, count(DISTINCT account_id) AS accounts FROM spine")
-def selection_range(v: Views) -> DataFrame:
-    got = _spine(v).agg(F.min("month").alias("m"), F.count_distinct("account_id").alias("accounts"))
-    return got.select(C.month_text("m").alias("first_month"), F.lit("2001-09").alias("last_month"), "accounts")
-
-
-@query(f"""SELECT j.account_id, strftime(j.month, '%Y-%m') AS month, j.coverage, j.settled AS late_bookings_settled, coalesce(n, 0) AS unclassified FROM ({JUDGED}) j LEFT JOIN (SELECT account_id, month, count(*) AS n FROM transactions WHERE transaction_type = 'unknown' GROUP BY 1, 2) u ON u.account_id = j.account_id AND u.month = j.month WHERE j.month BETWEEN DATE '2000-09-01' AND DATE '2001-08-01'""")
-def completeness(v: Views) -> DataFrame:
-    rows = _coverage(v).join(coverage.late_bookings(_spine(v), v.exports), ["account_id", "month"])
-    judged = coverage.account_months(rows, v.accounts, "2000-09-01", "2001-08-01")
-    unknown = v.transactions.where("transaction_type = 'unknown'").groupBy("account_id", "month").agg(F.count("*").alias("n"))
-    return judged.join(unknown, ["account_id", "month"], "left").select("account_id", C.month_text("month").alias("month"), "coverage", "late_bookings_settled", F.coalesce("n", F.lit(0)).cast("long").alias("unclassified"))
-
-
 @query("""SELECT account_id, count(*) FILTER (booking_status = 'booked') AS booked, count(*) FILTER (booking_status = 'pending') AS pending, count(*) FILTER (booking_status = 'cancelled') AS cancelled FROM feed GROUP BY 1""")
 def outcome_pivot(v: Views) -> DataFrame:
     states = ["booked", "pending", "cancelled"]

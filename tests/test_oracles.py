@@ -6,7 +6,7 @@ import decimal
 import duckdb
 import pytest
 
-from ledgerlake.plans.queries import ORACLES, QUERIES
+from ledgerlake.plans.gold_queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
