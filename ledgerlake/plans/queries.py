@@ -488,7 +488,7 @@ def bank_csv_parse(v: Views) -> DataFrame:
     files = v.feed.groupBy("account_id").agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("rows"))
     body = F.concat_ws("\n", F.lit(head), F.transform("rows", lambda r: r["line"]))
     payloads = files.select(F.col("account_id").cast("string").alias("payload_id"), F.lit("danske-csv-v1").alias("source_format"), F.encode(body, "ISO-8859-1").alias("content"))
-    typed = silver.typed_records(bank_csv.parse_payloads(payloads).where("reason is null").drop("reason", "source_format"))
+    typed = silver.typed_records(bank_csv.parse_payloads(payloads).where("reason is null").drop("reason", "source_format", "first_date", "last_date"))
     return typed.select(F.col("payload_id").cast("long").alias("account_id"), "record_ordinal", "transaction_date", F.col("amount").cast("decimal(18,2)").alias("amount"))
 
 

@@ -21,78 +21,107 @@ def export(*rows, head=HEAD):
 
 
 def test_parser():
-    good, fault = bank_csv.parse_danske(export(("01.03.2026", 'say ""hi""', "-1.045,00", "955,00", "Udført", "Nej")))
-    assert fault is None and good[0]["Tekst"] == 'say "hi"' and good[0]["Beløb"] == "-1.045,00"
-    for bad, word in ((b"\x81", "1252"), (b'"a","b"\n', "header"), (HEAD.encode("cp1252") + b'\n"01.03.2026","x"\n', "fields"), (HEAD.encode("cp1252") + b'\n01.03.2026\n', "quoted"), (export(("31.02.2026", "", "", "", "", "")), "date")):
-        assert word in bank_csv.parse_danske(bad)[1]
+    good, span, fault = bank_csv.parse_danske(export(("09.07.2031", 'kig ""ind""', "-2.310,75", "689,25", "Udført", "Nej"), ("07.07.2031", "x", "1,00", "2,00", "Udført", "Nej")))
+    assert fault is None and good[0]["Tekst"] == 'kig "ind"' and good[0]["Beløb"] == "-2.310,75" and span == (date(2031, 7, 7), date(2031, 7, 9))
+    for bad, word in ((b"\x81", "1252"), (b'"a","b"\n', "header"), (HEAD.encode("cp1252") + b'\n"09.07.2031","x"\n', "fields"), (HEAD.encode("cp1252") + b"\n09.07.2031\n", "quoted"), (b"", "header"), (HEAD.encode("cp1252") + b'\n"09.07.2031",\n', "quoted")):
+        assert word in bank_csv.parse_danske(bad)[2]
+    for day in ("31.06.2031", "9.7.2031", "09-07-2031", ""):
+        assert "date" in bank_csv.parse_danske(export((day, "", "", "", "", "")))[2]
+
+
+@pytest.mark.parametrize("delimiter", [",", ";"])
+@pytest.mark.parametrize("ending", ["\n", "\r\n", "\r"])
+@pytest.mark.parametrize("written,text", [(r"C:\temp", r"C:\temp"), ("slut\\", "slut\\"), (r"et \"ord\" her", 'et "ord" her'), ('et ""ord""', 'et "ord"'), (r"\n\\", r"\n\\"), ("to\nlinjer", "to\nlinjer"), ("a,b;c", "a,b;c")])
+def test_parser_quotes_and_breaks(delimiter, ending, written, text):
+    row = ("09.07.2031", written, "1,00", "2,00", "Udført", written)
+    content = ending.join([HEAD.replace(",", delimiter), delimiter.join(f'"{x}"' for x in row), ""]).encode("cp1252")
+    records, _, fault = bank_csv.parse_danske(content)
+    assert fault is None and [(r["Tekst"], r["Afstemt"]) for r in records] == [(text, text)]
+
+
+def test_second_format(spark):
+    records, span, fault = bank_csv.parse_ledger("when\tsum\tmemo\tbal\tstate\n2031-07-09\t-12.50\tæbler\t80.00\tbooked\n".encode())
+    assert fault is None and span == (date(2031, 7, 9),) * 2 and records[0]["Beløb"] == "-12,50" and records[0]["Dato"] == "09.07.2031"
+    assert bank_csv.parse_ledger(b"when\tsum\n")[2] and bank_csv.parse_ledger(b"when\tsum\tmemo\tbal\tstate\n2031-7-9\t1\tx\t\tbooked\n")[2]
+    rows = spark.createDataFrame([("p", "no-such-format", bytearray(b"x"))], "payload_id string, source_format string, content binary")
+    assert "no-such-format" in bank_csv.parse_payloads(rows).first()["reason"]
 
 
 def run(k, account, day, first, last):
-    return (f"run-{k}", f"p{k}", account, date.fromisoformat(day), datetime(2026, 3, 5, k), date.fromisoformat(first), date.fromisoformat(last))
+    return (f"run-{k}", f"p{k}", account, date.fromisoformat(day), datetime(2031, 7, 20, k), date.fromisoformat(first), date.fromisoformat(last))
 
 
 RUNS = "import_run_id string, payload_id string, account_id string, exported_on date, started_at timestamp, covers_from date, covers_through date"
 
 
-def merged(spark, runs, files, **more):
+def merged(spark, runs, files, decisions=()):
     payloads = spark.createDataFrame([(p, "danske-csv-v1", bytearray(b)) for p, b in files.items()], "payload_id string, source_format string, content binary")
-    typed = silver.typed_records(bank_csv.parse_payloads(payloads).where("reason is null").drop("reason", "source_format"))
-    return typed, silver.merge(spark.createDataFrame(runs, RUNS), typed, **more)
-
-
-COFFEE = ("02.03.2026", "KAFFE", "-30,00", "{}", "Udført", "Nej")
+    typed = silver.typed_records(bank_csv.parse_payloads(payloads).where("reason is null").drop("reason", "source_format", "first_date", "last_date"))
+    return typed, silver.merge(spark.createDataFrame(runs, RUNS), typed, spark.createDataFrame(list(decisions), silver.DECISIONS) if decisions else None)
 
 
-def coffee(balance):
-    return tuple(x.format(balance) for x in COFFEE)
+def bread(balance, text="BAGERI"):
+    return ("10.07.2031", text, "-41,50", balance, "Udført", "Nej")
 
 
 def test_overlapping_exports_merge(spark):
-    a = export(("01.03.2026", "NETTO", "-45,00", "955,00", "Udført", "Nej"), coffee("925,00"))
-    b = export(coffee("925,00"), coffee("895,00"), ("03.03.2026", "LØN", "1.000,00", "1.895,00", "Udført", "Nej"))
-    _, out = merged(spark, [run(1, "joint", "2026-03-02", "2026-03-01", "2026-03-02"), run(2, "joint", "2026-03-03", "2026-03-02", "2026-03-03")], {"p1": a, "p2": b})
+    a = export(("09.07.2031", "BOGHANDEL", "-64,90", "1.145,50", "Udført", "Nej"), bread("1.104,00"))
+    b = export(bread("1.104,00"), bread("1.062,50"), ("11.07.2031", "HONORAR", "2.300,00", "3.362,50", "Udført", "Nej"), ("11.07.2031", "SENERE", "-1,00", "", "Venter", "Nej"))
+    typed, out = merged(spark, [run(1, "shared", "2031-07-10", "2031-07-09", "2031-07-10"), run(2, "shared", "2031-07-11", "2031-07-10", "2031-07-11")], {"p1": a, "p2": b})
     rows = out.collect()
     assert [r["status"] for r in sorted((r for r in rows if r["family"] == "result"), key=lambda r: r["import_run_id"])] == ["accepted", "accepted"]
-    got = sorted(((r["transaction_date"].day, r["day_sequence"], str(r["amount"]), r["occurrence"]) for r in rows if r["family"] == "transaction"))
-    assert got == [(1, 1, "-45.00", 1), (2, 1, "-30.00", 1), (2, 2, "-30.00", 2), (3, 1, "1000.00", 1)]
+    got = sorted((r["transaction_date"].day, r["day_sequence"], str(r["amount"]), r["occurrence"]) for r in rows if r["family"] == "transaction")
+    assert got == [(9, 1, "-64.90", 1), (10, 1, "-41.50", 1), (10, 2, "-41.50", 2), (11, 1, "2300.00", 1)]
     assert sum(r["family"] == "evidence" for r in rows) == 5
+    assert [r["description"] for r in silver.unbooked(typed, out).collect()] == ["SENERE"] and silver.run_errors(typed).count() == 0
 
 
 def test_dropped_transaction_needs_a_decision(spark):
-    a, b = export(coffee("970,00"), coffee("940,00")), export(coffee("970,00"))
-    runs = [run(1, "joint", "2026-03-02", "2026-03-01", "2026-03-02"), run(2, "joint", "2026-03-03", "2026-03-01", "2026-03-03")]
-    _, out = merged(spark, runs, {"p1": a, "p2": b})
-    rows = out.collect()
-    assert [(r["code"], r["status"]) for r in rows if r["family"] == "review"] == [("dropped-transaction", "open")]
+    a, b = export(bread("812,25"), bread("770,75")), export(bread("812,25"))
+    runs = [run(1, "shared", "2031-07-10", "2031-07-09", "2031-07-10"), run(2, "shared", "2031-07-11", "2031-07-09", "2031-07-11")]
+    rows = merged(spark, runs, {"p1": a, "p2": b})[1].collect()
+    review = [r for r in rows if r["family"] == "review"]
+    assert [(r["code"], r["status"], r["occurrence"]) for r in review] == [("dropped-transaction", "open", 2)] and len(review[0]["review_item_id"]) == 64
     assert sum(r["family"] == "transaction" for r in rows) == 2
-    settled = spark.createDataFrame([("run-2", "2026-03-02|-30.00|KAFFE|2")], "import_run_id string, drop string")
-    rows = merged(spark, runs, {"p1": a, "p2": b}, settled=settled)[1].collect()
+    rows = merged(spark, runs, {"p1": a, "p2": b}, [("withdrawn", None, review[0]["transaction_id"], None, None)])[1].collect()
     assert sum(r["family"] == "transaction" for r in rows) == 1 and all(r["status"] == "accepted" for r in rows if r["family"] == "result")
 
 
+def test_new_words_for_the_same_transaction(spark):
+    a, b = export(bread("812,25")), export(bread("812,25", "BAGERIET PAA HJOERNET"))
+    runs = [run(1, "shared", "2031-07-10", "2031-07-09", "2031-07-10"), run(2, "shared", "2031-07-11", "2031-07-09", "2031-07-11")]
+    rows = merged(spark, runs, {"p1": a, "p2": b})[1].collect()
+    known = next(r["transaction_id"] for r in rows if r["family"] == "review")
+    rows = merged(spark, runs, {"p1": a, "p2": b}, [("same-transaction", None, known, "p2", 1)])[1].collect()
+    assert [(r["transaction_id"], r["description"], r["payload_id"]) for r in rows if r["family"] == "transaction"] == [(known, "BAGERI", "p2")]
+    assert sorted(r["payload_id"] for r in rows if r["family"] == "evidence" and r["transaction_id"] == known) == ["p1", "p2"]
+    rows = merged(spark, runs, {"p1": a, "p2": b}, [("void-import-run", "run-1", None, None, None)])[1].collect()
+    assert [r["description"] for r in rows if r["family"] == "transaction"] == ["BAGERIET PAA HJOERNET"]
+
+
 def test_balances_that_disagree_and_break(spark):
-    a, b = export(coffee("970,00")), export(coffee("999,00"))
-    runs = [run(1, "joint", "2026-03-02", "2026-03-02", "2026-03-02"), run(2, "joint", "2026-03-03", "2026-03-02", "2026-03-02")]
+    a, b = export(bread("812,25")), export(bread("900,00"))
+    runs = [run(1, "shared", "2031-07-10", "2031-07-10", "2031-07-10"), run(2, "shared", "2031-07-11", "2031-07-10", "2031-07-10")]
     rows = merged(spark, runs, {"p1": a, "p2": b})[1].collect()
     assert [r["code"] for r in rows if r["family"] == "review"] == ["export-disagreement"]
-    broken = export(coffee("970,00"), coffee("900,00"))
-    one = [run(1, "joint", "2026-03-02", "2026-03-02", "2026-03-02")]
-    rows = merged(spark, one, {"p1": broken})[1].collect()
-    assert [(r["status"], r["code"]) for r in rows if r["family"] == "result"] == [("quarantined", "errors")]
-    accepted = spark.createDataFrame([("run-1",)], "import_run_id string")
-    assert any(r["family"] == "transaction" for r in merged(spark, one, {"p1": broken}, accepted=accepted)[1].collect())
+    broken = export(bread("812,25"), bread("700,00"))
+    one = [run(1, "shared", "2031-07-10", "2031-07-10", "2031-07-10")]
+    typed, out = merged(spark, one, {"p1": broken})
+    assert [(r["status"], r["code"]) for r in out.collect() if r["family"] == "result"] == [("quarantined", "errors")]
+    assert [(r["record_ordinal"], r["code"]) for r in silver.run_errors(typed).collect()] == [(2, "balance-chain-break")]
+    assert any(r["family"] == "transaction" for r in merged(spark, one, {"p1": broken}, [("accept-discrepancy", "run-1", None, None, None)])[1].collect())
 
 
 def test_typed_errors(spark):
-    rows = [("p", 1, {"Dato": "1.3.2026", "Tekst": "x", "Beløb": "1,234", "Saldo": "", "Status": "Nope", "Afstemt": ""}), ("p", 2, {"Dato": "01.03.2026"}), ("p", 3, {"Dato": "01.03.2026", "Tekst": "x", "Beløb": "1.234,5", "Saldo": "1,0", "Status": "Udført", "Afstemt": ""})]
+    rows = [("p", 1, {"Dato": "9.7.2031", "Tekst": "x", "Beløb": "1,234", "Saldo": "", "Status": "Nope", "Afstemt": ""}), ("p", 2, {"Dato": "09.07.2031"}), ("p", 3, {"Dato": "09.07.2031", "Tekst": "x", "Beløb": "1.234,5", "Saldo": "1,0", "Status": "Udført", "Afstemt": ""})]
     got = silver.typed_records(spark.createDataFrame(rows, "payload_id string, record_ordinal int, fields map<string,string>")).orderBy("record_ordinal").collect()
     assert [[e["code"] for e in r["errors"]] for r in got] == [["unparseable-date", "unparseable-decimal", "unknown-status"], ["wrong-field-count"], []]
     assert (got[2]["amount"], got[2]["balance"]) == (D("1234.50"), D("1.00"))
 
 
 def test_text_helpers(spark):
-    df = spark.createDataFrame([("\xa0LØN  MARTS\xa0",), (" \t ",)], "t string").select(C.identity_text(F.col("t")).alias("i"), C.label(F.col("t")).alias("l"))
-    assert [tuple(r) for r in df.collect()] == [("LØN MARTS", "LØN  MARTS"), ("", None)]
+    df = spark.createDataFrame([("\xa0HONORAR  JULI\xa0",), (" \t ",)], "t string").select(C.identity_text(F.col("t")).alias("i"), C.label(F.col("t")).alias("l"))
+    assert [tuple(r) for r in df.collect()] == [("HONORAR JULI", "HONORAR  JULI"), ("", None)]
 
 
 def test_run_outcomes(spark):
@@ -139,13 +168,13 @@ def test_catalog(spark, tmp_path):
 
 
 def test_inbox_stream(spark, tmp_path):
-    inbox = tmp_path / "inbox" / "joint"
+    inbox = tmp_path / "inbox" / "shared"
     inbox.mkdir(parents=True)
-    one = export(coffee("970,00"))
-    (inbox / "konto-1234567890-20260305.csv").write_bytes(one)
+    one = export(bread("812,25"))
+    (inbox / "konto-1234567890-20310711.csv").write_bytes(one)
     import_available(spark, str(tmp_path / "inbox"), str(tmp_path / "bronze"), str(tmp_path / "at")).awaitTermination(120)
-    (inbox / "konto-1234567890-20260306 (1).csv").write_bytes(export(coffee("940,00")))
+    (inbox / "konto-1234567890-20310712 (1).csv").write_bytes(export(bread("770,75")))
     import_available(spark, str(tmp_path / "inbox"), str(tmp_path / "bronze"), str(tmp_path / "at")).awaitTermination(120)
     rows = spark.read.parquet(str(tmp_path / "bronze/raw_payloads")).orderBy("exported_on").collect()
-    assert [(r["declared_account_id"], str(r["exported_on"]), r["account_number"]) for r in rows] == [("joint", "2026-03-05", "1234567890"), ("joint", "2026-03-06", "1234567890")]
+    assert [(r["declared_account_id"], str(r["exported_on"]), r["account_number"]) for r in rows] == [("shared", "2031-07-11", "1234567890"), ("shared", "2031-07-12", "1234567890")]
     assert spark.read.parquet(str(tmp_path / "bronze/source_records")).count() == 2
