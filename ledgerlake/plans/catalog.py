@@ -26,6 +26,19 @@ class PublicationUnavailable(LookupError):
     pass
 
 
+def pointer(moves: DataFrame, *by: str) -> DataFrame:
+    """``current, previous`` of a log of pointer moves: the last move's ends."""
+    last = F.max_by(F.struct("to_id", "from_id"), "move").alias("m")
+    rows = moves.groupBy(*by).agg(last)
+    return rows.select(*by, F.col("m.to_id").alias("current"), F.col("m.from_id").alias("previous")).where("current is not null")
+
+
+def stale(publications: DataFrame, moves: DataFrame) -> DataFrame:
+    """Publications that are neither current, nor previous, nor labelled."""
+    kept = pointer(moves).select(F.explode(F.array("current", "previous")).alias("publication_id"))
+    return publications.where("label is null").join(kept, "publication_id", "left_anti")
+
+
 @dataclass
 class Catalog:
     spark: SparkSession
@@ -130,9 +143,7 @@ class Catalog:
 
     def stale(self) -> list[int]:
         """Publications that are neither current, nor previous, nor labelled."""
-        last = self._last()
-        kept = [x for x in ((last["to_id"], last["from_id"]) if last else ()) if x is not None]
-        return sorted(r[0] for r in self.readable().where(F.col("label").isNull() & ~F.col("publication_id").isin(kept)).select("publication_id").collect())
+        return sorted(r[0] for r in stale(self.readable(), self.moves).select("publication_id").collect())
 
     def retain(self, tables: list[str]) -> list[int]:
         """Delete the stale publications' folders; their rows in the log stay, and ``deleted`` names them first."""

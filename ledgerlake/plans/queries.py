@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import bronze, coverage, decisions, finding, invariants, measures, rules, sequence, silver, transfers
+from ..operators import bronze, coverage, decisions, finding, invariants, measures, retention, rules, sequence, silver, suggesting, transfers
 from ..sources import bank_csv
-from . import catalog
+from . import catalog, reports
 from .views import Views, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -337,26 +337,6 @@ def publication_diff(v: Views) -> DataFrame:
     return measures.compare(*_halves(v)).withColumn("month", C.month_text("month"))
 
 
-@query("SELECT concat_ws('-', account_id, 'x') AS publication FROM accounts WHERE account_id NOT IN (SELECT account_id FROM exports WHERE import_run_id LIKE '%-c') AND account_id <> (SELECT max(account_id) FROM accounts)")
-def retained_results(v: Views) -> DataFrame:
-    last = v.accounts.agg(F.max("account_id").alias("account_id"))
-    kept = v.exports.where("import_run_id like '%-c'").select("account_id").unionByName(last)
-    return v.accounts.join(kept, "account_id", "left_anti").select(F.concat_ws("-", "account_id", F.lit("x")).alias("publication"))
-
-
-@query("SELECT import_run_id, covers_from, covers_through FROM exports WHERE account_id IN (SELECT account_id FROM transactions WHERE transaction_type = 'transfer' AND amount > 0)")
-def counted_exports(v: Views) -> DataFrame:
-    admitted = v.transactions.where("transaction_type = 'transfer' and amount > 0").select("account_id")
-    return v.exports.join(admitted, "account_id", "left_semi").select("import_run_id", "covers_from", "covers_through")
-
-
-@query("SELECT l_partkey AS payload_id, count(DISTINCT o_custkey) AS accounts, count(DISTINCT l_returnflag) AS formats FROM raw_lines GROUP BY 1 HAVING count(DISTINCT o_custkey) > 1 AND count(DISTINCT l_returnflag) > 1")
-def payload_conflicts(v: Views) -> DataFrame:
-    rows = v.read("lineitem").select("l_partkey", "l_orderkey", "l_returnflag").join(v.read("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    got = rows.groupBy(F.col("l_partkey").alias("payload_id")).agg(F.count_distinct("o_custkey").alias("accounts"), F.count_distinct("l_returnflag").alias("formats"))
-    return got.where("accounts > 1 and formats > 1")
-
-
 @query("""SELECT h.transaction_id, h.transaction_date, coalesce(c.group_id, '-') AS group_id FROM transactions h LEFT JOIN categories c ON c.category_id = h.category_id WHERE contains(lower(description), 'blue ring') AND month = DATE '1998-03-01'""")
 def find(v: Views) -> DataFrame:
     rows = finding.find(v.transactions, "BLUE Ring", month="1998-03-01").join(v.categories, "category_id", "left")
@@ -397,22 +377,6 @@ def outcome_pivot(v: Views) -> DataFrame:
     return got.select("account_id", *[F.coalesce(s, F.lit(0)).cast("long").alias(s) for s in states])
 
 
-@query("""SELECT event_id, CASE WHEN age < 14 THEN 'recent' WHEN age < 25 AND d = 1 THEN 'daily' WHEN m = 1 THEN 'monthly' END AS kept FROM (SELECT event_id, date_diff('day', CAST(ts AS DATE), DATE '2024-01-31') AS age, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS d,
-  row_number() OVER (PARTITION BY date_trunc('month', ts) ORDER BY ts DESC, event_id DESC) AS m FROM events) WHERE age < 14 OR (age < 25 AND d = 1) OR m = 1""")
-def backup_retention(v: Views) -> DataFrame:
-    rows = v.read("events").select("event_id", "ts", F.to_date("ts").alias("day"))
-    newest = [F.desc("ts"), F.desc("event_id")]
-    rows = rows.withColumns({"d": F.row_number().over(Window.partitionBy("day").orderBy(*newest)), "m": F.row_number().over(Window.partitionBy(F.trunc("day", "MM")).orderBy(*newest)), "age": F.datediff(F.lit("2024-01-31").cast("date"), "day")})
-    kept = F.when(F.col("age") < 14, "recent").when((F.col("age") < 25) & (F.col("d") == 1), "daily").when(F.col("m") == 1, "monthly")
-    return rows.select("event_id", kept.alias("kept")).where("kept is not null")
-
-
-@query("""SELECT user_id AS publication_set, arg_max(event_type, event_id) AS current, arg_max(value, event_id) AS value FROM events GROUP BY 1""")
-def pointer_current(v: Views) -> DataFrame:
-    last = F.max_by(F.struct("event_type", "value"), "event_id")
-    return v.read("events").groupBy(F.col("user_id").alias("publication_set")).agg(last.alias("m")).select("publication_set", F.col("m.event_type").alias("current"), F.col("m.value").alias("value"))
-
-
 @query("""SELECT event_id, sha256(concat('["1","', account_id, '","', transaction_date, '","', amount, '","', description, '","1"]')) AS transaction_id FROM feed""")
 def transaction_id_hash(v: Views) -> DataFrame:
     return v.feed.select("event_id", C.transaction_id(F.col("account_id"), F.col("transaction_date"), F.col("amount"), F.col("description"), F.lit(1)).alias("transaction_id"))
@@ -492,14 +456,103 @@ def bank_csv_parse(v: Views) -> DataFrame:
     return typed.select(F.col("payload_id").cast("long").alias("account_id"), "record_ordinal", "transaction_date", F.col("amount").cast("decimal(18,2)").alias("amount"))
 
 
-@query("SELECT 'sequence' AS invariant, count(*) AS n FROM sequenced s JOIN accounts USING (account_id) WHERE false GROUP BY 1 UNION ALL SELECT 'after-closing', count(*) FROM transactions JOIN accounts USING (account_id) WHERE transaction_date > closed_on UNION ALL SELECT 'transfer-pair', count(*) FROM (SELECT transfer_group_id FROM transactions WHERE transfer_group_id IS NOT NULL GROUP BY 1 HAVING count(*) <> 2 OR count(DISTINCT account_id) <> 2 OR sum(amount) <> 0)")
-def invariant_violations(v: Views) -> DataFrame:
-    rows = sequence.account_sequence(v.transactions, "transaction_date", "transaction_id")
-    return invariants.violations(rows, v.allocations, v.categories, v.accounts).groupBy("invariant").agg(F.count("*").alias("n"))
+def _publications(v: Views) -> tuple[DataFrame, DataFrame]:
+    """A log of publications, one for each purchase, every tenth labelled; and of moves, one for each signup, back to the move before."""
+    events = v.read("events").select("event_id", "event_type", "user_id")
+    made = events.where("event_type = 'purchase'").select(F.col("event_id").alias("publication_id"), F.when(F.col("event_id") % 10 == 0, "kept").alias("label"))
+    moves = events.where("event_type = 'signup'").select("user_id", F.col("event_id").alias("move"), F.col("event_id").alias("to_id"))
+    return made, moves.withColumn("from_id", F.lag("to_id").over(Window.partitionBy("user_id").orderBy("move")))
+
+
+@query("SELECT user_id, max(event_id) AS current, max(CASE WHEN k = 2 THEN event_id END) AS previous FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS k FROM events WHERE event_type = 'signup') GROUP BY 1")
+def pointer_current(v: Views) -> DataFrame:
+    """The current and the previous publication of each user's log."""
+    return catalog.pointer(_publications(v)[1], "user_id")
+
+
+@query("""WITH m AS (SELECT event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events WHERE event_type = 'signup'), l AS (SELECT * FROM m ORDER BY event_id DESC LIMIT 1)
+SELECT event_id AS publication_id FROM events WHERE event_type = 'purchase' AND event_id % 10 <> 0 AND event_id NOT IN (SELECT event_id + 1 FROM l) AND event_id NOT IN (SELECT before + 1 FROM l WHERE before IS NOT NULL)""")
+def stale_publications(v: Views) -> DataFrame:
+    """What retention would delete, where the pointer has moved to the publications after two signups."""
+    made, moves = _publications(v)
+    return catalog.stale(made, moves.withColumns({"to_id": F.col("to_id") + 1, "from_id": F.col("from_id") + 1})).select("publication_id")
 
 
-@query("SELECT count(*) AS rows FROM transactions")
+def _declared_runs(v: Views) -> DataFrame:
+    """Lines as import runs: a part is a payload, a customer an account, a return flag a format."""
+    lines = v.read("lineitem").select("l_partkey", "l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag").join(v.read("orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    order = F.struct("l_orderkey", "l_linenumber", "l_suppkey")
+    refusals = F.when(F.col("l_linenumber") == 7, F.array(F.lit("range-starts-after-end"))).otherwise(F.array().cast("array<string>"))
+    return lines.select("l_returnflag", F.col("l_returnflag").alias("source_format"), F.to_json(order).alias("import_run_id"), F.col("l_partkey").alias("payload_id"), F.col("o_custkey").alias("declared_account_id"), order.alias("started_at"), refusals.alias("refusals"))
+
+
+@query("SELECT l_partkey AS payload_id, count(DISTINCT o_custkey) AS accounts, count(DISTINCT l_returnflag) AS formats FROM raw_lines GROUP BY 1 HAVING count(DISTINCT o_custkey) > 1 OR count(DISTINCT l_returnflag) > 1")
+def payload_conflicts(v: Views) -> DataFrame:
+    return bronze.conflicting_payloads(_declared_runs(v)).select("payload_id", "accounts", "formats")
+
+
+@query("""SELECT count(*) AS runs, count(DISTINCT l_partkey) AS payloads FROM raw_lines r WHERE l_linenumber <> 7 AND EXISTS (SELECT 1 FROM raw_lines a WHERE a.l_partkey = r.l_partkey AND a.o_custkey = r.o_custkey AND a.l_linenumber = 1)""")
+def counted_runs(v: Views) -> DataFrame:
+    """Runs that count as evidence, where the payloads of first lines were admitted."""
+    runs = bronze.run_outcomes(_declared_runs(v))
+    admitted = runs.where(F.col("started_at.l_linenumber") == 1).select("declared_account_id", "payload_id").distinct()
+    return bronze.counted_runs(runs, admitted).agg(F.count("*").alias("runs"), F.count_distinct("payload_id").alias("payloads"))
+
+
+@query("""SELECT l_returnflag, count(DISTINCT r) AS repeats FROM (SELECT l_returnflag, o_custkey, struct_pack(o := l_orderkey, n := l_linenumber, s := l_suppkey) AS r, first_value(struct_pack(o := l_orderkey, n := l_linenumber, s := l_suppkey)) OVER w AS f, first_value(o_custkey) OVER w AS first FROM raw_lines WHERE l_linenumber <> 7 WINDOW w AS (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber, l_suppkey)) WHERE r <> f AND o_custkey = first GROUP BY 1""")
+def repeated_runs(v: Views) -> DataFrame:
+    """Repeats beside the runs that they repeat."""
+    runs = bronze.run_outcomes(_declared_runs(v)).withColumn("original_filename", F.col("import_run_id"))
+    return reports.repeated_runs(runs).groupBy("l_returnflag").agg(F.count_distinct("import_run_id").alias("repeats"))
+
+
+@query("""WITH d AS (SELECT max(CAST(ts AS DATE)) + 350 AS today FROM events)
+SELECT set_id, CASE WHEN age < 14 THEN 'recent' WHEN age < 365 AND d = 1 THEN 'daily' WHEN m = 1 THEN 'monthly' END AS kept FROM (SELECT event_id AS set_id, date_diff('day', CAST(ts AS DATE), (SELECT today FROM d)) AS age, row_number() OVER (PARTITION BY CAST(ts AS DATE) ORDER BY ts DESC, event_id DESC) AS d,
+  row_number() OVER (PARTITION BY date_trunc('month', ts) ORDER BY ts DESC, event_id DESC) AS m FROM events) WHERE age < 14 OR (age < 365 AND d = 1) OR m = 1""")
+def backup_retention(v: Views) -> DataFrame:
+    """Events as backup sets, seen 350 days after the last."""
+    sets = v.read("events").select(F.col("event_id").alias("set_id"), F.col("ts").alias("created_at"))
+    today = sets.agg(F.date_add(F.to_date(F.max("created_at")), 350)).first()[0]
+    return retention.kept_backups(sets, F.lit(today)).select("set_id", "kept")
+
+
+@query("""WITH s AS (SELECT *, CASE WHEN account_sequence = 3 THEN 5 ELSE account_sequence END AS seq, lag(transaction_date) OVER (PARTITION BY account_id ORDER BY account_sequence) AS before FROM sequenced),
+a AS (SELECT transaction_id, category_id, CASE WHEN account_id % 50 = 1 THEN amount * 2 ELSE amount END AS amount FROM allocations UNION ALL SELECT transaction_id, category_id, amount FROM allocations WHERE account_id % 40 = 2),
+n AS (SELECT account_id, seq, transaction_date, row_number() OVER (PARTITION BY account_id ORDER BY seq) AS k FROM s)
+SELECT 'after-closing' AS invariant, count(*) AS n FROM transactions t JOIN accounts c ON c.account_id = t.account_id WHERE transaction_date > DATE '1998-01-01' AND closed_on IS NOT NULL HAVING count(*) > 0
+UNION ALL SELECT 'transfer-pair', count(*) FROM (SELECT transfer_group_id FROM transactions WHERE transfer_group_id IS NOT NULL GROUP BY 1 HAVING count(*) <> 2 OR count(DISTINCT account_id) <> 2 OR sum(amount) <> 0) HAVING count(*) > 0
+UNION ALL SELECT 'one-allocation', count(*) FROM (SELECT transaction_id FROM a GROUP BY 1 HAVING count(*) > 1) HAVING count(*) > 0
+UNION ALL SELECT 'allocation-equals-transaction', count(*) FROM a JOIN transactions t ON t.transaction_id = a.transaction_id WHERE a.amount <> t.amount HAVING count(*) > 0
+UNION ALL SELECT 'one-direction-a-group', 1
+UNION ALL SELECT 'sign-and-direction', count(*) FROM transactions t JOIN a ON a.transaction_id = t.transaction_id JOIN (SELECT category_id, CASE WHEN category_id = (SELECT min(category_id) FROM categories) THEN 'income' ELSE direction END AS direction FROM categories) c ON c.category_id = a.category_id
+  WHERE (transaction_type = 'income' AND (c.direction <> 'income' OR t.amount <= 0)) OR (transaction_type = 'expense' AND (c.direction <> 'expense' OR t.amount >= 0)) OR (transaction_type = 'refund' AND ((c.direction = 'income' AND t.amount >= 0) OR (c.direction = 'expense' AND t.amount <= 0))) HAVING count(*) > 0""")
+def invariant_violations(v: Views) -> DataFrame:
+    """Every kind of violation but that of order, planted: doubled and repeated allocations, accounts closed too early, and a group of two directions."""
+    a = v.allocations
+    doubled = a.withColumn("amount", F.when(F.col("account_id") % 50 == 1, F.col("amount") * 2).otherwise(F.col("amount")).cast("decimal(19,2)"))
+    parts = doubled.unionByName(a.where("account_id % 40 = 2").withColumn("amount", F.col("amount").cast("decimal(19,2)")))
+    first = v.categories.agg(F.min("category_id")).first()[0]
+    categories = v.categories.withColumn("direction", F.when(F.col("category_id") == first, "income").otherwise(F.col("direction")))
+    accounts = v.accounts.withColumn("closed_on", F.when(F.col("closed_on").isNotNull(), F.lit("1998-01-01").cast("date")))
+    return invariants.violations(v.history, parts, categories, accounts).groupBy("invariant").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT sha256(concat_ws('|', count(*), sum(h1), sum(h2), sum(h3), sum(h4))) AS fingerprint, count(*) AS rows FROM (SELECT CAST('0x' || substr(h, 1, 15) AS HUGEINT) AS h1, CAST('0x' || substr(h, 16, 15) AS HUGEINT) AS h2, CAST('0x' || substr(h, 31, 15) AS HUGEINT) AS h3, CAST('0x' || substr(h, 46, 15) AS HUGEINT) AS h4
+  FROM (SELECT sha256(concat('{"account_id":', account_id, ',"transaction_id":"', transaction_id, '"}')) AS h FROM transactions))""")
 def result_fingerprint(v: Views) -> DataFrame:
-    """A fingerprint that doesn't depend on order: two orders of the same rows agree, or there is no row."""
-    one, two = catalog.fingerprint(v.transactions), catalog.fingerprint(v.transactions.repartition(7))
-    return one.join(two, ["rows", "fingerprint"]).select("rows")
+    """The fingerprint of two columns, whatever the order of rows and columns."""
+    return catalog.fingerprint(v.transactions.select("transaction_id", "account_id").repartition(7))
+
+
+LABEL_RULES = (
+    rules.Rule("l1-red", rules.When(bank_category="RED"), category="PROMO/Brand#1"),
+    rules.Rule("l2-red-ring", rules.When(bank_category="red", bank_subcategory="Ring"), category="PROMO/Brand#1"),
+    rules.Rule("l3-blue-bolt", rules.When(bank_category="Blue", bank_subcategory="bolt"), category="PROMO/Brand#1"),
+    rules.Rule("l4-not-labels-alone", rules.When(bank_category="red", sign="negative"), category="PROMO/Brand#1"),
+)
+
+
+@query(f"""SELECT category, subcategory, concat_ws(',', CASE WHEN lower(category) = 'red' THEN 'l1-red' END, CASE WHEN lower(category) = 'red' AND lower(subcategory) = 'ring' THEN 'l2-red-ring' END, CASE WHEN lower(category) = 'blue' AND lower(subcategory) = 'bolt' THEN 'l3-blue-bolt' END) AS covered_by FROM ({PAIRS})""")
+def covering_rules(v: Views) -> DataFrame:
+    got = suggesting.covered(_pairs(v), LABEL_RULES)
+    return got.select("category", "subcategory", F.array_join("covered_by", ",").alias("covered_by"))

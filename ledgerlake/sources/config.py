@@ -56,6 +56,7 @@ def read_taxonomy(text: str) -> Taxonomy:
         _fields(f"group {k}", g, {"name": str, "direction": str}, {}, problems)
         if g.get("direction") not in (None, "income", "expense"):
             problems.append(f"group {k}: direction is income or expense")
+    problems += [f"category {k}: the id is reserved" for k in data.get("category", {}) if k in ("transfer", "adjustment", "unknown")]
     for k, c in data.get("category", {}).items():
         _fields(f"category {k}", c, {"name": str, "group": str}, {}, problems)
         if isinstance(c.get("group"), str) and c["group"] not in data.get("group", {}):
@@ -106,8 +107,18 @@ def read_rules(text: str, taxonomy: Taxonomy) -> list[Rule]:
         if r.get("id") in seen:
             problems.append(f"{where}: the id is used before")
         seen.add(r.get("id"))
-        if not when:
+        for key in ("description_contains", "description_starts_with", "description_regex"):
+            texts = when.get(key, "x")
+            texts = [texts] if isinstance(texts, str) else texts
+            if not isinstance(texts, list) or not texts or not all(isinstance(x, str) and x.strip() for x in texts):
+                problems.append(f"{where}: {key} is a text, or a list of texts, that isn't blank")
+                when = {k: v for k, v in when.items() if k != key}
+        if not r.get("when"):
             problems.append(f"{where}: when is empty")
+        if then.get("transfer_claim", True) is not True:
+            problems.append(f"{where}: transfer_claim is true or left out")
+        if isinstance(then.get("adjustment"), str) and not then["adjustment"].strip():
+            problems.append(f"{where}: adjustment is a reason")
         if len(then) != 1:
             problems.append(f"{where}: then has one outcome")
         if then.get("category") is not None and then["category"] not in taxonomy.categories:
@@ -165,3 +176,52 @@ def read_ranges(text: str, accounts: set[str]) -> dict[str, tuple[date, date]]:
     if problems:
         raise ConfigurationError(problems)
     return out
+
+
+@dataclass(frozen=True)
+class Profile:
+    """Where an installation keeps its data, and its settings."""
+
+    root: str
+    inbox: str
+    late_booking_days: int = 7
+    keep_all_days: int = 14
+    keep_daily_days: int = 365
+
+
+def read_profile(text: str) -> Profile:
+    data, problems = _table(text, "profile"), []
+    days = {"late_booking_days": (0, 366), "keep_all_days": (0, 3660), "keep_daily_days": (0, 36600)}
+    _fields("profile", data, {"root": str, "inbox": str}, dict.fromkeys(days, int), problems)
+    for k, (least, most) in days.items():
+        v = data.get(k)
+        if isinstance(v, int) and not isinstance(v, bool) and not least <= v <= most:
+            problems.append(f"profile: {k} is from {least} to {most}")
+    if problems:
+        raise ConfigurationError(problems)
+    return Profile(**data)
+
+
+def check(texts: dict[str, str], formats: set[str], log: bytes = b"") -> list[str]:
+    """Every problem of all files and the decision log, each named by its file: ``accounts, taxonomy, rules, ranges, profile``."""
+    from .decision_log import read_log
+
+    found: list[str] = []
+
+    def tried(name: str, read):
+        if name not in texts:
+            return None
+        try:
+            return read(texts[name])
+        except ConfigurationError as error:
+            found.extend(f"{name}: {x}" for x in error.problems)
+            return None
+
+    tried("profile", read_profile)
+    accounts = tried("accounts", lambda t: read_accounts(t, formats))
+    taxonomy = tried("taxonomy", read_taxonomy)
+    if taxonomy is not None:
+        tried("rules", lambda t: read_rules(t, taxonomy))
+    if accounts is not None:
+        tried("ranges", lambda t: read_ranges(t, {r[0] for r in accounts[0]}))
+    return found + [f"decisions: {x}" for x in read_log(log).problems]

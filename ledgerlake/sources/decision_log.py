@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import dataclass, field
 from typing import Any
@@ -81,3 +82,28 @@ def read_log(content: bytes) -> Log:
         if kind != "retract":
             log.in_force[e["decision_id"]] = e
     return log
+
+
+def prefix_hashes(content: bytes) -> list[str]:
+    """The hash of the log's first n complete lines, for each n from 0 on: what a publication records of the log that it saw."""
+    h, out = hashlib.sha256(), [hashlib.sha256().hexdigest()]
+    for line in content.split(b"\n")[:-1]:
+        h.update(line + b"\n")
+        out.append(h.copy().hexdigest())
+    return out
+
+
+def rewritten(content: bytes, recorded: dict[int, tuple[int, str]]) -> list[int]:
+    """Publications whose recorded ``(entries, hash)`` isn't a prefix of the log any more."""
+    now = prefix_hashes(content)
+    return sorted(k for k, (n, h) in recorded.items() if n >= len(now) or now[n] != h)
+
+
+def append(path: str, entries: list[dict[str, Any]]) -> None:
+    """Append entries to the log and force them to disk."""
+    import os
+
+    with open(path, "ab") as f:
+        f.write("".join(json.dumps(e, ensure_ascii=False) + "\n" for e in entries).encode())
+        f.flush()
+        os.fsync(f.fileno())
