@@ -246,7 +246,7 @@ def reviews_by_kind(v: Views) -> DataFrame:
 
 @query("""SELECT 'closed-before-latest-transaction' AS problem, CAST(t.account_id AS VARCHAR) AS subject FROM transactions t WHERE t.account_id % 3 = 0 GROUP BY t.account_id HAVING max(transaction_date) > DATE '1996-12-31'
 UNION ALL SELECT 'undeclared-account', CAST(account_id AS VARCHAR) FROM transactions WHERE account_id % 5 = 4 AND account_id % 3 <> 0 GROUP BY account_id
-UNION ALL SELECT 'target-decided-twice', transaction_id FROM sequenced WHERE account_sequence = 1 AND account_id % 2 = 0 UNION ALL SELECT 'rule-names-unknown-category', rule_id FROM (VALUES ('r01-widgets')) r(rule_id)""")
+UNION ALL SELECT 'target-decided-twice', transaction_id FROM sequenced WHERE account_sequence = 1 AND account_id > 0 AND account_id % 2 = 0 UNION ALL SELECT 'rule-names-unknown-category', rule_id FROM (VALUES ('r01-widgets')) r(rule_id)""")
 def configuration_problems(v: Views) -> DataFrame:
     """Accounts closed too early or missing, a category that is gone, and transactions decided twice: all are listed."""
     accounts = v.accounts.where("account_id % 5 <> 4 or account_id % 3 = 0").withColumn("closed_on", F.when(F.col("account_id") % 3 == 0, F.lit("1996-12-31").cast("date")))
