@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Own, map_batches, small, stash
+from .common import Own, map_batches, small, stash, unstash
 
 #: A token with one of these is variable wherever it stands.
 FIELD = re.compile(r"[\d@]|://")
@@ -133,7 +133,9 @@ def recurring_lines(docs: DataFrame, min_docs: int = 5, similarity: float = 0.6,
     again = held.groupBy("template").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where(F.col("n") >= min_docs)
     found = made.join(again.select("template", "first"), "template").select("line", "first").unionByName(alone)
     # A template's first document is no later than its line's; where they differ, no document of the line is the first.
-    return stash(found.groupBy("line").agg(F.min("first").alias("first")), "recurring"), lines
+    found = stash(found.groupBy("line").agg(F.min("first").alias("first")), "recurring")
+    unstash(counts, hot, texts, made)
+    return found, lines
 
 
 def drop_recurring_lines(docs: DataFrame, min_docs: int = 5, similarity: float = 0.6, long_docs: int = 2) -> DataFrame:

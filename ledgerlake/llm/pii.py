@@ -2,10 +2,10 @@
 
 Base entities (e-mail and IP addresses, card and phone numbers) come from fixed
 patterns. Beyond them, terms that give an entity away are found by what the
-corpus tells: with the distinct documents that hold a term and an entity (or the
-contexts in which they stand near each other), their pointwise mutual information
-as a share of the entity's information content is the term's disclosure. Terms from ``disclosure`` on are
-generalised in documents with that entity, and from ``removal`` on removed.
+corpus tells: with the distinct texts that hold a term, an entity, and both, their
+pointwise mutual information as a share of the entity's information content is the
+term's disclosure. Terms from ``disclosure`` on are generalised in texts with that
+entity, and from ``removal`` on removed.
 """
 
 from __future__ import annotations
@@ -28,8 +28,6 @@ PATTERNS = {
 #: A text without this has no valid match.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": "+"}
 WORD = r"[\p{L}\p{N}]+"
-#: Words on either side that are near, and the characters they are looked for in.
-NEAR_WORDS, NEAR_CHARS = 6, 160
 #: Keys counted oftener are joined by broadcast, so that no task gets all rows of one.
 HOT = 1000
 SPANS = "array<struct<start:int,end:int,value:string>>"
@@ -90,48 +88,6 @@ def span_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def _near_terms(text: Column, e: Column) -> Column:
-    """The lower-cased words of three letters and more within ``NEAR_WORDS`` words of an entity."""
-    before = F.substring(text, F.greatest(e["start"] - NEAR_CHARS, F.lit(0)) + 1, F.least(e["start"], F.lit(NEAR_CHARS)))
-    cut = e["start"] > NEAR_CHARS
-    left = F.regexp_extract_all(F.when(cut, F.regexp_replace(before, r"^[\p{L}\p{N}]+", "")).otherwise(before), F.lit(WORD), F.lit(0))
-    after = F.substring(text, e["end"] + 1, F.lit(NEAR_CHARS))
-    cut = F.char_length(text) > e["end"] + NEAR_CHARS
-    right = F.regexp_extract_all(F.when(cut, F.regexp_replace(after, r"[\p{L}\p{N}]+$", "")).otherwise(after), F.lit(WORD), F.lit(0))
-    left = F.slice(left, F.greatest(F.size(left) - NEAR_WORDS, F.lit(0)) + 1, F.lit(NEAR_WORDS))
-    words = F.transform(F.concat(left, F.slice(right, F.lit(1), F.lit(NEAR_WORDS))), F.lower)
-    return F.filter(words, lambda w: (F.char_length(w) >= 3) & w.rlike(r"\p{L}"))
-
-
-def _revealing_terms(docs: DataFrame, support: int, disclosure: float, removal: float) -> DataFrame | None:
-    """``key, terms, gone``: for documents with an entity, the terms to generalise and to remove; None if there are none."""
-    near = docs.where(F.size("__base") > 0).select("__key", "text", F.explode("__base").alias("e"))
-    near = near.select("__key", F.concat_ws(":", F.col("e.kind"), F.lower("e.value")).alias("entity"), _near_terms(F.col("text"), F.col("e")).alias("near"))
-    near = stash(near, "near")
-    # Copies of one passage tell nothing new: contexts count once.
-    contexts = near.select("entity", "near", F.xxhash64("entity", "near").alias("context")).distinct()
-    each = contexts.groupBy("entity").agg(F.count("*").alias("n_entity"))
-    both = contexts.select("entity", F.explode(F.array_distinct("near")).alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both")).where(F.col("n_both") >= support)
-    both = stash(both, "cooccurring")
-    n = both.count()
-    if not n:
-        return None
-    asked = both.select("term").distinct()
-    words = docs.select(F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"))).alias("term"))
-    # Counted before they are joined: rows then grow with the words there are, not with how often these come.
-    seen = words.groupBy("term").agg(F.count("*").alias("n_term")).join(small(asked, n), "term")
-    total = F.lit(float(docs.count()))
-    held = both.join(seen, "term").join(each, "entity")
-    information = F.log2(total / F.col("n_entity"))
-    mutual = F.log2(total * F.col("n_both") / (F.greatest("n_term", "n_both") * F.col("n_entity")))
-    told = held.withColumn("share", F.when(information > 0, mutual / information)).where(F.col("share") >= disclosure)
-    told = stash(told.select("entity", "term", "share"), "revealing")
-    if told.isEmpty():
-        return None
-    owners = near.select("__key", "entity").distinct().join(small(told), "entity")
-    return owners.groupBy("__key").agg(F.collect_set("term").alias("__terms"), F.collect_set(F.when(F.col("share") >= removal, F.col("term"))).alias("__gone"))
-
-
 def _terms(text: Column) -> Column:
     """The distinct lower-cased words of three letters and more of a text."""
     words = F.array_distinct(F.split(F.lower(text), r"[^\p{L}\p{N}]+"))
@@ -145,8 +101,11 @@ def _with_counts(rows: DataFrame, counts: DataFrame, keys: list[str], n: str) ->
     return got.where(F.col(n).isNotNull()).select(*rest.columns).unionByName(rest)
 
 
-def _revealing_terms_of_documents(docs: DataFrame, support: int, disclosure: float, removal: float) -> DataFrame | None:
-    """The same by whole documents, for each ``__key`` of a text; copies of a text count once."""
+def _revealing_terms(docs: DataFrame, support: int, disclosure: float, removal: float) -> DataFrame | None:
+    """``__key, __terms, __gone``: for each text with an entity, the terms to generalise and to remove; None if there are none.
+
+    All counts are of distinct texts: those with a term, with an entity, with both, and all.
+    """
     docs = docs.where("text is not null")
     held = docs.where(F.size("__base") > 0).select("__key", F.array_distinct(F.transform("__base", lambda e: F.concat_ws(":", e["kind"], F.lower(e["value"])))).alias("entities"), _terms(F.col("text")).alias("terms"))
     held = stash(held.dropDuplicates(["__key"]), "held")
@@ -176,27 +135,26 @@ def _revealing_terms_of_documents(docs: DataFrame, support: int, disclosure: flo
     return marked.groupBy("__key").agg(F.collect_set("term").alias("__terms"), F.collect_set(F.when(F.col("share") >= removal, F.col("term"))).alias("__gone"))
 
 
-def find_personal_data(docs: DataFrame, support: int = 3, disclosure: float = 0.8, removal: float = 0.95, whole: bool = False) -> DataFrame:
+def find_personal_data(docs: DataFrame, support: int = 1, disclosure: float = 0.8, removal: float = 0.95) -> DataFrame:
     """Every row of ``docs(doc_id, text)`` with ``base`` and ``spans``; its own columns stay.
 
     Both are arrays of ``start, end, kind, value`` in code points; ``spans`` holds
     ``base`` and the revealing terms, of kind ``term`` (to generalise) or ``gone``
     (to remove), that don't overlap it. Null and empty texts have none. Rows that
-    repeat a document get the same spans. A term needs ``support`` distinct contexts
-    with an entity, or with ``whole`` as many distinct documents: with ``support``
-    1 an entity seen once is judged too, by the information content of the terms
-    of its document. Own columns named like results are replaced.
+    repeat a document get the same spans. A term needs ``support`` distinct texts
+    with an entity; with 1, an entity seen once is judged too, by the information
+    content of the terms of its text. Own columns named like results are replaced.
     """
     given = Own(docs.drop("base", "spans"), "doc_id", "text")
     docs = given.df.withColumn("__base", entities(F.col("text")))
-    keyed = docs.withColumn("__key", F.xxhash64("text") if whole else F.xxhash64("doc_id", "text"))
-    terms = (_revealing_terms_of_documents if whole else _revealing_terms)(keyed, support, disclosure, removal)
+    keyed = docs.withColumn("__key", F.xxhash64("text"))
+    terms = _revealing_terms(keyed, support, disclosure, removal)
     kept = F.transform("__base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), x["value"].alias("value")))
     if terms is None:
         return given.back(docs, kept.alias("base"), kept.alias("spans"))
     terms = stash(terms, "terms")
     # Only documents with an entity can have terms; the others' texts stay where they are.
-    some = keyed.where(F.size("__base") > 0).join(terms if whole else small(terms), "__key", "left")
+    some = keyed.where(F.size("__base") > 0).join(terms, "__key", "left")
     none = F.lit(None).cast("array<string>")
     both = keyed.where(F.size("__base") == 0).withColumns({"__terms": none, "__gone": none}).unionByName(some)
     hits = F.filter(located(F.col("text"), WORD, F.col("__terms")), lambda w: ~F.exists("__base", lambda e: (e["start"] < w["end"]) & (w["start"] < e["end"])))

@@ -51,7 +51,7 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op8_information_theoretic_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), support=1, whole=True)
+    got = pii.find_personal_data(table(spark, sf_dir, "documents").select("doc_id", "text"), support=1)
     counts = [pii.count_kind("base", k).alias(f"n_{k}") for k in pii.KINDS]
     return got.select("doc_id", *counts, pii.digest(F.col("base")).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
 

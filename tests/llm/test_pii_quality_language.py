@@ -46,7 +46,7 @@ def test_terms_that_reveal(spark):
     found = pii.find_personal_data(df, support=3, disclosure=0.8, removal=0.99)
     got = {r["doc_id"]: r for r in found.collect()}
     named = lambda k: {s["value"] for s in got[k]["spans"] if s["kind"] in ("term", "gone")}
-    assert named(0) == {"Zorblatt"} and not named(50)
+    assert named(0) == {"report", "Zorblatt"} and not named(50)
     assert [s["value"] for s in got[0]["base"]] == ["ann@x.org"]
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(found).collect()}
     assert "ann@" not in clean[0] and "[EMAIL]" in clean[0] and "Zorblatt" not in clean[0] and clean[60] == rows[60][1]
@@ -59,14 +59,14 @@ def test_terms_of_an_entity_seen_once(spark, monkeypatch):
     rows = [(0, f"Zorblatt came first, {far} ann@x.org"), (1, f"Zorblatt came first, {far} ann@x.org"), (2, f"nobody came, {far} bob@y.org")]
     rows += [(k, f"{far} came number {k}") for k in range(3, 200)] + [(200, None), (None, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    found = pii.find_personal_data(df, support=1, whole=True)
+    found = pii.find_personal_data(df, support=1)
     got = {r["doc_id"]: r for r in found.collect()}
     named = lambda k: {s["value"] for s in got[k]["spans"] if s["kind"] in ("term", "gone")}
     assert named(0) == named(1) == {"Zorblatt", "first"} and named(2) == {"nobody"} and not named(50)
     assert len(got) == 202 and [s["value"] for s in got[0]["base"]] == ["ann@x.org"]
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(found).collect()}
     assert clean[0].startswith(" came ,") and clean[60] == rows[60][1] and clean[200] is None
-    assert pii.find_personal_data(df.limit(0), support=1, whole=True).count() == 0
+    assert pii.find_personal_data(df.limit(0), support=1).count() == 0
 
 
 def test_factorisation_machine_identity():
@@ -122,3 +122,17 @@ def test_language_held_out_accuracy(spark):
     assert all(rows[k] == ("und", 0.0) for k in (1, 2, 3, None)) and rows[5][0] == "en"
     assert {r["lang_pred"] for r in language.identify(odd, ()).collect()} == {"und"}
     assert language.identify(odd.limit(0), refs).count() == 0
+
+
+def test_letters_of_large_scripts_keep_apart(spark):
+    """Three languages whose letters are all rare ones: each is told by which of them it has, not by their number."""
+    rng = np.random.default_rng(2)
+    scripts = {"aa": [chr(0x4E00 + k) for k in range(700)], "bb": [chr(0x5E00 + k) for k in range(700)], "cc": [chr(0xAC00 + k) for k in range(700)]}
+    words = {lang: ["".join(rng.choice(letters, 3)) for _ in range(300)] for lang, letters in scripts.items()}
+    rows = [(k, lang, " ".join(rng.choice(words[lang], 60))) for k, lang in enumerate(["aa", "bb", "cc"] * 20)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    refs = language.learn(docs, F.col("doc_id") < 30)
+    p = language.Parser(refs)
+    assert p.size <= 256 and p.width > 1 and len(np.unique(p.table)) > 1500
+    got = language.identify(docs, refs).where("doc_id >= 30").collect()
+    assert all(r["lang_pred"] == r["lang"] for r in got)
