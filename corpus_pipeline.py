@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import decontaminate, line_dedup, ngram_join, packing, quality
-from ledgerlake.llm.common import stash, table
+from ledgerlake.llm.common import stash, table, unstash
 from ledgerlake.llm.tokens import vocabulary
 
 
@@ -60,7 +60,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        kept, docs = docs, stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = stash(docs, f"stage-{k}")
+            unstash(kept)  # the table of the stage before: nothing reads it any more
     return docs
