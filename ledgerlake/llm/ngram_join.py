@@ -163,9 +163,11 @@ def _described(docs: DataFrame, words: int, percent: int) -> DataFrame:
 
 def _remaining(docs: DataFrame, classes: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """Classes that may link with another, with their sets, and the pieces to join them on: ``CLASS, elements`` and ``key, c``."""
-    keys = classes.select(F.col("row").alias("c"), F.posexplode("keys").alias("band", "keys")).select("c", "band", F.explode("keys").alias("key"))
-    shared = stash(keys.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1"), "shared-keys")
-    held = stash(keys.join(small(shared), "key").select("key", "sets", "c", "band"), "shared-pieces")
+    # A class and a band as one number. Both sides are shuffled at every size: keys are many, and hot ones are split by adaptive joins.
+    keys = classes.select("row", F.posexplode("keys").alias("band", "keys")).select((F.col("row") * 16 + F.col("band")).alias("entry"), F.explode("keys").alias("key"))
+    shared = stash(keys.groupBy("key").agg(F.count("*").alias("sets")).where("sets > 1").select("key"), "shared-keys")
+    held = keys.join(shared.hint("merge"), "key").select("key", F.shiftright("entry", 4).alias("c"), (F.col("entry") % 16).cast("int").alias("band"))
+    held = stash(held, "shared-pieces")
     equal = classes.select(F.col("row").alias("c"), F.posexplode("equal").alias("band", "equal"))
     some = held.groupBy("c", "band").agg(F.count("*").alias("held")).join(equal, ["c", "band"]).where("held >= equal")
     some = stash(some.select("c", "band", (F.col("held") - F.col("equal") + 1).alias("first")), "entries")
