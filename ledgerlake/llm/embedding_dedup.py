@@ -114,7 +114,7 @@ def _clean(vectors: DataFrame) -> DataFrame:
     return rows.withColumn("good", F.coalesce(~bad & ~zero, F.lit(False)))
 
 
-def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.995, training_rows: int = TRAINING_ROWS) -> DataFrame:
+def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.995, training_rows: int = TRAINING_ROWS, centroids: int | None = None) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for ``vectors(vec_id, embedding)``.
 
     A row for each vec_id (of rows that repeat one, the least vector counts).
@@ -122,6 +122,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.995
     those whose length is not the table's most common one, link with nothing.
     Equal vectors link with each other and are compared with others once.
     ``n_links`` counts vectors, not classes of equal ones. Other columns are not read.
+    ``centroids`` of a half: by the number of vectors unless given.
     """
     rows = stash(_clean(vectors), "vectors")
     spark = rows.sparkSession
@@ -138,7 +139,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.995
     sample = classes.orderBy(F.xxhash64("root"), "root").limit(training_rows).select("root", "v").collect()
     points = unit(np.array([r["v"] for r in sorted(sample, key=lambda r: r["root"])]))
     half = max(1, d // 2)
-    k = int(min(CENTROIDS, max(1, math.isqrt(n) // 8)))
+    k = centroids or int(min(CENTROIDS, max(1, math.isqrt(n) // 8)))
     books = [fit_codebook(points[:, :half], k), fit_codebook(points[:, half:], k if d > 1 else 1)]
     gaps = [np.sqrt(np.maximum(((b[:, None] - b[None]) ** 2).sum(2), 1e-18)) for b in books]
     reach, width = reach_for(recall, cosine, d), len(books[1])

@@ -54,3 +54,19 @@ def test_forest_connects():
         return {frozenset(s) for s in name.values()}
 
     assert parts(links) == parts(np.argwhere(hit))
+
+
+def test_a_fine_grid_finds_pairs_at_the_threshold(spark):
+    """A grid of 24 x 24 cells, and links of cosine 0.95 to 0.96 only: most lie across a cell's border."""
+    rng = np.random.default_rng(4)
+    base = ed.unit(rng.normal(size=(600, 32)))
+    step = ed.unit(rng.normal(size=(600, 32)))
+    step = ed.unit(step - (step * base).sum(1, keepdims=True) * base)
+    cosine = rng.uniform(0.9505, 0.96, (600, 1))
+    v = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * step])
+    df = spark.createDataFrame([(i, x.tolist(), 0) for i, x in enumerate(v)], "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: r["n_links"] for r in ed.near_vectors(df, centroids=24).collect()}
+    want = ed.brute_force(dict(enumerate(v)))
+    there = sum(n for n, _ in want.values())
+    assert there >= 1200 and all(got[i] <= want[i][0] for i in want)
+    assert sum(got.values()) >= 0.98 * there
