@@ -10,10 +10,10 @@ import time
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 os.environ["PYTHONPATH"] = os.pathsep.join(x for x in (sys.path[0], os.environ.get("PYTHONPATH", "")) if x)
 
-from ledgerlake.plans.queries import QUERIES  # noqa: E402
+from ledgerlake.plans.gold_queries import QUERIES  # noqa: E402
 from ledgerlake.session import local  # noqa: E402
 
-HEADLINE = ["monthly_overview", "category_spending", "group_rollup", "reconciliation", "account_sequence", "balance_check", "month_coverage", "monthly_balances", "rule_classify", "transfer_candidates", "transfer_match", "publication_diff", "handles", "completeness", "transaction_id_hash", "silver_merge"]
+HEADLINE = ["monthly_overview", "category_spending", "group_rollup", "reconciliation", "account_sequence", "balance_check", "month_coverage", "monthly_balances", "rule_classify", "transfer_candidates", "transfer_match", "publication_diff", "handles", "completeness", "transaction_id_hash", "silver_merge", "gold_transactions", "report_overview"]
 
 
 def main() -> None:

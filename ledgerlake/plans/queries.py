@@ -442,18 +442,18 @@ def run_outcomes(v: Views) -> DataFrame:
     return bronze.run_outcomes(runs).groupBy("l_returnflag", "outcome").agg(F.count("*").alias("n"))
 
 
-@query("SELECT account_id, record_ordinal, transaction_date, amount FROM (SELECT account_id, CAST(row_number() OVER (PARTITION BY account_id ORDER BY event_id) AS INTEGER) AS record_ordinal, transaction_date, amount FROM feed_rows)")
+@query("SELECT account_id, record_ordinal, transaction_date, amount FROM (SELECT account_id, CAST(row_number() OVER (PARTITION BY account_id, transaction_date ORDER BY event_id) AS INTEGER) AS record_ordinal, transaction_date, amount FROM feed_rows)")
 def bank_csv_parse(v: Views) -> DataFrame:
-    """Each account's feed written as a bank's export in windows-1252, parsed and typed again."""
+    """Each account's feed written as a bank's exports in windows-1252, one for each day, parsed and typed again."""
     text = F.translate(F.format_number("amount", 2), ",.", ".,")
     cells = F.array(F.date_format("transaction_date", "dd.MM.yyyy"), "description", text, F.lit(""), F.lit("Venter"), F.lit("Nej"))
     line = F.concat(F.lit('"'), F.array_join(cells, '","'), F.lit('"'))
     head = '"' + '","'.join(silver.HEADER) + '"'
-    files = v.feed.groupBy("account_id").agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("rows"))
+    files = v.feed.groupBy("account_id", "transaction_date").agg(F.array_sort(F.collect_list(F.struct("event_id", line.alias("line")))).alias("rows"))
     body = F.concat_ws("\n", F.lit(head), F.transform("rows", lambda r: r["line"]))
-    payloads = files.select(F.col("account_id").cast("string").alias("payload_id"), F.lit("danske-csv-v1").alias("source_format"), F.encode(body, "ISO-8859-1").alias("content"))
+    payloads = files.select(F.concat_ws("/", "account_id", "transaction_date").alias("payload_id"), F.lit("danske-csv-v1").alias("source_format"), F.encode(body, "ISO-8859-1").alias("content"))
     typed = silver.typed_records(bank_csv.parse_payloads(payloads).where("reason is null").drop("reason", "source_format", "first_date", "last_date"))
-    return typed.select(F.col("payload_id").cast("long").alias("account_id"), "record_ordinal", "transaction_date", F.col("amount").cast("decimal(18,2)").alias("amount"))
+    return typed.select(F.split("payload_id", "/")[0].cast("long").alias("account_id"), "record_ordinal", "transaction_date", F.col("amount").cast("decimal(18,2)").alias("amount"))
 
 
 def _publications(v: Views) -> tuple[DataFrame, DataFrame]:
