@@ -93,8 +93,10 @@ def classify(rows: DataFrame, rules: Sequence[Rule], categories: DataFrame) -> D
     """Each transaction's rule outcome: ``transaction_type, category_id, rule_ids, review_kind, claims_transfer, adjustment_reason``.
 
     The highest priority decides; rules of it that differ conflict. A category takes
-    its type from its direction and the amount's sign; zero is a sign mismatch.
+    its type from its direction and the amount's sign; zero is a sign mismatch. Rules
+    with a category that ``categories`` doesn't have are refused (``UnknownCategory``).
     """
+    known_categories(rules, categories)
     rows = rows.drop("transaction_type", "category_id", "direction").withColumn("__text", fold(F.col("description")))
     hits = [F.when(r.when.column(F.col("__text")), F.struct(F.lit(r.priority).alias("priority"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.outcome()).alias("outcome"))) for r in rules]
     rows = rows.withColumn("__hits", F.array_compact(F.array(*hits)) if hits else F.array().cast(MATCH))

@@ -142,6 +142,32 @@ def test_transfers_like_plain_version(spark, seed):
     assert got == plain_matching(legs)
 
 
+@pytest.mark.parametrize("seed", range(60))
+def test_islands_of_many_accounts(seed):
+    """Sets that are connected through representatives only, with up to eight accounts on near days."""
+    rng = random.Random(seed)
+    legs, count, accounts = [], {}, "abcdefgh"[: rng.randrange(2, 9)]
+    for k in range(rng.randrange(2, 40)):
+        account = rng.choice(accounts)
+        count[account] = count.get(account, 0) + 1
+        legs.append({"transaction_id": f"t{k:03}", "account_id": account, "account_sequence": count[account], "transaction_date": date(2031, 1, 1) + timedelta(rng.randrange(5)), "amount": D(rng.choice([-10, 10])), "description": rng.choice("xy"), "claim_rule_ids": ["r1"] if rng.random() < rng.choice([0.1, 0.5, 0.9]) else []})
+    got = {r[0]: (r[1], r[2], r[3]) for r in transfers._island(sorted(legs, key=lambda x: (x["account_id"], x["account_sequence"])))}
+    assert got == plain_matching(legs)
+
+
+def test_unmatched_reason_like_plain_version(spark):
+    rng = random.Random(9)
+    day = lambda: date(2031, 3, 1) + timedelta(rng.randrange(40))
+    accounts = [(a, day() if rng.random() < 0.5 else None) for a in "abcdef"]
+    history = [(a, day()) for a in "abcde" for _ in range(3)]
+    legs = [(f"t{k}", rng.choice("abcdef"), day()) for k in range(60)]
+    latest = {a: max((d for x, d in history if x == a), default=date.min) for a, _ in accounts}
+    late = lambda own, d: any(a != own and (c is None or c >= d - timedelta(3)) and latest[a] < d + timedelta(3) for a, c in accounts)
+    frames = [spark.createDataFrame(rows, schema) for rows, schema in ((legs, "transaction_id string, account_id string, transaction_date date"), (accounts, "account_id string, closed_on date"), (history, "account_id string, transaction_date date"))]
+    got = {r["transaction_id"]: r["reason"] for r in transfers.unmatched_reason(*frames).collect()}
+    assert got == {t: "counterpart-may-not-be-imported" if late(a, d) else "no-candidate" for t, a, d in legs}
+
+
 def test_rules_and_decisions(spark):
     columns = "transaction_id string, account_id string, transaction_date date, amount decimal(19,2), description string, bank_category string, bank_subcategory string"
     rows = [("t1", "a", date(2026, 1, 2), D("-10"), "NETTO Æble", "Mad", None), ("t2", "a", date(2026, 1, 3), D("0"), "netto", None, None), ("t3", "b", date(2026, 1, 3), D("10"), "overførsel", None, None), ("t4", "b", date(2026, 1, 4), D("5"), "x", "mAD", "y")]
@@ -161,6 +187,8 @@ def test_rules_and_decisions(spark):
         "t3": ("unknown", None, ["r3"], "unmatched-transfer", True, None),
         "t4": ("adjustment", None, ["r4"], None, False, "fix"),
     }
+    with pytest.raises(rules.UnknownCategory, match="r6: nowhere"):
+        rules.classify(df, [rules.Rule("r6", rules.When(account="a"), category="nowhere")], cats)
     log = spark.createDataFrame([("d1", "classify", ["t2"], None), ("d2", "pair", ["t1", "t3"], None), ("d3", "pair", ["t1", "zz"], None), ("d4", "one-sided-transfer", ["t1"], "b"), ("d5", "one-sided-transfer", ["t1"], "new")], "decision_id string, kind string, targets array<string>, counterpart_account_id string")
     accounts = spark.createDataFrame([("a", None), ("b", None), ("new", None)], "account_id string, closed_on date")
     reasons = {r["decision_id"]: r["reason"] for r in decisions.applicability(log, df, accounts).collect()}
