@@ -73,6 +73,8 @@ def test_overlapping_exports_merge(spark):
     got = sorted((r["transaction_date"].day, r["day_sequence"], str(r["amount"]), r["occurrence"]) for r in rows if r["family"] == "transaction")
     assert got == [(9, 1, "-64.90", 1), (10, 1, "-41.50", 1), (10, 2, "-41.50", 2), (11, 1, "2300.00", 1)]
     assert sum(r["family"] == "evidence" for r in rows) == 5
+    families = silver.in_order(out)
+    assert [r["amount"] for r in families["transactions"].collect()] == [D("-64.90"), D("-41.50"), D("-41.50"), D("2300.00")] and families["review_items"].count() == 0
     assert [r["description"] for r in silver.unbooked(typed, out).collect()] == ["SENERE"] and silver.run_errors(typed).count() == 0
 
 
@@ -119,6 +121,16 @@ def test_typed_errors(spark):
     assert (got[2]["amount"], got[2]["balance"]) == (D("1234.50"), D("1.00"))
 
 
+def test_formats_are_plugged_in(spark):
+    payloads = spark.createDataFrame([("p", "danske-csv-v1", bytearray(export(bread("812,25")))), ("q", "synthetic-ledger-v1", bytearray(b"when\tsum\tmemo\tbal\tstate\n2031-07-09\t-12.50\tx\t80.00\tbooked\n"))], "payload_id string, source_format string, content binary")
+    records = bank_csv.parse_payloads(payloads).drop("reason", "first_date", "last_date")
+    assert {(r["payload_id"], r["amount"]) for r in silver.typed_by_format(records).collect()} == {("p", D("-41.50")), ("q", D("-12.50"))}
+    doubled = {"danske-csv-v1": silver.typed_records, "synthetic-ledger-v1": lambda r: silver.typed_records(r).withColumn("amount", (F.col("amount") * 2).cast("decimal(19,2)"))}
+    assert {r["amount"] for r in silver.typed_by_format(records, doubled).collect()} == {D("-41.50"), D("-25.00")}
+    with pytest.raises(ValueError, match="synthetic-ledger-v1"):
+        silver.typed_by_format(records, {"danske-csv-v1": silver.typed_records})
+
+
 def test_text_helpers(spark):
     df = spark.createDataFrame([("\xa0HONORAR  JULI\xa0",), (" \t ",)], "t string").select(C.identity_text(F.col("t")).alias("i"), C.label(F.col("t")).alias("l"))
     assert [tuple(r) for r in df.collect()] == [("HONORAR JULI", "HONORAR  JULI"), ("", None)]
