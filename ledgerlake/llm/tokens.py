@@ -20,7 +20,7 @@ import numpy as np
 from .common import dropped_by_others
 
 #: Parts and pieces kept for each worker process, and their longest; once full, further ones are encoded anew for each batch.
-MEMO_PARTS, MEMO_WORDS, MEMO_CHARS = 600_000, 300_000, 64
+MEMO_PARTS, MEMO_WORDS, MEMO_CHARS = 350_000, 150_000, 64
 CUT = re.compile(r" (?=\S)")
 #: For all other characters Python's classes are the same as the tokenizer's, so its pattern can be run here.
 UNUSUAL = re.compile(r"[^\x21-\x7e\nÀ-ÖØ-öø-ɏ]")
