@@ -76,24 +76,24 @@ def numbered(leaves: DataFrame, *order: str) -> DataFrame:
     return runs.join(small(parts), ["tree", "__run"]).withColumn("at", F.col("__mark") + F.col("__shift")).drop("__run", "__mark", "__shift")
 
 
-def _levels(n: int, level: int) -> Iterator[tuple[int, int]]:
+def _levels(n: int, level: int, band: int) -> Iterator[tuple[int, int]]:
     """The levels above ``level`` that a pass makes in a tree that has ``n`` nodes there, with their sizes."""
-    for k in range(level + 1, level + BAND + 1):
+    for k in range(level + 1, level + band + 1):
         if n == 1:
             return
         n = (n + 1) // 2
         yield k, n
 
 
-def _climb(batches: Iterator[dict[str, list]], level: int) -> Iterator[dict[str, list]]:
+def _climb(batches: Iterator[dict[str, list]], level: int, band: int) -> Iterator[dict[str, list]]:
     """Levels above ``level`` of whole blocks, whose rows come in order."""
-    rows = ((t, at >> BAND, n, d) for b in batches for t, at, n, d in zip(b["tree"], b["at"], b["n"], b["digest"], strict=True))
+    rows = ((t, at >> band, n, d) for b in batches for t, at, n, d in zip(b["tree"], b["at"], b["n"], b["digest"], strict=True))
     for (tree, block, n), nodes in groupby(rows, key=lambda r: r[:3]):
         row = [r[3] for r in nodes]
         out: dict[str, list] = {c: [] for c in ("level", "tree", "at", "n", "digest")}
-        for k, size in _levels(n, level):
+        for k, size in _levels(n, level, band):
             row = [_hash(*row[i : i + 2]) for i in range(0, len(row), 2)]
-            first = block << (BAND - (k - level))
+            first = block << (band - (k - level))
             for c, values in zip(out, ([k] * len(row), [tree] * len(row), range(first, first + len(row)), [size] * len(row), row), strict=True):
                 out[c].extend(values)
         yield out
@@ -104,7 +104,7 @@ def read_level(spark: SparkSession, path: str, *levels: int) -> DataFrame:
     return spark.read.schema(f"{NODES}, level int").parquet(path).where(F.col("level").isin(list(levels)))
 
 
-def build(leaves: DataFrame, path: str) -> int:
+def build(leaves: DataFrame, path: str, band: int = BAND) -> int:
     """Write all levels over ``leaves`` (``NODES``) to ``path``; returns the highest level that starts a pass."""
     spark = leaves.sparkSession
 
@@ -116,11 +116,11 @@ def build(leaves: DataFrame, path: str) -> int:
     while True:
         below = read_level(spark, path, level).where("n > 1").drop("level")
         if below.isEmpty():
-            return max(0, level - BAND)
-        block = F.shiftright("at", BAND)
+            return max(0, level - band)
+        block = F.shiftright("at", band)
         blocks = below.repartition("tree", block).sortWithinPartitions("tree", "at")
-        put(map_batches(blocks, f"level int, {NODES}", lambda b, at=level: _climb(b, at), rows=4096))
-        level += BAND
+        put(map_batches(blocks, f"level int, {NODES}", lambda b, at=level: _climb(b, at, band), rows=4096))
+        level += band
 
 
 def tops(spark: SparkSession, path: str) -> DataFrame:
@@ -128,7 +128,7 @@ def tops(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(f"{NODES}, level int").parquet(path).where("n = 1").select("tree", "digest")
 
 
-def _extract(level: int, rows: pa.Table, nodes: pa.Table) -> pa.Table:
+def _extract(level: int, band: int, rows: pa.Table, nodes: pa.Table) -> pa.Table:
     """One block: ``rows`` with the way from each up; ``nodes`` are those above and beside them, and one row with the block's own way."""
     at = {}
     n, own = 0, ("", [], [])
@@ -141,7 +141,7 @@ def _extract(level: int, rows: pa.Table, nodes: pa.Table) -> pa.Table:
     sides, siblings = [], []
     for place in rows.column("at").to_pylist():
         text, found, k = "", [], level
-        for up, _ in _levels(n, level):
+        for up, _ in _levels(n, level, band):
             beside = at.get((k, place ^ 1))
             text += "N" if beside is None else "R" if place % 2 == 0 else "L"
             found.append(beside)
@@ -154,24 +154,24 @@ def _extract(level: int, rows: pa.Table, nodes: pa.Table) -> pa.Table:
     return out
 
 
-def _extractor(level: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    return lambda rows, nodes: _extract(level, rows, nodes)
+def _extractor(level: int, band: int) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    return lambda rows, nodes: _extract(level, band, rows, nodes)
 
 
-def proofs(wanted: DataFrame, path: str, above: DataFrame, highest: int) -> DataFrame:
+def proofs(wanted: DataFrame, path: str, above: DataFrame, highest: int, band: int = BAND) -> DataFrame:
     """``wanted(tree, at, ...)``, coordinates of leaves, with ``WAY`` from each to the root.
 
     ``above``: ``tree`` and ``WAY``, the way from each tree's top. ``highest``: what
-    ``build`` returned. Levels are read from the top down, ten at a time.
+    ``build`` returned. Levels are read from the top down, ``band`` at a time.
     """
     spark, names = wanted.sparkSession, [c.split()[0] for c in NODES.split(", ")]
-    block, none = F.shiftright("at", BAND).alias("__block"), lambda kind: F.lit(None).cast(kind)
+    block, none = F.shiftright("at", band).alias("__block"), lambda kind: F.lit(None).cast(kind)
     way, ways = above.select("tree", F.lit(0).cast("long").alias("__block"), "sides", "siblings", "tops"), None
-    for level in range(highest, -1, -BAND):
-        here = read_level(spark, path, *range(level, level + BAND))
-        nodes = here.select(*names, "level", F.expr(f"shiftright(at, {BAND + level} - level)").alias("__block"), none("string").alias("sides"), none("array<string>").alias("siblings"), none("array<string>").alias("tops"))
+    for level in range(highest, -1, -band):
+        here = read_level(spark, path, *range(level, level + band))
+        nodes = here.select(*names, "level", F.expr(f"shiftright(at, {band + level} - level)").alias("__block"), none("string").alias("sides"), none("array<string>").alias("siblings"), none("array<string>").alias("tops"))
         # Trees that end in this pass have one block, which starts from their top; others' blocks start from what the pass before found.
-        ending = read_level(spark, path, level).where(f"at = 0 and n between {2 if level else 1} and {1 << BAND}")
+        ending = read_level(spark, path, level).where(f"at = 0 and n between {2 if level else 1} and {1 << band}")
         starts = way.join(ending.select("tree"), "tree", "left_semi")
         starts = starts if ways is None else starts.unionByName(ways.withColumnRenamed("at", "__block"))
         starts = starts.select("tree", none("long").alias("at"), none("long").alias("n"), none("string").alias("digest"), none("int").alias("level"), "__block", "sides", "siblings", "tops")
@@ -179,7 +179,7 @@ def proofs(wanted: DataFrame, path: str, above: DataFrame, highest: int) -> Data
         rows = rows.select(*rows.columns, block)
         schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.drop("__block").schema) + ", " + WAY
         both = rows.groupBy("tree", "__block").cogroup(nodes.unionByName(starts).groupBy("tree", "__block"))
-        got = both.applyInArrow(_extractor(level), schema)
+        got = both.applyInArrow(_extractor(level, band), schema)
         ways = stash(got, f"ways-{level}") if level else got
     return ways
 
@@ -195,7 +195,7 @@ def folded(leaf: Column, sides: Column, siblings: Column) -> Column:
     return F.when(F.char_length(sides) == 0, leaf).otherwise(F.aggregate(steps, leaf, up))
 
 
-def manifest(docs: DataFrame, path: str, fields: tuple[str, ...], tree: str, order: str, forged: Column | None = None) -> DataFrame:
+def manifest(docs: DataFrame, path: str, fields: tuple[str, ...], tree: str, order: str, forged: Column | None = None, band: int = BAND) -> DataFrame:
     """Write the trees of ``docs`` under ``path`` and return every row's leaf, tree tops and proof.
 
     A row for each row of ``docs``: the ``order`` column, ``leaf``, ``forged`` (a
@@ -210,11 +210,11 @@ def manifest(docs: DataFrame, path: str, fields: tuple[str, ...], tree: str, ord
     leaves = stash(leaves, "leaves")
     placed = stash(numbered(leaves, "key"), "placed")
     unstash(leaves)
-    highest = build(placed, f"{path}/trees")
+    highest = build(placed, f"{path}/trees", band)
     subroots = stash(numbered(tops(spark, f"{path}/trees").select(F.lit("").alias("tree"), F.col("tree").alias("of"), "digest"), "of"), "subroots")
-    roof = build(subroots, f"{path}/root")
+    roof = build(subroots, f"{path}/root", band)
     root = tops(spark, f"{path}/root").select("tree", F.lit("").alias("sides"), F.array().cast("array<string>").alias("siblings"), F.array("digest").alias("tops"))
-    above = proofs(subroots, f"{path}/root", root, roof)
+    above = proofs(subroots, f"{path}/root", root, roof, band)
     above = stash(above.select(F.col("of").alias("tree"), "sides", "siblings", F.concat(F.array("digest"), "tops").alias("tops")), "above")
-    found = proofs(placed, f"{path}/trees", above, highest)
+    found = proofs(placed, f"{path}/trees", above, highest, band)
     return found.select(F.col("key").alias(order), F.col("digest").alias("leaf"), "forged", F.col("tops")[0].alias("subroot"), F.col("tops")[1].alias("root"), "sides", "siblings")

@@ -29,9 +29,14 @@ def value_of(letter: Column) -> Column:
     return code * code * code * code * code
 
 
+def letters_of(word: Column) -> Column:
+    """A word's letters, in time linear in its length, as a split at nothing isn't."""
+    return F.regexp_extract_all(word, F.lit("."), F.lit(0))
+
+
 def anagram_key(word: Column) -> Column:
     """The sum of the letters' fifth powers, modulo ``PRIME``."""
-    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), lambda acc, c: (acc + value_of(c)) % PRIME)
+    return F.aggregate(letters_of(word), F.lit(0).cast("long"), lambda acc, c: (acc + value_of(c)) % PRIME)
 
 
 def words_of(docs: DataFrame, least: int = 7) -> DataFrame:
@@ -50,32 +55,44 @@ def words_of(docs: DataFrame, least: int = 7) -> DataFrame:
     return drawn.select(word.alias("word")).where(F.char_length("word") >= least)
 
 
+def _half(word: Column, less: Column) -> Column:
+    """Letters before the middle: for a word less a letter, of what is left."""
+    return F.floor((F.char_length(word) - less.cast("int")) / 2).cast("int")
+
+
+def _one_change(a: Column, b: Column) -> Column:
+    """Whether ``b`` is ``a`` with one letter exchanged or added; in linear time for long words, where an edit distance isn't."""
+    differs = F.transform(F.arrays_zip(letters_of(a).alias("a"), letters_of(b).alias("b")), lambda x: ~x["a"].eqNullSafe(x["b"]))
+    at = F.array_position(differs, True).cast("int")
+    rest = F.substring(b, at + 1, F.char_length(b))
+    same = F.when(F.char_length(a) == F.char_length(b), F.substring(a, at + 1, F.char_length(a)) == rest).otherwise((F.char_length(a) + 1 == F.char_length(b)) & (F.substring(a, at, F.char_length(a)) == rest))
+    return F.when(F.greatest(F.char_length(a), F.char_length(b)) <= 64, F.levenshtein(a, b, 1) == 1).otherwise((at > 0) & same)
+
+
 def near_pairs(words: DataFrame) -> DataFrame:
     """``a, b, n_a, n_b``: each pair of ``words(word, n)``, once, that differ by one letter added, removed or exchanged; ``a`` is the shorter or the first."""
-    size = F.char_length("word")
-    word = words.select("word", F.col("n"), size.alias("len"), anagram_key(F.col("word")).alias("key"), F.array_distinct(F.split("word", "")).alias("letters"))
-    # Less a letter: halves around the middle of the shorter word, without the letter in the middle.
-    half = F.floor((F.col("len") - 1) / 2).cast("int")
-    left, right = F.substring("word", F.lit(1), half), F.substring("word", half + 2, F.col("len"))
-    less = word.select("word", "n", "len", "key", left.alias("left"), right.alias("right"), F.explode("letters").alias("letter"))
+    letters = letters_of(F.col("word"))
+    word = words.select("word", "n", F.char_length("word").alias("len"), anagram_key(F.col("word")).alias("key"), F.array_distinct(letters).alias("letters"))
+    less = word.select("word", "n", "len", "key", F.explode("letters").alias("letter"))
     key = (F.col("key") - value_of(F.col("letter")) + F.lit(PRIME)) % PRIME
-    less = less.select("word", "n", "letter", key.alias("key"), F.col("len"), "left", "right")
-    # As it is: halves as the longer word has them.
-    half = F.floor(F.col("len") / 2).cast("int")
-    whole = word.select("word", "n", F.lit(None).cast("string").alias("letter"), "key", (F.col("len") + 1).alias("len"), F.substring("word", F.lit(1), half).alias("left"), F.substring("word", half + 1, F.col("len")).alias("right"))
-    rows = less.unionByName(whole)
-    sides = F.explode(F.array(F.struct(F.lit(False).alias("second"), F.col("left").alias("part")), F.struct(F.lit(True).alias("second"), F.col("right").alias("part"))))
-    rows = rows.select("word", "n", "letter", "key", "len", "left", sides.alias("side"))
-    rows = rows.select("word", "n", "letter", "left", "side.second", F.xxhash64("key", "len", "side.second", "side.part").alias("meet"))
+    half = _half(F.col("word"), F.lit(True))
+    # A word less a letter: the halves around the middle, without the letter there.
+    less = less.select("word", "n", "letter", "len", key.alias("key"), half.alias("half"), (half + 2).alias("next"))
+    # A word as it is, to meet words with a letter more.
+    half = _half(F.col("word"), F.lit(False))
+    whole = word.select("word", "n", F.lit(None).cast("string").alias("letter"), (F.col("len") + 1).alias("len"), "key", half.alias("half"), (half + 1).alias("next"))
+    first, second = F.substring("word", F.lit(1), F.col("half")), F.substring("word", F.col("next"), F.col("len"))
+    sides = F.explode(F.array(*[F.struct(F.lit(k).alias("second"), F.xxhash64("key", "len", F.lit(k), part).alias("meet")) for k, part in ((False, first), (True, second))]))
+    rows = less.unionByName(whole).select("word", "n", "letter", sides.alias("side")).select("word", "n", "letter", "side.second", "side.meet")
     a, b = rows.alias("a"), rows.alias("b")
     col = lambda x, c: F.col(f"{x}.{c}")
-    exchange = col("a", "letter").isNotNull() & (col("a", "letter") != col("b", "letter")) & (col("a", "word") < col("b", "word"))
     added = col("a", "letter").isNull()
+    exchange = (col("a", "letter") != col("b", "letter")) & (col("a", "word") < col("b", "word"))
     # Those whose first halves are equal meet there; a second meeting, by the second halves, doesn't count.
-    once = ~col("a", "second") | (col("a", "left") != col("b", "left"))
-    met = (col("a", "meet") == col("b", "meet")) & (col("a", "second") == col("b", "second")) & col("b", "letter").isNotNull() & once & (exchange | added)
-    pairs = a.join(b, met).where(F.levenshtein(col("a", "word"), col("b", "word"), 1) == 1)
-    return pairs.select(col("a", "word").alias("a"), col("b", "word").alias("b"), col("a", "n").alias("n_a"), col("b", "n").alias("n_b"))
+    start = lambda x, less: F.substring(col(x, "word"), F.lit(1), _half(col(x, "word"), less))
+    once = ~col("a", "second") | (start("a", ~added) != start("b", F.lit(True)))
+    met = (col("a", "meet") == col("b", "meet")) & (col("a", "second") == col("b", "second")) & col("b", "letter").isNotNull() & (exchange | added) & once & _one_change(col("a", "word"), col("b", "word"))
+    return a.join(b, met).select(col("a", "word").alias("a"), col("b", "word").alias("b"), col("a", "n").alias("n_a"), col("b", "n").alias("n_b"))
 
 
 def forms(words: DataFrame, times: int = 10) -> DataFrame:
