@@ -1,16 +1,21 @@
-"""Benchmark decontamination with one Aho-Corasick automaton over normalised windows.
-
-Texts become ASCII-lower-cased words; each benchmark item gives its windows of
-``window`` consecutive words. All windows form one automaton; every document is
-normalised and scanned once, and hits are mapped back to words and to offsets in
-the original text.
+"""Benchmark decontamination with one Aho-Corasick automaton over normalised test items.
+
+Texts become ASCII-lower-cased words, and those of the benchmark numbers. The
+automaton holds, of every item, runs of words that lie so close that each window of
+``window`` words holds one whole: a few nodes a word, however long windows are. A
+document is scanned once; around each run that it has, its windows are looked up among
+the items' by hash and compared word by word. Hits are mapped back to words and
+to offsets in the original text.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from dataclasses import dataclass
 from functools import lru_cache
+from itertools import repeat
 
 import ahocorasick
 import numpy as np
@@ -22,47 +27,111 @@ from .common import Own, dropped_by_others, map_batches
 #: Bytes: A-Z to a-z, 0-9 and a-z and all of non-ASCII stay, the rest becomes a space.
 NORMAL = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-#: Bytes of item texts in one automaton; a larger benchmark is scanned for in several passes.
+#: Bytes of item texts in one automaton, which take some 40 times as much memory; a larger benchmark is scanned for in several passes.
 BLOCK_BYTES = 8_000_000
 
 
-def normal(text: bytes) -> str:
-    """The words with one space before, between and after; a character for each byte."""
-    words = text.translate(NORMAL).split()
-    return f" {b' '.join(words).decode('latin-1')} " if words else ""
+@dataclass
+class Index:
+    """The windows of a benchmark's items, and the automaton that finds where a text may have one."""
 
+    #: Each word as two characters, of two alphabets: a node of the automaton has few children however many words there are.
+    codes: dict[bytes, str]
+    #: Runs of words' codes; each match tells how many characters it has.
+    runs: ahocorasick.Automaton
+    #: Words between the starts of two runs of an item.
+    stride: int
+    #: The items' words one after the other, and for each size of windows their sorted hashes, where they start, and their items.
+    words: np.ndarray
+    windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
-@lru_cache(maxsize=2)
-def automaton(items: tuple[tuple[int, bytes], ...], window: int) -> ahocorasick.Automaton:
-    made: dict[str, set[int]] = {}
-    for k, (_, text) in enumerate(items):
-        words = normal(text).split()
-        for at in range(max(1, len(words) - window + 1) if words else 0):
-            made.setdefault(f" {' '.join(words[at : at + window])} ", set()).add(k)
-    auto = ahocorasick.Automaton()
-    for text, ks in made.items():
-        auto.add_word(text, (text.count(" ") - 1, tuple(ks)))
-    if made:
-        auto.make_automaton()
-    return auto
+
+def _hashes(rows: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of word numbers."""
+    h = np.full(len(rows), 0x9E3779B97F4A7C15, np.uint64)
+    for column in rows.T:
+        h = (h ^ column.astype(np.uint64)) * np.uint64(0xFF51AFD7ED558CCD)
+        h ^= h >> np.uint64(32)
+    return h
 
 
-dropped_by_others(automaton.cache_clear)
+def _numbers(codes: str) -> np.ndarray:
+    """Words' codes as numbers."""
+    pairs = np.frombuffer(codes.encode("utf-32-le"), "<u4").reshape(-1, 2)
+    return (pairs[:, 0] << np.uint32(16)) | pairs[:, 1]
 
 
-def scan(text: bytes, auto: ahocorasick.Automaton) -> tuple[int, list[int], set[int]]:
+@lru_cache(maxsize=2)
+def index(items: tuple[tuple[int, bytes], ...], window: int) -> Index:
+    split = [text.translate(NORMAL).split() for _, text in items]
+    number = {w: k for k, w in enumerate(dict.fromkeys(w for words in split for w in words))}
+    base = math.isqrt(len(number)) + 1
+    # From 1 and from 0x1000 on; a word that no item has is two zeros.
+    codes = {w: chr(1 + k // base) + chr(0x1000 + k % base) for w, k in number.items()}
+    parts = ["".join(map(codes.__getitem__, words)) for words in split]
+    starts = np.concatenate([[0], np.cumsum([len(p) // 2 for p in parts])]).tolist()
+    words = _numbers("".join(parts))
+    stride = max(1, window // 2)
+    length = window - stride + 1
+    runs = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+    at: dict[int, list[tuple[int, int]]] = {}
+    for k, part in enumerate(parts):
+        n = len(part) // 2
+        if n >= window:
+            for i in range(0, n - length + 1, stride):
+                runs.add_word(part[2 * i : 2 * (i + length)])
+        elif n:
+            runs.add_word(part)
+        if n:
+            at.setdefault(min(n, window), []).append((k, n))
+    if len(runs):
+        runs.make_automaton()
+    windows = {}
+    for size, owners in at.items():
+        where = np.concatenate([np.arange(starts[k], starts[k] + n - size + 1) for k, n in owners])
+        owner = np.repeat([k for k, _ in owners], [n - size + 1 for _, n in owners])
+        h = _hashes(words[where[:, None] + np.arange(size)])
+        order = np.lexsort((owner, h))
+        h, where, owner = h[order], where[order].astype(np.int64), owner[order].astype(np.int32)
+        # An item's equal windows are one.
+        same = np.zeros(len(h), bool)
+        near = np.flatnonzero((h[1:] == h[:-1]) & (owner[1:] == owner[:-1]))
+        reach = np.arange(size)
+        same[near + 1] = (words[where[near + 1, None] + reach] == words[where[near, None] + reach]).all(1)
+        windows[size] = (h[~same], where[~same], owner[~same])
+    return Index(codes, runs, stride, words, windows)
+
+
+dropped_by_others(index.cache_clear)
+
+
+def scan(text: bytes, found: Index, window: int) -> tuple[int, list[int], set[int]]:
     """Words of a text, the hit ones' numbers, and the items with an occurring window."""
-    plain = normal(text)
-    n = max(0, plain.count(" ") - 1)
-    found = list(auto.iter(plain)) if n and len(auto) else []
-    if not found:
-        return n, [], set()
-    spaces = np.flatnonzero(np.frombuffer(plain.encode("latin-1"), np.uint8) == 32)
-    last = np.searchsorted(spaces, [end for end, _ in found]) - 1
-    hit: set[int] = set()
-    for at, (_, (size, _)) in zip(last.tolist(), found, strict=True):
-        hit.update(range(at - size + 1, at + 1))
-    return n, sorted(hit), {k for _, (_, ks) in found for k in ks}
+    plain = text.translate(NORMAL).split()
+    codes = "".join(map(found.codes.get, plain, repeat("\0\0"))) if len(found.runs) else ""
+    starts: dict[int, set[int]] = {}
+    longest = window - found.stride + 1
+    for end, size in found.runs.iter(codes) if codes else ():
+        length, first = size // 2, (end + 1 - size) // 2
+        if window in found.windows and length == longest:
+            starts.setdefault(window, set()).update(range(max(0, first - found.stride + 1), min(first, len(plain) - window) + 1))
+        if length in found.windows:
+            starts.setdefault(length, set()).add(first)
+    if not starts:
+        return len(plain), [], set()
+    own, hit, items = _numbers(codes), set(), set()
+    for size, places in starts.items():
+        at = np.array(sorted(places), np.int64)
+        rows = own[at[:, None] + np.arange(size)]
+        h = _hashes(rows)
+        hashes, where, owner = found.windows[size]
+        low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
+        for k in np.flatnonzero(high > low):
+            same = (found.words[where[low[k] : high[k], None] + np.arange(size)] == rows[k]).all(1)
+            if same.any():
+                hit.update(range(at[k], at[k] + size))
+                items.update(owner[low[k] : high[k]][same].tolist())
+    return len(plain), sorted(map(int, hit)), items
 
 
 def spans(text: bytes, hit: list[int]) -> list[dict[str, int]]:
@@ -111,12 +180,12 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10)
 
     def run(items: tuple[tuple[str, bytes], ...], last: bool):
         def fn(batches):
-            auto = automaton(items, window)
+            found = index(items, window)
             for b in batches:
                 none = [()] * len(b["text"])
                 out = {"n_words": [], "hit": [], "items": [], "spans": []}
                 for text, hits, names in zip(b["text"], b.get("hit", none), b.get("items", none), strict=True):
-                    n, hit, ks = scan(text or b"", auto)
+                    n, hit, ks = scan(text or b"", found, window)
                     hit = sorted({*hits, *hit}) if hits else hit
                     out["n_words"].append(n)
                     out["hit"].append(hit)

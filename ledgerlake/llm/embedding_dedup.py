@@ -119,18 +119,20 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.995
 
     A row for each vec_id (of rows that repeat one, the least vector counts).
     Vectors that are null, empty, zero or hold null or non-finite components, and
-    those whose length is not the table's most common one, link with nothing.
+    those whose length is not the table's most common one, link with nothing. Rows
+    without a vec_id link with nothing, and each is returned, with no component.
     Equal vectors link with each other and are compared with others once.
     ``n_links`` counts vectors, not classes of equal ones. Other columns are not read.
     ``centroids`` of a half: by the number of vectors unless given.
     """
-    rows = stash(_clean(vectors), "vectors")
+    rows = stash(_clean(vectors.where("vec_id is not null")), "vectors")
+    nameless = vectors.where("vec_id is null").select(F.lit(None).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"), F.lit(None).cast("boolean").alias("kept"))
     spark = rows.sparkSession
     good = rows.where("good")
     size = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     alone = ["vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept")]
     if size is None:
-        return rows.select(*alone)
+        return rows.select(*alone).unionByName(nameless)
     good, d = good.where(F.size("v") == size["d"]), size["d"]
     # Components are sent to the blocks as they are stored; cosines are of doubles.
     kind = "<f4" if dict(vectors.dtypes)["embedding"] == "array<float>" else "<f8"
@@ -188,7 +190,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.95, recall: float = 0.995
     of = good.select("vec_id", "v").join(whole, "v").select("vec_id", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "root").alias("component_id"))
     of = of.withColumn("kept", F.col("vec_id") == F.col("component_id"))
     rest = rows.where(~F.col("good") | (F.size("v") != d)).select(*alone)
-    return of.unionByName(rest)
+    return of.unionByName(rest).unionByName(nameless)
 
 
 def brute_force(vectors: dict[int, np.ndarray], cosine: float = 0.95) -> dict[int, tuple[int, int]]:

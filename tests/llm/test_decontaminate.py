@@ -1,4 +1,8 @@
 import hashlib
+import os
+import random
+import subprocess
+import sys
 
 from ledgerlake.llm import decontaminate as dc
 
@@ -52,3 +56,32 @@ def test_no_items_no_documents(spark):
     assert (r["n_words"], r["n_hit"], r["contaminated"], r["d"]) == (2, 0, False, hashlib.sha256(b"").hexdigest())
     assert dc.find_contamination(docs.limit(0), none).count() == 0
     assert dc.drop_contaminated(docs, docs.select(docs.doc_id.alias("item_id"), "text")).count() == 0
+
+
+def test_index_equals_plain_comparison():
+    """Few words, so that windows repeat within and across items, and runs are met that are no window."""
+    rng = random.Random(4)
+    text = lambda n: " ".join(rng.choice("abc") for _ in range(n))
+    for window in (1, 2, 3, 4, 5, 10):
+        items = tuple((str(k), text(rng.choice((0, 1, window - 1, window, window + 1, 2 * window + 3)))) for k in range(12))
+        found = dc.index(tuple((k, t.encode()) for k, t in items), window)
+        for doc in [text(rng.randrange(60)) for _ in range(60)] + ["", items[3][1] + " z " + items[5][1]]:
+            n, hit, ks = dc.scan(doc.encode(), found, window)
+            assert (n, len(hit), sorted(items[k][0] for k in ks)) == dc.reference(doc, list(items), window)[:3]
+
+
+def test_a_large_benchmark_fits_in_a_worker():
+    """Two megabytes of items: their index takes under 62 bytes a byte of text, so one of 8 MB under 500 MB."""
+    made = """
+import random, resource
+from ledgerlake.llm import decontaminate as dc
+rng = random.Random(1)
+words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(3, 9))) for _ in range(100_000)]
+items = tuple((str(k), " ".join(rng.choices(words, k=60)).encode()) for k in range(5200))
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+found = dc.index(items, 10)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) * 1024 / sum(len(t) for _, t in items), dc.scan(items[9][1], found, 10)[2])
+"""
+    ran = subprocess.run([sys.executable, "-c", made], capture_output=True, text=True, env=os.environ | {"PYTHONPATH": os.pathsep.join(sys.path)})
+    size, found = ran.stdout.split(maxsplit=1)
+    assert float(size) < 62 and found.strip() == "{9}"

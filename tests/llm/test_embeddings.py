@@ -25,7 +25,7 @@ def test_odd_vectors(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [None, 1.0]), (8, [1.0, 0.0, 0.0]), (9, []), (2, [2.0, 0.0]), (None, [1.0, 0.0])]
     df = spark.createDataFrame([(*r, 0) for r in rows], SCHEMA)
     got = sorted(((r["vec_id"] or 0), r["n_links"], r["component_id"]) for r in ed.near_vectors(df).collect())
-    assert [g for g in got if g[0]] == [(1, 2, 1), (2, 2, 1), (3, 0, 3), (4, 0, 4), (5, 0, 5), (6, 0, 6), (7, 0, 7), (8, 0, 8), (9, 0, 9)]
+    assert [g for g in got if g[0]] == [(1, 1, 1), (2, 1, 1), (3, 0, 3), (4, 0, 4), (5, 0, 5), (6, 0, 6), (7, 0, 7), (8, 0, 8), (9, 0, 9)]
     assert ed.near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
@@ -70,3 +70,11 @@ def test_a_fine_grid_finds_pairs_at_the_threshold(spark):
     there = sum(n for n, _ in want.values())
     assert there >= 1200 and all(got[i] <= want[i][0] for i in want)
     assert sum(got.values()) >= 0.98 * there
+
+
+def test_vectors_without_an_id(spark):
+    rows = [(1, [1.0, 0.0]), (2**60 + 1, [1.0, 0.001]), (2**60 + 2, [0.0, 1.0]), (None, [1.0, 0.0]), (None, [0.0, 1.0]), (None, None)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted((tuple(r) for r in ed.near_vectors(frame).collect()), key=str)
+    assert got == sorted([(1, 1, 1, True), (2**60 + 1, 1, 1, False), (2**60 + 2, 0, 2**60 + 2, True), *[(None, 0, None, None)] * 3], key=str)
+    assert [tuple(r) for r in ed.near_vectors(frame.where("vec_id is null")).collect()] == [(None, 0, None, None)] * 3

@@ -1,10 +1,12 @@
 import re
+import time
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake.llm import language, pii, quality
+from plain_pii import revealing
 
 PLAIN = [("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), ("card", r"[0-9]([\x20-]?[0-9])+"), ("phone", r"\+[0-9][\x20().0-9-]+[0-9]")]
 
@@ -43,7 +45,7 @@ def test_base_entities(spark):
 def test_terms_that_reveal(spark):
     rows = [(k, f"report {k} number{k} about Zorblatt the great ann@x.org thing{k} was seen") for k in range(6)] + [(k, f"plain words about the great sea number {k} was seen") for k in range(6, 200)]
     df = spark.createDataFrame([(k, t, "s") for k, t in rows], "doc_id long, text string, spans string")
-    found = pii.find_personal_data(df, support=3, disclosure=0.8, removal=0.99)
+    found = pii.find_personal_data(df, support=3, disclosure=0.8, removal=0.99, z=0)
     got = {r["doc_id"]: r for r in found.collect()}
     named = lambda k: {s["value"] for s in got[k]["spans"] if s["kind"] in ("term", "gone")}
     assert named(0) == {"report", "Zorblatt"} and not named(50)
@@ -59,14 +61,47 @@ def test_terms_of_an_entity_seen_once(spark, monkeypatch):
     rows = [(0, f"Zorblatt came first, {far} ann@x.org"), (1, f"Zorblatt came first, {far} ann@x.org"), (2, f"nobody came, {far} bob@y.org")]
     rows += [(k, f"{far} came number {k}") for k in range(3, 200)] + [(200, None), (None, "")]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    found = pii.find_personal_data(df, support=1)
+    found = pii.find_personal_data(df, support=1, z=0)
     got = {r["doc_id"]: r for r in found.collect()}
     named = lambda k: {s["value"] for s in got[k]["spans"] if s["kind"] in ("term", "gone")}
     assert named(0) == named(1) == {"Zorblatt", "first"} and named(2) == {"nobody"} and not named(50)
     assert len(got) == 202 and [s["value"] for s in got[0]["base"]] == ["ann@x.org"]
     clean = {r["doc_id"]: r["text"] for r in pii.sanitise(found).collect()}
     assert clean[0].startswith(" came ,") and clean[60] == rows[60][1] and clean[200] is None
-    assert pii.find_personal_data(df.limit(0), support=1).count() == 0
+    assert pii.find_personal_data(df.limit(0)).count() == 0
+
+
+def test_precision_on_planted_attributes(spark):
+    """Words that go with a person's address, or with a rare mail domain, are found; words that come together by chance aren't."""
+    rng = np.random.default_rng(7)
+    words = [f"word{k}" for k in range(400)]
+    rows, planted = [], {}
+    for k in range(2000):
+        text = list(rng.choice(words, 30)) + [f"once{k}"]
+        if k < 60:
+            person = k // 6
+            text += [f"p{person}@mail.example.com", f"nickname{person}", f"street{person}"]
+            planted[k] = {f"nickname{person}", f"street{person}"}
+        elif k < 140:
+            text += [f"someone{k}@rare.example.org", "zephyrproject"]
+            planted[k] = {"zephyrproject"}
+        elif k < 1200:
+            text += [f"user{k}@common.example.net", f"pair{k % 530}"]
+        rows.append((k, " ".join(text)))
+    got = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    added = {(r["doc_id"], s["value"]) for r in got for s in r["spans"] if s["kind"] in ("term", "gone")}
+    want = {(k, w) for k, ws in planted.items() for w in ws}
+    assert added == {(k, w) for k, ws in revealing(dict(rows)).items() for w, _ in ws}
+    assert len(added & want) >= 0.95 * len(want) and len(added & want) >= 0.95 * len(added)
+
+
+def test_a_text_with_20000_entities(spark):
+    """An address list, and a text that shares some of it: matches and entities aren't multiplied with each other or with words."""
+    text = " ".join(f"name{k} user{k}@host{k}.example.org" for k in range(20_000))
+    rows = [(0, text), (1, "name7 wrote user7@host7.example.org"), *((k, f"plain text {k}") for k in range(2, 60))]
+    began = time.time()
+    got = {r["doc_id"]: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert time.time() - began < 60 and len(got[0]["base"]) == 20_000 and got[0]["base"][19_999]["end"] == len(text)
 
 
 def test_factorisation_machine_identity():
