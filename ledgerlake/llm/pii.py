@@ -58,14 +58,15 @@ def located(text: Column, pattern: str, terms: Column | None = None) -> Column:
         return F.struct(got["at"].alias("at"), F.concat(acc["out"], F.array(got["out"])).alias("out"))
 
     pairs = F.arrays_zip(F.slice(between, F.lit(1), F.size(found)).alias("0"), found.alias("1"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("out"))
+    none = lambda kind: F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
     def gather(pairs: Column) -> Column:
         chunks = F.transform(F.sequence(F.lit(0), F.floor(F.size(pairs) / CHUNK).cast("int")), lambda k: F.slice(pairs, k * CHUNK + 1, F.lit(CHUNK)))
-        return F.aggregate(chunks, start, add_all, lambda acc: F.flatten(acc["out"]))
+        return F.aggregate(chunks, none(f"array<{SPANS}>"), add_all, lambda acc: F.flatten(acc["out"]))
 
     # As a lambda's argument, the list of matches is made once; named in place it would be made for every chunk.
-    return F.get(F.transform(F.array(pairs), gather), F.lit(0))
+    many = F.get(F.transform(F.array(pairs), gather), F.lit(0))
+    return F.when(F.size(found) <= CHUNK, F.aggregate(pairs, none(SPANS), add, lambda acc: acc["out"])).otherwise(many)
 
 
 def _luhn(digits: Column) -> Column:
