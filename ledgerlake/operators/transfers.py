@@ -3,22 +3,20 @@
 Legs that can pair have equal absolute amounts and dates at most three days
 apart. Days of an amount on which no leg can pair are found from one row for each
 amount and day, and the days left fall into islands that no connected set
-crosses. An island is matched whole, in one pass over sorted partitions; sets in it
-are connected through a few representatives of a day, not through all pairs.
+crosses. Legs that have the same partners are one node; nodes are connected through
+a few representatives of each day, and sets are judged by sums over their nodes.
 """
 
 from __future__ import annotations
 
-import hashlib
-import json
-from collections import defaultdict
-from collections.abc import Iterator
-from itertools import groupby
+from functools import reduce
 
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import small, stash, unstash
+
 MAX_GAP = 3
 #: What a review of a set that can't be told apart is called (fixed value).
 AMBIGUOUS = "ambiguous-transfer"
@@ -66,122 +64,118 @@ def live(legs: DataFrame) -> DataFrame:
     return rows.where((F.col("out") & (F.col("amount") < 0)) | (F.col("into") & (F.col("amount") > 0))).drop("day", "out", "into")
 
 
-class _Sets:
-    """Union-find over nodes that have been linked."""
+#: Free legs that have the same partners: one sign, day, account and claim.
+NODE = ["size", "island", "is_out", "day", "claimed", "account_id"]
+#: A connected set of a stage.
+SET = ["size", "island", "of"]
+
 
-    def __init__(self) -> None:
-        self.up: dict[tuple, tuple] = {}
+def _components(links: pd.DataFrame) -> pd.DataFrame:
+    """One island's representatives, each with the name of its connected set; ``links`` has a row for each of a representative's partners."""
+    up: dict[str, str] = {}
 
-    def root(self, x: tuple) -> tuple:
-        self.up.setdefault(x, x)
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
+    def root(x: str) -> str:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
         return x
 
-    def link(self, x: tuple, y: tuple) -> None:
-        self.up[self.root(x)] = self.root(y)
+    for a, b in zip(links["name"], links["partner"], strict=True):
+        x, y = root(a), root(b)
+        up[max(x, y)] = min(x, y)
+    names = sorted(up)
+    return pd.DataFrame({"size": links["size"].iloc[0], "island": links["island"].iloc[0], "name": names, "of": [root(x) for x in names]})
+
 
+def _partners(nodes: DataFrame, representatives: DataFrame, gap: int, *more: str) -> DataFrame:
+    """``nodes`` beside each representative that they can pair with at this gap: of the other sign and another account, a claim on one side at least."""
+    days = F.array_distinct(F.array(F.date_sub("day", gap), F.date_add("day", gap)))
+    there = representatives.select("size", (~F.col("is_out")).alias("is_out"), F.col("day").alias("at"), F.col("claimed").alias("r_claimed"), F.col("account_id").alias("r_account"), *more)
+    return nodes.withColumn("at", F.explode(days)).join(small(there), ["size", "is_out", "at"]).where("account_id <> r_account and (claimed or r_claimed)")
 
-def _link(sets: _Sets, outs: dict, ins: dict) -> None:
-    """Link nodes ``{account: node}`` of different accounts: each with three of the other side at most.
 
-    Of three accounts two at least differ from any given one, and any two of three
-    share a partner among three of the other side; so nothing is left apart that
-    all pairs would connect.
+def _stage(free: DataFrame, gap: int) -> DataFrame:
+    """``free`` legs with the connected set that they are in at this gap, if any, and the number of legs on each side of it.
+
+    Three accounts of a day, sign and claim stand for all of them: of three accounts
+    two at least differ from any given one, and any two of three share a partner
+    among three of the other side, so nothing is left apart that all pairs would
+    connect. Only these are connected with each other, in one task for an island:
+    twelve rows for each of its days at most. All others ask one of theirs.
     """
-    few_outs, few_ins = (list(x.items())[:3] for x in (outs, ins))
-    for account, node in outs.items():
-        for other, partner in few_ins:
-            if account != other:
-                sets.link(node, partner)
-    for account, node in ins.items():
-        for other, partner in few_outs:
-            if account != other:
-                sets.link(node, partner)
-
-
-def _hash(*parts: str) -> str:
-    return hashlib.sha256(json.dumps(parts, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
-
-
-def _island(legs: list[dict]) -> list[tuple]:
-    """By ascending date gap: single pairs and repeated legs pair, other connected sets are held. ``legs`` come in account order."""
-    done: set[int] = set()
-    out: list[tuple] = []
-    day = [x["transaction_date"].toordinal() for x in legs]
-    alike = lambda ks: len({(legs[k]["account_id"], day[k], legs[k]["description"]) for k in ks}) == 1
-    for gap in range(MAX_GAP + 1):
-        # A node: the free legs of one sign, day, account and claim; they have the same partners.
-        nodes: dict[tuple, list[int]] = defaultdict(list)
-        for k, x in enumerate(legs):
-            if k not in done:
-                nodes[x["amount"] < 0, day[k], bool(x["claim_rule_ids"]), x["account_id"]].append(k)
-        by_day: dict[tuple, dict] = defaultdict(dict)
-        for node in nodes:
-            by_day[node[:3]][node[3]] = node
-        sets = _Sets()
-        for is_out, d, claimed in list(by_day):
-            if not is_out:
-                continue
-            for e in {d - gap, d + gap}:
-                for other in (True, False):
-                    if (claimed or other) and (False, e, other) in by_day:
-                        _link(sets, by_day[True, d, claimed], by_day[False, e, other])
-        found: dict[tuple, list[int]] = defaultdict(list)
-        for node in list(sets.up):
-            found[sets.root(node)] += nodes[node]
-        for ks in found.values():
-            ks.sort()
-            outs, ins = [k for k in ks if legs[k]["amount"] < 0], [k for k in ks if legs[k]["amount"] > 0]
-            single = len(outs) == len(ins) == 1
-            if single or (alike(outs) and alike(ins)):
-                basis = "repeated_legs" if not single else "date_gap" if gap else "same_day"
-                for a, b in zip(outs, ins, strict=False):
-                    ids = sorted([legs[a]["transaction_id"], legs[b]["transaction_id"]])
-                    rules = sorted({*legs[a]["claim_rule_ids"], *legs[b]["claim_rule_ids"]})
-                    for x, y in ((a, b), (b, a)):
-                        done.add(x)
-                        out.append((legs[x]["transaction_id"], "paired", basis, legs[y]["transaction_id"], legs[y]["account_id"], gap, _hash(*ids), ids, rules))
-            else:
-                ids = [legs[k]["transaction_id"] for k in ks]
-                rules = sorted({r for k in ks for r in legs[k]["claim_rule_ids"]})
-                name = _hash(AMBIGUOUS, *ids)
-                done.update(ks)
-                # The set's members are listed once, with its first leg.
-                out += [(legs[k]["transaction_id"], "ambiguous", None, None, None, None, name, ids if k == ks[0] else None, rules) for k in ks]
-    return out
+    nodes = stash(free.groupBy(*NODE).agg(F.count("*").alias("n"), F.min("description").alias("d0"), F.max("description").alias("d1")), "nodes")
+    first = Window.partitionBy("size", "is_out", "day", "claimed").orderBy("account_id")
+    name = F.concat_ws("|", "day", "is_out", "claimed", "account_id").alias("name")
+    few = stash(nodes.withColumn("k", F.row_number().over(first)).where("k <= 3").select(*NODE, name), "representatives")
+    links = _partners(few, few, gap, F.col("name").alias("partner")).select("size", "island", "name", "partner")
+    named = links.groupBy("size", "island").applyInPandas(_components, f"size {dict(free.dtypes)['size']}, island long, name string, of string")
+    few = stash(few.join(named, ["size", "island", "name"]), "connected")
+    of = _partners(nodes, few, gap, "of").groupBy(*NODE, "n", "d0", "d1").agg(F.min("of").alias("of"))
+    of = stash(of, "sets-of-nodes")
+    side = lambda out, value: F.when(F.col("is_out") == out, value)
+    least, most = (F.struct("account_id", "day", d) for d in ("d0", "d1"))
+    count = [F.coalesce(F.sum(side(out, F.col("n"))), F.lit(0)).alias(c) for out, c in ((True, "outs"), (False, "ins"))]
+    alike = [(F.min(side(out, least)) == F.max(side(out, most).cast(f"struct<account_id:{dict(free.dtypes)['account_id']},day:date,d0:string>"))) for out in (True, False)]
+    sets = of.groupBy(*SET).agg(*count, (alike[0] & alike[1]).alias("alike"))
+    sets = sets.withColumn("pairs", (F.col("outs") == 1) & (F.col("ins") == 1) | F.col("alike"))
+    nodes = of.select(*NODE, "of").join(small(stash(sets, "sets")), SET)
+    return free.join(small(stash(nodes.select(*NODE, "of", "outs", "ins", "pairs"), "settled-nodes")), NODE, "left")
+
+
+def _hash_ids(*ids: Column) -> Column:
+    return F.sha2(F.to_json(F.concat(*ids)), 256)
+
+
+def _pairs(legs: DataFrame, gap: int, kind: str) -> DataFrame:
+    """Legs of sets that pair, each with the leg of the same rank on the other side (``RESULT``)."""
+    two = {out: legs.where(F.col("is_out") == out).select(*SET, "k", *[F.col(c).alias(f"{p}_{c}") for c in ("transaction_id", "account_id", "claim_rule_ids")], "outs", "ins") for out, p in ((True, "o"), (False, "i"))}
+    both = two[True].join(two[False].drop("outs", "ins"), [*SET, "k"])
+    basis = F.when((F.col("outs") > 1) | (F.col("ins") > 1), "repeated_legs").otherwise("date_gap" if gap else "same_day")
+    ids = F.array_sort(F.array("o_transaction_id", "i_transaction_id"))
+    rules = F.array_sort(F.array_union("o_claim_rule_ids", "i_claim_rule_ids"))
+    each = F.explode(F.array(*[F.struct(F.col(f"{a}_transaction_id").alias("me"), F.col(f"{b}_transaction_id").alias("other"), F.col(f"{b}_account_id").alias("account")) for a, b in ("oi", "io")]))
+    rows = both.select(each.alias("x"), basis.alias("basis"), ids.alias("legs"), rules.alias("claim_rule_ids"))
+    return rows.select(F.col("x.me").alias("transaction_id"), F.lit("paired").alias("state"), "basis", F.col("x.other").alias("counterpart_transaction_id"), F.col("x.account").cast(kind).alias("counterpart_account_id"), F.lit(gap).alias("date_gap_days"), _hash_ids(F.col("legs")).alias("set_id"), "legs", "claim_rule_ids")
+
+
+def _held(legs: DataFrame, kind: str) -> DataFrame:
+    """Legs of sets that can't be told apart, all members listed with the first (``RESULT``)."""
+    sets = legs.groupBy(*SET).agg(F.array_sort(F.collect_list(F.struct("account_id", "account_sequence", "transaction_id"))).alias("all"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("claim_rule_ids")))).alias("rules"))
+    sets = sets.withColumn("ids", F.transform("all", lambda x: x["transaction_id"]))
+    sets = stash(sets.select(*SET, "rules", "ids", _hash_ids(F.array(F.lit(AMBIGUOUS)), F.col("ids")).alias("set_id")), "held-sets")
+    rows = legs.select(*SET, "transaction_id").join(sets.drop("ids"), SET).join(sets.select(F.col("ids")[0].alias("transaction_id"), F.col("ids").alias("legs")), "transaction_id", "left")
+    null = lambda t: F.lit(None).cast(t)
+    return rows.select("transaction_id", F.lit("ambiguous").alias("state"), null("string").alias("basis"), null("string").alias("counterpart_transaction_id"), null(kind).alias("counterpart_account_id"), null("int").alias("date_gap_days"), "set_id", "legs", F.col("rules").alias("claim_rule_ids"))
 
 
 def match(legs: DataFrame) -> DataFrame:
     """Paired and ambiguous legs of undecided transactions, by ``transaction_id``.
 
-    ``set_id`` names a pair (a hash of its sorted ids) or an ambiguous set (its
-    review's id); ``legs`` are a pair's sorted ids, or all of an ambiguous set's in
-    account order, on its first leg only.
+    By ascending date gap, connected sets of free legs are found; single pairs and
+    sets of which each side's legs are alike (account, day, description) pair by rank,
+    what is left of these stays free, and all other sets are held. ``set_id`` names a
+    pair (a hash of its sorted ids) or an ambiguous set (its review's id); ``legs``
+    are a pair's sorted ids, or all of an ambiguous set's in account order, on its
+    first leg only. No task holds an amount's legs, but for a held set's ids, which
+    its review lists in one row.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import _parse_datatype_string
-
-    columns = ["transaction_id", "account_id", "account_sequence", "transaction_date", "amount", "description", "claim_rule_ids"]
-    schema = to_arrow_schema(_parse_datatype_string(RESULT))
-    account = dict(legs.dtypes)["account_id"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = (row for b in batches for row in b.to_pylist())
-        out: list[tuple] = []
-        for _, group in groupby(rows, key=lambda r: (r["size"], r["island"])):
-            out += _island(list(group))
-            if len(out) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-                out = []
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
-
-    rows = live(legs).select("size", "island", *columns).withColumn("account_id", F.col("account_id").cast("string"))
-    order = F.col("account_id") if account == "string" else F.col("account_id").cast(account)
-    rows = rows.repartition("size", "island").sortWithinPartitions("size", "island", order, "account_sequence")
-    return rows.mapInArrow(run, RESULT).withColumn("counterpart_account_id", F.col("counterpart_account_id").cast(account))
+    kind = dict(legs.dtypes)["account_id"]
+    columns = ["transaction_id", "account_id", "account_sequence", "description", "claim_rule_ids"]
+    free = live(legs).select("size", "island", (F.col("amount") < 0).alias("is_out"), F.col("transaction_date").alias("day"), (F.size("claim_rule_ids") > 0).alias("claimed"), *columns)
+    free, done = stash(free, "free"), []
+    rank = F.row_number().over(Window.partitionBy(*SET, "is_out").orderBy("account_id", "account_sequence"))
+    for gap in range(MAX_GAP + 1):
+        if free.isEmpty():
+            break
+        judged = stash(_stage(free, gap), f"judged-{gap}")
+        ranked = judged.where("pairs").withColumn("k", rank)
+        done += [_pairs(ranked, gap, kind), _held(judged.where("not pairs"), kind)]
+        rest = judged.where("pairs is null").select(*free.columns)
+        unstash(free)
+        free = rest.unionByName(ranked.where("k > least(outs, ins)").select(*free.columns))
+        free = stash(free, "free") if gap < MAX_GAP else free
+    empty = legs.sparkSession.createDataFrame([], RESULT).withColumn("counterpart_account_id", F.col("counterpart_account_id").cast(kind))
+    return reduce(DataFrame.unionByName, done) if done else empty
 
 
 def unmatched_reason(legs: DataFrame, accounts: DataFrame, history: DataFrame) -> DataFrame:

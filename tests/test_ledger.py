@@ -1,5 +1,7 @@
 """A household of two accounts, rules, transfers, decisions and the chain."""
 
+import hashlib
+import json
 import random
 from datetime import date, timedelta
 from decimal import Decimal as D
@@ -142,17 +144,37 @@ def test_transfers_like_plain_version(spark, seed):
     assert got == plain_matching(legs)
 
 
-@pytest.mark.parametrize("seed", range(60))
-def test_islands_of_many_accounts(seed):
-    """Sets that are connected through representatives only, with up to eight accounts on near days."""
-    rng = random.Random(seed)
-    legs, count, accounts = [], {}, "abcdefgh"[: rng.randrange(2, 9)]
-    for k in range(rng.randrange(2, 40)):
-        account = rng.choice(accounts)
-        count[account] = count.get(account, 0) + 1
-        legs.append({"transaction_id": f"t{k:03}", "account_id": account, "account_sequence": count[account], "transaction_date": date(2031, 1, 1) + timedelta(rng.randrange(5)), "amount": D(rng.choice([-10, 10])), "description": rng.choice("xy"), "claim_rule_ids": ["r1"] if rng.random() < rng.choice([0.1, 0.5, 0.9]) else []})
-    got = {r[0]: (r[1], r[2], r[3]) for r in transfers._island(sorted(legs, key=lambda x: (x["account_id"], x["account_sequence"])))}
-    assert got == plain_matching(legs)
+def test_islands_of_many_accounts(spark):
+    """Sets that are connected through representatives only, with up to eight accounts on near days: sixty amounts, of which each is a case."""
+    legs, count, want = [], {}, {}
+    for seed in range(60):
+        rng = random.Random(seed)
+        accounts, own = "abcdefgh"[: rng.randrange(2, 9)], []
+        for k in range(rng.randrange(2, 40)):
+            account = rng.choice(accounts)
+            count[account] = count.get(account, 0) + 1
+            own.append({"transaction_id": f"t{seed:02}{k:03}", "account_id": account, "account_sequence": count[account], "transaction_date": date(2031, 1, 1) + timedelta(rng.randrange(5)), "amount": D(rng.choice([-10 - seed, 10 + seed])), "description": rng.choice("xy"), "claim_rule_ids": ["r1"] if rng.random() < rng.choice([0.1, 0.5, 0.9]) else []})
+        want |= plain_matching(own)
+        legs += own
+    df = spark.createDataFrame(pd.DataFrame(legs), "transaction_id string, account_id string, account_sequence int, transaction_date date, amount decimal(19,2), description string, claim_rule_ids array<string>")
+    got = transfers.match(df).collect()
+    assert {r["transaction_id"]: (r["state"], r["basis"], r["counterpart_transaction_id"]) for r in got} == want
+    # A held set's members are listed with its first leg in account order, and name it.
+    by_id = {x["transaction_id"]: x for x in legs}
+    for r in got:
+        if r["state"] == "ambiguous" and r["legs"]:
+            assert r["legs"] == sorted(r["legs"], key=lambda t: (by_id[t]["account_id"], by_id[t]["account_sequence"])) and r["legs"][0] == r["transaction_id"]
+            assert r["set_id"] == hashlib.sha256(json.dumps(["ambiguous-transfer", *r["legs"]], separators=(",", ":")).encode()).hexdigest()
+            assert {x["transaction_id"] for x in got if x["set_id"] == r["set_id"]} == set(r["legs"])
+
+
+def test_one_amount_of_many_accounts(spark):
+    """A third of all legs have one amount: 3,000 accounts on one day are one held set, apart from alike legs, which pair by rank."""
+    rows = spark.range(3000).selectExpr("concat('h', lpad(id, 5, '0')) AS transaction_id", "id AS account_id", "1 AS account_sequence", "date'2031-01-01' AS transaction_date", "CAST(if(id % 2 = 0, -5, 5) AS decimal(19,2)) AS amount", "'x' AS description", "array('r') AS claim_rule_ids")
+    alike = spark.range(2000).selectExpr("concat('a', id) AS transaction_id", "id % 2 AS account_id", "CAST(id AS int) AS account_sequence", "date'2031-01-01' AS transaction_date", "CAST(if(id % 2 = 0, -7, 7) AS decimal(19,2)) AS amount", "'x' AS description", "array('r') AS claim_rule_ids")
+    more = spark.range(4000).selectExpr("concat('m', id) AS transaction_id", "id % 2 AS account_id", "CAST(id AS int) AS account_sequence", "date'2031-01-01' AS transaction_date", "CAST(if(id % 2 = 0, -100 - id, 99 + id) AS decimal(19,2)) AS amount", "'x' AS description", "array('r') AS claim_rule_ids")
+    got = transfers.match(rows.unionByName(alike).unionByName(more)).groupBy("state", "basis").count().collect()
+    assert {(r["state"], r["basis"]): r["count"] for r in got} == {("ambiguous", None): 3000, ("paired", "repeated_legs"): 2000, ("paired", "same_day"): 4000}
 
 
 def test_unmatched_reason_like_plain_version(spark):
