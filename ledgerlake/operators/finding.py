@@ -36,19 +36,22 @@ def find(rows: DataFrame, text: str, month: str | None = None, account=None) ->
 
 
 def label_pairs(rows: DataFrame) -> DataFrame:
-    """Bank label pairs by folded spelling: the most used spelling, rows, and their sum.
+    """Bank label pairs by folded spelling: the most used spelling, rows, and their sum, for each currency apart.
 
-    ``rows``: ``category, subcategory, amount``. First by exact spelling, then by fold.
+    ``rows``: ``category, subcategory, currency, amount``; a spelling's use is counted
+    over all currencies. First by exact spelling, then by fold.
     """
-    exact = rows.groupBy("category", "subcategory").agg(F.count("*").alias("n"), F.sum("amount").alias("total"))
+    exact = rows.groupBy("category", "subcategory", "currency").agg(F.count("*").alias("n"), F.sum("amount").alias("total"))
     exact = exact.withColumns({"f": fold(F.col("category")), "g": fold(F.col("subcategory"))})
+    used = exact.groupBy("f", "g", "category", "subcategory").agg(F.sum("n").alias("n"))
     w = Window.partitionBy("f", "g").orderBy(F.desc("n"), "category", F.asc_nulls_last("subcategory"))
-    ranked = exact.withColumn("k", F.row_number().over(w))
-    first = lambda c: F.max(F.when(F.col("k") == 1, F.col(c)))
-    return ranked.groupBy("f", "g").agg(first("category").alias("category"), first("subcategory").alias("subcategory"), F.sum("n").alias("n_rows"), F.sum("total").cast(TOTAL).alias("total"), F.count("*").alias("spellings")).drop("f", "g")
+    named = used.withColumn("k", F.row_number().over(w)).where("k = 1").select(F.col("f").alias("pf"), F.col("g").alias("pg"), "category", "subcategory")
+    sums = exact.groupBy("f", "g", "currency").agg(F.sum("n").alias("n_rows"), F.sum("total").cast(TOTAL).alias("total"), F.count("*").alias("spellings"))
+    got = sums.join(named, F.col("f").eqNullSafe(F.col("pf")) & F.col("g").eqNullSafe(F.col("pg")))
+    return got.select("category", "subcategory", "currency", "n_rows", "total", "spellings")
 
 
 def label_directions(pairs: DataFrame) -> DataFrame:
-    """Each label's direction: income only if the sum of every pair of it is above zero."""
+    """Each label's direction: income only if the sum of every pair of it is above zero in every currency."""
     income = F.bool_and(F.col("total") > 0)
     return pairs.groupBy("category").agg(F.when(income, "income").otherwise("expense").alias("direction"), F.count("*").alias("pairs"))

@@ -86,7 +86,7 @@ def reconciliation(rows: DataFrame, balances: DataFrame) -> DataFrame:
 def month_measures(rows: DataFrame, allocations: DataFrame, categories: DataFrame) -> DataFrame:
     """A publication's measures by month and account as rows ``kind, name, value``: what a diff compares."""
     got = figures(rows, "account_id", "month")
-    names = ["income", "expenses", "unclassified_in", "unclassified_out"]
+    names = ["income", "expenses", "unclassified_in", "unclassified_out", "unclassified_count"]
     flat = got.select("account_id", "month", F.explode(F.array(*[F.struct(F.lit("figure").alias("kind"), F.lit(n).alias("name"), F.col(n).cast(TOTAL).alias("value")) for n in names])).alias("m")).select("account_id", "month", "m.*")
     owned = allocations.join(categories.select("category_id", "group_id"), "category_id")
     sums = owned.groupBy("account_id", "month", "group_id", "category_id").agg(F.sum("amount").cast(TOTAL).alias("value"))
@@ -103,3 +103,16 @@ def compare(before: DataFrame, after: DataFrame) -> DataFrame:
     zero = F.lit(0).cast(TOTAL)
     both = both.withColumn("before", F.coalesce("before", zero)).withColumn("after", F.coalesce("after", zero))
     return both.where("before <> after")
+
+
+def directed(changed: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """``changed`` measures with ``change``: spending of an expense category or group grows as amounts fall, everything else as they rise.
+
+    ``before`` and ``after`` are the publications' categories; where a direction
+    differs, the later one counts. A row for each changed measure.
+    """
+    both = before.select("category_id", "group_id", "direction", F.lit(0).alias("at")).unionByName(after.select("category_id", "group_id", "direction", F.lit(1).alias("at")))
+    of = lambda kind, column: both.groupBy(F.lit(kind).alias("kind"), F.col(column).alias("name")).agg(F.max(F.struct("at", "direction"))["direction"].alias("direction"))
+    ways = of("category", "category_id").unionByName(of("group", "group_id"))
+    rise = F.col("after") - F.col("before")
+    return changed.join(ways, ["kind", "name"], "left").withColumn("change", F.when(F.col("direction") == "expense", -rise).otherwise(rise).cast(TOTAL)).drop("direction")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_parts, identity_text, transaction_id
-from ..session import small, stash
+from ..session import stash
 from .sequence import chain_errors, day_positions, occurrences
 
 #: What tells transactions of a day apart, but for their number.
@@ -76,7 +76,7 @@ class _History:
     withdrawn: DataFrame | None
 
     def of(self, accounts: DataFrame) -> _History:
-        keep = lambda df: df.join(small(accounts), "account_id", "left_semi")
+        keep = lambda df: df.join(accounts, "account_id", "left_semi")
         return _History(keep(self.runs), keep(self.shown), keep(self.days), self.named, self.withdrawn)
 
 
@@ -101,8 +101,8 @@ def _counts(h: _History, assumed: DataFrame, shows: DataFrame | None) -> DataFra
         own = [F.col(f"own_{c}").alias(k) for c, k in (("date", "transaction_date"), ("amount", "amount"), ("description", "description"))]
         moves = shows.select(*KEY, "run", F.lit(0).cast("long").alias("c"), F.lit(1).cast("long").alias("as_taken"))
         moves = moves.unionByName(shows.select("account_id", *own, "run", F.lit(0).cast("long").alias("c"), F.lit(-1).cast("long").alias("as_taken")))
-        shown = shown.unionByName(moves.join(small(h.runs.select(*RUN)), [*RUN], "left_semi")).groupBy(*KEY, "run").agg(F.sum("c").alias("c"), F.sum("as_taken").alias("as_taken"))
-    return shown.join(small(assumed), [*RUN])
+        shown = shown.unionByName(moves.join(h.runs.select(*RUN), [*RUN], "left_semi")).groupBy(*KEY, "run").agg(F.sum("c").alias("c"), F.sum("as_taken").alias("as_taken"))
+    return shown.join(assumed, [*RUN])
 
 
 def _missing(h: _History, counts: DataFrame, days: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -146,7 +146,7 @@ def _verdicts(h: _History, assumed: DataFrame, shows: DataFrame | None) -> tuple
     """Under what is assumed, each run with its verdict, and what is missing (stashed)."""
     w = Window.partitionBy("account_id", "transaction_date").orderBy("run")
     earlier, so_far = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
-    days = h.days.join(small(assumed.join(h.runs.select(*RUN, "labelled"), [*RUN])), [*RUN])
+    days = h.days.join(assumed.join(h.runs.select(*RUN, "labelled"), [*RUN]), [*RUN])
     known = F.bool_or(F.col("taken") & F.col("shows")).over(so_far)
     days = days.withColumn("__as", F.when(F.col("taken") & known, F.struct("ends", "shows", "labelled")))
     days = days.withColumn("theirs", F.last("__as", ignorenulls=True).over(earlier)).drop("__as")
@@ -189,19 +189,19 @@ def _settled(h: _History) -> tuple[DataFrame, DataFrame, DataFrame | None]:
         if effective is not None:
             effective = stash(effective, "shows")
             own = ["account_id", "run", "record_ordinal", "transaction_id"]
-            before = shows.select(*own).join(small(h.runs.select(*RUN)), [*RUN], "left_semi")
+            before = shows.select(*own).join(h.runs.select(*RUN), [*RUN], "left_semi")
             doubt = doubt.unionByName(before.exceptAll(effective.select(*own)).unionByName(effective.select(*own).exceptAll(before)).select("account_id"))
         doubt = stash(doubt.distinct(), "doubt")
-        done.append((verdicts.join(small(doubt), "account_id", "left_anti"), missing.join(small(doubt), "account_id", "left_anti"), None if effective is None else effective.join(small(doubt), "account_id", "left_anti")))
+        done.append((verdicts.join(doubt, "account_id", "left_anti"), missing.join(doubt, "account_id", "left_anti"), None if effective is None else effective.join(doubt, "account_id", "left_anti")))
         if doubt.isEmpty():
             break
-        h, assumed, shows = h.of(doubt), verdicts.select(*RUN, F.col("code").isNull().alias("taken")).join(small(doubt), "account_id", "left_semi"), effective
+        h, assumed, shows = h.of(doubt), verdicts.select(*RUN, F.col("code").isNull().alias("taken")).join(doubt, "account_id", "left_semi"), effective
     return _union([d[0] for d in done]), _union([d[1] for d in done]), None if h.named is None else _union([d[2] for d in done])
 
 
 def _history(rows: DataFrame, admitted: DataFrame, days: DataFrame, gone: DataFrame, shows: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Transactions that are kept, in the order of their days, and each record that shows one."""
-    of = rows.join(small(admitted), [*RUN])
+    of = rows.join(admitted, [*RUN])
     if shows is not None:
         target = [F.col(c).alias(f"to_{c}") for c in (*KEY[1:], "n", "transaction_id")]
         of = of.join(shows.select(*RUN, "record_ordinal", *target), [*RUN, "record_ordinal"], "left")
@@ -212,7 +212,7 @@ def _history(rows: DataFrame, admitted: DataFrame, days: DataFrame, gone: DataFr
         of = of.withColumns({c: F.coalesce(f"to_{c}", c) for c in KEY[1:]}).withColumn("transaction_id", _identify(F.col("occurrence")))
     kept = of.join(gone, [*KEY, "occurrence"], "left_anti")
     known = F.min(F.when(F.col("shows"), F.col("run")))
-    speaks = days.join(small(admitted.select(*RUN)), [*RUN], "left_semi").groupBy("account_id", "transaction_date").agg(F.max("run").alias("speaks"), known.alias("known")).where("known is not null").drop("known")
+    speaks = days.join(admitted.select(*RUN), [*RUN], "left_semi").groupBy("account_id", "transaction_date").agg(F.max("run").alias("speaks"), known.alias("known")).where("known is not null").drop("known")
     kept = kept.select(*KEY, "occurrence", "transaction_id", "run", "import_run_id", "payload_id", "record_ordinal", "balance")
     latest = kept.groupBy(*KEY, "occurrence", "transaction_id").agg(F.max(F.struct("run", "record_ordinal", "import_run_id", "payload_id", "balance")).alias("r"))
     listed = latest.join(speaks, ["account_id", "transaction_date"], "left")
@@ -240,7 +240,7 @@ def merge(runs: DataFrame, typed: DataFrame, decisions: DataFrame | None = None)
     runs = stash(_judged_alone(runs, typed, of("accept-discrepancy")), "runs")
     valid = runs.where("valid")
     rows = booked_rows(typed, valid).select(*KEY, "payload_id", "record_ordinal", "balance", "occurrence", "transaction_id")
-    rows = stash(rows.join(small(valid.select(*RUN, "payload_id")), ["account_id", "payload_id"]).drop("payload_id"), "booked")
+    rows = stash(rows.join(valid.select(*RUN, "payload_id"), ["account_id", "payload_id"]).drop("payload_id"), "booked")
     shown = stash(rows.groupBy(*KEY, "run").agg(F.count("*").alias("c")), "shown")
     days = stash(_dates(valid, rows), "days")
     named = _named(of("same-transaction"), rows, valid)
@@ -248,7 +248,7 @@ def merge(runs: DataFrame, typed: DataFrame, decisions: DataFrame | None = None)
     withdrawn = None if withdrawn.isEmpty() else withdrawn
     verdicts, missing, shows = _settled(_History(valid, shown, days, named, withdrawn))
     admitted = stash(verdicts.where("code is null").select(*RUN).join(valid.select(*RUN, "import_run_id", "payload_id"), [*RUN]), "admitted")
-    gone = missing.where("withdrawn").join(small(admitted.select(*RUN)), [*RUN], "left_semi").select(*KEY, F.col("n").alias("occurrence"))
+    gone = missing.where("withdrawn").join(admitted.select(*RUN), [*RUN], "left_semi").select(*KEY, F.col("n").alias("occurrence"))
     listed, kept = _history(rows, admitted, days, gone, shows)
     names = {c.split()[0]: c.split()[1] for c in MERGED.split(", ")}
     filled = lambda df, family: df.select(*[F.lit(family).alias(c) if c == "family" else F.col(c).cast(t) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in names.items()])
@@ -257,7 +257,7 @@ def merge(runs: DataFrame, typed: DataFrame, decisions: DataFrame | None = None)
     results = judged.withColumn("code", code).withColumn("status", F.when(F.col("code").isNull(), "accepted").otherwise("quarantined"))
     asked = judged.where("valid and coalesce(code, '') <> 'label-layout-regressed'").select(*RUN, "import_run_id", "payload_id", "apart")
     settled = F.when(F.col("ordinal").isNull() & ~F.col("withdrawn"), "open").otherwise("resolved")
-    dropped = missing.join(small(asked), [*RUN]).withColumns({"code": F.lit("dropped-transaction"), "occurrence": F.col("n"), "status": settled, "review_item_id": hash_parts(F.lit("dropped-transaction"), F.col("import_run_id"), F.col("transaction_id"))})
+    dropped = missing.join(asked, [*RUN]).withColumns({"code": F.lit("dropped-transaction"), "occurrence": F.col("n"), "status": settled, "review_item_id": hash_parts(F.lit("dropped-transaction"), F.col("import_run_id"), F.col("transaction_id"))})
     apart = asked.where("apart is not null").withColumns({"code": F.lit("export-disagreement"), "transaction_date": F.col("apart"), "status": F.lit("open"), "review_item_id": hash_parts(F.lit("export-disagreement"), F.col("import_run_id"))})
     breaks = runs.where("first_break is not null").withColumns({"code": F.lit("balance-break"), "transaction_date": F.col("first_break"), "status": F.when(F.col("accepted"), "resolved").otherwise("open"), "review_item_id": hash_parts(F.lit("balance-break"), F.col("import_run_id"))})
     return _union([filled(results, "result"), *[filled(x, "review") for x in (dropped, apart, breaks)], filled(listed, "transaction"), filled(kept, "evidence")])

@@ -60,13 +60,15 @@ def unique_ids(wanted: Iterable[str], taken: Iterable[str] = ()) -> list[str]:
 
 
 def drafts(rows: DataFrame, made: Sequence[Rule] = ()) -> tuple[str, str]:
-    """A taxonomy and rules in TOML for label pairs that no rule covers; ``rows``: ``category, subcategory, amount``.
+    """A taxonomy and rules in TOML for label pairs that no rule covers; ``rows``: ``category, subcategory, amount``, and ``currency`` if there are several.
 
     A bank's labels are few, so they are gathered here.
     """
+    rows = rows if "currency" in rows.columns else rows.withColumn("currency", F.lit(None).cast("string"))
     pairs = covered(label_pairs(rows), made).where(F.size("covered_by") == 0)
     direction = {r["category"]: r["direction"] for r in label_directions(pairs).collect()}
-    listed = pairs.orderBy("category", F.asc_nulls_last("subcategory")).collect()
+    sums = F.array_join(F.array_sort(F.collect_list(F.concat_ws(" ", F.col("total").cast("string"), "currency"))), " and ").alias("total")
+    listed = pairs.groupBy("category", "subcategory").agg(F.sum("n_rows").alias("n_rows"), sums).orderBy("category", F.asc_nulls_last("subcategory")).collect()
     text = lambda x: json.dumps(x, ensure_ascii=False).replace("\x7f", "\\u007f")
     groups = sorted({r["category"] for r in listed})
     group_id = dict(zip(groups, unique_ids(map(slug, groups)), strict=True))

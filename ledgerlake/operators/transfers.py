@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import small, stash, unstash
+from ..session import stash
 
 MAX_GAP = 3
 #: What a review of a set that can't be told apart is called (fixed value).
@@ -91,7 +91,7 @@ def _partners(nodes: DataFrame, representatives: DataFrame, gap: int, *more: str
     """``nodes`` beside each representative that they can pair with at this gap: of the other sign and another account, a claim on one side at least."""
     days = F.array_distinct(F.array(F.date_sub("day", gap), F.date_add("day", gap)))
     there = representatives.select("size", (~F.col("is_out")).alias("is_out"), F.col("day").alias("at"), F.col("claimed").alias("r_claimed"), F.col("account_id").alias("r_account"), *more)
-    return nodes.withColumn("at", F.explode(days)).join(small(there), ["size", "is_out", "at"]).where("account_id <> r_account and (claimed or r_claimed)")
+    return nodes.withColumn("at", F.explode(days)).join(there, ["size", "is_out", "at"]).where("account_id <> r_account and (claimed or r_claimed)")
 
 
 def _stage(free: DataFrame, gap: int) -> DataFrame:
@@ -106,10 +106,10 @@ def _stage(free: DataFrame, gap: int) -> DataFrame:
     nodes = stash(free.groupBy(*NODE).agg(F.count("*").alias("n"), F.min("description").alias("d0"), F.max("description").alias("d1")), "nodes")
     first = Window.partitionBy("size", "is_out", "day", "claimed").orderBy("account_id")
     name = F.concat_ws("|", "day", "is_out", "claimed", "account_id").alias("name")
-    few = stash(nodes.withColumn("k", F.row_number().over(first)).where("k <= 3").select(*NODE, name), "representatives")
+    few = nodes.withColumn("k", F.row_number().over(first)).where("k <= 3").select(*NODE, name)
     links = _partners(few, few, gap, F.col("name").alias("partner")).select("size", "island", "name", "partner")
     named = links.groupBy("size", "island").applyInPandas(_components, f"size {dict(free.dtypes)['size']}, island long, name string, of string")
-    few = stash(few.join(named, ["size", "island", "name"]), "connected")
+    few = few.join(named, ["size", "island", "name"])
     of = _partners(nodes, few, gap, "of").groupBy(*NODE, "n", "d0", "d1").agg(F.min("of").alias("of"))
     of = stash(of, "sets-of-nodes")
     side = lambda out, value: F.when(F.col("is_out") == out, value)
@@ -117,9 +117,8 @@ def _stage(free: DataFrame, gap: int) -> DataFrame:
     count = [F.coalesce(F.sum(side(out, F.col("n"))), F.lit(0)).alias(c) for out, c in ((True, "outs"), (False, "ins"))]
     alike = [(F.min(side(out, least)) == F.max(side(out, most).cast(f"struct<account_id:{dict(free.dtypes)['account_id']},day:date,d0:string>"))) for out in (True, False)]
     sets = of.groupBy(*SET).agg(*count, (alike[0] & alike[1]).alias("alike"))
-    sets = sets.withColumn("pairs", (F.col("outs") == 1) & (F.col("ins") == 1) | F.col("alike"))
-    nodes = of.select(*NODE, "of").join(small(stash(sets, "sets")), SET)
-    return free.join(small(stash(nodes.select(*NODE, "of", "outs", "ins", "pairs"), "settled-nodes")), NODE, "left")
+    sets = sets.select(*SET, "outs", "ins", ((F.col("outs") == 1) & (F.col("ins") == 1) | F.col("alike")).alias("pairs"))
+    return free.join(of.select(*NODE, "of").join(sets, SET), NODE, "left")
 
 
 def _hash_ids(*ids: Column) -> Column:
@@ -165,17 +164,11 @@ def match(legs: DataFrame) -> DataFrame:
     free, done = stash(free, "free"), []
     rank = F.row_number().over(Window.partitionBy(*SET, "is_out").orderBy("account_id", "account_sequence"))
     for gap in range(MAX_GAP + 1):
-        if free.isEmpty():
-            break
         judged = stash(_stage(free, gap), f"judged-{gap}")
         ranked = judged.where("pairs").withColumn("k", rank)
         done += [_pairs(ranked, gap, kind), _held(judged.where("not pairs"), kind)]
-        rest = judged.where("pairs is null").select(*free.columns)
-        unstash(free)
-        free = rest.unionByName(ranked.where("k > least(outs, ins)").select(*free.columns))
-        free = stash(free, "free") if gap < MAX_GAP else free
-    empty = legs.sparkSession.createDataFrame([], RESULT).withColumn("counterpart_account_id", F.col("counterpart_account_id").cast(kind))
-    return reduce(DataFrame.unionByName, done) if done else empty
+        free = judged.where("pairs is null").select(*free.columns).unionByName(ranked.where("k > least(outs, ins)").select(*free.columns))
+    return reduce(DataFrame.unionByName, done)
 
 
 def unmatched_reason(legs: DataFrame, accounts: DataFrame, history: DataFrame) -> DataFrame:

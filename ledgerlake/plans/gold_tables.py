@@ -4,34 +4,43 @@ from __future__ import annotations
 
 from collections.abc import Collection
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import month_of
 from ..operators.gold import Gold
-from .catalog import Catalog
+from .catalog import Catalog, fingerprint
 
 #: Tables whose files are dealt out by month, so that a range of months reads only its own.
 BY_MONTH = {"transactions": ["month"], "allocations": ["month"], "monthly_balances": ["month"]}
 NAMES = ("transactions", "allocations", "monthly_balances", "lineage", "review_items", "accounts", "owners", "categories")
 
 
-def publish(catalog: Catalog, gold: Gold, recipe: str, label: str | None = None) -> int | None:
-    return catalog.publish(gold.tables(), recipe, label, BY_MONTH)
+def fingerprints(gold: Gold) -> DataFrame:
+    """``account_id, month, table_name, fingerprint``: what a comparison of two publications reads first."""
+    tables = {"transactions": gold.transactions, "allocations": gold.allocations, "monthly_balances": gold.monthly_balances}
+    each = [fingerprint(df, "account_id", "month").select("account_id", "month", F.lit(name).alias("table_name"), "fingerprint") for name, df in tables.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
+def publish(catalog: Catalog, gold: Gold, recipe: str, label: str | None = None, configuration: str | None = None) -> int | None:
+    """Publish all tables, and the fingerprints of their account months; ``configuration`` is the text that they were built by."""
+    return catalog.publish(gold.tables() | {"fingerprints": fingerprints(gold)}, recipe, label, BY_MONTH, configuration)
 
 
 def open_publication(catalog: Catalog, publication_id: int | None = None) -> GoldTables:
     """The tables of one publication, the current one by default; later ones aren't seen."""
     k = catalog.current() if publication_id is None else publication_id
-    return GoldTables(Gold(**{n: catalog.read(n, k) for n in NAMES}), k)
+    return GoldTables(Gold(**{n: catalog.read(n, k) for n in NAMES}), k, catalog.read("fingerprints", k))
 
 
 class GoldTables:
     """Scans of one publication. ``account_ids``: None is all accounts, an empty collection none."""
 
-    def __init__(self, gold: Gold, publication_id: int = 0) -> None:
-        self.gold, self.publication_id = gold, publication_id
+    def __init__(self, gold: Gold, publication_id: int = 0, prints: DataFrame | None = None) -> None:
+        self.gold, self.publication_id, self.prints = gold, publication_id, prints
 
     @property
     def accounts(self) -> DataFrame:

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import bronze, coverage, decisions, finding, invariants, measures, retention, rules, sequence, silver, suggesting, transfers
+from ..operators.gold import Gold
 from ..sources import bank_csv
 from . import catalog, reports
+from .gold_tables import GoldTables
 from .views import Views, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -267,9 +269,32 @@ def transfer_candidates(v: Views) -> DataFrame:
     return transfers.candidates(_legs(v))
 
 
-@query()
+def _match_sql() -> str:
+    """The stages one after the other: links of free legs at a gap, what they reach, and what becomes of each set."""
+    ctes = [
+        """l AS (SELECT concat('t', event_id) AS id, account_id, row_number() OVER (PARTITION BY account_id ORDER BY event_id) AS seq, transaction_date AS day, amount, description, CASE description WHEN 'purchase' THEN ['claim-out'] WHEN 'signup' THEN ['claim-in'] ELSE [] END AS rules FROM feed WHERE booking_status = 'booked')""",
+        "free0 AS (SELECT * FROM l WHERE amount <> 0)",
+    ]
+    for g in range(transfers.MAX_GAP + 1):
+        ctes += [
+            f"e{g} AS (SELECT o.id AS a, i.id AS b FROM free{g} o JOIN free{g} i ON i.amount = -o.amount AND o.amount < 0 AND i.account_id <> o.account_id AND abs(date_diff('day', o.day, i.day)) = {g} AND (len(o.rules) > 0 OR len(i.rules) > 0))",
+            f"b{g} AS (SELECT a, b FROM e{g} UNION SELECT b, a FROM e{g})",
+            f"r{g} AS (SELECT a AS v, a AS t FROM b{g} UNION SELECT r.v, b.b FROM r{g} r JOIN b{g} b ON b.a = r.t)",
+            f"m{g} AS (SELECT f.*, s.root FROM (SELECT v, min(t) AS root FROM r{g} GROUP BY 1) s JOIN free{g} f ON f.id = s.v)",
+            f"""s{g} AS (SELECT root, count(*) FILTER (amount < 0) AS outs, count(*) FILTER (amount > 0) AS ins, count(DISTINCT CASE WHEN amount < 0 THEN struct_pack(a := account_id, d := day, t := description) END) = 1 AND count(DISTINCT CASE WHEN amount > 0 THEN struct_pack(a := account_id, d := day, t := description) END) = 1 AS alike,
+  string_agg(id, '","' ORDER BY account_id, seq) AS ids, arg_min(id, (account_id, seq)) AS first, array_to_string(list_sort(list_distinct(flatten(list(rules)))), ',') AS claims FROM m{g} GROUP BY 1)""",
+            f"k{g} AS (SELECT m.*, outs, ins, alike, row_number() OVER (PARTITION BY root, amount < 0 ORDER BY m.account_id, m.seq) AS k FROM m{g} m JOIN s{g} USING (root))",
+            f"""d{g} AS (
+  SELECT x.id AS transaction_id, 'paired' AS state, CASE WHEN x.outs > 1 OR x.ins > 1 THEN 'repeated_legs' ELSE '{"date_gap" if g else "same_day"}' END AS basis, y.id AS counterpart_transaction_id, {g} AS date_gap_days, sha256(concat('["', least(x.id, y.id), '","', greatest(x.id, y.id), '"]')) AS set_id, concat(least(x.id, y.id), ',', greatest(x.id, y.id)) AS legs, array_to_string(list_sort(list_distinct(list_concat(x.rules, y.rules))), ',') AS claim_rule_ids
+  FROM k{g} x JOIN k{g} y ON x.root = y.root AND x.k = y.k AND sign(x.amount) = -sign(y.amount) WHERE x.alike
+  UNION ALL SELECT m.id, 'ambiguous', NULL, NULL, NULL, sha256(concat('["{transfers.AMBIGUOUS}","', ids, '"]')), CASE WHEN m.id = first THEN replace(ids, '","', ',') END, claims FROM m{g} m JOIN s{g} USING (root) WHERE NOT alike)""",
+            f"free{g + 1} AS (SELECT * FROM free{g} WHERE id NOT IN (SELECT transaction_id FROM d{g}))",
+        ]
+    return "WITH " + ",\n".join(ctes) + " " + " UNION ALL ".join(f"SELECT * FROM d{g}" for g in range(transfers.MAX_GAP + 1))
+
+
+@query(_match_sql())
 def transfer_match(v: Views) -> DataFrame:
-    """Staged by date gap and connected sets: no SQL; tested against a plain version."""
     got = transfers.match(_legs(v))
     return got.select("transaction_id", "state", "basis", "counterpart_transaction_id", "date_gap_days", "set_id", F.array_join("legs", ",").alias("legs"), F.array_join("claim_rule_ids", ",").alias("claim_rule_ids"))
 
@@ -322,9 +347,9 @@ def _halves(v: Views) -> tuple[DataFrame, DataFrame]:
     return out[0], out[1]
 
 
-def _month_measures(table: str) -> str:
-    m = f"(SELECT t.*, c.group_id, CASE WHEN transaction_type = 'refund' THEN c.direction WHEN transaction_type IN ('income', 'expense') THEN transaction_type END AS measure FROM {table} t LEFT JOIN categories c ON t.category_id = c.category_id)"
-    figures = {"income": "sum(CASE WHEN measure = 'income' THEN amount END)", "expenses": "-sum(CASE WHEN measure = 'expense' THEN amount END)", "unclassified_in": "sum(CASE WHEN transaction_type = 'unknown' AND amount > 0 THEN amount END)", "unclassified_out": "sum(CASE WHEN transaction_type = 'unknown' AND amount < 0 THEN amount END)"}
+def _month_measures(table: str, categories: str = "categories") -> str:
+    m = f"(SELECT t.*, c.group_id, CASE WHEN transaction_type = 'refund' THEN c.direction WHEN transaction_type IN ('income', 'expense') THEN transaction_type END AS measure FROM {table} t LEFT JOIN {categories} c ON t.category_id = c.category_id)"
+    figures = {"income": "sum(CASE WHEN measure = 'income' THEN amount END)", "expenses": "-sum(CASE WHEN measure = 'expense' THEN amount END)", "unclassified_in": "sum(CASE WHEN transaction_type = 'unknown' AND amount > 0 THEN amount END)", "unclassified_out": "sum(CASE WHEN transaction_type = 'unknown' AND amount < 0 THEN amount END)", "unclassified_count": "count(*) FILTER (transaction_type = 'unknown')"}
     parts = [f"SELECT account_id, month, 'figure' AS kind, '{n}' AS name, CAST(coalesce({e}, 0) AS DECIMAL(38,2)) AS value FROM {m} GROUP BY 1, 2" for n, e in figures.items()]
     parts += [f"SELECT account_id, month, '{k}', {c}, CAST(sum(amount) AS DECIMAL(38,2)) FROM {m} WHERE category_id IS NOT NULL GROUP BY 1, 2, 4" for k, c in (("category", "category_id"), ("group", "group_id"))]
     return " UNION ALL ".join(parts)
@@ -337,6 +362,36 @@ def publication_diff(v: Views) -> DataFrame:
     return measures.compare(*_halves(v)).withColumn("month", C.month_text("month"))
 
 
+CHANGED = "SELECT * REPLACE (CAST(CASE WHEN length(transaction_id) % 7 = 2 THEN amount * 2 ELSE amount END AS DECIMAL(18,2)) AS amount) FROM transactions WHERE length(transaction_id) % 7 <> 1"
+TURNED = "SELECT * REPLACE (CASE WHEN group_id = 'MEDIUM' THEN 'income' WHEN group_id = 'PROMO' THEN 'expense' ELSE direction END AS direction) FROM categories"
+
+
+@query(f"""WITH changed AS ({CHANGED}), turned AS ({TURNED}), w AS (SELECT 'category' AS kind, category_id AS name, direction FROM turned UNION SELECT 'group', group_id, direction FROM turned)
+SELECT *, CAST(CASE WHEN (SELECT direction FROM w WHERE w.kind = d.kind AND w.name = d.name) = 'expense' THEN before - after ELSE after - before END AS DECIMAL(38,2)) AS change FROM (
+SELECT coalesce(a.account_id, b.account_id) AS account_id, strftime(coalesce(a.month, b.month), '%Y-%m') AS month, coalesce(a.kind, b.kind) AS kind, coalesce(a.name, b.name) AS name, CAST(coalesce(a.value, 0) AS DECIMAL(38,2)) AS before, CAST(coalesce(b.value, 0) AS DECIMAL(38,2)) AS after
+FROM ({_month_measures('transactions')}) a FULL JOIN ({_month_measures('changed', 'turned')}) b ON a.account_id = b.account_id AND a.month = b.month AND a.kind = b.kind AND a.name = b.name WHERE coalesce(a.value, 0) <> coalesce(b.value, 0)) d""")
+def publication_changes(v: Views) -> DataFrame:
+    """All measures that differ between two publications, of which the second has other directions, with the sign that a reader sees."""
+    return _two_publications(v)["measures"].withColumn("month", C.month_text("month")).select("account_id", "month", "kind", "name", "before", "after", "change")
+
+
+@query("""WITH n AS (SELECT * REPLACE (CASE WHEN account_id % 3 = 0 THEN 'partial' ELSE coverage END AS coverage) FROM month_cover WHERE account_id % 5 <> 0 OR month < DATE '1998-01-01')
+SELECT account_id, strftime(month, '%Y-%m') AS month, coalesce(o.coverage, 'absent') AS old, coalesce(n.coverage, 'absent') AS new FROM month_cover o FULL JOIN n USING (account_id, month) WHERE coalesce(o.coverage, 'absent') <> coalesce(n.coverage, 'absent')""")
+def coverage_changes(v: Views) -> DataFrame:
+    return _two_publications(v)["coverage"].withColumn("month", C.month_text("month"))
+
+
+def _two_publications(v: Views) -> dict[str, DataFrame]:
+    """The comparison of the views with a second publication: other rows, amounts, directions and coverage."""
+    size, none = F.length("transaction_id") % 7, v.spark.createDataFrame([], "review_item_id string, kind string")
+    rows = v.transactions.where(size != 1).withColumn("amount", F.when(size == 2, F.col("amount") * 2).otherwise(F.col("amount")).cast("decimal(18,2)"))
+    turned = v.categories.withColumn("direction", F.when(F.col("group_id") == "MEDIUM", "income").when(F.col("group_id") == "PROMO", "expense").otherwise(F.col("direction")))
+    cover = _coverage(v)
+    later = cover.where("account_id % 5 <> 0 or month < date'1998-01-01'").withColumn("coverage", F.when(F.col("account_id") % 3 == 0, "partial").otherwise(F.col("coverage")))
+    of = lambda t, c, m: GoldTables(Gold(t, t.where("category_id is not null"), m, none, none, v.accounts, v.accounts, c))
+    return reports.compare_publications(of(v.transactions, v.categories, cover), of(rows, turned, later))
+
+
 @query("""SELECT h.transaction_id, h.transaction_date, coalesce(c.group_id, '-') AS group_id FROM transactions h LEFT JOIN categories c ON c.category_id = h.category_id WHERE contains(lower(description), 'blue ring') AND month = DATE '1998-03-01'""")
 def find(v: Views) -> DataFrame:
     rows = finding.find(v.transactions, "BLUE Ring", month="1998-03-01").join(v.categories, "category_id", "left")
@@ -349,15 +404,15 @@ def handles(v: Views) -> DataFrame:
     return finding.handles(v.transactions.select(F.sha2("transaction_id", 256).alias("id")), "id")
 
 
-LABELS = "SELECT CASE WHEN account_id % 3 = 0 THEN upper(split_part(description, ' ', 3)) ELSE split_part(description, ' ', 3) END AS category, CASE WHEN account_id % 4 > 0 THEN split_part(description, ' ', 4) END AS subcategory, amount FROM transactions"
-PAIRS = f"""SELECT max(CASE WHEN k = 1 THEN category END) AS category, max(CASE WHEN k = 1 THEN subcategory END) AS subcategory, CAST(sum(n) AS BIGINT) AS n_rows, CAST(sum(total) AS DECIMAL(38,2)) AS total, count(*) AS spellings FROM (
-  SELECT *, row_number() OVER (PARTITION BY lower(category), lower(subcategory) ORDER BY n DESC, category, subcategory NULLS LAST) AS k FROM (SELECT category, subcategory, count(*) AS n, sum(amount) AS total FROM ({LABELS}) GROUP BY 1, 2)) GROUP BY lower(category), lower(subcategory)"""
+LABELS = "SELECT CASE WHEN account_id % 5 = 0 THEN 'EUR' ELSE 'DKK' END AS currency, CASE WHEN account_id % 3 = 0 THEN upper(split_part(description, ' ', 3)) ELSE split_part(description, ' ', 3) END AS category, CASE WHEN account_id % 4 > 0 THEN split_part(description, ' ', 4) END AS subcategory, amount FROM transactions"
+PAIRS = f"""SELECT u.category, u.subcategory, e.currency, CAST(sum(e.n) AS BIGINT) AS n_rows, CAST(sum(e.total) AS DECIMAL(38,2)) AS total, count(*) AS spellings FROM (SELECT lower(category) AS f, lower(subcategory) AS g, category, subcategory, currency, count(*) AS n, sum(amount) AS total FROM ({LABELS}) GROUP BY 1, 2, 3, 4, 5) e JOIN (
+  SELECT lower(category) AS f, lower(subcategory) AS g, category, subcategory, row_number() OVER (PARTITION BY lower(category), lower(subcategory) ORDER BY count(*) DESC, category, subcategory NULLS LAST) AS k FROM ({LABELS}) GROUP BY category, subcategory) u ON u.k = 1 AND e.f IS NOT DISTINCT FROM u.f AND e.g IS NOT DISTINCT FROM u.g GROUP BY 1, 2, 3"""
 
 
 def _pairs(v: Views) -> DataFrame:
     words = F.split("description", " ")
     category = F.when(F.col("account_id") % 3 == 0, F.upper(words[2])).otherwise(words[2])
-    return finding.label_pairs(v.transactions.select(category.alias("category"), F.when(F.col("account_id") % 4 > 0, words[3]).alias("subcategory"), "amount"))
+    return finding.label_pairs(v.transactions.select(category.alias("category"), F.when(F.col("account_id") % 4 > 0, words[3]).alias("subcategory"), F.when(F.col("account_id") % 5 == 0, "EUR").otherwise("DKK").alias("currency"), "amount"))
 
 
 @query(PAIRS)
@@ -423,6 +478,64 @@ def silver_merge(v: Views) -> DataFrame:
     return got.select(F.col("account_id").cast("long").alias("account_id"), "transaction_date", "day_sequence", F.col("amount").cast("decimal(18,2)").alias("amount"), "balance")
 
 
+@query("""WITH b AS (SELECT account_id, transaction_date, event_id, amount, description, row_number() OVER (PARTITION BY account_id ORDER BY event_id) AS k FROM feed WHERE booking_status = 'booked'),
+  lacks AS (SELECT account_id, event_id, transaction_date, amount FROM (SELECT *, row_number() OVER (PARTITION BY account_id ORDER BY event_id) AS r FROM b WHERE transaction_date BETWEEN DATE '2024-01-10' AND DATE '2024-01-25') WHERE r = 1 AND account_id % 7 = 0 AND transaction_date <= DATE '2024-01-15'),
+  x AS (SELECT DISTINCT account_id FROM b)
+SELECT 'result' AS family, concat_ws('-', 'run', account_id, r.k) AS import_run_id, CASE WHEN r.k = '2' AND account_id IN (SELECT account_id FROM lacks) THEN 'quarantined' ELSE 'accepted' END AS status, CASE WHEN r.k = '2' AND account_id IN (SELECT account_id FROM lacks) THEN 'review' END AS code, CAST(NULL AS DATE) AS transaction_date, CAST(NULL AS DECIMAL(18,2)) AS amount FROM x, (VALUES ('1'), ('2'), ('3')) AS r(k)
+UNION ALL SELECT 'review', concat_ws('-', 'run', account_id, '2'), 'open', 'dropped-transaction', transaction_date, amount FROM lacks
+UNION ALL SELECT 'review', concat_ws('-', 'run', l.account_id, '2'), 'open', 'export-disagreement', min(b.transaction_date), NULL FROM lacks l JOIN b ON b.account_id = l.account_id AND b.event_id <> l.event_id AND b.transaction_date BETWEEN l.transaction_date AND DATE '2024-01-15' WHERE l.amount <> 0 GROUP BY l.account_id""")
+def silver_results(v: Views) -> DataFrame:
+    """What becomes of each run of the merge, and what it asks."""
+    got = silver.merge(*_exports_of_feed(v)).where("family in ('result', 'review')")
+    return got.select("family", "import_run_id", "status", "code", "transaction_date", F.col("amount").cast("decimal(18,2)").alias("amount"))
+
+
+FILES = "SELECT o_custkey % 7 = 0 AS lost, o_custkey AS account_id, o_orderkey, CAST(o_orderdate AS DATE) AS day, CASE o_orderkey % 4 WHEN 0 THEN concat('konto-', lpad(CAST(o_custkey AS VARCHAR), 10, '0'), '-', strftime(CAST(o_orderdate AS DATE), '%Y%m%d'), '.csv') WHEN 1 THEN concat('konto-', lpad(CAST(o_custkey + 1 AS VARCHAR), 10, '0'), '-', strftime(CAST(o_orderdate AS DATE), '%Y%m%d'), ' (', o_orderkey, ').CSV') WHEN 2 THEN concat('konto-', o_orderkey, '.csv') ELSE concat('x-', strftime(CAST(o_orderdate AS DATE), '%Y%m%d'), '.csv') END AS name FROM orders"
+
+
+@query(f"""SELECT CASE WHEN NOT lost THEN account_id END AS declared_account_id, name AS original_filename, CASE WHEN lost THEN 'not-in-an-account-folder' WHEN o_orderkey % 4 = 2 THEN 'no-export-date' ELSE 'another-account-number' END AS problem FROM ({FILES}) WHERE lost OR o_orderkey % 4 IN (1, 2)""")
+def misfiled_names(v: Views) -> DataFrame:
+    """An inbox with a file for each order: dates and account numbers of names, and the folders that they lie in."""
+    day, number = F.date_format(F.to_date("o_orderdate"), "yyyyMMdd"), lambda c: F.lpad(c.cast("string"), 10, "0")
+    name = F.when(F.col("o_orderkey") % 4 == 0, F.concat(F.lit("konto-"), number(F.col("o_custkey")), F.lit("-"), day, F.lit(".csv"))).when(F.col("o_orderkey") % 4 == 1, F.concat(F.lit("konto-"), number(F.col("o_custkey") + 1), F.lit("-"), day, F.lit(" ("), F.col("o_orderkey").cast("string"), F.lit(").CSV")))
+    name = name.when(F.col("o_orderkey") % 4 == 2, F.concat(F.lit("konto-"), F.col("o_orderkey").cast("string"), F.lit(".csv"))).otherwise(F.concat(F.lit("x-"), day, F.lit(".csv")))
+    path = F.concat_ws("/", F.lit("/bank/inbox"), F.when(F.col("o_custkey") % 7 == 0, "more/deep").otherwise(F.col("o_custkey").cast("string")), name)
+    files = bank_csv.described(v.read("orders").select(path.alias("path"), F.col("o_orderkey").cast("string").cast("binary").alias("content")), "/bank/inbox")
+    accounts = v.accounts.select(F.col("account_id").cast("string").alias("account_id"), number(F.col("account_id")).alias("bank_account_number"))
+    got = bank_csv.misfiled(files, accounts)
+    return got.withColumn("declared_account_id", F.col("declared_account_id").cast("long"))
+
+
+@query("""WITH s AS (SELECT concat('i', event_id) AS review_item_id, event_type AS kind, user_id AS account_id, CASE WHEN event_id % 3 = 0 THEN concat('d', event_id) END AS resolved_by, concat('run-', event_id // 10) AS import_run_id, event_id // 10 AS k FROM events WHERE event_id % 2 = 0),
+  runs AS (SELECT DISTINCT concat('run-', event_id // 10) AS import_run_id, event_id // 10 AS k FROM events)
+SELECT 'silver' AS part, review_item_id AS id, kind, import_run_id FROM s WHERE resolved_by IS NULL UNION ALL
+SELECT 'run', import_run_id, NULL, import_run_id FROM runs WHERE k % 4 = 1 AND import_run_id NOT IN (SELECT import_run_id FROM s WHERE resolved_by IS NULL)""")
+def open_reviews(v: Views) -> DataFrame:
+    """Items of an import log with a run for each ten events: open ones with their run, and set-aside runs that no open item shows."""
+    events = v.read("events").select("event_id", "event_type", "user_id", F.floor(F.col("event_id") / 10).alias("k"))
+    item = F.concat(F.lit("i"), F.col("event_id").cast("string"))
+    items = events.where("event_id % 2 = 0").select(item.alias("review_item_id"), F.col("event_type").alias("kind"), F.col("user_id").alias("account_id"), F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("d"), F.col("event_id").cast("string"))).alias("resolved_by"))
+    results = events.groupBy("k").agg(F.min("user_id").alias("account_id"), F.collect_list(F.when(F.col("event_id") % 2 == 0, item)).alias("review_item_ids"))
+    results = results.select(F.concat(F.lit("run-"), F.col("k").cast("string")).alias("import_run_id"), "account_id", F.when(F.col("k") % 4 == 1, "quarantined").otherwise("accepted").alias("status"), "review_item_ids")
+    none = v.spark.createDataFrame([], "review_item_id string, kind string, transaction_ids array<string>")
+    names = v.accounts.withColumns({"display_name": F.lit(""), "currency": F.lit("DKK")})
+    got = reports.open_reviews(GoldTables(Gold(v.transactions, v.allocations, none, none, none, names, names, v.categories)), items, results)
+    silver_items = got["silver"].select(F.lit("silver").alias("part"), F.col("review_item_id").alias("id"), "kind", "import_run_id")
+    return silver_items.unionByName(got["runs"].select(F.lit("run").alias("part"), F.col("import_run_id").alias("id"), F.lit(None).cast("string").alias("kind"), "import_run_id"))
+
+
+@query("""WITH h AS (SELECT id, substr(id, 1, greatest(8, coalesce(lcp_a, 0) + 1, coalesce(lcp_b, 0) + 1)) AS handle FROM (SELECT id, list_max(list_filter(range(0, 65), lambda n: a IS NOT NULL AND substr(a, 1, n) = substr(id, 1, n))) AS lcp_a, list_max(list_filter(range(0, 65), lambda n: b IS NOT NULL AND substr(b, 1, n) = substr(id, 1, n))) AS lcp_b FROM (
+  SELECT id, lag(id) OVER (ORDER BY id) AS a, lead(id) OVER (ORDER BY id) AS b FROM (SELECT sha256(transaction_id) AS id FROM transactions))))
+SELECT h.handle, t.transaction_date, t.account_id, t.category_id AS category_name FROM transactions t JOIN h ON h.id = sha256(t.transaction_id) WHERE contains(lower(description), 'blue ring') AND month = DATE '1998-03-01'""")
+def find_transactions(v: Views) -> DataFrame:
+    """A text in a month's publication, with handles among all of Silver's ids, and categories' names."""
+    named = lambda df: df.withColumn("transaction_id", F.sha2("transaction_id", 256))
+    rows, parts = named(v.transactions), named(v.allocations)
+    tables = GoldTables(Gold(rows, parts, parts, parts, parts, v.accounts, v.accounts, v.categories.withColumn("name", F.col("category_id"))))
+    got = reports.find_transactions(tables, rows.select("transaction_id"), "BLUE Ring", date(1998, 3, 1))
+    return got.select("handle", "transaction_date", "account_id", "category_name")
+
+
 @query("""SELECT l_suppkey % 4 AS k, count(*) AS n, count(*) FILTER (day > DATE '1998-06-30') AS ends_after_export, count(*) FILTER (day + 30 < day) AS starts_after_end, count(*) FILTER (l_linenumber > 5) AS before_range FROM raw_lines GROUP BY 1""")
 def range_refusals(v: Views) -> DataFrame:
     """Declared ranges made from lines: each rule broken is listed, and counted here."""
@@ -444,7 +557,7 @@ def run_outcomes(v: Views) -> DataFrame:
 
 @query("SELECT account_id, record_ordinal, transaction_date, amount FROM (SELECT account_id, CAST(row_number() OVER (PARTITION BY account_id, transaction_date ORDER BY event_id) AS INTEGER) AS record_ordinal, transaction_date, amount FROM feed_rows)")
 def bank_csv_parse(v: Views) -> DataFrame:
-    """Each account's feed written as a bank's exports in windows-1252, one for each day, parsed and typed again."""
+    """Each account's feed written as a bank's exports, one for each day (in letters that ISO-8859-1 and windows-1252 share), parsed and typed again."""
     text = F.translate(F.format_number("amount", 2), ",.", ".,")
     cells = F.array(F.date_format("transaction_date", "dd.MM.yyyy"), "description", text, F.lit(""), F.lit("Venter"), F.lit("Nej"))
     line = F.concat(F.lit('"'), F.array_join(cells, '","'), F.lit('"'))

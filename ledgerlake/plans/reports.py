@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import TOTAL, month_of
 from ..operators import coverage, finding, measures
+from ..session import small
 from .gold_tables import GoldTables
 
 #: Civil dates are those of this zone (fixed value).
@@ -245,19 +246,36 @@ def find_transactions(tables: GoldTables, silver_ids: DataFrame, text: str, mont
     return got.orderBy("transaction_date", "handle")
 
 
+def changed_months(before: GoldTables, after: GoldTables) -> DataFrame | None:
+    """``account_id, month`` of which any table's rows differ, from the publications' fingerprints; None if either has none."""
+    if before.prints is None or after.prints is None:
+        return None
+    key = ["account_id", "month", "table_name"]
+    both = before.prints.select(*key, F.col("fingerprint").alias("a")).join(after.prints.select(*key, F.col("fingerprint").alias("b")), key, "full_outer")
+    return both.where(~F.col("a").eqNullSafe(F.col("b"))).select("account_id", "month").distinct()
+
+
 def compare_publications(before: GoldTables, after: GoldTables) -> dict[str, DataFrame]:
-    """``measures`` that changed by month, account and name, in that order; ``coverage`` that changed (``absent``: no row); and ``reviews`` opened and closed."""
+    """``measures`` that changed by month, account and name, in that order; ``coverage`` that changed (``absent``: no row); and ``reviews`` opened and closed.
+
+    Of stored publications only account months whose fingerprints differ are read,
+    from those months' files; categories that changed are compared in all.
+    """
+    months, key = changed_months(before, after), ["account_id", "month"]
+    if months is not None and not same_rows(before.categories, after.categories):
+        months = None
+    found = [] if months is None else [r[0] for r in months.select("month").distinct().collect()]
+
+    def of(rows: DataFrame) -> DataFrame:
+        return rows if months is None else rows.where(F.col("month").isin(found) if found else F.lit(False)).join(small(months), key, "left_semi")
+
     both = []
     for t in (before, after):
-        rows = measures.measured(t.gold.transactions, t.gold.allocations, t.categories)
-        both.append(measures.month_measures(rows, t.gold.allocations, t.categories))
-    changed = measures.compare(*both)
-    # Spending grows as amounts fall; income as they rise.
-    direction = before.categories.unionByName(after.categories).select(F.col("category_id").alias("name"), "direction").distinct()
-    key = ["account_id", "month"]
-    old, new = (t.gold.monthly_balances.select(*key, F.col("coverage").alias(n)) for t, n in ((before, "old"), (after, "new")))
+        rows, parts = of(t.gold.transactions), of(t.gold.allocations)
+        both.append(measures.month_measures(measures.measured(rows, parts, t.categories), parts, t.categories))
+    changed = measures.directed(measures.compare(*both), before.categories, after.categories)
+    old, new = (of(t.gold.monthly_balances).select(*key, F.col("coverage").alias(n)) for t, n in ((before, "old"), (after, "new")))
     cover = old.join(new, key, "full_outer").select(*key, F.coalesce("old", F.lit("absent")).alias("old"), F.coalesce("new", F.lit("absent")).alias("new")).where("old <> new")
-    changed = changed.join(direction, "name", "left").withColumn("change", F.when(F.col("direction") == "expense", F.col("before") - F.col("after")).otherwise(F.col("after") - F.col("before")).cast(TOTAL))
     return {"measures": changed.orderBy("month", "account_id", "kind", "name"), "coverage": cover.orderBy("month", "account_id"), "reviews": review_changes(before.gold.review_items, after.gold.review_items)}
 
 

@@ -24,15 +24,73 @@ class Log:
         return spark.createDataFrame([tuple(e.get(k) for k in keys) for e in self.in_force.values()], FORCE)
 
 
-def _holds(entry: dict[str, Any]) -> set[tuple[str, str, str | None]]:
-    """What an entry decides: its targets within the kind's group, for one payload or (null) for all."""
-    group = GROUPS[entry["kind"]]
-    payload = (entry.get("record") or {}).get("payload_id")
-    return {(group, t, payload) for t in entry["targets"]} if group else set()
-
-
-def _overlap(a: set, b: set) -> set[str]:
-    return {x[1] for x in a for y in b if x[:2] == y[:2] and (x[2] is None or y[2] is None or x[2] == y[2])}
+#: Fields of an entry: the types that they may have.
+TEXTS = ("decision_id", "kind", "category", "adjustment", "counterpart_account_id", "reason", "import_run_id")
+#: What an entry of a kind must have, besides its targets: one of each group of fields (fixed values).
+NEEDS = {"classify": [("category", "adjustment")], "one-sided-transfer": [("counterpart_account_id",)], "same-transaction": [("record",)], "withdrawn": [], "pair": [], "void-import-run": [], "accept-discrepancy": [], "retract": []}
+TARGETS = {"pair": 2, "retract": None}
+
+
+def _shape(entry: Any) -> str | None:
+    """What keeps a line from being an entry at all."""
+    if not isinstance(entry, dict):
+        return "not a decision"
+    for name in TEXTS:
+        if entry.get(name) is not None and not isinstance(entry[name], str):
+            return f"{name} is not a text"
+    if entry.get("kind") not in GROUPS or entry.get("decision_id") is None:
+        return "not a decision"
+    for name in ("targets", "supersedes"):
+        listed = entry.get(name, [])
+        if not isinstance(listed, list) or not all(isinstance(x, str) for x in listed):
+            return f"{name} is not a list of texts"
+    record = entry.get("record")
+    if record is not None and not (isinstance(record, dict) and isinstance(record.get("payload_id"), str) and type(record.get("record_ordinal")) is int):
+        return "record doesn't name a payload and a record"
+    return None
+
+
+def _incomplete(entry: dict[str, Any]) -> list[str]:
+    kind, found = entry["kind"], []
+    wanted = TARGETS.get(kind, 1)
+    if wanted is not None and len(entry["targets"]) != wanted:
+        found.append(f"{kind} names {wanted} targets, not {len(entry['targets'])}")
+    for names in NEEDS[kind]:
+        given = sum(entry.get(n) is not None for n in names)
+        if given != 1:
+            found.append(f"{kind} has one of {' and '.join(names)}, not {given}")
+    return found
+
+
+class _Claims:
+    """Who decides what: by group and target, the entries in force with the payload that each is for (None: for all)."""
+
+    def __init__(self) -> None:
+        self.held: dict[tuple[str, str], dict[str, str | None]] = {}
+
+    @staticmethod
+    def of(entry: dict[str, Any]) -> tuple[list[tuple[str, str]], str | None]:
+        group = GROUPS[entry["kind"]]
+        return ([(group, t) for t in dict.fromkeys(entry["targets"])] if group else []), (entry.get("record") or {}).get("payload_id")
+
+    def rivals(self, entry: dict[str, Any]) -> dict[str, list[str]]:
+        """Entries in force that decide a target of this one, with these targets."""
+        found: dict[str, list[str]] = {}
+        keys, payload = self.of(entry)
+        for key in keys:
+            for other, theirs in self.held.get(key, {}).items():
+                if payload is None or theirs is None or payload == theirs:
+                    found.setdefault(other, []).append(key[1])
+        return found
+
+    def take(self, entry: dict[str, Any]) -> None:
+        keys, payload = self.of(entry)
+        for key in keys:
+            self.held.setdefault(key, {})[entry["decision_id"]] = payload
+
+    def drop(self, entry: dict[str, Any]) -> None:
+        for key in self.of(entry)[0]:
+            self.held[key].pop(entry["decision_id"], None)
 
 
 def _unique(pairs: list[tuple[str, Any]]) -> dict[str, Any]:
@@ -46,41 +104,41 @@ def read_log(content: bytes) -> Log:
     """Fold the lines in order; an entry with a problem never comes into force. A last line without its end was cut off and is left out."""
     text = content.decode("utf-8-sig")
     lines = text.split("\n")
-    log, used = Log(), set()
+    log, used, claims = Log(), set(), _Claims()
     if lines and lines[-1]:
         log.problems.append(f"entry {len(lines)}: cut off")
     for n, line in enumerate(lines[:-1], 1):
         try:
             e = json.loads(line, object_pairs_hook=_unique)
         except KeyError as error:
-            log.problems.append(f"entry {n}: {error.args[0]} appears more than once")
+            log.problems.append(f"entry {n}: {error.args[0]} is there twice")
             continue
-        except json.JSONDecodeError:
+        except (json.JSONDecodeError, RecursionError):
             e = None
-        if not isinstance(e, dict) or e.get("kind") not in GROUPS or not isinstance(e.get("decision_id"), str):
-            log.problems.append(f"entry {n}: not a decision")
+        odd = _shape(e)
+        if odd is not None:
+            log.problems.append(f"entry {n}: {odd}")
             continue
-        over, kind = list(e.get("supersedes", [])), e["kind"]
-        e["targets"] = list(e.get("targets", []))
-        mine, found = _holds(e), []
+        e["targets"], over = e.get("targets", []), e.get("supersedes", [])
+        found = _incomplete(e)
         if e["decision_id"] in used:
-            found.append(f"{e['decision_id']} is used before")
-        if kind == "pair" and len(e["targets"]) != 2 or kind not in ("pair", "retract") and len(e["targets"]) != 1:
-            found.append("wrong number of targets")
-        found += [f"supersedes {s}, which is not in force" for s in over if s not in log.in_force]
-        if kind != "retract":
-            found += [f"supersedes {s}, which decides nothing here" for s in over if s in log.in_force and not _overlap(mine, _holds(log.in_force[s]))]
-        for other, held in log.in_force.items():
-            if other not in over:
-                found += [f"{t} is decided by {other}" for t in sorted(_overlap(mine, _holds(held)))]
+            found.append(f"the name {e['decision_id']} is taken")
+        rivals = claims.rivals(e)
+        for s in over:
+            if s not in log.in_force:
+                found.append(f"takes the place of {s}, which holds no longer or never did")
+            elif e["kind"] != "retract" and s not in rivals:
+                found.append(f"takes the place of {s}, which is about something else")
+        found += [f"{t} is already settled, by {other}" for other, ts in rivals.items() if other not in over for t in sorted(ts)]
         if found:
             log.problems += [f"entry {n}: {x}" for x in found]
             continue
         used.add(e["decision_id"])
-        for s in over:
-            del log.in_force[s]
-        if kind != "retract":
+        for s in dict.fromkeys(over):
+            claims.drop(log.in_force.pop(s))
+        if e["kind"] != "retract":
             log.in_force[e["decision_id"]] = e
+            claims.take(e)
     return log
 
 

@@ -1,6 +1,7 @@
 """Bank exports from bytes to merged transactions; configuration, the decision log, the catalog and the inbox stream."""
 
 import json
+import os
 from datetime import date, datetime
 from decimal import Decimal as D
 
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions import columns as C
 from ledgerlake.operators import bronze, silver
-from ledgerlake.plans.catalog import Catalog, NothingPublished, fingerprint
+from ledgerlake.plans.catalog import Catalog, NothingPublished, PointerMoved, fingerprint
 from ledgerlake.sources import bank_csv, config, decision_log
 from ledgerlake.streaming.inbox import import_available
 
@@ -157,12 +158,62 @@ def test_configuration_lists_every_problem(spark):
 
 def test_decision_log(spark):
     entry = lambda i, kind, targets, over=(), **more: json.dumps({"decision_id": i, "kind": kind, "targets": targets, "supersedes": list(over)} | more)
-    lines = [entry("d1", "classify", ["t1"], category="c"), entry("d2", "classify", ["t1"]), entry("d3", "classify", ["t1"], ["d1"]), entry("d4", "withdrawn", ["t1"]), entry("d5", "retract", [], ["d4"]), entry("d6", "pair", ["t1"]), "{", '{"a":1,"a":2}', '{"cut']
+    lines = [entry("d1", "classify", ["t1"], category="c"), entry("d2", "classify", ["t1"], category="c"), entry("d3", "classify", ["t1"], ["d1"], adjustment="a"), entry("d4", "withdrawn", ["t1"]), entry("d5", "retract", [], ["d4"]), entry("d6", "pair", ["t1"]), "{", '{"a":1,"a":2}', '{"cut']
     log = decision_log.read_log("\n".join(lines).encode())
     assert list(log.in_force) == ["d3"] and len(log.problems) == 6
     assert log.frame(spark).first()["decision_id"] == "d3"
 
 
+def test_decision_log_of_odd_shapes():
+    good = {"decision_id": "d", "kind": "classify", "targets": ["t"], "category": "c"}
+    odd = [{"targets": [["x"]]}, {"targets": 5}, {"targets": None}, {"record": 3}, {"record": {"payload_id": 1, "record_ordinal": 1}}, {"record": {"payload_id": "p", "record_ordinal": True}}, {"kind": ["x"]}, {"kind": None}, {"decision_id": 7}, {"supersedes": "d"}, {"category": 4}, {"category": None}, {"adjustment": "a"}, {"targets": []}]
+    lines = [json.dumps(good | {"decision_id": f"d{k}"} | x) for k, x in enumerate(odd)] + ["3", "null", "[]", '"x"', "[" * 100_000, json.dumps(good)]
+    log = decision_log.read_log(("\n".join(lines) + "\n").encode())
+    assert list(log.in_force) == ["d"] and len(log.problems) == len(lines) - 1
+    kinds = [("pair", ["t"]), ("pair", ["t", "u"]), ("one-sided-transfer", ["v"]), ("same-transaction", ["w"]), ("retract", [])]
+    log = decision_log.read_log("".join(json.dumps({"decision_id": f"k{n}", "kind": k, "targets": t}) + "\n" for n, (k, t) in enumerate(kinds)).encode())
+    assert list(log.in_force) == ["k1"] and len(log.problems) == 3
+
+
+def test_claims_by_payload():
+    same = lambda i, payload, over=(): json.dumps({"decision_id": i, "kind": "same-transaction", "targets": ["t"], "record": {"payload_id": payload, "record_ordinal": 1}, "supersedes": list(over)})
+    gone = lambda i, over=(): json.dumps({"decision_id": i, "kind": "withdrawn", "targets": ["t"], "supersedes": list(over)})
+    read = lambda *lines: decision_log.read_log(("\n".join(lines) + "\n").encode())
+    assert list(read(same("a", "p"), same("b", "q"), same("c", "p")).in_force) == ["a", "b"]
+    assert list(read(same("a", "p"), same("b", "q"), gone("c")).in_force) == ["a", "b"] and list(read(same("a", "p"), same("b", "q"), gone("c", ["a", "b"])).in_force) == ["c"]
+    assert list(read(gone("a"), same("b", "p", ["a"]), same("c", "p", ["a"]), same("d", "q")).in_force) == ["b", "d"]
+
+
+def test_two_publishers_that_interleave(spark, tmp_path):
+    frame = lambda n: {"t": spark.range(n)}
+    one, two = Catalog(spark, str(tmp_path)), Catalog(spark, str(tmp_path))
+    assert one.publish(frame(1), "a", configuration="[rules]") == 1
+    seen = two._last()
+    assert one.publish(frame(2), "b", configuration="[rules]") == 2
+    # The second publisher read the pointer before the first one moved it.
+    two._last = lambda: seen
+    with pytest.raises(PointerMoved):
+        two.publish(frame(3), "c")
+    del two._last
+    assert two.current() == 2 and one.read("t").count() == 2 and [r["to_id"] for r in one.moves.orderBy("move").collect()] == [1, 2]
+    assert two.publish(frame(3), "c", configuration="[other]") == 4 and one.current() == 4
+    rows = {r["publication_id"]: r for r in one.publications.collect()}
+    assert rows[2]["rows"] == {"t": 2} and rows[1]["configuration"] == rows[2]["configuration"] and rows[3]["configuration"] is None
+    assert [one.configuration(k) for k in (1, 2, 3, 4)] == ["[rules]", "[rules]", None, "[other]"] and len([p for p in (tmp_path / "configurations").iterdir() if p.suffix != ".crc"]) == 2
+
+
+def test_an_abandoned_move(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path))
+    c.publish({"t": spark.range(1)}, "a")
+    left = tmp_path / "pointer_moves" / f"{2:012d}.json"
+    left.touch()
+    assert c.current() == 1
+    with pytest.raises(PointerMoved):
+        c.publish({"t": spark.range(2)}, "b")
+    os.utime(left, (1, 1))
+    assert c.publish({"t": spark.range(2)}, "b") == 3 and c.current() == 3
+
+
 def test_catalog(spark, tmp_path):
     c = Catalog(spark, str(tmp_path))
     with pytest.raises(NothingPublished):

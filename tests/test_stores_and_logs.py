@@ -1,13 +1,14 @@
 """Stores, logs, drafts and configuration checks; a publication built, written and read again."""
 
 
+import re
 from datetime import UTC, date, datetime
 from decimal import Decimal as D
 
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlake.operators import gold, rules, suggesting
+from ledgerlake.operators import finding, gold, measures, rules, suggesting
 from ledgerlake.plans import gold_tables, reports, stores
 from ledgerlake.plans.catalog import Catalog
 from ledgerlake.sources import bank_csv, config, decision_log, import_log
@@ -200,7 +201,16 @@ def test_second_publication_and_problems(published):
     assert gold_tables.publish(catalog, later, "recipe-2") == 2
     before, after = gold_tables.open_publication(catalog, 1), gold_tables.open_publication(catalog, 2)
     got = reports.compare_publications(before, after)
-    assert {(r["name"], r["change"]) for r in got["measures"].collect()} >= {("food", D("3.00")), ("unclassified_out", D("3.00"))}
+    changes = {(r["kind"], r["name"]): (r["before"], r["after"], r["change"]) for r in got["measures"].collect()}
+    food = before.categories.where("category_id = 'food'").first()["group_id"]
+    assert got["measures"].count() == len(changes) and changes["category", "food"] == changes["group", food] and changes["category", "food"][2] == D("3.00")
+    assert changes["figure", "unclassified_count"] == (D("1.00"), D("0.00"), D("-1.00")) and changes["figure", "unclassified_out"][2] == D("3.00") and changes["figure", "expenses"][2] == D("3.00")
+    assert set(changes) == {("category", "food"), ("group", food), ("figure", "unclassified_count"), ("figure", "unclassified_out"), ("figure", "expenses")}
+    # Only the account months that differ are read: the same lines as from whole tables.
+    whole = reports.compare_publications(gold_tables.GoldTables(before.gold), gold_tables.GoldTables(after.gold))
+    assert all(reports.same_rows(got[k], whole[k]) for k in got) and reports.changed_months(before, after).count() == 1
+    assert re.search(r"PartitionFilters: \[[^\]]*month", got["measures"]._jdf.queryExecution().toString())
+    assert all(df.isEmpty() for df in reports.compare_publications(before, before).values())
     assert [(r["kind"], r["change"]) for r in got["reviews"].collect()] == [("unclassified", "closed")] and got["coverage"].count() == 0
     assert reports.same_rows(before.gold.monthly_balances, after.gold.monthly_balances) and not reports.same_rows(before.gold.allocations, after.gold.allocations)
     assert [r["is_current"] for r in catalog.readable().orderBy("publication_id").collect()] == [False, True]
@@ -218,3 +228,18 @@ def test_words_and_dates(spark):
     files = spark.createDataFrame([("a", "k-0123456789-20320505.csv", date(2032, 5, 5), "0123456789"), ("a", "x.csv", None, None), (None, "y-20320505.csv", date(2032, 5, 5), None), ("a", "k-9999999999-20320505.csv", date(2032, 5, 5), "9999999999")], "declared_account_id string, original_filename string, exported_on date, account_number string")
     accounts = spark.createDataFrame([("a", "0123456789")], "account_id string, bank_account_number string")
     assert sorted(r["problem"] for r in bank_csv.misfiled(files, accounts).collect()) == ["another-account-number", "no-export-date", "not-in-an-account-folder"]
+
+
+def test_directed_changes(spark):
+    changed = spark.createDataFrame([("a", "category", "x", D("10"), D("13")), ("a", "group", "g", D("10"), D("13")), ("a", "category", "y", D("1"), D("5")), ("a", "figure", "x", D("1"), D("2")), ("a", "category", "gone", D("4"), D("0"))], "account_id string, kind string, name string, before decimal(38,2), after decimal(38,2)")
+    before = spark.createDataFrame([("x", "g", "income"), ("y", "h", "income"), ("gone", "g", "expense")], "category_id string, group_id string, direction string")
+    after = spark.createDataFrame([("x", "g", "expense"), ("y", "h", "income"), ("z", "g", "expense")], "category_id string, group_id string, direction string")
+    got = measures.directed(changed, before, after).collect()
+    assert sorted((r["kind"], r["name"], r["change"]) for r in got) == [("category", "gone", D("4.00")), ("category", "x", D("-3.00")), ("category", "y", D("4.00")), ("figure", "x", D("1.00")), ("group", "g", D("-3.00"))]
+
+
+def test_label_pairs_by_currency(spark):
+    rows = spark.createDataFrame([("Mad", None, "DKK", D("5")), ("MAD", None, "DKK", D("5")), ("Mad", None, "EUR", D("-7")), ("Bil", "x", "DKK", D("1"))], "category string, subcategory string, currency string, amount decimal(19,2)")
+    got = finding.label_pairs(rows)
+    assert sorted(tuple(r) for r in got.select("category", "currency", "n_rows", "total", "spellings").collect()) == [("Bil", "DKK", 1, D("1.00"), 1), ("Mad", "DKK", 2, D("10.00"), 2), ("Mad", "EUR", 1, D("-7.00"), 1)]
+    assert {r["category"]: r["direction"] for r in finding.label_directions(got).collect()} == {"Mad": "expense", "Bil": "income"}
