@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import lru_cache, reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,9 +43,48 @@ def label(text: Column) -> Column:
     return F.nullif(F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", ""), F.lit(""))
 
 
+@lru_cache(maxsize=1)
+def _foldings() -> tuple[str, str, dict[str, str]]:
+    """Letters that fold to another one, these, and those that fold to several, by Unicode's full case folding as Python has it."""
+    changed = {chr(c): chr(c).casefold() for c in range(0x110000) if not 0xD800 <= c < 0xE000 and chr(c) != chr(c).casefold()}
+    single = {a: b for a, b in changed.items() if len(b) == 1}
+    return "".join(single), "".join(single.values()), {a: b for a, b in changed.items() if len(b) > 1}
+
+
 def fold(text: Column) -> Column:
-    """Case folded: upper then lower, kept apart from each other by a concatenation that the optimiser leaves alone."""
-    return F.lower(F.concat(F.upper(text), F.lit("")))
+    """Full case folding, letter by letter; a text of Latin-1 letters without ß and µ is only lowered, which is the same."""
+    before, after, several = _foldings()
+    letters = reduce(lambda t, x: F.replace(t, F.lit(x[0]), F.lit(x[1])), several.items(), text)
+    letters = F.when(text.rlike(f"[{''.join(several)}]"), letters).otherwise(text)
+    return F.when(text.rlike(r"[^\x00-\xB4\xB6-\xDE\xE0-\xFF]"), F.translate(letters, before, after)).otherwise(F.lower(text))
+
+
+#: Decimal places of the currencies that amounts may be in; one that isn't here is refused (fixed values).
+PLACES = {"DKK": 2}
+
+
+def minor_units(amount: Column, currency: Column) -> Column:
+    """An amount's text (digits, with a point before decimal places) as a whole number of its currency's minor unit, ``units``, or why it has none, ``refusal``.
+
+    Nothing is rounded: more places than the currency has are refused, even zeros,
+    and so is what doesn't fit in 64 bits, or a currency that isn't known.
+    """
+    places = F.element_at(F.create_map(*[F.lit(x) for pair in PLACES.items() for x in pair]), currency)
+    given = F.char_length(F.regexp_extract(amount, r"\.([0-9]+)$", 1))
+    digits = F.regexp_replace(F.concat(F.regexp_replace(amount, r"\.", ""), F.repeat(F.lit("0"), places - given)), "^(-?)0+(?=[0-9])", "$1")
+    units = digits.try_cast("long")
+    refusal = (
+        F.when(places.isNull(), "unknown-currency")
+        .when(~F.coalesce(amount.rlike(r"^-?[0-9]+(\.[0-9]+)?$"), F.lit(False)), "not-an-amount")
+        .when(given > places, "excess-places")
+        .when(units.isNull(), "out-of-range")
+    )
+    return F.struct(F.when(refusal.isNull(), units).alias("units"), refusal.alias("refusal"))
+
+
+def from_minor_units(units: Column, currency: Column) -> Column:
+    """The exact amount of a number of minor units; null for a currency that isn't known."""
+    return F.when(currency.isin(*PLACES), (units.cast("decimal(19,0)") * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(21,2)"))
 
 
 def hash_parts(*parts: Column) -> Column:

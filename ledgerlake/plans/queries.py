@@ -536,6 +536,17 @@ def find_transactions(v: Views) -> DataFrame:
     return got.select("handle", "transaction_date", "account_id", "category_name")
 
 
+@query("""SELECT l_returnflag, refusal, count(*) AS n, CAST(sum(units) AS DECIMAL(38,0)) AS units, CAST(sum(units) / 100 AS DECIMAL(38,2)) AS total FROM (SELECT l_returnflag, CASE WHEN l_linenumber = 6 THEN 'unknown-currency' WHEN l_linenumber = 7 THEN 'excess-places' END AS refusal, CASE WHEN l_linenumber < 6 THEN CAST(sgn * x * 100 AS BIGINT) END AS units FROM raw_lines) GROUP BY 1, 2""")
+def minor_units(v: Views) -> DataFrame:
+    """Amounts as whole numbers of minor units and back; a line's 6th has a currency that isn't known, its 7th a place too many."""
+    amount = F.when(F.col("l_returnflag") == "A", F.col("l_extendedprice").cast("decimal(18,2)")).otherwise(-F.col("l_extendedprice").cast("decimal(18,2)")).cast("string")
+    text = F.when(F.col("l_linenumber") == 7, F.concat(amount, F.lit("0"))).otherwise(amount)
+    currency = F.when(F.col("l_linenumber") == 6, "XXX").otherwise("DKK")
+    lines = v.read("lineitem").join(v.read("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(v.read("part"), F.col("l_partkey") == F.col("p_partkey"))
+    rows = lines.select("l_returnflag", C.minor_units(text, currency).alias("m"), currency.alias("c")).select("l_returnflag", "m.refusal", "m.units", C.from_minor_units(F.col("m.units"), F.col("c")).alias("back"))
+    return rows.groupBy("l_returnflag", "refusal").agg(F.count("*").alias("n"), F.sum(F.col("units").cast("decimal(19,0)")).cast("decimal(38,0)").alias("units"), F.sum("back").cast("decimal(38,2)").alias("total"))
+
+
 @query("""SELECT l_suppkey % 4 AS k, count(*) AS n, count(*) FILTER (day > DATE '1998-06-30') AS ends_after_export, count(*) FILTER (day + 30 < day) AS starts_after_end, count(*) FILTER (l_linenumber > 5) AS before_range FROM raw_lines GROUP BY 1""")
 def range_refusals(v: Views) -> DataFrame:
     """Declared ranges made from lines: each rule broken is listed, and counted here."""

@@ -137,6 +137,21 @@ def test_text_helpers(spark):
     assert [tuple(r) for r in df.collect()] == [("HONORAR JULI", "HONORAR  JULI"), ("", None)]
 
 
+def test_case_folding_of_all_letters(spark):
+    rows = [("".join(chr(c) for c in range(k, k + 64) if not 0xD800 <= c < 0xE000),) for k in range(0, 0x110000, 64)] + [(chr(c),) for c in range(0x2000)] + [("",), ("ÆBLE Straße µ İstanbul ﬁ",)]
+    got = spark.createDataFrame(rows, "t string").select("t", C.fold(F.col("t")).alias("f")).collect()
+    assert all(r["f"] == r["t"].casefold() for r in got) and spark.createDataFrame([(None,)], "t string").select(C.fold(F.col("t"))).first()[0] is None
+
+
+def test_minor_units(spark):
+    rows = [("12.50", "DKK"), ("-3", "DKK"), ("0.000", "DKK"), ("1.234", "DKK"), ("92233720368547758.07", "DKK"), ("92233720368547758.08", "DKK"), ("-92233720368547758.08", "DKK"), ("00012.5", "DKK"), ("1e3", "DKK"), (None, "DKK"), ("1", "XXX"), ("1", None), ("-0.05", "DKK"), ("0" * 300 + "7", "DKK")]
+    df = spark.createDataFrame(rows, "a string, c string").select(C.minor_units(F.col("a"), F.col("c")).alias("m"), "c")
+    got = df.select("m.*", C.from_minor_units(F.col("m.units"), F.col("c")).alias("back")).collect()
+    assert [r["units"] for r in got] == [1250, -300, None, None, 2**63 - 1, None, -(2**63), 1250, None, None, None, None, -5, 700]
+    assert [r["refusal"] for r in got if r["units"] is None] == ["excess-places", "excess-places", "out-of-range", "not-an-amount", "not-an-amount", "unknown-currency", "unknown-currency"]
+    assert all(r["back"] is None if r["units"] is None else r["back"] == D(r["units"]).scaleb(-2) for r in got)
+
+
 def test_run_outcomes(spark):
     rows = [("r1", "p", "a", 1, []), ("r2", "p", "a", 2, []), ("r3", "p", "b", 3, []), ("r4", "q", "a", 4, ["range-starts-after-end"]), ("r5", "q", "a", 5, [])]
     df = spark.createDataFrame(rows, "import_run_id string, payload_id string, declared_account_id string, started_at int, refusals array<string>")
