@@ -102,7 +102,7 @@ def reconciliation(v: Views) -> DataFrame:
 
 @query("""SELECT account_id, transaction_id, account_sequence FROM sequenced""")
 def account_sequence(v: Views) -> DataFrame:
-    return sequence.account_sequence(v.transactions, "transaction_date", "transaction_id").select("account_id", "transaction_id", "account_sequence")
+    return sequence.account_sequence(v.transactions, "transaction_date", "transaction_id", day="transaction_date").select("account_id", "transaction_id", "account_sequence")
 
 
 @query("""SELECT event_id, CAST(row_number() OVER (PARTITION BY payload_id, transaction_date, amount, description ORDER BY event_id) AS INTEGER) AS occurrence FROM (SELECT event_id, payload_id, transaction_date, description, CAST(round(amount, 0) AS DECIMAL(18,0)) AS amount FROM feed)""")
@@ -314,7 +314,7 @@ SELECT d.decision_id, d.kind, CASE WHEN d.b IS NOT NULL AND y.transaction_id IS
   WHEN d.kind = 'pair' AND x.account_id = y.account_id THEN 'same-account' WHEN d.kind = 'one-sided-transfer' AND p.opened <= x.month AND (closed_on IS NULL OR x.month <= date_trunc('month', closed_on)) THEN 'inside-managed-period' END AS reason
 FROM d JOIN transactions x ON x.transaction_id = d.a LEFT JOIN transactions y ON y.transaction_id = d.b LEFT JOIN p ON p.account_id = d.other LEFT JOIN accounts c ON c.account_id = d.other""")
 def decision_targets(v: Views) -> DataFrame:
-    rows = sequence.account_sequence(v.transactions, "transaction_date", "transaction_id")
+    rows = sequence.account_sequence(v.transactions, "transaction_date", "transaction_id", day="transaction_date")
     w = Window.partitionBy("account_id").orderBy("account_sequence")
     k = F.col("account_sequence") % 3
     kind = F.when(k == 0, "classify").when(k == 1, "pair").otherwise("one-sided-transfer")

@@ -87,7 +87,7 @@ class Views:
         """Transactions in account order with the balance that the bank states: wrong at each 17th, none at each 13th."""
         from pyspark.sql import Window
 
-        rows = account_sequence(self.transactions, "transaction_date", "transaction_id")
+        rows = account_sequence(self.transactions, "transaction_date", "transaction_id", day="transaction_date")
         w = Window.partitionBy("account_id").orderBy("account_sequence").rowsBetween(Window.unboundedPreceding, 0)
         n = F.col("account_sequence")
         stated = (F.sum("amount").over(w) + 1000 + 10 * F.floor(n / 17)).cast("decimal(38,2)")
