@@ -9,9 +9,10 @@ a few representatives of each day, and sets are judged by sums over their nodes.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -70,9 +71,14 @@ NODE = ["size", "island", "is_out", "day", "claimed", "account_id"]
 SET = ["size", "island", "of"]
 
 
-def _components(links: pd.DataFrame) -> pd.DataFrame:
-    """One island's representatives, each with the name of its connected set; ``links`` has a row for each of a representative's partners."""
+#: A representative, by its island, and the name of its connected set.
+CONNECTED = "key string, name string, of string"
+
+
+def _components(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Representatives with the name of their connected set; islands come one after the other, with a row for each of a representative's partners."""
     up: dict[str, str] = {}
+    island, out = None, ([], [], [])
 
     def root(x: str) -> str:
         while up.setdefault(x, x) != x:
@@ -80,11 +86,29 @@ def _components(links: pd.DataFrame) -> pd.DataFrame:
             x = up[x]
         return x
 
-    for a, b in zip(links["name"], links["partner"], strict=True):
-        x, y = root(a), root(b)
-        up[max(x, y)] = min(x, y)
-    names = sorted(up)
-    return pd.DataFrame({"size": links["size"].iloc[0], "island": links["island"].iloc[0], "name": names, "of": [root(x) for x in names]})
+    def settle() -> None:
+        for x in list(up):
+            for column, value in zip(out, (island, x, root(x)), strict=True):
+                column.append(value)
+        up.clear()
+
+    def batch() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in out], names=["key", "name", "of"])
+        for c in out:
+            c.clear()
+        return made
+
+    for b in batches:
+        for key, name, partner in zip(*(b.column(c).to_pylist() for c in ("key", "name", "partner")), strict=True):
+            if key != island:
+                settle()
+                island = key
+            x, y = root(name), root(partner)
+            up[max(x, y)] = min(x, y)
+        if len(out[0]) > 10_000:
+            yield batch()
+    settle()
+    yield batch()
 
 
 def _partners(nodes: DataFrame, representatives: DataFrame, gap: int, *more: str) -> DataFrame:
@@ -106,10 +130,10 @@ def _stage(free: DataFrame, gap: int) -> DataFrame:
     nodes = stash(free.groupBy(*NODE).agg(F.count("*").alias("n"), F.min("description").alias("d0"), F.max("description").alias("d1")), "nodes")
     first = Window.partitionBy("size", "is_out", "day", "claimed").orderBy("account_id")
     name = F.concat_ws("|", "day", "is_out", "claimed", "account_id").alias("name")
-    few = nodes.withColumn("k", F.row_number().over(first)).where("k <= 3").select(*NODE, name)
-    links = _partners(few, few, gap, F.col("name").alias("partner")).select("size", "island", "name", "partner")
-    named = links.groupBy("size", "island").applyInPandas(_components, f"size {dict(free.dtypes)['size']}, island long, name string, of string")
-    few = few.join(named, ["size", "island", "name"])
+    few = nodes.withColumn("k", F.row_number().over(first)).where("k <= 3").select(*NODE, name, F.concat_ws("|", "size", "island").alias("key"))
+    links = _partners(few, few, gap, F.col("name").alias("partner")).select("key", "name", "partner")
+    named = links.repartition("key").sortWithinPartitions("key").mapInArrow(_components, CONNECTED)
+    few = few.join(named, ["key", "name"])
     of = _partners(nodes, few, gap, "of").groupBy(*NODE, "n", "d0", "d1").agg(F.min("of").alias("of"))
     of = stash(of, "sets-of-nodes")
     side = lambda out, value: F.when(F.col("is_out") == out, value)
