@@ -20,6 +20,12 @@ EXPORTS = (("a", "1995-01-01", "1997-12-31", "1998-01-20"), ("b", "1997-12-01",
 _KEPT: dict[tuple, DataFrame] = {}
 
 
+def written(df: DataFrame) -> bool:
+    """Whether a stashed table is still there."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stash_path)
+    return path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).exists(path)
+
+
 def kept(f):
     """A view that is written to the shared folder when it is first read, and read from there by later queries of the session."""
 
@@ -27,11 +33,7 @@ def kept(f):
     def read(self: Views) -> DataFrame:
         key = (self.spark.sparkContext.applicationId, self.stamp, f.__name__)
         found = _KEPT.get(key)
-        if found is not None:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(found._stash_path)
-            if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-                found = None
-        if found is None:
+        if found is None or not written(found):
             found = _KEPT[key] = stash(f(self), f.__name__)
         return found
 
