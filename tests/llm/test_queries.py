@@ -41,7 +41,7 @@ def test_query_equals_sql(spark, name):
     want = duck.execute(q.oracle_sql()[name])
     names = [d[0] for d in want.description]
     assert sorted(names) == columns
-    assert sorted(tuple(r[c] for c in columns) for r in got.collect()) == sorted(tuple(r[names.index(c)] for c in columns) for r in want.fetchall())
+    assert sorted((tuple(r[c] for c in columns) for r in got.collect()), key=repr) == sorted((tuple(r[names.index(c)] for c in columns) for r in want.fetchall()), key=repr)
 
 
 def fold(doc_id):
