@@ -1,4 +1,4 @@
-"""Classification rules as columns: each rule is one condition, and all run in one projection."""
+"""Classification rules as columns: each rule is one condition, or many are looked up in an index; all run in one projection."""
 
 from __future__ import annotations
 
@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import derived_type, fold
+from . import rule_index
+
+#: Rules up to which each is a condition of its own in the plan; more are indexed.
+CONDITIONS = 200
 
 
 @dataclass(frozen=True)
@@ -89,17 +93,26 @@ def known_categories(rules: Sequence[Rule], categories: DataFrame) -> None:
         raise UnknownCategory("; ".join(bad))
 
 
-def classify(rows: DataFrame, rules: Sequence[Rule], categories: DataFrame) -> DataFrame:
+def matches(rules: Sequence[Rule], text: Column, indexed: bool) -> Column:
+    """The rules that a row meets; ``text`` is its folded description. Indexed or not, they are the same."""
+    held, plain = rule_index.split(rules) if indexed else ([], rules)
+    hits = [F.when(r.when.column(text), F.struct(F.lit(r.priority).alias("priority"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.outcome()).alias("outcome"))) for r in plain]
+    own = F.array_compact(F.array(*hits)) if hits else F.array().cast(MATCH)
+    return F.concat(own, rule_index.hits(held, text)) if held else own
+
+
+def classify(rows: DataFrame, rules: Sequence[Rule], categories: DataFrame, indexed: bool | None = None) -> DataFrame:
     """Each transaction's rule outcome: ``transaction_type, category_id, rule_ids, review_kind, claims_transfer, adjustment_reason``.
 
     The highest priority decides; rules of it that differ conflict. A category takes
     its type from its direction and the amount's sign; zero is a sign mismatch. Rules
     with a category that ``categories`` doesn't have are refused (``UnknownCategory``).
+    More than ``CONDITIONS`` rules are looked up in an index (``rule_index``), which
+    ``indexed`` sets otherwise; the outcomes are the same.
     """
     known_categories(rules, categories)
     rows = rows.drop("transaction_type", "category_id", "direction").withColumn("__text", fold(F.col("description")))
-    hits = [F.when(r.when.column(F.col("__text")), F.struct(F.lit(r.priority).alias("priority"), F.lit(r.rule_id).alias("rule_id"), F.lit(r.outcome()).alias("outcome"))) for r in rules]
-    rows = rows.withColumn("__hits", F.array_compact(F.array(*hits)) if hits else F.array().cast(MATCH))
+    rows = rows.withColumn("__hits", matches(rules, F.col("__text"), len(rules) > CONDITIONS if indexed is None else indexed))
     top = F.array_max(F.transform("__hits", lambda x: x["priority"]))
     rows = rows.withColumn("__top", top)
     rows = rows.withColumn("__ties", F.filter("__hits", lambda x: x["priority"] == F.col("__top")))
