@@ -53,33 +53,32 @@ def needed_text(pattern: str) -> str:
     return max([*runs, run], key=len)
 
 
-def _texts(when: When) -> list[str]:
-    """Texts of which a row that meets the rule has one within; none if there are no such texts."""
-    within = [x.casefold() for x in when.contains]
-    needed = [needed_text(x) for x in when.regex]
-    return max((within, needed), key=lambda xs: min(map(len, xs), default=0))
+def _grams(texts: Iterable[str]) -> list[list[str]]:
+    return [["t:" + x[i : i + GRAM] for i in range(max(1, len(x) - GRAM + 1))] for x in texts]
 
 
-def _rarest(text: str, uses: Counter) -> str:
-    grams = [text[i : i + GRAM] for i in range(max(1, len(text) - GRAM + 1))]
-    return min(grams, key=lambda g: (uses[g], -len(g)))
+def options(when: When) -> list[list[list[str]]]:
+    """Ways to find a rule's rows: each has, for each of the texts of which one must be met, the keys of which any one will do."""
+    out = []
+    if when.starts_with and all(when.starts_with):
+        out.append([["p:" + x.casefold()[:BEGINNING]] for x in when.starts_with])
+    for texts in ([x.casefold() for x in when.contains], [needed_text(x) for x in when.regex]):
+        if texts and all(texts):
+            out.append(_grams(texts))
+    labels = (("s", when.bank_subcategory), ("c", when.bank_category))
+    out += [[[f"{kind}:{x.casefold()}"]] for kind, x in labels if x is not None]
+    return out + ([[[f"a:{when.account}"]]] if when.account is not None else [])
 
 
-def keys(when: When, uses: Counter) -> list[str] | None:
-    """Keys of which a row that meets the rule has at least one; None if there are none. ``uses`` counts texts by their grams."""
-    texts = _texts(when)
-    shortest = min(map(len, texts), default=0)
-    if when.starts_with and all(when.starts_with):
-        return ["p:" + x.casefold()[:BEGINNING] for x in when.starts_with]
-    if shortest >= GRAM:
-        return ["t:" + _rarest(x, uses) for x in texts]
-    if when.bank_subcategory is not None:
-        return ["s:" + when.bank_subcategory.casefold()]
-    if when.bank_category is not None:
-        return ["c:" + when.bank_category.casefold()]
-    if when.account is not None:
-        return [f"a:{when.account}"]
-    return ["t:" + x for x in texts] if shortest else None
+def uses(rules: Iterable[Rule]) -> Counter:
+    """How many rules could stand under each key."""
+    return Counter(k for r in rules for k in {k for way in options(r.when) for ks in way for k in ks})
+
+
+def keys(when: When, used: Counter) -> list[str] | None:
+    """Keys of which a row that meets the rule has at least one, those that fewest other rules could stand under; None if there are none."""
+    ways = [[min(ks, key=lambda k: (used[k], -len(k))) for ks in way] for way in options(when)]
+    return min(ways, key=lambda way: sum(used[k] for k in way), default=None)
 
 
 def _fits(limit: Decimal | None) -> bool:
@@ -94,7 +93,7 @@ def split(rules: Iterable[Rule]) -> tuple[list[Rule], list[Rule]]:
     """
     held, plain = [], []
     for r in rules:
-        own = (r.when.regex and keys(r.when, Counter()) is None) or not (_fits(r.when.amount_min) and _fits(r.when.amount_max))
+        own = (r.when.regex and not options(r.when)) or not (_fits(r.when.amount_min) and _fits(r.when.amount_max))
         (plain if own else held).append(r)
     return held, plain
 
@@ -139,13 +138,13 @@ def hits(rules: Sequence[Rule], text: Column) -> Column:
     """
     made = [_row(r) for r in rules]
     used = {name for row in made for name, x in row.items() if x is not None}
-    uses = Counter(g for r in rules for x in _texts(r.when) for g in {x[i : i + GRAM] for i in range(max(1, len(x) - GRAM + 1))})
+    counts = uses(rules)
     under: dict[str, list[int]] = {}
     everywhere = []
     for i, r in enumerate(rules):
         if all(made[i][name] is None for name in made[i] if name not in ("priority", "rule_id", "outcome")):
             continue
-        found = keys(r.when, uses)
+        found = keys(r.when, counts)
         if found is None:
             everywhere.append(i)
         for k in set(found or ()):

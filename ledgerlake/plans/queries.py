@@ -216,12 +216,21 @@ _HITS = {
     "r08-one-account": (9, "adjustment:account 7", "account_id = 7"),
 }
 MATCHED = "SELECT transaction_id, account_id, transaction_date, amount, rule_id, priority, outcome, max(priority) OVER (PARTITION BY transaction_id) AS top FROM (" + " UNION ALL ".join(f"SELECT *, '{k}' AS rule_id, {p} AS priority, '{o}' AS outcome FROM (SELECT *, lower(description) AS d FROM transactions) WHERE {c}" for k, (p, o, c) in _HITS.items()) + ")"
-DECIDED = f"""SELECT transaction_id, any_value(amount) AS amount, array_to_string(list(rule_id ORDER BY rule_id), ',') AS rule_ids, count(DISTINCT outcome) AS outcomes, min(outcome) AS outcome FROM ({MATCHED}) WHERE priority = top GROUP BY 1"""
-CLASSIFIED = f"""SELECT t.transaction_id, coalesce(rule_ids, '') AS rule_ids, CASE WHEN outcomes = 1 AND starts_with(outcome, 'adjustment:') THEN 'adjustment' WHEN outcomes = 1 AND starts_with(outcome, 'category:') THEN
+
+
+def decided_sql(matched: str) -> str:
+    return f"""SELECT transaction_id, any_value(amount) AS amount, array_to_string(list(rule_id ORDER BY rule_id), ',') AS rule_ids, count(DISTINCT outcome) AS outcomes, min(outcome) AS outcome FROM ({matched}) WHERE priority = top GROUP BY 1"""
+
+
+def classified_sql(matched: str) -> str:
+    return f"""SELECT t.transaction_id, coalesce(rule_ids, '') AS rule_ids, CASE WHEN outcomes = 1 AND starts_with(outcome, 'adjustment:') THEN 'adjustment' WHEN outcomes = 1 AND starts_with(outcome, 'category:') THEN
     CASE WHEN t.amount = 0 THEN 'unknown' WHEN (direction = 'income') = (t.amount > 0) THEN direction ELSE 'refund' END ELSE 'unknown' END AS transaction_type,
   CASE WHEN outcomes = 1 AND starts_with(outcome, 'category:') AND t.amount <> 0 THEN substr(outcome, 10) END AS category_id,
   CASE WHEN outcomes IS NULL THEN 'unclassified' WHEN outcomes > 1 THEN 'rule-conflict' WHEN outcome = 'claim:' THEN 'unmatched-transfer' WHEN starts_with(outcome, 'category:') AND t.amount = 0 THEN 'sign-mismatch' END AS review_kind
-  FROM transactions t LEFT JOIN ({DECIDED}) r ON r.transaction_id = t.transaction_id LEFT JOIN categories c ON c.category_id = substr(outcome, 10) AND starts_with(outcome, 'category:')"""
+  FROM transactions t LEFT JOIN ({decided_sql(matched)}) r ON r.transaction_id = t.transaction_id LEFT JOIN categories c ON c.category_id = substr(outcome, 10) AND starts_with(outcome, 'category:')"""
+
+
+DECIDED, CLASSIFIED = decided_sql(MATCHED), classified_sql(MATCHED)
 
 
 def _classified(v: Views) -> DataFrame:
@@ -234,6 +243,35 @@ def rule_classify(v: Views) -> DataFrame:
     return got.select("transaction_id", F.array_join("rule_ids", ",").alias("rule_ids"), "transaction_type", "category_id", "review_kind")
 
 
+#: Some five thousand rules: a beginning and a year, an account and a word, a word and a sign, a pattern.
+ADJECTIVES, NOUNS = ("small", "large", "hot", "cold", "red", "blue", "green", "dark"), ("ring", "widget", "bolt", "gear", "plate", "tube", "valve", "spring")
+FLAGS, YEARS, OWN_ACCOUNTS = ("A F", "N F", "N O", "R F"), range(1992, 2002), 300
+GIVEN = ("PROMO/Brand#1", "SMALL/Brand#3", "LARGE/Brand#3")
+MANY_RULES = (
+    *[rules.Rule(f"b-{f}-{a}-{n}-{y}", rules.When(starts_with=(f"{f} {a} {n}",), date_from=date(y, 1, 1), date_to=date(y, 12, 31)), 1 + y % 3, category=GIVEN[y % 2]) for f in FLAGS for a in ADJECTIVES for n in NOUNS for y in YEARS],
+    *[rules.Rule(f"w-{k}-{n}", rules.When(account=k, contains=(n.upper(),)), 2, category=GIVEN[k % 2]) for k in range(OWN_ACCOUNTS) for n in NOUNS],
+    *[rules.Rule(f"s-{a}-{s}", rules.When(contains=(f" {a} ",), sign=s), 1, adjustment=a) for a in ADJECTIVES for s in ("positive", "negative")],
+    rules.Rule("p-red", rules.When(regex=(r"\bRed\b.*spr.ng",), amount_max=Decimal("-30000.00")), 3, transfer_claim=True),
+)
+_IN = lambda xs: "(" + ", ".join(f"('{x}')" for x in xs) + ")"
+MANY_MATCHED = f"""SELECT t.transaction_id, t.amount, rule_id, priority, outcome, max(priority) OVER (PARTITION BY t.transaction_id) AS top FROM transactions t JOIN (
+  SELECT transaction_id, concat('b-', f, '-', a, '-', n, '-', y) AS rule_id, 1 + y % 3 AS priority, concat('category:', CASE y % 2 WHEN 0 THEN '{GIVEN[0]}' ELSE '{GIVEN[1]}' END) AS outcome
+    FROM transactions JOIN (SELECT * FROM (VALUES {_IN(FLAGS)[1:-1]}) AS f(f), (VALUES {_IN(ADJECTIVES)[1:-1]}) AS a(a), (VALUES {_IN(NOUNS)[1:-1]}) AS n(n), range({YEARS[0]}, {YEARS[-1] + 1}) AS y(y)) ON year(transaction_date) = y AND starts_with(lower(description), lower(concat(f, ' ', a, ' ', n)))
+  UNION ALL SELECT transaction_id, concat('w-', k, '-', n), 2, concat('category:', CASE k % 2 WHEN 0 THEN '{GIVEN[0]}' ELSE '{GIVEN[1]}' END)
+    FROM transactions JOIN (SELECT * FROM range({OWN_ACCOUNTS}) AS k(k), (VALUES {_IN(NOUNS)[1:-1]}) AS n(n)) ON account_id = k AND contains(lower(description), n)
+  UNION ALL SELECT transaction_id, concat('s-', a, '-', CASE WHEN amount > 0 THEN 'positive' ELSE 'negative' END), 1, concat('adjustment:', a)
+    FROM transactions JOIN (VALUES {_IN(ADJECTIVES)[1:-1]}) AS a(a) ON contains(lower(description), concat(' ', a, ' ')) AND amount <> 0
+  UNION ALL SELECT transaction_id, 'p-red', 3, 'claim:' FROM transactions WHERE regexp_matches(description, '(?i)\bred\b.*spr.ng') AND amount <= -30000
+  ) h ON h.transaction_id = t.transaction_id"""
+
+
+@query(classified_sql(MANY_MATCHED))
+def rule_index(v: Views) -> DataFrame:
+    """Thousands of rules, looked up in an index."""
+    got = rules.classify(v.transactions, MANY_RULES, v.categories)
+    return got.select("transaction_id", F.array_join("rule_ids", ",").alias("rule_ids"), "transaction_type", "category_id", "review_kind")
+
+
 @query(f"SELECT rule_ids, count(*) AS n, min(transaction_id) AS first FROM ({DECIDED}) WHERE outcomes > 1 GROUP BY 1")
 def rule_conflicts(v: Views) -> DataFrame:
     got = _classified(v).where("review_kind = 'rule-conflict'")
