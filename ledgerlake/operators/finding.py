@@ -27,6 +27,19 @@ def handles(ids: DataFrame, column: str = "transaction_id", least: int = 8) -> D
     return rows.withColumn("handle", F.substring(F.col(column), F.lit(1), size)).drop("__a", "__b")
 
 
+def near(ids: DataFrame, hits: DataFrame, column: str = "transaction_id", least: int = 8) -> DataFrame:
+    """The ids that share their first ``least`` characters with a hit, on which alone hits' handles depend."""
+    first = F.substring(column, 1, least)
+    wanted = hits.select(first.alias("__first")).distinct()
+    return ids.withColumn("__first", first).join(wanted, "__first", "left_semi").drop("__first")
+
+
+def handles_of(hits: DataFrame, ids: DataFrame, column: str = "transaction_id", least: int = 8) -> DataFrame:
+    """``column, handle`` of the hits that are among ``ids``; only ids of their ranges are compared."""
+    named = handles(near(ids.select(column), hits, column, least), column, least)
+    return named.join(hits.select(column), column, "left_semi")
+
+
 def find(rows: DataFrame, text: str, month: str | None = None, account=None) -> DataFrame:
     """Transactions whose folded description holds the folded text."""
     rows = rows.where(fold(F.col("description")).contains(text.casefold()))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from datetime import date
 from decimal import Decimal
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 from ..functions import columns as C
 from ..operators import bronze, coverage, decisions, finding, invariants, measures, retention, rules, sequence, silver, suggesting, transfers
 from ..operators.gold import Gold
+from ..session import shared_dir
 from ..sources import bank_csv
 from . import catalog, reports
 from .gold_tables import GoldTables
+from .handle_index import HandleIndex
 from .views import Views, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -562,18 +565,37 @@ def open_reviews(v: Views) -> DataFrame:
     return silver_items.unionByName(got["runs"].select(F.lit("run").alias("part"), F.col("import_run_id").alias("id"), F.lit(None).cast("string").alias("kind"), "import_run_id"))
 
 
-@query("""WITH h AS (SELECT id, substr(id, 1, greatest(8, coalesce(lcp_a, 0) + 1, coalesce(lcp_b, 0) + 1)) AS handle FROM (SELECT id, list_max(list_filter(range(0, 65), lambda n: a IS NOT NULL AND substr(a, 1, n) = substr(id, 1, n))) AS lcp_a, list_max(list_filter(range(0, 65), lambda n: b IS NOT NULL AND substr(b, 1, n) = substr(id, 1, n))) AS lcp_b FROM (
+FOUND = """WITH h AS (SELECT id, substr(id, 1, greatest(8, coalesce(lcp_a, 0) + 1, coalesce(lcp_b, 0) + 1)) AS handle FROM (SELECT id, list_max(list_filter(range(0, 65), lambda n: a IS NOT NULL AND substr(a, 1, n) = substr(id, 1, n))) AS lcp_a, list_max(list_filter(range(0, 65), lambda n: b IS NOT NULL AND substr(b, 1, n) = substr(id, 1, n))) AS lcp_b FROM (
   SELECT id, lag(id) OVER (ORDER BY id) AS a, lead(id) OVER (ORDER BY id) AS b FROM (SELECT sha256(transaction_id) AS id FROM transactions))))
-SELECT h.handle, t.transaction_date, t.account_id, t.category_id AS category_name FROM transactions t JOIN h ON h.id = sha256(t.transaction_id) WHERE contains(lower(description), 'blue ring') AND month = DATE '1998-03-01'""")
-def find_transactions(v: Views) -> DataFrame:
-    """A text in a month's publication, with handles among all of Silver's ids, and categories' names."""
+SELECT h.handle, t.transaction_date, t.account_id, t.category_id AS category_name FROM transactions t JOIN h ON h.id = sha256(t.transaction_id) WHERE contains(lower(description), 'blue ring') AND month = DATE '1998-03-01'"""
+
+
+def _find(v: Views, indexed: bool) -> DataFrame:
     named = lambda df: df.withColumn("transaction_id", F.sha2("transaction_id", 256))
     rows, parts = named(v.transactions), named(v.allocations)
     tables = GoldTables(Gold(rows, parts, parts, parts, parts, v.accounts, v.accounts, v.categories.withColumn("name", F.col("category_id"))))
-    got = reports.find_transactions(tables, rows.select("transaction_id"), "BLUE Ring", date(1998, 3, 1))
+    ids = rows.select("transaction_id")
+    if indexed:
+        index = HandleIndex(v.spark, f"{shared_dir(v.spark)}/ledgerlake-handles-{uuid.uuid4().hex}", buckets=32)
+        index.add(ids.where("transaction_id < 'c'"))
+        index.add(ids.where("transaction_id >= '4'"))
+        ids = index
+    got = reports.find_transactions(tables, ids, "BLUE Ring", date(1998, 3, 1))
     return got.select("handle", "transaction_date", "account_id", "category_name")
 
 
+@query(FOUND)
+def find_transactions(v: Views) -> DataFrame:
+    """A text in a month's publication, with handles among all of Silver's ids, and categories' names."""
+    return _find(v, False)
+
+
+@query(FOUND)
+def find_by_index(v: Views) -> DataFrame:
+    """The same from an index of Silver's ids, to which they were added in two parts that overlap."""
+    return _find(v, True)
+
+
 @query("""SELECT l_returnflag, refusal, count(*) AS n, CAST(sum(units) AS DECIMAL(38,0)) AS units, CAST(sum(units) / 100 AS DECIMAL(38,2)) AS total FROM (SELECT l_returnflag, CASE WHEN l_linenumber = 6 THEN 'unknown-currency' WHEN l_linenumber = 7 THEN 'excess-places' END AS refusal, CASE WHEN l_linenumber < 6 THEN CAST(sgn * x * 100 AS BIGINT) END AS units FROM raw_lines) GROUP BY 1, 2""")
 def minor_units(v: Views) -> DataFrame:
     """Amounts as whole numbers of minor units and back; a line's 6th has a currency that isn't known, its 7th a place too many."""

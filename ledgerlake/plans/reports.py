@@ -18,6 +18,7 @@ from ..functions.columns import TOTAL, month_of
 from ..operators import coverage, finding, measures
 from ..session import small
 from .gold_tables import GoldTables
+from .handle_index import HandleIndex
 
 #: Civil dates are those of this zone (fixed value).
 ZONE = "Europe/Copenhagen"
@@ -234,13 +235,18 @@ def open_reviews(tables: GoldTables, silver_reviews: DataFrame, results: DataFra
     return {"silver": items, "gold": tables.review_items(kind, account_id), "runs": runs}
 
 
-def find_transactions(tables: GoldTables, silver_ids: DataFrame, text: str, month: date | None = None, account_id=None) -> DataFrame:
-    """Published transactions that hold a text, with handle and category, by date and handle; one that Silver doesn't have is an error."""
+def find_transactions(tables: GoldTables, silver_ids: DataFrame | HandleIndex, text: str, month: date | None = None, account_id=None) -> DataFrame:
+    """Published transactions that hold a text, with handle and category, by date and handle; one that Silver doesn't have is an error.
+
+    Of ``silver_ids`` only those with first letters of a transaction that is found are
+    compared; an index of them isn't read beyond these.
+    """
     rows = finding.find(tables.gold.transactions, text, month.isoformat() if month else None, account_id)
-    lost = rows.join(silver_ids.select("transaction_id"), "transaction_id", "left_anti").select("transaction_id").limit(3).collect()
+    ids = silver_ids.near(rows) if isinstance(silver_ids, HandleIndex) else finding.near(silver_ids.select("transaction_id"), rows)
+    lost = rows.join(ids, "transaction_id", "left_anti").select("transaction_id").limit(3).collect()
     if lost:
         raise LookupError(f"published but not in Silver: {', '.join(r[0] for r in lost)}")
-    named = finding.handles(silver_ids.select("transaction_id"))
+    named = finding.handles_of(rows, ids)
     of = tables.gold.allocations.select("transaction_id", "category_id").join(tables.categories.select("category_id", F.col("name").alias("category_name")), "category_id", "left")
     got = rows.join(named, "transaction_id").join(of, "transaction_id", "left")
     return got.orderBy("transaction_date", "handle")
