@@ -37,7 +37,7 @@ def open_publication(catalog: Catalog, publication_id: int | None = None) -> Gol
 
 
 class GoldTables:
-    """Scans of one publication. ``account_ids``: None is all accounts, an empty collection none."""
+    """Scans of one publication. ``account_ids``: None is all accounts, an empty collection none; many accounts come as a table with ``account_id``."""
 
     def __init__(self, gold: Gold, publication_id: int = 0, prints: DataFrame | None = None) -> None:
         self.gold, self.publication_id, self.prints = gold, publication_id, prints
@@ -55,26 +55,28 @@ class GoldTables:
         return self.gold.categories
 
     @staticmethod
-    def _of(rows: DataFrame, account_ids: Collection | None) -> DataFrame:
+    def _of(rows: DataFrame, account_ids: Collection | DataFrame | None) -> DataFrame:
         if account_ids is None:
             return rows
+        if isinstance(account_ids, DataFrame):
+            return rows.join(account_ids.select("account_id"), "account_id", "left_semi")
         if isinstance(account_ids, str):
             raise TypeError("account_ids is a collection of ids, not a text")
         return rows.where(F.col("account_id").isin(list(account_ids)) if account_ids else F.lit(False))
 
-    def _days(self, rows: DataFrame, start: date, end: date, account_ids: Collection | None) -> DataFrame:
+    def _days(self, rows: DataFrame, start: date, end: date, account_ids: Collection | DataFrame | None) -> DataFrame:
         """Days from ``start`` to ``end``, both included; the month column prunes files."""
         first, last = F.lit(start).cast("date"), F.lit(end).cast("date")
         rows = rows.where(F.col("month").between(month_of(first), month_of(last)) & F.col("transaction_date").between(first, last))
         return self._of(rows, account_ids).join(self.accounts.select("account_id", "currency"), "account_id")
 
-    def transactions(self, start: date, end: date, account_ids: Collection | None = None) -> DataFrame:
+    def transactions(self, start: date, end: date, account_ids: Collection | DataFrame | None = None) -> DataFrame:
         return self._days(self.gold.transactions, start, end, account_ids)
 
-    def allocations(self, start: date, end: date, account_ids: Collection | None = None) -> DataFrame:
+    def allocations(self, start: date, end: date, account_ids: Collection | DataFrame | None = None) -> DataFrame:
         return self._days(self.gold.allocations, start, end, account_ids)
 
-    def monthly_balances(self, first: date, last: date, account_ids: Collection | None = None) -> DataFrame:
+    def monthly_balances(self, first: date, last: date, account_ids: Collection | DataFrame | None = None) -> DataFrame:
         months = F.col("month").between(F.lit(first).cast("date"), F.lit(last).cast("date"))
         return self._of(self.gold.monthly_balances.where(months), account_ids).join(self.accounts.select("account_id", "currency"), "account_id")
 

@@ -185,6 +185,31 @@ def test_reports(published):
         reports.find_transactions(t, published[0].where("transaction_id <> 't4'"), "shop").count()
 
 
+def test_accounts_as_a_table(spark, published):
+    t = gold_tables.open_publication(published[-1])
+    of = lambda ids, month=6: reports.ReportContext(1, ids, date(2032, month, 1), date(2032, 6, 22))
+    table = lambda *ids: spark.createDataFrame([(x,) for x in ids], "account_id string")
+    for read in (lambda c: reports.monthly_overview(t, c)["figures"], lambda c: reports.account_activity(t, c)["accounts"], lambda c: reports.account_activity(t, c)["rows"], lambda c: reports.spending_detail(t, c, group_id="g")["rows"], lambda c: reports.diagnostics(t, c)["reconciliations"]):
+        assert [tuple(r) for r in read(of(table("a", "b"))).collect()] == [tuple(r) for r in read(of(frozenset("ab"))).collect()]
+    with pytest.raises(reports.InvalidSelection) as e:
+        reports.selected(t, of(table("a", "zz")))
+    assert e.value.reasons == ["unknown_account"] and e.value.unknown == {"zz"}
+    with pytest.raises(reports.InvalidSelection) as e:
+        reports.selected(t, of(table()))
+    assert e.value.reasons == ["no_accounts"]
+    trusted = reports.trust(t, reports.selected(t, of(table("a", "b"))), date(2032, 5, 1), date(2032, 6, 1), date(2032, 6, 22)).first()
+    assert (trusted["n_incomplete"], trusted["n_unsettled"]) == (len(trusted["account_months"]), len(trusted["unsettled"]))
+    gone = reports.incomplete_by_account(t, reports.selected(t, of(table("a", "b"))), date(2032, 5, 1), date(2032, 6, 1)).collect()
+    assert sorted((r["account_id"], m) for r in gone for m in r["months"]) == [(x["account_id"], x["month"]) for x in trusted["account_months"]]
+
+
+def test_no_account_ids_in_a_reports_plan(spark):
+    from ledgerlake.plans.gold_queries import QUERIES
+
+    plan = QUERIES["account_activity"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().analyzed().toString()
+    assert "account_id" in plan and not [x for x in plan.splitlines() if "account_id" in x and " IN (" in x]
+
+
 def test_open_reviews(spark, published):
     t = gold_tables.open_publication(published[-1])
     silver = spark.createDataFrame([("i1", "dropped-transaction", "a", None), ("i2", "dropped-transaction", "b", "d7")], "review_item_id string, kind string, account_id string, resolved_by string")
