@@ -49,7 +49,9 @@ def group_rollup(allocations: DataFrame, categories: DataFrame) -> DataFrame:
 def transfer_summary(transactions: DataFrame, *by: str) -> DataFrame:
     """Legs, money in and out, pairs of which both legs are seen, and legs alone."""
     legs = transactions.where("transaction_type = 'transfer'")
-    in_group = F.count("*").over(Window.partitionBy(*by, "transfer_group_id"))
+    # A leg without a group is alone, lest all of them come to one task.
+    alone = F.when(F.col("transfer_group_id").isNull(), F.col("transaction_id"))
+    in_group = F.count("*").over(Window.partitionBy(*by, "transfer_group_id", alone))
     legs = legs.withColumn("__n", F.when(F.col("transfer_group_id").isNotNull(), in_group).otherwise(1))
     amount = F.col("amount")
     return legs.groupBy(*by).agg(
