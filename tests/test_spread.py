@@ -3,9 +3,10 @@
 from contextlib import contextmanager
 from datetime import date, datetime, timedelta
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ledgerlake.operators import decisions, measures, retention
+from ledgerlake.operators import coverage, decisions, measures, retention, sequence
 from ledgerlake.plans import reports
 
 
@@ -73,3 +74,28 @@ def test_backups_are_gathered_by_day_before_windows(spark):
     assert {r["set_id"]: r["kept"] for r in got.collect()} == want and set(want.values()) == {"recent", "daily", "monthly"}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Window") < plan.index("Aggregate")
+
+
+def test_an_accounts_months_stay_where_they_were_made(spark):
+    df = facts(spark).withColumns({"account_sequence": F.row_number().over(Window.partitionBy("account_id").orderBy("transaction_id")), "balance_after": F.lit(1).cast("decimal(18,2)")})
+    accounts = spark.createDataFrame([(k, None) for k in range(40)], "account_id int, closed_on date")
+    exports = spark.createDataFrame([(k, date(2031, 1, 1), date(2032, 3, 1), date(2032, 4, 1)) for k in range(40)], "account_id int, covers_from date, covers_through date, exported_on date")
+    ranges = sequence.evidence_ranges(exports)
+    with shuffled(spark):
+        spine = coverage.month_spine(df, accounts, ranges)
+        got = coverage.with_late_bookings(coverage.monthly_balances(spine, df, coverage.month_coverage(spine, df, ranges)), exports)
+        assert got.count() == spine.count() > 400
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        # Only a month's rows are gathered by account and month, not the months themselves.
+        assert sum("hashpartitioning(account_id" in x and " month#" in x for x in plan.splitlines()) <= 1
+
+
+def test_history_is_dealt_out_once(spark):
+    from ledgerlake.plans.views import Views
+
+    class Given(Views):
+        transactions = facts(spark)
+
+    made = Views.__dict__["history"].func.__closure__
+    plan = next(c.cell_contents for c in made if callable(c.cell_contents) and c.cell_contents.__name__ == "history")(Given(spark, ""))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
