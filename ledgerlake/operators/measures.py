@@ -14,9 +14,11 @@ from ..functions.columns import TOTAL, sum_if
 def measured(transactions: DataFrame, allocations: DataFrame, categories: DataFrame) -> DataFrame:
     """``measure`` of each transaction: income, expense, or for a refund its category's direction."""
     of = allocations.join(categories.select("category_id", "direction"), "category_id").groupBy("transaction_id").agg(F.max("direction").alias("__direction"))
-    rows = transactions.join(of, "transaction_id", "left")
     kind = F.col("transaction_type")
-    return rows.withColumn("measure", F.when(kind == "refund", F.col("__direction")).when(kind.isin("income", "expense"), kind)).drop("__direction")
+    # Only refunds need their category: all others have their measure by type, and aren't shuffled.
+    refund = F.coalesce(kind == "refund", F.lit(False))
+    refunds = transactions.where(refund).join(of, "transaction_id", "left").select(*transactions.columns, F.col("__direction").alias("measure"))
+    return transactions.where(~refund).withColumn("measure", F.when(kind.isin("income", "expense"), kind)).unionByName(refunds)
 
 
 def figures(rows: DataFrame, *by: str) -> DataFrame:
@@ -99,8 +101,9 @@ def month_measures(rows: DataFrame, allocations: DataFrame, categories: DataFram
 
 
 def compare(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Changed measures of two publications; one that is absent counts as 0."""
+    """Changed measures of two publications; one that is absent counts as 0, so none that is 0 is shuffled."""
     key = ["account_id", "month", "kind", "name"]
+    before, after = before.where("value <> 0"), after.where("value <> 0")
     both = before.withColumnRenamed("value", "before").join(after.withColumnRenamed("value", "after"), key, "full_outer")
     zero = F.lit(0).cast(TOTAL)
     both = both.withColumn("before", F.coalesce("before", zero)).withColumn("after", F.coalesce("after", zero))

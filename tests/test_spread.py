@@ -99,3 +99,18 @@ def test_history_is_dealt_out_once(spark):
     made = Views.__dict__["history"].func.__closure__
     plan = next(c.cell_contents for c in made if callable(c.cell_contents) and c.cell_contents.__name__ == "history")(Given(spark, ""))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_only_refunds_and_measures_that_are_not_zero_are_shuffled(spark):
+    df = facts(spark).withColumns({"transaction_type": F.when(F.col("account_id") == 0, "refund").when(F.col("account_id") == 1, None).otherwise("income"), "month": F.trunc("transaction_date", "MM"), "category_id": F.lit("c")})
+    categories = spark.createDataFrame([("c", "g", "expense")], "category_id string, group_id string, direction string")
+    with shuffled(spark):
+        rows = measures.measured(df, df, categories)
+        assert {(r["transaction_type"], r["measure"]): r["count"] for r in rows.groupBy("transaction_type", "measure").count().collect()} == {("income", "income"): 760, ("refund", "expense"): 20, (None, None): 20}
+        join = rows._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")
+        assert len(join) == 2 and join[1].splitlines()[1].count("Filter") + join[1].splitlines()[2].count("Filter") > 0
+        flat = measures.month_measures(rows, df, categories)
+        more = flat.withColumn("value", F.when(F.col("name") == "g", 0).otherwise(F.col("value")).cast("decimal(38,2)"))
+        got = measures.compare(flat, more)
+        assert {(r["kind"], r["after"]) for r in got.collect()} == {("group", 0)}
+        assert "(value" in got._jdf.queryExecution().optimizedPlan().toString() and " = 0" in got._jdf.queryExecution().optimizedPlan().toString()
