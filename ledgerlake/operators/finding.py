@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import TOTAL, fold
+from ..session import small
 
 
 def handles(ids: DataFrame, column: str = "transaction_id", least: int = 8) -> DataFrame:
@@ -30,7 +31,7 @@ def handles(ids: DataFrame, column: str = "transaction_id", least: int = 8) -> D
 def near(ids: DataFrame, hits: DataFrame, column: str = "transaction_id", least: int = 8) -> DataFrame:
     """The ids that share their first ``least`` characters with a hit, on which alone hits' handles depend."""
     first = F.substring(column, 1, least)
-    wanted = hits.select(first.alias("__first")).distinct()
+    wanted = small(hits.select(first.alias("__first")).distinct())
     return ids.withColumn("__first", first).join(wanted, "__first", "left_semi").drop("__first")
 
 
@@ -42,10 +43,12 @@ def handles_of(hits: DataFrame, ids: DataFrame, column: str = "transaction_id",
 
 def find(rows: DataFrame, text: str, month: str | None = None, account=None) -> DataFrame:
     """Transactions whose folded description holds the folded text."""
-    rows = rows.where(fold(F.col("description")).contains(text.casefold()))
+    # Texts are folded last, of the rows that are left.
     if month is not None:
         rows = rows.where(F.trunc("transaction_date", "MM") == F.lit(month).cast("date"))
-    return rows if account is None else rows.where(F.col("account_id") == account)
+    if account is not None:
+        rows = rows.where(F.col("account_id") == account)
+    return rows.where(fold(F.col("description")).contains(text.casefold()))
 
 
 def label_pairs(rows: DataFrame) -> DataFrame:

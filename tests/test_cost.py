@@ -1,9 +1,14 @@
 """What a step does for each row: patterns, copies of a column, shuffles."""
 
+import time
+
 from pyspark.sql import functions as F
+from test_spread import shuffled
 
 from ledgerlake.functions import columns as C
+from ledgerlake.plans.handle_index import HandleIndex
 from ledgerlake.plans.queries import QUERIES
+from ledgerlake.plans.views import Views
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,3 +22,37 @@ def test_minor_units_read_one_pattern_a_row(spark):
     assert "regexp_" not in plan
     # The amount's text is made once, not at each place that reads it.
     assert plan.count("l_extendedprice") <= 8 and plan.count("as decimal(18,2)) as string") <= 2
+
+
+def records_shuffled(spark, f):
+    """How many records a step writes for shuffles."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def total():
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), gateway.jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = total()
+    f()
+    time.sleep(1)
+    return total() - before
+
+
+def test_ids_are_brought_to_their_folders_once(spark, tmp_path):
+    ids = spark.range(8000).selectExpr("id", "sha2(string(id), 256) AS transaction_id")
+    index = HandleIndex(spark, str(tmp_path / "ids"), buckets=16)
+    with shuffled(spark):
+        assert 8000 <= records_shuffled(spark, lambda: index.add(ids)) < 9000
+        # 4,000 kept before, 4,000 new, and the 8,000 beside them.
+        more = spark.range(4000, 12000).selectExpr("id", "sha2(string(id), 256) AS transaction_id")
+        assert 16000 <= records_shuffled(spark, lambda: index.add(more)) < 17000
+    kept = spark.read.parquet(str(tmp_path / "ids"))
+    assert (kept.count(), kept.select("id").distinct().count()) == (12000, 12000)
+
+
+def test_a_find_of_a_few_rows_shuffles_only_these(spark):
+    v = Views(spark, SF)
+    n = v.transactions.count()
+    with shuffled(spark):
+        got = []
+        assert records_shuffled(spark, lambda: got.extend(QUERIES["find_transactions"](spark, SF).collect())) < n / 4 and got
