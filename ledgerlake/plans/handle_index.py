@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import finding
@@ -30,15 +30,27 @@ class HandleIndex:
 
     def near(self, hits: DataFrame, column: str = "transaction_id") -> DataFrame:
         """``column``: the ids kept that have first letters of a hit; only these hits' folders are read."""
-        wanted = [r[0] for r in hits.where(F.col(column).isNotNull()).select(self._bucket(column).alias("bucket")).distinct().collect()]
-        kept = self._read().where(F.col("bucket").isin(wanted)).select(F.col("id").alias(column))
-        return finding.near(kept, hits, column, self.least)
+        return finding.near(self._in_folders(hits, column).select(F.col("id").alias(column)), hits, column, self.least)
+
+    def _in_folders(self, ids: DataFrame, column: str) -> DataFrame:
+        """What is kept in the folders that ``ids`` belong to."""
+        kept = self._read()
+        if not kept.inputFiles():
+            return kept
+        wanted = [r[0] for r in ids.where(F.col(column).isNotNull()).select(self._bucket(column).alias("bucket")).distinct().collect()]
+        return kept.where(F.col("bucket").isin(wanted))
 
     def add(self, ids: DataFrame, column: str = "transaction_id") -> None:
-        """Keep ids that aren't kept yet; adding again, as after a job that died, changes nothing."""
-        ids = ids.where(F.col(column).isNotNull()).select(column).distinct()
-        new = ids.join(self.near(ids, column), column, "left_anti").select(F.col(column).alias("id"), self._bucket(column).alias("bucket"))
-        new.repartition("bucket").sortWithinPartitions("bucket", "id").write.partitionBy("bucket").mode("append").option("compression", "zstd").parquet(self.root)
+        """Keep ids that aren't kept yet; adding again, as after a job that died, changes nothing.
+
+        New ids and those of their folders are brought together once, by folder, and sorted
+        once: of each id the first row stays, if it isn't one that is kept.
+        """
+        new = ids.where(F.col(column).isNotNull()).select(F.col(column).alias("id"), self._bucket(column).alias("bucket"), F.lit(True).alias("new"))
+        both = new.unionByName(self._in_folders(ids, column).withColumn("new", F.lit(False))).repartition("bucket")
+        first = F.row_number().over(Window.partitionBy("bucket", "id").orderBy("new"))
+        both = both.withColumn("k", first).where("k = 1 and new").select("id", "bucket")
+        both.write.partitionBy("bucket").mode("append").option("compression", "zstd").parquet(self.root)
 
     def handles(self, hits: DataFrame, column: str = "transaction_id") -> DataFrame:
         """``column, handle`` of the hits that are kept."""
