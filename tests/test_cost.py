@@ -1,13 +1,16 @@
 """What a step does for each row: patterns, copies of a column, shuffles."""
 
 import time
+from datetime import date
+from decimal import Decimal
 
 from pyspark.sql import functions as F
 from test_spread import shuffled
 
 from ledgerlake.functions import columns as C
+from ledgerlake.operators import rules
 from ledgerlake.plans.handle_index import HandleIndex
-from ledgerlake.plans.queries import QUERIES
+from ledgerlake.plans.queries import GIVEN, MANY_RULES, QUERIES
 from ledgerlake.plans.views import Views
 
 SF = "/root/testdata/sf0.001"
@@ -56,3 +59,20 @@ def test_a_find_of_a_few_rows_shuffles_only_these(spark):
     with shuffled(spark):
         got = []
         assert records_shuffled(spark, lambda: got.extend(QUERIES["find_transactions"](spark, SF).collect())) < n / 4 and got
+
+
+def test_rules_are_looked_up_once_for_each_description(spark, monkeypatch):
+    rows = [(f"t{k}", k % 3, date(1995 + k % 3, 1, 1), Decimal(k % 7 - 3), (None, "", "A F small ring", "a f SMALL RINGS", "other red spring", "plate")[k % 6]) for k in range(600)]
+    df = spark.createDataFrame(rows, "transaction_id string, account_id int, transaction_date date, amount decimal(18,2), description string").withColumns({c: F.lit(None).cast("string") for c in ("bank_category", "bank_subcategory")})
+    categories = spark.createDataFrame([(c, "expense") for c in GIVEN], "category_id string, direction string")
+    made = [r for k, r in enumerate(MANY_RULES) if k % 40 == 0 or r.rule_id[:2] in ("s-", "p-")]
+    got = rules.classify(df, made, categories, indexed=True)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    # Letters of three are taken from descriptions that are gathered already.
+    assert plan.count("regexp_extract_all") == 1 and plan.index("regexp_extract_all") < plan.index("Aggregate [")
+    plain = sorted(map(str, rules.classify(df, made, categories, indexed=False).collect()))
+    assert sorted(map(str, got.collect())) == plain and {r["account_id"] for r in got.where("size(rule_ids) > 0").collect()} == {0, 1, 2}
+    monkeypatch.setattr(rules, "TEXTS", 2)
+    many = rules.classify(df, made, categories, indexed=True)
+    assert "Aggregate [" not in many._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, many.collect())) == plain
