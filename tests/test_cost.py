@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_spread import shuffled
 
 from ledgerlake.functions import columns as C
-from ledgerlake.operators import rules
+from ledgerlake.operators import rules, transfers
 from ledgerlake.plans.handle_index import HandleIndex
 from ledgerlake.plans.queries import GIVEN, MANY_RULES, QUERIES
 from ledgerlake.plans.views import Views
@@ -76,3 +76,13 @@ def test_rules_are_looked_up_once_for_each_description(spark, monkeypatch):
     many = rules.classify(df, made, categories, indexed=True)
     assert "Aggregate [" not in many._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(str, many.collect())) == plain
+
+
+def test_legs_of_held_sets_are_shuffled_a_few_times(spark):
+    n = 6000
+    legs = spark.range(n).selectExpr("concat('t', id) AS transaction_id", "id AS account_id", "1 AS account_sequence", "date_add(date'2031-01-01', CAST(id % 5 AS int)) AS transaction_date", "CAST(if(id % 2 = 0, -5, 5) AS decimal(19,2)) AS amount", "'x' AS description", "array('r') AS claim_rule_ids")
+    got = []
+    with shuffled(spark):
+        # To their amount's days, to representatives, to their set and into its list; before, nine times.
+        assert records_shuffled(spark, lambda: got.extend(transfers.match(legs).groupBy("state").count().collect())) < 5 * n
+    assert [tuple(r) for r in got] == [("ambiguous", n)]
