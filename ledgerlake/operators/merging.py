@@ -94,7 +94,7 @@ def _dates(runs: DataFrame, rows: DataFrame) -> DataFrame:
     return days.withColumns({"rank": F.row_number().over(w.orderBy("run")), "n_runs": F.count("*").over(w)})
 
 
-def _counts(h: _History, assumed: DataFrame, shows: DataFrame | None) -> DataFrame:
+def _counts(h: _History, shows: DataFrame | None) -> DataFrame:
     """``KEY, run, c, as_taken``: an identity's count as a run has it, and with records under the identities that they are decided to show."""
     shown = h.shown.withColumn("as_taken", F.col("c"))
     if shows is not None:
@@ -102,7 +102,7 @@ def _counts(h: _History, assumed: DataFrame, shows: DataFrame | None) -> DataFra
         moves = shows.select(*KEY, "run", F.lit(0).cast("long").alias("c"), F.lit(1).cast("long").alias("as_taken"))
         moves = moves.unionByName(shows.select("account_id", *own, "run", F.lit(0).cast("long").alias("c"), F.lit(-1).cast("long").alias("as_taken")))
         shown = shown.unionByName(moves.join(h.runs.select(*RUN), [*RUN], "left_semi")).groupBy(*KEY, "run").agg(F.sum("c").alias("c"), F.sum("as_taken").alias("as_taken"))
-    return shown.join(assumed, [*RUN])
+    return shown
 
 
 def _missing(h: _History, counts: DataFrame, days: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -112,7 +112,7 @@ def _missing(h: _History, counts: DataFrame, days: DataFrame) -> tuple[DataFrame
     identity at all are found as gaps between the ranks of those that do.
     """
     w = Window.partitionBy(*KEY).orderBy("rank")
-    rows = counts.join(days.select(*RUN, "transaction_date", "covers", "rank", "n_runs"), [*RUN, "transaction_date"])
+    rows = counts.join(days.select(*RUN, "transaction_date", "taken", "covers", "rank", "n_runs"), [*RUN, "transaction_date"])
     taken = F.when(F.col("taken"), F.col("as_taken"))
     rows = rows.withColumns(
         {
@@ -121,9 +121,12 @@ def _missing(h: _History, counts: DataFrame, days: DataFrame) -> tuple[DataFrame
             "next": F.coalesce(F.lead("rank").over(w), F.col("n_runs") + 1),
         }
     )
+    # What all three kinds are read from is joined and sorted once.
+    rows = rows.where("c > before or (covers and c < before) or (after > 0 and next > rank + 1)")
+    rows = stash(rows.select(*KEY, "run", "taken", "covers", "c", "before", "after", "rank", F.col("next").cast("int").alias("next")), "compared")
     added = rows.where("c > before").groupBy(*RUN, "transaction_date").agg(F.sum(F.col("amount") * (F.col("c") - F.col("before"))).cast("decimal(38,2)").alias("change"))
     fewer = rows.where("covers and c < before").select(*KEY, "run", "taken", F.explode(F.sequence(F.col("c") + 1, F.col("before"))).alias("n"))
-    gaps = rows.where("after > 0 and next > rank + 1").select(*KEY, "after", F.explode(F.sequence(F.col("rank") + 1, F.col("next").cast("int") - 1)).alias("rank"))
+    gaps = rows.where("after > 0 and next > rank + 1").select(*KEY, "after", F.explode(F.sequence(F.col("rank") + 1, F.col("next") - 1)).alias("rank"))
     gaps = gaps.join(days.where("covers").select("account_id", "transaction_date", "rank", "run", "taken"), ["account_id", "transaction_date", "rank"])
     gaps = gaps.select(*KEY, "run", "taken", F.explode(F.sequence(F.lit(1).cast("long"), F.col("after"))).alias("n"))
     missing = fewer.unionByName(gaps).withColumn("n", F.col("n").cast("int")).withColumn("transaction_id", _identify(F.col("n")))
@@ -150,7 +153,7 @@ def _verdicts(h: _History, assumed: DataFrame, shows: DataFrame | None) -> tuple
     known = F.bool_or(F.col("taken") & F.col("shows")).over(so_far)
     days = days.withColumn("__as", F.when(F.col("taken") & known, F.struct("ends", "shows", "labelled")))
     days = days.withColumn("theirs", F.last("__as", ignorenulls=True).over(earlier)).drop("__as")
-    missing, added = _missing(h, _counts(h, assumed, shows), days)
+    missing, added = _missing(h, _counts(h, shows), days)
     missing = stash(missing, "missing")
     lost = days.where("covers and labelled = false and theirs.labelled and theirs.shows").select(*RUN).distinct().withColumn("lost", F.lit(True))
     none = lambda kind: F.lit(None).cast(kind)
@@ -203,24 +206,25 @@ def _history(rows: DataFrame, admitted: DataFrame, days: DataFrame, gone: DataFr
     """Transactions that are kept, in the order of their days, and each record that shows one."""
     of = rows.join(admitted, [*RUN])
     if shows is not None:
-        target = [F.col(c).alias(f"to_{c}") for c in (*KEY[1:], "n", "transaction_id")]
+        target = [F.col(c).alias(f"to_{c}") for c in (*KEY[1:], "n")]
         of = of.join(shows.select(*RUN, "record_ordinal", *target), [*RUN, "record_ordinal"], "left")
         moved = F.col("to_n").isNotNull()
         # Those left under an identity of which a record has gone elsewhere are numbered anew.
         left = F.row_number().over(Window.partitionBy(*KEY, "run", moved).orderBy("record_ordinal"))
         of = of.withColumn("occurrence", F.when(moved, F.col("to_n")).otherwise(left))
-        of = of.withColumns({c: F.coalesce(f"to_{c}", c) for c in KEY[1:]}).withColumn("transaction_id", _identify(F.col("occurrence")))
+        of = of.withColumns({c: F.coalesce(f"to_{c}", c) for c in KEY[1:]})
     kept = of.join(gone, [*KEY, "occurrence"], "left_anti")
     known = F.min(F.when(F.col("shows"), F.col("run")))
     speaks = days.join(admitted.select(*RUN), [*RUN], "left_semi").groupBy("account_id", "transaction_date").agg(F.max("run").alias("speaks"), known.alias("known")).where("known is not null").drop("known")
-    kept = kept.select(*KEY, "occurrence", "transaction_id", "run", "import_run_id", "payload_id", "record_ordinal", "balance")
-    latest = kept.groupBy(*KEY, "occurrence", "transaction_id").agg(F.max(F.struct("run", "record_ordinal", "import_run_id", "payload_id", "balance")).alias("r"))
+    kept = kept.select(*KEY, "occurrence", "run", "import_run_id", "payload_id", "record_ordinal", "balance")
+    # Dealt out once by account and day; ids, which say no more than the identity, are made last.
+    latest = kept.repartition("account_id", "transaction_date").groupBy(*KEY, "occurrence").agg(F.max(F.struct("run", "record_ordinal", "import_run_id", "payload_id", "balance")).alias("r"))
     listed = latest.join(speaks, ["account_id", "transaction_date"], "left")
     # The run that speaks for a date is the last that can show it: a transaction that it shows has no later record.
-    own = F.coalesce(F.col("r.run") == F.col("speaks"), F.lit(False))
-    at = F.row_number().over(Window.partitionBy("account_id", "transaction_date").orderBy(F.desc("own"), F.when(F.col("own"), F.col("r.record_ordinal")), "transaction_id"))
+    own, name = F.coalesce(F.col("r.run") == F.col("speaks"), F.lit(False)), _identify(F.col("occurrence"))
+    at = F.row_number().over(Window.partitionBy("account_id", "transaction_date").orderBy(F.desc("own"), F.when(F.col("own"), F.col("r.record_ordinal")), F.when(~F.col("own"), name)))
     listed = listed.withColumn("own", own).withColumn("day_sequence", at)
-    return listed.select(*KEY, "occurrence", "transaction_id", "day_sequence", "r.import_run_id", "r.payload_id", "r.record_ordinal", "r.balance"), kept
+    return listed.select(*KEY, "occurrence", name.alias("transaction_id"), "day_sequence", "r.import_run_id", "r.payload_id", "r.record_ordinal", "r.balance"), kept.withColumn("transaction_id", name)
 
 
 def merge(runs: DataFrame, typed: DataFrame, decisions: DataFrame | None = None) -> DataFrame:
@@ -234,14 +238,17 @@ def merge(runs: DataFrame, typed: DataFrame, decisions: DataFrame | None = None)
     admitted and may lack what earlier ones show.
     """
     spark = runs.sparkSession
-    decisions = spark.createDataFrame([], DECISIONS) if decisions is None else decisions
+    if decisions is None:
+        decisions = spark.range(1).select(*[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in DECISIONS.split(", ")]).limit(0)
     of = lambda kind: decisions.where(F.col("kind") == kind)
     runs = runs.withColumn("account_id", F.col("account_id").cast("string")).join(of("void-import-run").select("import_run_id"), "import_run_id", "left_anti")
     runs = stash(_judged_alone(runs, typed, of("accept-discrepancy")), "runs")
     valid = runs.where("valid")
-    rows = booked_rows(typed, valid).select(*KEY, "payload_id", "record_ordinal", "balance", "occurrence", "transaction_id")
-    rows = stash(rows.join(valid.select(*RUN, "payload_id"), ["account_id", "payload_id"]).drop("payload_id"), "booked")
-    shown = stash(rows.groupBy(*KEY, "run").agg(F.count("*").alias("c")), "shown")
+    each = F.count("*").over(Window.partitionBy("payload_id", *KEY))
+    rows = booked_rows(typed, valid).withColumn("c", each).select(*KEY, "payload_id", "record_ordinal", "balance", "occurrence", "c")
+    of_run = valid.select(F.col("account_id").alias("__account"), "run", "payload_id")
+    rows = stash(rows.join(of_run, "payload_id").where("__account = account_id").drop("payload_id", "__account"), "booked")
+    shown, rows = rows.where("occurrence = 1").select(*KEY, "run", "c"), rows.drop("c")
     days = stash(_dates(valid, rows), "days")
     named = _named(of("same-transaction"), rows, valid)
     withdrawn = of("withdrawn").select("transaction_id").distinct()
@@ -270,5 +277,5 @@ def _named(decisions: DataFrame, rows: DataFrame, runs: DataFrame) -> DataFrame
     wanted = decisions.select("transaction_id", "payload_id", "record_ordinal").distinct().join(runs.select(*RUN, "payload_id"), "payload_id").drop("payload_id")
     own = [F.col("transaction_date").alias("own_date"), F.col("amount").alias("own_amount"), F.col("description").alias("own_description")]
     record = wanted.join(rows.select(*RUN, "record_ordinal", *own), [*RUN, "record_ordinal"])
-    known = rows.join(wanted.select("account_id", "transaction_id").distinct(), ["account_id", "transaction_id"], "left_semi").select(*KEY, F.col("occurrence").alias("n"), "transaction_id").distinct()
+    known = rows.withColumn("transaction_id", _identify(F.col("occurrence"))).join(wanted.select("account_id", "transaction_id").distinct(), ["account_id", "transaction_id"], "left_semi").select(*KEY, F.col("occurrence").alias("n"), "transaction_id").distinct()
     return stash(record.join(known, ["account_id", "transaction_id"]).select(*[c.split()[0] for c in SHOWS.split(", ")]), "named")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from test_spread import shuffled
 
 from ledgerlake.functions import columns as C
-from ledgerlake.operators import rules, transfers
+from ledgerlake.operators import rules, silver, transfers
 from ledgerlake.plans.handle_index import HandleIndex
 from ledgerlake.plans.queries import GIVEN, MANY_RULES, QUERIES
 from ledgerlake.plans.views import Views
@@ -86,3 +86,16 @@ def test_legs_of_held_sets_are_shuffled_a_few_times(spark):
         # To their amount's days, to representatives, to their set and into its list; before, nine times.
         assert records_shuffled(spark, lambda: got.extend(transfers.match(legs).groupBy("state").count().collect())) < 5 * n
     assert [tuple(r) for r in got] == [("ambiguous", n)]
+
+
+def test_records_of_a_merge_are_shuffled_a_few_times(spark):
+    """Twenty accounts with three exports of a hundred rows, of which each is in two."""
+    days = "date_add(date'2031-01-01', CAST(k % 10 AS int))"
+    runs = spark.range(60).selectExpr("concat('run-', id) AS import_run_id", "concat('p', id) AS payload_id", "id % 20 AS account_id", "date_add(date'2031-02-01', CAST(id AS int)) AS exported_on", "CAST(NULL AS timestamp) AS started_at", "date'2031-01-01' AS covers_from", "date'2031-01-10' AS covers_through")
+    typed = spark.range(6000).selectExpr("id % 60 AS p", "id DIV 60 AS k").selectExpr("concat('p', p) AS payload_id", "CAST(k % 10 * 10 + k DIV 10 AS int) + 1 AS record_ordinal", f"{days} AS transaction_date", "CAST(1 AS decimal(19,2)) AS amount", "concat('x', k) AS description", "CAST(k % 10 * 10 + k DIV 10 AS decimal(19,2)) AS balance", "'booked' AS booking_status", "true AS labelled", "true AS readable", "CAST(array() AS array<struct<code:string,message:string>>) AS errors")
+    got = []
+    with shuffled(spark):
+        n = records_shuffled(spark, lambda: got.extend(silver.merge(runs, typed).where("family = 'transaction'").groupBy("status").count().collect()))
+    assert [r["count"] for r in got] == [2000]
+    # Ten times each record; before, eighteen times.
+    assert n < 13 * 6000
