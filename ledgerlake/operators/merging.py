@@ -8,6 +8,9 @@ verdicts aren't what was assumed, they are the next assumption. The first run of
 account that was assumed wrongly has its final verdict, so each round settles one at
 least; accounts whose verdicts are as assumed are done. An account's records are
 never together in a task.
+
+What all runs of a date show alike can't be missing, and is new only to the first of
+them that is admitted: of these identities rounds read one sum a date.
 """
 
 from __future__ import annotations
@@ -19,8 +22,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import hash_parts, identity_text, transaction_id
-from ..session import stash
-from .sequence import chain_errors, day_positions, occurrences
+from ..session import small, stash
+from .sequence import chain_code, day_positions, occurrences
 
 #: What tells transactions of a day apart, but for their number.
 KEY = ("account_id", "transaction_date", "amount", "description")
@@ -50,15 +53,32 @@ def _union(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def _judged_alone(runs: DataFrame, typed: DataFrame, accepted: DataFrame) -> DataFrame:
-    """``runs`` numbered within their account, with what their records alone say: errors, breaks, labels."""
-    breaks = chain_errors(typed).groupBy("payload_id").agg(F.count("*").alias("n_breaks"), F.min("transaction_date").alias("first_break"))
-    other = typed.groupBy("payload_id").agg(F.sum(F.size("errors")).alias("n_other"), F.bool_or("labelled").alias("labelled"))
+def _read(runs: DataFrame, typed: DataFrame) -> DataFrame:
+    """Records under their run, with what they say beside the one before: all that is read of an export, which is dealt out once."""
+    is_booked = F.col("booking_status") == "booked"
+    link, booked = F.coalesce(~F.col("readable") | is_booked, F.lit(False)), F.coalesce(F.col("readable") & is_booked, F.lit(False))
+    rows = typed.withColumn("__link", link)
+    breaks = F.col("__link") & chain_code("payload_id", "__link", order="record_ordinal").isNotNull()
+    rows = rows.select("payload_id", "record_ordinal", "transaction_date", "amount", identity_text(F.col("description")).alias("description"), "balance", booked.alias("booked"), breaks.alias("breaks"), F.size("errors").alias("n_errors"), "labelled")
+    return rows.join(runs.select(*RUN, "payload_id"), "payload_id").drop("payload_id")
+
+
+def _judged_alone(runs: DataFrame, read: DataFrame, accepted: DataFrame) -> DataFrame:
+    """``runs`` with what their records alone say: errors, breaks, labels, and the dates between which they lie."""
+    day = F.col("transaction_date")
+    of = read.groupBy(*RUN).agg(
+        F.sum("n_errors").alias("n_other"),
+        F.bool_or("labelled").alias("labelled"),
+        ((F.count("labelled") == F.count("*")) & F.bool_and("labelled").eqNullSafe(F.bool_or("labelled"))).alias("same_labels"),
+        F.count(F.when(F.col("breaks"), 1)).alias("n_breaks"),
+        F.min(F.when(F.col("breaks"), day)).alias("first_break"),
+        F.min(F.when(F.col("booked"), day)).alias("least"),
+        F.max(F.when(F.col("booked"), day)).alias("most"),
+    )
     accepted = accepted.select("import_run_id").distinct().withColumn("accepted", F.lit(True))
-    runs = runs.join(other, "payload_id", "left").join(breaks, "payload_id", "left").join(accepted, "import_run_id", "left")
+    runs = runs.join(of, [*RUN], "left").join(accepted, "import_run_id", "left")
     n_other, n_breaks, accepted = F.coalesce("n_other", F.lit(0)), F.coalesce("n_breaks", F.lit(0)), F.coalesce("accepted", F.lit(False))
-    order = Window.partitionBy("account_id").orderBy("exported_on", "started_at", "import_run_id")
-    return runs.select("account_id", F.row_number().over(order).alias("run"), "import_run_id", "payload_id", "covers_from", "covers_through", "labelled", "first_break", accepted.alias("accepted"), ((n_other == 0) & ((n_breaks == 0) | accepted)).alias("valid"))
+    return runs.select(*RUN, "import_run_id", "payload_id", "covers_from", "covers_through", "labelled", "first_break", "least", "most", "same_labels", accepted.alias("accepted"), ((n_other == 0) & ((n_breaks == 0) | accepted)).alias("valid"))
 
 
 @dataclass
@@ -67,9 +87,11 @@ class _History:
 
     #: Valid runs: ``RUN, import_run_id, payload_id, covers_from, covers_through, labelled``.
     runs: DataFrame
-    #: How often a run shows each identity: ``KEY, run, c``.
+    #: How often a run shows each identity that isn't in ``alike``: ``KEY, run, c``.
     shown: DataFrame
-    #: Runs that cover or show each date of their account's records: ``rank`` among them, how many there are, and the balance at the day's end.
+    #: What the identities that all runs of a date show alike come to: ``account_id, transaction_date, total``.
+    alike: DataFrame
+    #: Runs that cover or show each date of their account's records: ``rank`` among them, how many there are, the balance at the day's end, and what is seen (``_seen``) if all are taken.
     days: DataFrame
     #: Decisions, or None if there are none: ``SHOWS``, and ``transaction_id`` of those withdrawn.
     named: DataFrame | None
@@ -77,21 +99,49 @@ class _History:
 
     def of(self, accounts: DataFrame) -> _History:
         keep = lambda df: df.join(accounts, "account_id", "left_semi")
-        return _History(keep(self.runs), keep(self.shown), keep(self.days), self.named, self.withdrawn)
+        return _History(keep(self.runs), keep(self.shown), keep(self.alike), keep(self.days), self.named, self.withdrawn)
 
 
 def _dates(runs: DataFrame, rows: DataFrame) -> DataFrame:
     """``_History.days``: of the dates that records have, each run that covers or shows one."""
-    shows = rows.groupBy(*RUN, "transaction_date").agg(F.max(F.struct("record_ordinal", "balance"))["balance"].alias("ends"))
-    known = shows.select("account_id", "transaction_date").distinct()
-    span = known.groupBy("account_id").agg(F.min("transaction_date").alias("least"), F.max("transaction_date").alias("most"))
-    reach = runs.join(span, "account_id").select(*RUN, F.greatest("covers_from", "least").alias("a"), F.least("covers_through", "most").alias("z")).where("a <= z")
-    covers = reach.select(*RUN, F.explode(F.sequence("a", "z")).alias("transaction_date")).join(known, ["account_id", "transaction_date"])
-    both = covers.select(*RUN, "transaction_date", F.lit(True).alias("covers"), F.lit(False).alias("shows"), F.lit(None).cast("decimal(19,2)").alias("ends"))
-    both = both.unionByName(shows.select(*RUN, "transaction_date", F.lit(False).alias("covers"), F.lit(True).alias("shows"), "ends"))
-    days = both.groupBy(*RUN, "transaction_date").agg(F.bool_or("covers").alias("covers"), F.bool_or("shows").alias("shows"), F.max("ends").alias("ends"))
-    w = Window.partitionBy("account_id", "transaction_date")
-    return days.withColumns({"rank": F.row_number().over(w.orderBy("run")), "n_runs": F.count("*").over(w)})
+    span = runs.groupBy("account_id").agg(F.min("least").alias("a"), F.max("most").alias("z"))
+    reach = runs.join(span, "account_id").select(*RUN, "labelled", F.greatest("covers_from", "a").alias("a"), F.least("covers_through", "z").alias("z")).where("a <= z")
+    covers = reach.select(*RUN, F.explode(F.sequence("a", "z")).alias("transaction_date"), F.lit(None).cast("int").alias("record_ordinal"), F.lit(None).cast("decimal(19,2)").alias("balance"), "labelled", F.lit(True).alias("covers"))
+    both = covers.unionByName(rows.select(*RUN, "transaction_date", "record_ordinal", "balance", "labelled", F.lit(False).alias("covers")))
+    ends = F.max_by("balance", "record_ordinal").alias("ends")
+    days = both.groupBy(*RUN, "transaction_date").agg(F.bool_or("covers").alias("covers"), (F.count("record_ordinal") > 0).alias("shows"), ends, F.bool_or("labelled").alias("labelled"))
+    w = Window.partitionBy("account_id", "transaction_date").orderBy("run")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    days = _seen(days.withColumns({"taken": F.lit(True), "rank": F.row_number().over(w), "n_runs": F.count("*").over(whole), "__known": F.bool_or("shows").over(whole)}))
+    return days.where("__known").drop("__known")
+
+
+def _seen(days: DataFrame) -> DataFrame:
+    """What a run finds of a date if those ``taken`` are admitted: ``first`` if none comes before it, and in ``theirs`` what the last one to speak says."""
+    w = Window.partitionBy("account_id", "transaction_date").orderBy("run")
+    earlier, so_far = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
+    first = ~F.coalesce(F.bool_or("taken").over(earlier), F.lit(False))
+    days = days.withColumns({"first": first, "__shown": F.bool_or(F.col("taken") & F.col("shows")).over(so_far)})
+    days = days.withColumn("__as", F.when(F.col("taken") & F.col("__shown"), F.struct("ends", "shows", "labelled")))
+    return days.withColumn("theirs", F.last("__as", ignorenulls=True).over(earlier)).drop("__as", "__shown")
+
+
+def _identities(rows: DataFrame, days: DataFrame, named: DataFrame | None) -> DataFrame:
+    """``_History.shown`` and, without amount and run, ``_History.alike``; accounts in which decisions name a record have nothing alike."""
+    day = ["account_id", "transaction_date"]
+    shown = rows.repartition(*day).groupBy(*KEY, "run").agg(F.count("*").alias("c"))
+    # Rows are sorted by a number in place of amount and text, which are compared only where it is the same.
+    w = Window.partitionBy(*day, F.xxhash64("amount", "description"), *KEY[2:])
+    shown = shown.withColumns({"__n": F.count("*").over(w), "__least": F.min("c").over(w), "__most": F.max("c").over(w), "__first": F.min("run").over(w)})
+    shown = shown.join(days.where("rank = 1").select(*day, "n_runs"), day)
+    alike = (F.col("__n") == F.col("n_runs")) & (F.col("__least") == F.col("__most"))
+    if named is not None:
+        shown = shown.join(named.select("account_id").distinct().withColumn("__named", F.lit(True)), "account_id", "left")
+        alike &= F.col("__named").isNull()
+    shown = shown.withColumn("alike", alike).where("not alike or run = __first")
+    own = [F.when(~F.col("alike"), F.col(c)).alias(c) for c in (*KEY[2:], "run")]
+    shown = shown.select(*day, "alike", *own, "c", F.when(F.col("alike"), F.col("amount") * F.col("c")).alias("__of"))
+    return shown.groupBy(*day, "alike", *KEY[2:], "run").agg(F.max("c").alias("c"), F.sum("__of").cast("decimal(38,2)").alias("total"))
 
 
 def _counts(h: _History, shows: DataFrame | None) -> DataFrame:
@@ -145,27 +195,24 @@ def _missing(h: _History, counts: DataFrame, days: DataFrame) -> tuple[DataFrame
     return missing.where("not coalesce(__gone, false)").drop("__gone"), added
 
 
-def _verdicts(h: _History, assumed: DataFrame, shows: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-    """Under what is assumed, each run with its verdict, and what is missing (stashed)."""
-    w = Window.partitionBy("account_id", "transaction_date").orderBy("run")
-    earlier, so_far = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(Window.unboundedPreceding, 0)
-    days = h.days.join(assumed.join(h.runs.select(*RUN, "labelled"), [*RUN]), [*RUN])
-    known = F.bool_or(F.col("taken") & F.col("shows")).over(so_far)
-    days = days.withColumn("__as", F.when(F.col("taken") & known, F.struct("ends", "shows", "labelled")))
-    days = days.withColumn("theirs", F.last("__as", ignorenulls=True).over(earlier)).drop("__as")
+def _verdicts(h: _History, days: DataFrame, assumed: DataFrame, shows: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+    """Under what is assumed, and seen in ``days``, each run with its verdict, and what is missing (stashed)."""
     missing, added = _missing(h, _counts(h, shows), days)
     missing = stash(missing, "missing")
-    lost = days.where("covers and labelled = false and theirs.labelled and theirs.shows").select(*RUN).distinct().withColumn("lost", F.lit(True))
     none = lambda kind: F.lit(None).cast(kind)
     money = "decimal(38,2)"
-    states = days.where("shows").select(*RUN, "transaction_date", F.lit(0).cast(money).alias("change"), "ends", F.col("theirs.ends").alias("before"))
+    lost = F.col("covers") & ~F.col("labelled") & F.col("theirs.labelled") & F.col("theirs.shows")
+    states = days.select(*RUN, "transaction_date", F.lit(0).cast(money).alias("change"), "ends", F.when(F.col("shows"), F.col("theirs.ends")).alias("before"), lost.alias("lost"))
     moved = added.unionByName(missing.groupBy(*RUN, "transaction_date").agg((-F.sum("amount")).cast(money).alias("change")))
-    sums = states.unionByName(moved.select("*", none("decimal(19,2)").alias("ends"), none("decimal(19,2)").alias("before")))
-    sums = sums.groupBy(*RUN, "transaction_date").agg(F.sum("change").alias("change"), F.max("ends").alias("ends"), F.max("before").alias("before"))
+    moved = moved.unionByName(days.where("first").join(h.alike, ["account_id", "transaction_date"]).select(*RUN, "transaction_date", F.col("total").alias("change")))
+    sums = states.unionByName(moved.select("*", none("decimal(19,2)").alias("ends"), none("decimal(19,2)").alias("before"), none("boolean").alias("lost")))
+    # Dealt out by run, once for its dates' sums, what they run to, and its verdict.
+    sums = sums.repartition(*RUN).groupBy(*RUN, "transaction_date").agg(F.sum("change").alias("change"), F.max("ends").alias("ends"), F.max("before").alias("before"), F.bool_or("lost").alias("lost"))
     change = F.sum("change").over(Window.partitionBy(*RUN).orderBy("transaction_date").rowsBetween(Window.unboundedPreceding, 0))
-    apart = sums.withColumn("change", change).where("ends - before <> change").groupBy(*RUN).agg(F.min("transaction_date").alias("apart"))
+    apart = F.min(F.when(F.col("ends") - F.col("before") != F.col("change"), F.col("transaction_date")))
+    found = sums.withColumn("change", change).groupBy(*RUN).agg(apart.alias("apart"), F.bool_or("lost").alias("lost"))
     open_ = missing.where("ordinal is null and not withdrawn").select(*RUN).distinct().withColumn("open", F.lit(True))
-    runs = assumed.join(lost, [*RUN], "left").join(apart, [*RUN], "left").join(open_, [*RUN], "left")
+    runs = assumed.join(found, [*RUN], "left").join(open_, [*RUN], "left")
     code = F.when(F.col("lost"), "label-layout-regressed").when(F.col("apart").isNotNull() | F.col("open"), "review")
     return runs.select(*RUN, "taken", "apart", code.alias("code")), missing
 
@@ -182,10 +229,10 @@ def _effective(missing: DataFrame, named: DataFrame | None) -> DataFrame | None:
 
 def _settled(h: _History) -> tuple[DataFrame, DataFrame, DataFrame | None]:
     """Each valid run's verdict (``RUN, apart, code``), what it lacks, and the decisions that take effect."""
-    assumed, shows = h.runs.select(*RUN, F.lit(True).alias("taken")), h.named
+    assumed, shows, days = h.runs.select(*RUN, F.lit(True).alias("taken")), h.named, h.days
     done: list[tuple[DataFrame, DataFrame, DataFrame | None]] = []
     while True:
-        verdicts, missing = _verdicts(h, assumed, shows)
+        verdicts, missing = _verdicts(h, days, assumed, shows)
         verdicts = stash(verdicts, "verdicts")
         effective = _effective(missing, h.named)
         doubt = verdicts.where(F.col("taken") != F.col("code").isNull()).select("account_id")
@@ -199,19 +246,22 @@ def _settled(h: _History) -> tuple[DataFrame, DataFrame, DataFrame | None]:
         if doubt.isEmpty():
             break
         h, assumed, shows = h.of(doubt), verdicts.select(*RUN, F.col("code").isNull().alias("taken")).join(doubt, "account_id", "left_semi"), effective
+        days = stash(_seen(h.days.drop("taken", "first", "theirs").join(assumed, [*RUN])), "seen")
     return _union([d[0] for d in done]), _union([d[1] for d in done]), None if h.named is None else _union([d[2] for d in done])
 
 
 def _history(rows: DataFrame, admitted: DataFrame, days: DataFrame, gone: DataFrame, shows: DataFrame | None) -> tuple[DataFrame, DataFrame]:
     """Transactions that are kept, in the order of their days, and each record that shows one."""
     of = rows.join(admitted, [*RUN])
-    if shows is not None:
+    # Records that a run shows under one identity are numbered; those left where one has gone elsewhere are so anew.
+    order, number = (lambda *by: Window.partitionBy(F.xxhash64(*KEY, "run"), *KEY, "run", *by).orderBy("record_ordinal")), F.row_number()
+    if shows is None:
+        of = of.withColumn("occurrence", number.over(order()))
+    else:
         target = [F.col(c).alias(f"to_{c}") for c in (*KEY[1:], "n")]
         of = of.join(shows.select(*RUN, "record_ordinal", *target), [*RUN, "record_ordinal"], "left")
         moved = F.col("to_n").isNotNull()
-        # Those left under an identity of which a record has gone elsewhere are numbered anew.
-        left = F.row_number().over(Window.partitionBy(*KEY, "run", moved).orderBy("record_ordinal"))
-        of = of.withColumn("occurrence", F.when(moved, F.col("to_n")).otherwise(left))
+        of = of.withColumn("occurrence", F.when(moved, F.col("to_n")).otherwise(number.over(order(moved))))
         of = of.withColumns({c: F.coalesce(f"to_{c}", c) for c in KEY[1:]})
     kept = of.join(gone, [*KEY, "occurrence"], "left_anti")
     known = F.min(F.when(F.col("shows"), F.col("run")))
@@ -242,18 +292,25 @@ def merge(runs: DataFrame, typed: DataFrame, decisions: DataFrame | None = None)
         decisions = spark.range(1).select(*[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in DECISIONS.split(", ")]).limit(0)
     of = lambda kind: decisions.where(F.col("kind") == kind)
     runs = runs.withColumn("account_id", F.col("account_id").cast("string")).join(of("void-import-run").select("import_run_id"), "import_run_id", "left_anti")
-    runs = stash(_judged_alone(runs, typed, of("accept-discrepancy")), "runs")
-    valid = runs.where("valid")
-    each = F.count("*").over(Window.partitionBy("payload_id", *KEY))
-    rows = booked_rows(typed, valid).withColumn("c", each).select(*KEY, "payload_id", "record_ordinal", "balance", "occurrence", "c")
-    of_run = valid.select(F.col("account_id").alias("__account"), "run", "payload_id")
-    rows = stash(rows.join(of_run, "payload_id").where("__account = account_id").drop("payload_id", "__account"), "booked")
-    shown, rows = rows.where("occurrence = 1").select(*KEY, "run", "c"), rows.drop("c")
+    order = Window.partitionBy("account_id").orderBy("exported_on", "started_at", "import_run_id")
+    runs = stash(runs.select("import_run_id", "payload_id", "account_id", "covers_from", "covers_through", F.row_number().over(order).alias("run")), "numbered")
+    read = stash(_read(runs, typed), "read")
+    runs = stash(_judged_alone(runs, read, of("accept-discrepancy")), "runs")
+    valid, refused = runs.where("valid"), runs.where("not valid").select(*RUN)
+    rows, n_refused = read.where("booked").select(*KEY, "run", "record_ordinal", "balance", "labelled"), refused.count()
+    if n_refused:
+        rows = rows.join(small(refused, n_refused), [*RUN], "left_anti")
+    unlike = valid.where("not same_labels").select(*RUN, F.col("labelled").alias("__labelled"), F.lit(True).alias("__unlike"))
+    n_unlike = unlike.count()
+    if n_unlike:
+        rows = rows.join(small(unlike, n_unlike), [*RUN], "left").withColumn("labelled", F.when(F.col("__unlike"), F.col("__labelled")).otherwise(F.col("labelled"))).drop("__labelled", "__unlike")
     days = stash(_dates(valid, rows), "days")
     named = _named(of("same-transaction"), rows, valid)
     withdrawn = of("withdrawn").select("transaction_id").distinct()
     withdrawn = None if withdrawn.isEmpty() else withdrawn
-    verdicts, missing, shows = _settled(_History(valid, shown, days, named, withdrawn))
+    found = stash(_identities(rows, days, named), "identities")
+    alike, shown = found.where("alike").select("account_id", "transaction_date", "total"), stash(found.where("not alike").select(*KEY, "run", "c"), "shown")
+    verdicts, missing, shows = _settled(_History(valid, shown, alike, days, named, withdrawn))
     admitted = stash(verdicts.where("code is null").select(*RUN).join(valid.select(*RUN, "import_run_id", "payload_id"), [*RUN]), "admitted")
     gone = missing.where("withdrawn").join(admitted.select(*RUN), [*RUN], "left_semi").select(*KEY, F.col("n").alias("occurrence"))
     listed, kept = _history(rows, admitted, days, gone, shows)
@@ -277,5 +334,7 @@ def _named(decisions: DataFrame, rows: DataFrame, runs: DataFrame) -> DataFrame
     wanted = decisions.select("transaction_id", "payload_id", "record_ordinal").distinct().join(runs.select(*RUN, "payload_id"), "payload_id").drop("payload_id")
     own = [F.col("transaction_date").alias("own_date"), F.col("amount").alias("own_amount"), F.col("description").alias("own_description")]
     record = wanted.join(rows.select(*RUN, "record_ordinal", *own), [*RUN, "record_ordinal"])
-    known = rows.withColumn("transaction_id", _identify(F.col("occurrence"))).join(wanted.select("account_id", "transaction_id").distinct(), ["account_id", "transaction_id"], "left_semi").select(*KEY, F.col("occurrence").alias("n"), "transaction_id").distinct()
+    near = rows.join(wanted.select("account_id").distinct(), "account_id", "left_semi")
+    near = occurrences(near, "run", *KEY, order="record_ordinal")
+    known = near.withColumn("transaction_id", _identify(F.col("occurrence"))).join(wanted.select("account_id", "transaction_id").distinct(), ["account_id", "transaction_id"], "left_semi").select(*KEY, F.col("occurrence").alias("n"), "transaction_id").distinct()
     return stash(record.join(known, ["account_id", "transaction_id"]).select(*[c.split()[0] for c in SHOWS.split(", ")]), "named")
