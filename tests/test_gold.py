@@ -100,5 +100,5 @@ def test_rows_that_no_decision_names_are_not_shuffled(spark, monkeypatch):
         moved = records_shuffled(spark, lambda: got.extend(gold.classify(history, accounts, categories, made, force, transfers.single_pairs).rows.groupBy("classification_source").count().collect()))
     # 300 claims pair with the next row, on another account; 100 rows are decided, of which some would have been such a row.
     assert {r["classification_source"]: r["count"] for r in got}["manual"] == 100 and sum(r["count"] for r in got) == n
-    # Before, every row was shuffled some seven times.
+    # Before, rows were shuffled some ten times.
     assert moved < 3 * n
